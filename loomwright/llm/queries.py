@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid, quality, toxicity
 from .common import table
 from .packing import pack
 from .simhash import simhash_groups
@@ -16,6 +18,19 @@ def tokenizer() -> PieceTokenizer:
     return PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.train(docs)).select("doc_id", "weak_good", "quality_score", "accepted")
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(langid.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -24,12 +39,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(langid.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    index = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, index).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_langid": op2_langid,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
