@@ -119,7 +119,7 @@ def tokenize(docs: DataFrame, tokenizer: PieceTokenizer) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: dict[str, int] = {}
         for whole in batches:
-            for batch in by_bytes(whole, "text", 4 << 20):
+            for batch in by_bytes(whole, "text", 1 << 20):
                 ids, ends = tokenizer.encode(*payload(batch.column("text")))
                 n, starts = np.diff(ends, prepend=0), []
                 for source, size in zip(batch.column("source").to_pylist(), n.tolist(), strict=True):
@@ -135,11 +135,12 @@ def tokenize(docs: DataFrame, tokenizer: PieceTokenizer) -> DataFrame:
     return materialize(rows.mapInArrow(encode, "doc_id long, source string, part int, start long, n long, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, tokenizer: PieceTokenizer, weights: dict[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: PieceTokenizer, weights: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
     """Packs docs (doc_id, text, source) into sequences of 2048 tokens; each document ends with the tokenizer's end id.
 
     weights: target share of each source, by default its share of all tokens. The 32 largest sources have queues,
-    the others share one. Rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
+    the others share one. Rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids (unsigned
+    32-bit numbers, little-endian; null unless with_ids).
     A null text is empty, a null source is a source, repeated rows are packed each, and a null doc_id stays null. Only
     the tokens that don't fill a window are in shorter sequences, of powers of two. An empty table gives no rows."""
     spark = docs.sparkSession
@@ -171,8 +172,8 @@ def pack(docs: DataFrame, tokenizer: PieceTokenizer, weights: dict[str, float] |
                 for first, length, sequence, offset in pieces(segments, q, at, n):
                     rows.append(np.stack([np.full(len(first), i), first - at, length, sequence, offset]))
                     for a, b in zip((first - at + ends[i]).tolist(), length.tolist(), strict=True):
-                        blobs.append(data[a : a + b].tobytes())
-                        crcs.append(zlib.crc32(blobs[-1]))
+                        crcs.append(zlib.crc32(data[a : a + b]))
+                        blobs.append(data[a : a + b].tobytes() if with_ids else None)
             if rows:
                 at, start, length, sequence, offset = np.concatenate(rows, axis=1)
                 whole = batch.take(pa.array(at))

@@ -71,7 +71,7 @@ class PieceTokenizer:
     ranks: the same vocabulary as a file of ranks, or None; then each text goes to the library itself, which takes
     some four times as long. Texts with special tokens' strings, apostrophes or letters beyond Latin take a longer way."""
 
-    def __init__(self, path: str, ranks: str | None, pattern: str, end: int = 1, cached: int = 300_000):
+    def __init__(self, path: str, ranks: str | None, pattern: str, end: int = 1, cached: int = 200_000):
         self.path, self.ranks, self.pattern, self.end, self.cached = path, ranks, pattern, end, cached
         self._tools = None
 
