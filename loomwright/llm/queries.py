@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, quality, toxicity
+from . import ann, decontam, langid, paragraphs, quality, toxicity
 from .common import table
 from .packing import pack
 from .simhash import simhash_groups
@@ -31,6 +31,11 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs.dedup_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_paragraphs", "n_removed", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -64,6 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
+    "op3_paragraphs": op3_paragraphs,
     "op4_neighbours": op4_neighbours,
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
