@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, paragraphs, quality, toxicity
+from . import ann, decontam, langid, paragraphs, quality, suffixes, toxicity
 from .common import table
 from .packing import pack
 from .simhash import simhash_groups
@@ -47,6 +47,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op3_paragraphs": op3_paragraphs,
     "op4_neighbours": op4_neighbours,
     "op5_decontamination": op5_decontamination,
+    "op6_substrings": op6_substrings,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
