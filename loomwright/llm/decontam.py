@@ -119,3 +119,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     n_hit = F.aggregate(F.coalesce("hits", F.expr("cast(array() as array<struct<start:int,end:int>>)")), F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
     out = out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), "hits")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), "hits")
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that hold no window of items; null and empty texts hold none."""
+    found = materialize(rarest_terms(docs, materialize(windows(items, size), "windows")), "windows")
+    hit = phrase_matches(materialize(postings(docs, found, size - 1), "index"), found).select("id", "hash", "size").distinct()
+    text = F.col("text")
+    rows = docs.withColumns({"__hash": F.xxhash64(text), "__size": F.coalesce(F.length(text), F.lit(-1))})
+    return rows.join(hit, rows["doc_id"].eqNullSafe(hit["id"]) & (rows["__hash"] == hit["hash"]) & (rows["__size"] == hit["size"]), "left_anti").drop("__hash", "__size")

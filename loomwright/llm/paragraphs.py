@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, connected_components, materialize, payload, small_batches
 from .features import LOWER, words
+from .shingling import shingles, similar_members
 from .tokens import SliceHasher, mixed
 
-SHINGLE = 5
 SIMILARITY = 0.8
 #: Shorter paragraphs are headings, greetings and the like; they are left as they are.
 MIN_WORDS = 30
@@ -43,17 +43,6 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, owner, np.arange(len(ends)) - first[owner]
 
 
-def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of `size` consecutive words of each run of words, and the runs' bounds in them."""
-    counts = np.maximum(np.diff(bounds) - size + 1, 0)
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    at = np.arange(int(ends[-1])) + np.repeat(bounds[:-1] - ends[:-1], counts)
-    h = np.zeros(len(at), np.uint64)
-    for i in range(size):
-        h = mixed(h + hashes[at + i])
-    return h, ends
-
-
 def _rows(batch: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, ...]:
     """For the paragraphs of min_words words at least of a batch of texts: text index, number, word hashes and bounds."""
     data, offsets = payload(batch.column("text"))
@@ -92,40 +81,6 @@ def _signatures(h: np.ndarray, ends: np.ndarray, bands: int, rows: int) -> np.nd
     return out.view(np.int64)
 
 
-def _similar(front: list[np.ndarray], others: list[np.ndarray], least: float) -> np.ndarray:
-    """For each of others, the first of front that is similar to it, or -1."""
-    out = np.full(len(others), -1)
-    if not others:
-        return out
-    sizes = np.array([len(x) for x in others])
-    flat = np.concatenate(others)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    for i, x in enumerate(front):
-        todo = (out < 0) & (np.minimum(sizes, len(x)) >= least * np.maximum(sizes, len(x)))
-        if not todo.any():
-            continue
-        at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-        common = np.add.reduceat(x[at] == flat, starts)
-        # common / (sizes + len(x) - common) >= least, without a division
-        out[todo & (common >= least * (sizes + len(x) - common) - 1e-9)] = i
-    return out
-
-
-def _linked(ids: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
-    """Links that connect what all similar pairs connect: a search from each paragraph not yet reached."""
-    a, b, left = [], [], list(range(len(ids)))
-    while len(left) > 1:
-        front, left = left[:1], left[1:]
-        while front and left:
-            near = _similar([sets[i] for i in front[:16]], [sets[i] for i in left], least)
-            hit = [i for i, n in zip(left, near.tolist(), strict=True) if n >= 0]
-            a += [int(ids[front[n]]) for n in near.tolist() if n >= 0]
-            b += [int(ids[i]) for i in hit]
-            left = [i for i, n in zip(left, near.tolist(), strict=True) if n < 0]
-            front = front[16:] + hit
-    return a, b
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
@@ -178,31 +133,7 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: flo
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["x", "set"])
 
     sets = materialize(sources.mapInArrow(expand, "x long, set binary").dropDuplicates(["x"]), "shingles")
-    parts = members.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("own", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int"))
-    parts = parts.select("x", "band", "own", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
-    group = ["band", "i", "j"]
-    parts = parts.select("x", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "x")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, ids, held = None, [], []
-        for batch in batches:
-            a, b = [], []
-            keys = zip(*(batch.column(c).to_pylist() for c in group), strict=True)
-            for key, x, s in zip(keys, batch.column("x").to_pylist(), batch.column("set").to_pylist(), strict=True):
-                if key != name:
-                    more = _linked(np.array(ids, np.int64), held, least)
-                    a += more[0]
-                    b += more[1]
-                    name, ids, held = key, [], []
-                ids.append(x)
-                held.append(np.frombuffer(s, np.uint64))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        a, b = _linked(np.array(ids, np.int64), held, least)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    links = materialize(parts.repartition(*group).sortWithinPartitions(*group, "x").mapInArrow(compare, "a long, b long").distinct(), "similar")
+    links = similar_members(members, sets, least, CHUNK)
     nodes = connected_components(links)
     clusters = classes.join(nodes, classes["x"] == nodes["node"], "left").select("x", "y", "first", F.coalesce("component", "x").alias("cluster"))
     keepers = clusters.groupBy("cluster").agg(F.min("first").alias("keeper"))

@@ -6,6 +6,7 @@ to all of them, and its mask sees no difference: each pair within radius r meets
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, connected_components, materialize, payload, small_batches
+from .shingling import similar_members, text_shingles
 
 #: Buckets of more fingerprints are cut into chunks, and each pair of chunks is compared in a group of its own.
 CHUNK = 2048
@@ -43,8 +45,19 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit number."""
+def word_fingerprint(text: bytes, seed: int = 42) -> int:
+    """A fingerprint of single words: a word weighs the root of its count, and a bit is set if it is set in words of
+    over half the weight. A few changed words move it less than a fingerprint of shingles."""
+    counts = Counter(text.lower().split())
+    if not counts:
+        return 0
+    bits = np.unpackbits(np.array([xxhash.xxh64_intdigest(w, seed) for w in counts], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    weight = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
+    return sum(1 << i for i in np.flatnonzero(2 * (weight @ bits) > weight.sum()).tolist())
+
+
+def fingerprints(docs: DataFrame, shingle: int | None = 3) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed 64-bit number, of shingles or, for None, of words."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             for batch in by_bytes(whole, "text"):
                 data, offsets = payload(batch.column("text"))
                 raw, bounds = data.tobytes(), offsets.tolist()
-                found = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(bounds, bounds[1:], strict=False)], np.uint64)
+                found = np.array([fingerprint(raw[a:b], shingle) if shingle else word_fingerprint(raw[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -110,7 +123,7 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int | None = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of docs (doc_id, text).
 
     Fingerprints that differ in at most `radius` bits are linked, equal ones too; component_id is the smallest doc_id
@@ -124,3 +137,31 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFr
     least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
     whole = materialize(whole.join(least, "component").select("fp", "component_id"), "components")
     return found.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, radius: int = 6) -> DataFrame:
+    """(doc_id, keeper) for each document of docs (doc_id, text) that repeats another, its keeper: the smallest doc_id of
+    its group. Groups are components of documents with the same text, or whose word fingerprints are connected
+    within the radius and whose sets of five-word shingles have a Jaccard similarity of `least` or more.
+
+    A text of fewer than five words is one shingle, one of none is like others of none. Rows with a null doc_id are left out."""
+    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    near = simhash_groups(named, None, radius)
+    texts = named.select("doc_id", F.xxhash64("text").alias("x"), F.octet_length("text").alias("size"))
+    # Copies are one node, named by their smallest doc_id, from here on.
+    copies = texts.groupBy("x", "size").agg(F.min("doc_id").alias("first"))
+    copies = materialize(texts.join(copies, ["x", "size"]).select("doc_id", "first"), "copies")
+    firsts = materialize(near.join(copies, "doc_id").where("doc_id = first").select("doc_id", "component_id").distinct(), "firsts")
+    sizes = firsts.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(firsts.join(sizes, "component_id").select(F.col("doc_id").alias("x"), F.col("component_id").alias("band"), "n"), "members")
+    sources = named.join(members.select(F.col("x").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, "text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in text_shingles(batch)], pa.binary())], ["x", "set"])
+
+    sets = materialize(sources.mapInArrow(expand, "x long, set binary"), "sets")
+    nodes = connected_components(similar_members(members, sets, least, 256))
+    keepers = copies.join(nodes, copies["first"] == nodes["node"], "left").select("doc_id", F.coalesce("component", "first").alias("keeper"))
+    return keepers.where("doc_id <> keeper").distinct()
