@@ -1 +1 @@
-
+"""Catalog roll-ups, schema comparison and change plans."""
