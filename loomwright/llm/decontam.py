@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 # What a word is, and the letters that are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 WINDOW = 10
@@ -22,13 +22,13 @@ BROADCAST_ROWS = 200_000
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased and nothing else. lower() does just that where it leaves all characters beyond ASCII alone."""
-    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")
-    return F.when(F.lower(beyond) == beyond, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    """A-Z lower-cased and nothing else; lower() does just that to a text of ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words as they are written: lower-casing moves none of their bounds, so each step does it to what it needs."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def _lookup(df: DataFrame) -> DataFrame:
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(phrase, n, terms, items): distinct windows of `size` consecutive words of items (item_id, text), and the item
     ids, as strings, that hold each. An item of fewer words, but not none, is one window; item ids of null are left out."""
-    rows = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), word_list(F.col("text")).alias("words")).where("size(words) > 0")
+    rows = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), word_list(ascii_lower(F.col("text"))).alias("words")).where("size(words) > 0")
     rows = rows.select("item", "words", F.explode(F.expr(f"sequence(0, greatest(size(words) - {size}, 0))")).alias("at"))
     rows = rows.select("item", F.slice("words", F.col("at") + 1, F.lit(size)).alias("terms"))
     return rows.groupBy("terms").agg(F.collect_set("item").alias("items")).select(F.array_join("terms", " ").alias("phrase"), F.size("terms").alias("n"), "terms", "items")
@@ -56,7 +56,7 @@ def rarest_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """found (windows) with the term that the corpus has least of, and its offset in the window. Windows with a term
     that the corpus lacks are left out: they can't occur."""
     terms = found.select(F.explode(F.array_distinct("terms")).alias("term")).distinct()
-    counts = _keyed(docs).select(F.explode("words").alias("term")).join(_lookup(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
+    counts = _keyed(docs).select(F.explode("words").alias("word")).select(ascii_lower(F.col("word")).alias("term")).join(_lookup(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
     each = found.select("phrase", F.posexplode("terms").alias("offset", "term")).join(materialize(counts, "terms"), "term", "left")
     best = each.groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "offset")).alias("best"))
     return found.join(best.where("best.df > 0"), "phrase").select("phrase", "n", "items", F.col("best.term").alias("term"), F.col("best.offset").alias("offset"))
@@ -65,7 +65,8 @@ def rarest_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame, reach: int = WINDOW - 1) -> DataFrame:
     """The index: (term, id, hash, size, at, before, around) for each place of a term of terms (term). around holds
     the words from `before` words before the place to `reach` after it."""
-    rows = _keyed(docs).select("id", "hash", "size", "words", F.posexplode("words").alias("at", "term")).join(_lookup(terms.select("term").distinct()), "term")
+    rows = _keyed(docs).select("id", "hash", "size", "words", F.posexplode("words").alias("at", "word")).withColumn("term", ascii_lower(F.col("word")))
+    rows = rows.join(_lookup(terms.select("term").distinct()), "term")
     before = F.least(F.col("at"), F.lit(reach))
     return rows.select("term", "id", "hash", "size", "at", before.alias("before"), F.slice("words", F.col("at") - before + 1, before + reach + 1).alias("around"))
 
@@ -77,7 +78,7 @@ def phrase_matches(index: DataFrame, found: DataFrame) -> DataFrame:
     rows = index.join(shapes, "term").select("id", "hash", "size", "at", "before", "around", F.explode("shapes").alias("s"))
     start = F.col("before") - F.col("s.offset")
     rows = rows.where((start >= 0) & (start + F.col("s.n") <= F.size("around")))
-    rows = rows.select("id", "hash", "size", (F.col("at") - F.col("s.offset")).alias("start"), F.array_join(F.slice("around", start + 1, F.col("s.n")), " ").alias("phrase"))
+    rows = rows.select("id", "hash", "size", (F.col("at") - F.col("s.offset")).alias("start"), ascii_lower(F.array_join(F.slice("around", start + 1, F.col("s.n")), " ")).alias("phrase"))
     return rows.join(found.select("phrase", "n", "items"), "phrase").select("id", "hash", "size", "start", "n", "items")
 
 
@@ -85,7 +86,7 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, within: int = WINDOW -
     """(id, hash, size, first, second, at, other_at): places where two terms of pairs (first, second) are at most
     `within` words apart, in either order. index must have the pairs' first terms, with a reach of `within` at least."""
     rows = index.join(pairs.select("first", "second").distinct(), F.col("term") == F.col("first"))
-    near = rows.select("id", "hash", "size", "first", "second", "at", "before", F.posexplode("around").alias("i", "word")).where("word = second")
+    near = rows.select("id", "hash", "size", "first", "second", "at", "before", F.posexplode("around").alias("i", "word")).where(ascii_lower(F.col("word")) == F.col("second"))
     near = near.withColumn("other_at", F.col("at") - F.col("before") + F.col("i"))
     return near.where((F.col("other_at") != F.col("at")) & (F.abs(F.col("other_at") - F.col("at")) <= within)).select("id", "hash", "size", "first", "second", "at", "other_at")
 
