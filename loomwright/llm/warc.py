@@ -84,7 +84,7 @@ class _Writer:
         store.create_dir(folder, recursive=True)
         name = f"{self.name}-{self.count:05d}.warc.zst"
         self.path = f"{self.folder}/{name}"
-        self.out, self.size, self.records = store.open_output_stream(f"{folder}/{name}"), 0, 0
+        self.out, self.size, self.records = store.open_output_stream(f"{folder}/{name}", compression=None), 0, 0
         built = _dictionary(self.waiting)
         data = built.as_bytes()
         self.out.write(struct.pack("<II", DICTIONARY_FRAME, len(data)) + data)
@@ -143,7 +143,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
 
 def parse(store: fs.FileSystem, path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an archive, read as a stream."""
-    with store.open_input_stream(path) as raw:
+    with store.open_input_stream(path, compression=None) as raw:
         magic, size = struct.unpack("<II", raw.read(8))
         if magic != DICTIONARY_FRAME:
             raise ValueError(f"{path} doesn't start with a dictionary")
