@@ -5,8 +5,9 @@ the order of all L suffixes in one ascending scan, and these that of all S suffi
 suffix before the one scanned joins the queue of its first character. The queues, taken in the order of their
 character, are a priority queue of (character, time of entry); beyond a byte budget their parts go to a scratch file
 of the task. Every entry carries its common-prefix length with its queue's previous entry: one more than the least
-value scanned since that entry. Stars are sorted by the same scans, their ranks make a shorter text, and the
-procedure recurs on that; a text of too many characters to scan is ranked by doubling instead."""
+value scanned since that entry. The stars' substrings,
+from each to the next, are ranked by direct comparison, their ranks make a shorter text, and the procedure recurs on
+that; a text of too many characters to scan is ranked by doubling instead."""
 
 from __future__ import annotations
 
@@ -14,13 +15,12 @@ import tempfile
 
 import numpy as np
 
-from .tokens import SliceHasher
 
 #: Common prefixes are told up to this length.
 MOST = 255
 CHUNK = 1 << 16
 #: A reduced text of more characters than this is ranked by doubling.
-ALPHABET = 2048
+ALPHABET = 1024
 
 
 class BucketQueue:
@@ -196,6 +196,31 @@ def _doubling(text: np.ndarray) -> np.ndarray:
         width *= 2
 
 
+def _star_names(text: np.ndarray, kind: np.ndarray, star: np.ndarray) -> np.ndarray:
+    """Ranks of the stars' substrings by (character, type), equal ones alike. None is a proper beginning of another: an S
+    after an L ends each. Blocks of five characters are compared at a time, and only those still equal go on."""
+    n, wide = len(text), 5
+    coded = np.concatenate([text.astype(np.uint64) * np.uint64(2) + kind + np.uint64(1), np.zeros(wide, np.uint64)])
+    size = np.concatenate([star[1:] - star[:-1] + 1, [n - star[-1]]]) if len(star) else star
+    names, live, at = np.zeros(len(star), np.int64), np.arange(len(star)), 0
+    while len(live):
+        key = np.zeros(len(live), np.uint64)
+        for k in range(at, at + wide):
+            key = (key << np.uint64(12)) | np.where(k < size[live], coded[np.minimum(star[live] + k, n)], np.uint64(0))
+        order = np.lexsort((key, names[live])) if at else np.argsort(key, kind="stable")
+        place, group, key = live[order], names[live[order]], key[order]
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
+        opens = np.concatenate([[True], group[1:] != group[:-1]])
+        # A name is its group's plus how many of the group come before its own key.
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
+        base = np.maximum.accumulate(np.where(opens, np.arange(len(place)), 0))
+        names[place] = group + first - base
+        at += wide
+        alone = fresh & np.append(fresh[1:], True)
+        live = place[~alone & (size[place] > at)]
+    return np.unique(names, return_inverse=True)[1].astype(np.int64)
+
+
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lengths, up to MOST, of the common prefixes of suffixes a and b."""
     out, live = np.zeros(len(a), np.uint8), np.arange(len(a))
@@ -218,30 +243,19 @@ def sort_suffixes(text: np.ndarray, characters: int, budget: int = 256 << 20) ->
         return np.arange(n)[::-1].astype(np.int64), np.zeros(n, np.uint8)
     kind, runs = _types(text), _runs(text)
     star = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
-    # Stars by first character only: one induction sorts their substrings (up to the next star).
-    def by_character(position: np.ndarray, prefix: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        edges = np.searchsorted(text[position], np.arange(characters + 1))
-        return [(position[a:z], prefix[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
-
-    rough = star[np.argsort(text[star], kind="stable")]
-    order, _ = _induce(text, kind, runs, characters, by_character(rough, np.zeros(len(rough), np.uint8)), budget)
-    is_star = np.zeros(n, bool)
-    is_star[star] = True
-    order = order[is_star[order]]
-    # Ranks of the star substrings: equal ones get one name. They are told apart by length and hash.
-    end = np.concatenate([star[1:] + 1, [n]])
-    hashes = SliceHasher((text & 0xFF).astype(np.uint8), 3)(star, end) + (SliceHasher((text >> 8).astype(np.uint8), 4)(star, end) if characters > 256 else np.uint64(0))
-    place = np.searchsorted(star, order)
-    fresh = np.concatenate([[True], hashes[place][1:] != hashes[place][:-1]])
-    names = np.empty(len(star), np.int64)
-    names[place] = np.cumsum(fresh) - 1
-    distinct = int(fresh.sum())
+    names = _star_names(text, kind, star)
+    distinct = int(names.max(initial=-1)) + 1
     if distinct == len(star):
-        ranked = place
+        ranked = np.argsort(names)
     elif distinct < ALPHABET:
         ranked = sort_suffixes(np.append(names + 1, 0), distinct + 1, budget)[0][1:]
     else:
         ranked = _doubling(names)
+
+    def by_character(position: np.ndarray, prefix: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        edges = np.searchsorted(text[position], np.arange(characters + 1))
+        return [(position[a:z], prefix[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
+
     ordered = star[ranked]
     prefix = np.concatenate([[0], common_prefix(text, ordered[:-1], ordered[1:])]).astype(np.uint8)
     return _induce(text, kind, runs, characters, by_character(ordered, prefix), budget)

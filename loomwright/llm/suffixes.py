@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from .tokens import SliceHasher
 LENGTH, GRAM = 50, 24
 #: Bytes of text for which one shard is planned.
 SHARD_BYTES = 12 << 20
+LEAST_SHARDS = 32
 #: Stretches of a least hash that so many others share are dealt window by window, by the windows' own hashes.
 HOT = 4096
 _LOW = np.uint64((1 << 48) - 1)
@@ -98,6 +100,21 @@ def _by_doc(ids: np.ndarray, hashes: np.ndarray, *values: np.ndarray) -> Iterato
         yield int(ids[a]), int(hashes[a]), table[a:z].tobytes()
 
 
+def _packed(rows: list[tuple[int, int, int, bytes]]) -> bytes:
+    """Rows (id, hash, kind, numbers) as bytes."""
+    ids, hashes, kinds, data = zip(*rows, strict=True)
+    return b"".join([np.array([len(rows)], "<i4").tobytes(), np.array(ids, "<i8").tobytes(), np.array(hashes, "<i8").tobytes(), np.array(kinds, np.uint8).tobytes(), np.array([len(x) for x in data], "<i4").tobytes(), *data])
+
+
+def _unpacked(blob: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    n = int(np.frombuffer(blob, "<i4", 1)[0])
+    sizes = np.frombuffer(blob, "<i4", n, 4 + 17 * n)
+    at = 4 + 21 * n
+    for i, x, kind, size in zip(np.frombuffer(blob, "<i8", n, 4).tolist(), np.frombuffer(blob, "<i8", n, 4 + 8 * n).tolist(), np.frombuffer(blob, np.uint8, n, 4 + 16 * n).tolist(), sizes.tolist(), strict=True):
+        yield i, x, kind, blob[at : at + size]
+        at += size
+
+
 def _six(x: np.ndarray) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -113,7 +130,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     32-bit numbers (start, end), unmerged, in several rows."""
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    parts = max(1, size // SHARD_BYTES)
+    parts = max(LEAST_SHARDS, size // SHARD_BYTES)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -133,12 +150,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ids, hashes, start, count, h, c = (x[~gone] for x in (ids, hashes, start, count, h, c))
             names, place = np.unique(np.stack([ids, hashes], 1), axis=0, return_inverse=True)
             shard = (h % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
+            order = np.lexsort((start, place.ravel(), shard))
             edges = np.searchsorted(shard[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 at = order[edges[p] : edges[p + 1]]
                 own, place_in = np.unique(place.ravel()[at], return_inverse=True)
-                blob = b"".join([np.array([len(own), len(at)], "<i4").tobytes(), names[own].astype("<i8").tobytes(), place_in.ravel().astype("<u2").tobytes(), start[at].astype("<i4").tobytes(), count[at].astype(np.uint8).tobytes(), _six(h[at]), _six(c[at])])
+                # Documents and starts come in order: their differences pack well.
+                where = zstandard.compress(np.diff(place_in.ravel(), prepend=0).astype("<u2").tobytes() + np.diff(start[at], prepend=0).astype("<i4").tobytes() + count[at].astype(np.uint8).tobytes(), 1)
+                blob = b"".join([np.array([len(own), len(at), len(where)], "<i4").tobytes(), names[own].astype("<i8").tobytes(), where, _six(h[at]), _six(c[at])])
                 rows.append((p, None, None, None, blob))
             part, ident, text, spans, blob = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ident, pa.int64()), pa.array(text, pa.int64()), pa.array(spans, pa.binary()), pa.array(blob, pa.binary())], ["part", "id", "hash", "spans", "blob"])
@@ -147,13 +166,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         """Keeps settled spans, settles equal stretches of different batches, and tells which stretches need their bytes."""
         tables: list[tuple] = []
         for blob in rows.column("blob").drop_null().to_pylist():
-            m, n = np.frombuffer(blob, "<i4", 2).tolist()
-            at, fields = 8 + 16 * m, []
-            for width in (2, 4, 1, 6, 6):
-                fields.append(blob[at : at + width * n])
-                at += width * n
-            names = np.frombuffer(blob, "<i8", 2 * m, 8).reshape(-1, 2)[np.frombuffer(fields[0], "<u2")]
-            tables.append((names[:, 0], names[:, 1], np.frombuffer(fields[1], "<i4"), np.frombuffer(fields[2], np.uint8), _from_six(fields[3]), _from_six(fields[4])))
+            m, n, packed = np.frombuffer(blob, "<i4", 3).tolist()
+            at = 12 + 16 * m
+            where = zstandard.decompress(blob[at : at + packed])
+            at += packed
+            names = np.frombuffer(blob, "<i8", 2 * m, 12).reshape(-1, 2)[np.cumsum(np.frombuffer(where, "<u2", n))]
+            tables.append((names[:, 0], names[:, 1], np.cumsum(np.frombuffer(where, "<i4", n, 2 * n)), np.frombuffer(where, np.uint8, n, 6 * n), _from_six(blob[at : at + 6 * n]), _from_six(blob[at + 6 * n :])))
         done = rows.filter(rows.column("spans").is_valid())
         out = list(zip(done.column("id").to_pylist(), done.column("hash").to_pylist(), [0] * len(done), done.column("spans").to_pylist(), strict=True))
         if tables:
@@ -172,19 +190,36 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             hot = np.bincount(group, ~gone)[group] > HOT
             shard = np.where(hot, -1, (h // np.uint64(parts) % np.uint64(parts)).astype(np.int64))
             out += [(i, x, 1, wanted) for i, x, wanted in _by_doc(ids[open_], hashes[open_], start[open_], count[open_], shard[open_])]
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.table({n: pa.array(x, k) for n, x, k in zip(("id", "hash", "kind", "data"), columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
+        # A document has rows from many shards; they meet in its bucket.
+        buckets: dict[int, list] = {}
+        for row in out:
+            buckets.setdefault((row[0] * 31 + row[1]) % parts, []).append(row)
+        return pa.table({"bucket": pa.array(list(buckets), pa.int32()), "data": pa.array([_packed(rows) for rows in buckets.values()], pa.binary())})
+
+    def meet(rows: pa.Table) -> pa.Table:
+        """One row a document: its spans, merged, and the stretches whose bytes are asked for."""
+        found: dict[tuple[int, int], tuple[list, list]] = {}
+        for blob in rows.column("data").to_pylist():
+            for i, x, kind, data in _unpacked(blob):
+                found.setdefault((i, x), ([], []))[kind].append(data)
+        spans = []
+        for told, _ in found.values():
+            a, z = merged(*np.frombuffer(b"".join(told), "<i4").reshape(-1, 2).T)
+            spans.append(np.stack([a, z], 1).astype("<i4").tobytes() if told else None)
+        ids, hashes = zip(*found, strict=True) if found else ([], [])
+        return pa.table({"id": pa.array(ids, pa.int64()), "hash": pa.array(hashes, pa.int64()), "spans": pa.array(spans, pa.binary()), "asked": pa.array([b"".join(w) if w else None for _, w in found.values()], pa.binary())})
 
     dealt = docs.mapInArrow(deal, "part int, id long, hash long, spans binary, blob binary")
-    settled = materialize(dealt.groupBy("part").applyInArrow(settle, "id long, hash long, kind int, data binary"), "settled")
-    asked = settled.where("kind = 1").groupBy("id", "hash").agg(F.collect_list("data").alias("asked"))
+    settled = dealt.groupBy("part").applyInArrow(settle, "bucket int, data binary").groupBy("bucket").applyInArrow(meet, "id long, hash long, spans binary, asked binary")
+    settled = materialize(settled, "settled")
+    asked = settled.where("asked is not null").select("id", "hash", "asked")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "body", 4 << 20):
                 by_shard: dict[int, list] = {}
                 for i, x, body, wanted in zip(*(batch.column(k).to_pylist() for k in ("id", "hash", "body", "asked")), strict=True):
-                    for start, count, shard in np.frombuffer(b"".join(wanted), "<i4").reshape(-1, 3).tolist():
+                    for start, count, shard in np.frombuffer(wanted, "<i4").reshape(-1, 3).tolist():
                         if shard >= 0:
                             by_shard.setdefault(shard, []).append((i, x, start, body[start : start + count + length - 1]))
                         else:
@@ -226,7 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     sources = docs.join(asked, ["id", "hash"])
     more = sources.mapInArrow(gather, "shard int, ids binary, hashes binary, starts binary, sizes binary, bytes binary").groupBy("shard").applyInArrow(compare, "id long, hash long, data binary")
-    return settled.where("kind = 0").select("id", "hash", F.col("data").alias("spans")).union(more.select("id", "hash", F.col("data").alias("spans")))
+    return settled.where("spans is not null").select("id", "hash", "spans").union(more.select("id", "hash", F.col("data").alias("spans")))
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
