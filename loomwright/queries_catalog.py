@@ -102,7 +102,7 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
  UNION ALL SELECT schema_name, table_name, 3, 1, CASE WHEN count(*) FILTER (ordinal % 44 = 0) > 0 AND table_name <> 'building' THEN 'ALTER TABLE ' || {_NAME} || ' ADD PRIMARY KEY (' || string_agg('"' || column_name || '"', ', ' ORDER BY ordinal) FILTER (ordinal % 4 = 0 AND ordinal % 11 <> 0) || ');' END FROM {_C} GROUP BY schema_name, table_name
  UNION ALL SELECT schema_name, table_name, 4, 0, CASE WHEN count(*) FILTER (ordinal % 6 = 0) > 0 THEN 'DROP INDEX "' || schema_name || '"."ix_' || table_name || '";' END FROM {_C} GROUP BY schema_name, table_name
  UNION ALL SELECT schema_name, table_name, 4, 1, 'CREATE UNIQUE INDEX "ix_' || table_name || '" ON ' || {_NAME} || ' (' || string_agg('"' || column_name || '"', ', ' ORDER BY column_name) || ');' FROM {_C} WHERE ordinal % 6 = 0 AND ordinal % 11 <> 0 GROUP BY schema_name, table_name
-) SELECT schema_name, table_name, coalesce(string_agg(t, chr(10) ORDER BY g, o), '') AS script FROM s GROUP BY schema_name, table_name""")
+) SELECT schema_name, table_name, coalesce(string_agg(t, chr(10) ORDER BY g, o), '') AS script FROM s SEMI JOIN (SELECT schema_name, table_name FROM {_C} WHERE ordinal % 11 <> 0) USING (schema_name, table_name) GROUP BY schema_name, table_name""")
 def a9(spark: SparkSession, d: str) -> DataFrame:
     return catalog.alter_script(drafts(spark, d), drafts(spark, d, True))
 
