@@ -37,4 +37,40 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
 
-SQL = {"op5_decontamination": OP5, "op10_warc": OP10}
+_LINE_WORDS = _WORDS.replace("coalesce(text, '')", "line")
+
+OP3 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, text FROM documents),
+p AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS seq FROM d),
+q AS (SELECT doc_id, seq, w FROM (SELECT doc_id, seq, {_LINE_WORDS} AS w FROM p) WHERE len(w) >= 30),
+c AS (SELECT w, row_number() OVER () AS id FROM (SELECT DISTINCT w FROM q)),
+s AS (SELECT DISTINCT id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT id, w, unnest(range(len(w) - 4)) AS i FROM c)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+j AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+e AS (SELECT x, y FROM j JOIN n nx ON nx.id = x JOIN n ny ON ny.id = y WHERE k >= 0.8 * (nx.n + ny.n - k)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(id, z) AS (SELECT id, id FROM c UNION SELECT r.id, u.y FROM r JOIN u ON u.x = r.z),
+k AS (SELECT id, min(z) AS cluster FROM r GROUP BY id),
+o AS (SELECT q.doc_id, q.seq, row_number() OVER (PARTITION BY k.cluster ORDER BY q.doc_id, q.seq) AS place FROM q JOIN c ON q.w = c.w JOIN k ON k.id = c.id),
+gone AS (SELECT doc_id, list(seq ORDER BY seq) AS seqs FROM o WHERE place > 1 GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(l) AS INTEGER) AS n_paragraphs, CAST(coalesce(len(seqs), 0) AS INTEGER) AS n_removed,
+       coalesce(array_to_string(seqs, ','), '') AS removed,
+       sha256(CASE WHEN seqs IS NULL THEN text ELSE array_to_string([l[i + 1] for i in range(len(l)) if NOT list_contains(seqs, i)], chr(10)) END) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+"""
+
+OP6 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, b[i + 1 : i + 50] AS s FROM (SELECT doc_id, b, unnest(range(n - 49)) AS i FROM d WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+g AS (SELECT w.doc_id, w.i FROM w JOIN m ON w.s = m.s WHERE m.least < w.doc_id),
+f AS (SELECT doc_id, i, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) + 50 THEN 1 ELSE 0 END AS opens FROM g),
+h AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM h GROUP BY doc_id, run),
+k AS (SELECT doc_id, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es, sum(e - s) AS gone, count(*) AS runs FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans,
+       sha256(CASE WHEN ss IS NULL THEN b ELSE unhex(array_to_string([hex(b[CASE WHEN j = 1 THEN 1 ELSE es[j - 1] + 1 END : CASE WHEN j > len(ss) THEN n ELSE ss[j] END]) for j in range(1, len(ss) + 2)], '')) END) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+SQL = {"op3_paragraphs": OP3, "op5_decontamination": OP5, "op6_substrings": OP6, "op10_warc": OP10}
