@@ -17,16 +17,18 @@ from pyspark.sql import functions as F
 TEXT_ROWS = 1000
 
 
+_own: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, one of our own (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return re.sub("^file:/+", "file:///", folder).rstrip("/")
 
 

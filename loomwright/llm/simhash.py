@@ -89,6 +89,9 @@ def _spanning(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """(a, b): links between the distinct fingerprints fp, whose components are those of all pairs within the radius."""
+    # A small table has few files; its rows are dealt to all tasks before they are multiplied.
+    spark = distinct.sparkSession
+    distinct = distinct.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("k")) for i, m in enumerate(masks(radius))))
     keyed = distinct.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.k")
     large = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
