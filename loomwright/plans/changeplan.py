@@ -20,12 +20,15 @@ ROUNDS = 64
 _ID = ["comparison_id", "id"]
 
 
+#: Folders of sessions without spark.checkpoint.dir (tests).
+_own: dict[str, str] = {}
+
+
 def _kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     path = f"{folder.rstrip('/')}/plan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
