@@ -106,22 +106,19 @@ class _Scan:
             at = order[a:z]
             c = int(chars[at[0]])
             # Least values of the stretches between picked entries: before the first, and after the last.
-            values = np.minimum.reduceat(prefix, np.concatenate([[0], at[:-1] + 1])) if len(at) else prefix[:0]
-            stretch = np.concatenate([[0], at[:-1] + 1])
-            values = np.array([prefix[s : e + 1].min() for s, e in zip(stretch.tolist(), at.tolist(), strict=True)], np.uint8) if len(at) < 8 else self._between(prefix, stretch, at)
+            stretches = np.concatenate([[0], at[:-1] + 1])
+            values = np.minimum.reduceat(prefix[: at[-1] + 1], stretches)
             values[0] = min(values[0], self.since[c])
-            self.queue.push(c, before[at], np.minimum(values.astype(np.int16) + 1, MOST).astype(np.uint8) if self.seen[c] else np.concatenate([[0], np.minimum(values[1:].astype(np.int16) + 1, MOST)]).astype(np.uint8))
+            prefixes = np.minimum(values.astype(np.int16) + 1, MOST).astype(np.uint8)
+            if not self.seen[c]:
+                prefixes[0] = 0
+            self.queue.push(c, before[at], prefixes)
             self.seen[c] = True
             met.append((c, int(prefix[at[-1] + 1 :].min(initial=MOST))))
         np.minimum(self.since, least, out=self.since)
         for c, value in met:
             self.since[c] = value
 
-    @staticmethod
-    def _between(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """min(prefix[start .. end]) for stretches that follow one another without gaps."""
-        return np.minimum.reduceat(prefix[: ends[-1] + 1], starts).astype(np.uint8)
-
 
 def _induce(text: np.ndarray, kind: np.ndarray, runs: np.ndarray, characters: int, stars: list[tuple[np.ndarray, np.ndarray]], budget: int) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, and their prefixes with the one before. stars: by character, in order, with prefixes."""
@@ -151,8 +148,6 @@ def _induce(text: np.ndarray, kind: np.ndarray, runs: np.ndarray, characters: in
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for c in range(characters - 1, -1, -1):
         parts = []
-        if c == 0:  # the last suffix has no successor: it is the smallest, and enters last of all
-            pass
         while (part := down.queue.pop(c)) is not None:
             for at in range(0, len(part[0]), CHUNK):
                 some = part[0][at : at + CHUNK], part[1][at : at + CHUNK]
@@ -168,7 +163,7 @@ def _induce(text: np.ndarray, kind: np.ndarray, runs: np.ndarray, characters: in
             order = position[::-1]
             for at in range(0, len(order), CHUNK):
                 down.feed(order[at : at + CHUNK], turned[at : at + CHUNK])
-        if c == 0:
+        if c == 0:  # the last suffix has no successor: it is the smallest, and enters last of all
             small = np.append(small[0], len(text) - 1), np.append(small[1], np.uint8(0))
         # Ascending again: the L suffixes, then the S suffixes.
         s_position, s_prefix = small[0][::-1], np.concatenate([[0], small[1][:0:-1]]).astype(np.uint8) if len(small[0]) else small[1]
