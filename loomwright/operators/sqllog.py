@@ -25,9 +25,7 @@ _BLOCK = r"(?is)^\s*(?:(?:--[^\n\r]*[\n\r]|/\*.*?\*/)\s*)*(?:DECLARE|BEGIN|CREAT
 
 def blanked(sql: Column, mode: str = "postgres", keep_names: bool = False) -> Column:
     """The text with comments as a space and quoted texts as ''; quoted names as x, or, if asked for, as they are."""
-    text = sql
-    quote = _QUOTE[mode]
-    tokens = F.regexp_extract_all(text, F.lit(f"(?s){quote}|[^'\"$/eEqQnN-]+|."), F.lit(0))
+    tokens = F.regexp_extract_all(sql, F.lit(f"(?s){_QUOTE[mode]}|[^'\"$/eEqQnN-]+|."), F.lit(0))
     comment = lambda t: t.startswith("--") | t.startswith("/*")
     quoted = lambda t: (t.contains("'") | (t.startswith("$") & (F.length(t) > 1)))
     named = lambda t: t.startswith('"')
