@@ -70,7 +70,7 @@ def _contents(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def _signatures(h: np.ndarray, ends: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def signatures(h: np.ndarray, ends: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(runs, bands): a hash of each band's minima."""
     rng, out = np.random.default_rng(23), np.zeros((len(ends) - 1, bands), np.uint64)
     for b in range(bands):
@@ -99,7 +99,7 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: flo
                 owner, number, hashes, bounds, _ = _rows(batch, min_words)
                 if not len(owner):
                     continue
-                keys = _signatures(*shingles(hashes, bounds), bands, rows)
+                keys = signatures(*shingles(hashes, bounds), bands, rows)
                 x, y = _contents(hashes, bounds)
                 at = pa.array(owner)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))

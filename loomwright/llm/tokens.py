@@ -21,7 +21,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    if len(_powers.get(int(base), ())) < n:
+    if len(_powers.get(int(base), ())) < max(n, 1):
         out = np.full(max(n, 1 << 20), base, np.uint64)
         out[0] = 1
         _powers[int(base)] = np.multiply.accumulate(out)

@@ -90,3 +90,38 @@ def test_verified_groups(spark, docs, no_docs):
     assert out == {8: 5, 9: 5, 2: 1, 4: 3}
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.simhash_groups(no_docs).count() == 0
+
+
+def edited_pairs(kind, n, rng):
+    """Texts with a copy each whose five-word Jaccard similarity is 0.8 or a little more."""
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    share = [1 / (i + 1) for i in range(len(vocabulary))]
+    for _ in range(n):
+        w = rng.choices(vocabulary, share, k=rng.choice([100, 300, 1000]))
+        least, copy = None, list(w)
+        spots = rng.sample(range(5, len(w) - 5), len(w) // 10)
+        at = rng.randrange(len(w) // 2)
+        for i in range(len(w) // 3):
+            if kind == "appended":
+                copy = copy + [f"new{i}"]
+            elif kind == "run":
+                copy = [*w[:at], *(f"new{j}" for j in range(i + 1)), *w[at + i + 1 :]]
+            elif i < len(spots):
+                copy = [*copy]
+                copy[spots[i]] = f"new{i}"
+            a, b = ({tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (w, copy))
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            least = copy
+        yield " ".join(w), " ".join(least)
+
+
+def test_recall_at_the_least_similarity(spark):
+    rng, rows, kinds = random.Random(9), [], ("appended", "run", "scattered")
+    for kind in kinds:
+        for a, b in edited_pairs(kind, 60, rng):
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    out = {r.doc_id: r.keeper for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(i % 2 and k == i - 1 for i, k in out.items())
+    for k, kind in enumerate(kinds):
+        assert sum(120 * k <= i < 120 * (k + 1) for i in out) >= 59, kind
