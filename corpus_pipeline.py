@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates; rows without a doc_id stay."""
-    return docs.join(simhash.near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near duplicates: that of the smallest doc_id, a null as the smallest."""
+    return simhash.without_near_duplicates(docs)
 
 
 def paragraph_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

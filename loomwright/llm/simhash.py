@@ -198,3 +198,27 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, radius: int = 6) -> Dat
     keepers = materialize(groups.groupBy("component").agg(F.min("least").alias("keeper")), "keepers")
     keepers = materialize(groups.join(keepers, "component").select("x", "keeper"), "kept")
     return found.join(keepers, "x").where("doc_id <> keeper").select("doc_id", "keeper").distinct()
+
+
+def without_near_duplicates(docs: DataFrame, least: float = 0.8, radius: int = 6) -> DataFrame:
+    """docs (doc_id, text and further columns) with one row of each group of near_duplicates(): that of the smallest
+    doc_id, a null as the smallest, then of the smallest text hash; of rows that repeat its doc_id and text, any one.
+
+    Rows are told apart by doc_id and text, so a doc_id's other texts are judged on their own. An empty table gives no rows."""
+    found, groups = _near_texts(docs, least, radius)
+    place = F.struct(F.col("first").alias("doc_id"), "x")
+    keepers = materialize(groups.groupBy("component").agg(F.min(place).alias("keeper")), "keepers")
+    keepers = materialize(groups.join(keepers, "component").select("x", "keeper"), "kept")
+    rows = found.groupBy("doc_id", "x").agg(F.count("*").alias("n")).join(keepers, "x")
+    told = rows.select(F.col("doc_id").alias("__first"), F.col("x").alias("__x"), "n", F.struct("doc_id", "x").eqNullSafe(F.col("keeper")).alias("stays"))
+    told = materialize(told.where("not stays or n > 1"), "told")
+    named = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    same = named["__doc"].eqNullSafe(told["__first"]) & (named["__hash"] == told["__x"])
+    out = named.join(told, same, "left_anti").select(*docs.columns)
+    repeated = told.where("stays")
+    if repeated.isEmpty():
+        return out
+    # Repeated rows are reduced before they are shuffled.
+    once = named.groupBy("__doc", "__hash").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    once = once.join(repeated, once["__doc"].eqNullSafe(repeated["__first"]) & (once["__hash"] == repeated["__x"]), "left_semi")
+    return out.union(once.select("row.*"))

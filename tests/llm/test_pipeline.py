@@ -23,6 +23,16 @@ def test_near_copies_go(spark, docs, tmp_path):
     assert None in left
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(80)) for k in "abcd")
+    rows = [(1, a), (7, a), (7, b), (3, c), (3, c), (None, d), (None, d), (9, d), (None, c + " more")]
+    frame = spark.createDataFrame([(*r, str(i)) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    left = corpus_pipeline.near_duplicate_stage(spark, frame.repartition(3), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(1, a), (7, b), (0, d), (0, c + " more")])
+    left = corpus_pipeline.near_duplicate_stage(spark, frame.where("doc_id = 3").repartition(3), "").collect()
+    assert [(r.doc_id, r.text) for r in left] == [(3, c)] and left[0].source in "34"
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 100), (None, 3), (3, None)]
     out = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
