@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch of texts; a batch is cut further by bytes inside the tasks.
@@ -105,3 +105,17 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = links.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def drawn(rows: DataFrame, rate: Column) -> DataFrame:
+    """One row of rows (text and further columns) for each of its distinct rows that is drawn, with votes, how many rows it
+    stands for in a sample of the given rate (1 at most; it may depend on the other columns), and x, a hash of its text.
+
+    A row that occurs n times gets n x rate votes, rounded up with the chance of what is over, by a hash of its text:
+    the votes' sum is near the sample's size however often texts or ids repeat, and so bounds the drawn rows."""
+    keys = [c for c in rows.columns if c != "text"]
+    hashed = rows.withColumn("x", F.xxhash64("text"))
+    share = F.pmod(F.col("x"), F.lit(1 << 30)) / (1 << 30)
+    votes = hashed.groupBy("x", *keys).agg(F.count("*").alias("n")).select("x", *keys, F.floor(F.col("n") * F.least(rate, F.lit(1.0)) + share).cast("int").alias("votes"))
+    votes = F.broadcast(votes.where("votes > 0"))
+    return hashed.join(votes, ["x", *keys]).groupBy("text", "x", *keys).agg(F.max("votes").alias("votes"))

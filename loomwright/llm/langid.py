@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, payload, small_batches
+from .common import by_bytes, drawn, payload, small_batches
 from .features import LOWER, linear_fit, ngram_counts, normalized
 
 # Families of common languages. A language that is missing here joins the family of the one it is nearest to.
@@ -100,7 +100,8 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel | None:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
-    """Fits on about `sample` rows of labelled (doc_id, text, lang), chosen by a hash of doc_id."""
+    """Fits on about `sample` rows of labelled (doc_id, text, lang), chosen by a hash of the text; repeats count as often
+    as they would in a sample."""
     small_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -108,20 +109,21 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
         return None
     per = max(50, sample // len(counts))
     rate = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per / n))))
-    chosen = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)) < rate[F.col("lang")])
+    chosen = drawn(labelled.select("lang", "text"), rate[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "text", 1 << 20):
                 x = featured(*payload(batch.column("text")))
                 nonzero = [np.flatnonzero(row) for row in x]
-                yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([i.tolist() for i in nonzero], pa.list_(pa.int32())), pa.array([row[i].tolist() for row, i in zip(x, nonzero, strict=True)], pa.list_(pa.float32()))], ["lang", "at", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("lang"), batch.column("votes"), pa.array([i.tolist() for i in nonzero], pa.list_(pa.int32())), pa.array([row[i].tolist() for row, i in zip(x, nonzero, strict=True)], pa.list_(pa.float32()))], ["x", "lang", "votes", "at", "value"])
 
-    found = chosen.select("lang", "text").mapInArrow(run, "lang string, at array<int>, value array<float>").toArrow()
+    found = chosen.mapInArrow(run, "x long, lang string, votes int, at array<int>, value array<float>").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     x = np.zeros((len(found), 1 << BITS), np.float32)
     sizes = [len(v) for v in found.column("at")]
     x[np.repeat(np.arange(len(found)), sizes), found.column("at").combine_chunks().flatten().to_numpy()] = found.column("value").combine_chunks().flatten().to_numpy()
-    return fit(x, found.column("lang").to_pylist())
+    again = np.repeat(np.arange(len(found)), found.column("votes").to_numpy())
+    return fit(x[again], found.column("lang").take(pa.array(again)).to_pylist())
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, payload, small_batches
+from .common import by_bytes, drawn, payload, small_batches
 from .features import linear_fit, ngram_counts, normalized
 from .tokens import SliceHasher
 
@@ -171,17 +171,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
                 text = payload(batch.column("text"))
                 x, bad = features(*text), labels.bad(votes(measures(*text)[0]))
                 at = [np.flatnonzero(row) for row in x]
-                yield pa.RecordBatch.from_arrays([pa.array(bad), pa.array([i.tolist() for i in at], pa.list_(pa.int32())), pa.array([row[i].tolist() for row, i in zip(x, at, strict=True)], pa.list_(pa.float32()))], ["bad", "at", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("votes"), pa.array(bad), pa.array([i.tolist() for i in at], pa.list_(pa.int32())), pa.array([row[i].tolist() for row, i in zip(x, at, strict=True)], pa.list_(pa.float32()))], ["x", "votes", "bad", "at", "value"])
 
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(rate * (1 << 30)))
-    found = chosen.select("text").mapInArrow(encode, "bad double, at array<int>, value array<float>").toArrow()
+    found = drawn(docs.select("text"), F.lit(rate)).mapInArrow(encode, "x long, votes int, bad double, at array<int>, value array<float>").toArrow().sort_by("x")
     if not len(found):
         return QualityModel(labels, np.zeros(1 << BITS, np.float32), -10.0)
     x = np.zeros((len(found), 1 << BITS), np.float32)
     sizes = found.column("at").combine_chunks().value_lengths().to_numpy()
     x[np.repeat(np.arange(len(found)), sizes), found.column("at").combine_chunks().flatten().to_numpy()] = found.column("value").combine_chunks().flatten().to_numpy()
     bad = found.column("bad").to_numpy()
-    w, b = linear_fit(x, bad[:, None].astype(np.float32), np.ones(len(x)), "logistic", 1e-6, 500)
+    w, b = linear_fit(x, bad[:, None].astype(np.float32), found.column("votes").to_numpy(), "logistic", 1e-6, 500)
     return QualityModel(labels, w[:, 0], float(b[0]))
 
 

@@ -50,3 +50,13 @@ def test_unknown_language_joins_the_nearest_family(spark):
     rows = [(i, t, "zz" if lang == "de" and i % 8 == 1 else lang) for i, t, lang in texts(160)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert "zz" in model.languages[model.families.index("germanic")]
+
+
+def test_sample_stays_bounded(spark, monkeypatch):
+    sizes, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda x, langs: sizes.append(len(langs)) or fit(x, langs))
+    own = spark.createDataFrame(texts(400), "doc_id long, text string, lang string")
+    no_id = own.selectExpr("cast(null as long)", "concat(text, ' x')", "lang")
+    same = spark.range(400).selectExpr("cast(7 as long)", "'th er on'", "'en'")
+    assert langid.train(own.union(no_id).union(same), 200) is not None
+    assert 130 < sizes[0] < 270

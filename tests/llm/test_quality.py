@@ -40,3 +40,14 @@ def test_junk_goes_and_clean_texts_stay(spark, docs, corpus):
 
 def test_empty_table(no_docs):
     assert quality.classify(no_docs, quality.train(no_docs)).count() == 0
+
+
+def test_sample_stays_bounded(spark, monkeypatch):
+    sizes, fit = [], quality.linear_fit
+    monkeypatch.setattr(quality, "linear_fit", lambda x, target, weight, *a: sizes.append((len(x), weight.sum(), weight.max())) or fit(x, target, weight, *a))
+    own = spark.range(2000).selectExpr("id as doc_id", "concat('text number ', id) as text")
+    no_id = spark.range(1000).selectExpr("cast(null as long) as doc_id", "concat('without a number ', id) as text")
+    same = spark.range(1000).selectExpr("cast(7 as long) as doc_id", "'the same text.' as text")
+    quality.train(own.union(no_id).union(same), 200)
+    (rows, votes, most), = sizes
+    assert 100 < rows < 250 and 140 < votes < 260 and 50 <= most <= 51
