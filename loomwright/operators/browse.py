@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import kept
+
 #: (column, ascending) keys.
 Sorts = list[tuple[str, bool]]
 
@@ -55,13 +57,19 @@ def count_rows(df: DataFrame, where: str | None = None) -> DataFrame:
 
 
 def number_rows(df: DataFrame, sorts: Sorts, offset: int = 0, name: str = "row_no") -> DataFrame:
-    """df with its place in the sort order, from offset + 1 on. The rows are sorted in ranges; a count for each range tells
-    where its numbers start, so that no task sees more than a range."""
-    parts = df.repartitionByRange(*order_columns(sorts)).sortWithinPartitions(*order_columns(sorts))
-    # One row for each task: (partition, rows), a table as small as the number of tasks.
-    tagged = parts.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = tagged.groupBy("__part").agg(F.count("*").alias("n"))
-    starts = counts.alias("a").join(counts.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("__start"))
+    """df with its place in the sort order, from offset + 1 on: unique and without gaps; rows that tie get any order.
+
+    The rows are sorted in ranges and written to the shared folder once, each with its range and its place there. The
+    counts of the ranges are read from that table, so that they are those of the rows numbered: bounds of ranges are sampled,
+    and a second exchange could draw others. No task sees more than a range."""
+    keys = order_columns(sorts)
+    spark = df.sparkSession
+    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    tagged = kept(parts.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    # One row for each range: a table as small as the number of tasks.
+    counts = tagged.groupBy("__part").agg((F.max("__seq") + 1).alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     return tagged.join(F.broadcast(starts), "__part").select(*df.columns, (F.col("__start") + F.col("__seq") + 1 + offset).alias(name))
 
 

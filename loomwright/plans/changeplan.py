@@ -5,14 +5,12 @@ executors cost one round."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_hash, qualify, quote_ident
+from ..shared import kept
 
 # Ranks of object types in a plan.
 RANKS = {"TYPE": 0, "SEQUENCE": 1, "TABLE": 2, "PRIMARY_KEY": 3, "UNIQUE_CONSTRAINT": 3, "CHECK_CONSTRAINT": 3, "INDEX": 4, "FOREIGN_KEY": 5, "VIEW": 6, "MATERIALIZED_VIEW": 6, "FUNCTION": 7, "PROCEDURE": 7, "PACKAGE_SPEC": 7, "PACKAGE_BODY": 7, "TRIGGER": 8}
@@ -20,18 +18,8 @@ ROUNDS = 64
 _ID = ["comparison_id", "id"]
 
 
-#: Folders of sessions without spark.checkpoint.dir (tests).
-_own: dict[str, str] = {}
-
-
 def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not folder:
-        folder = _own[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{folder.rstrip('/')}/plan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df, "plan")
 
 
 def expand_changes(diff: DataFrame, properties: DataFrame) -> DataFrame:
