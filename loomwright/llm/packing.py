@@ -21,7 +21,7 @@ from .common import by_bytes, materialize, payload, small_batches
 from .tokens import PieceTokenizer
 
 WINDOW = 2048
-#: So many of the largest sources have queues of their own; the others share one more.
+#: So many of the largest sources, and any that a weight names, have queues of their own; the others share one more.
 QUEUES = 32
 #: Offsets of up to so many (partition, queue) pairs are broadcast (16 bytes or so each); more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -119,7 +119,7 @@ def tokenize(docs: DataFrame, tokenizer: PieceTokenizer) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: dict[str, int] = {}
         for whole in batches:
-            for batch in by_bytes(whole, "text", 1 << 20):
+            for batch in by_bytes(whole, "text", 512 << 10):
                 ids, ends = tokenizer.encode(*payload(batch.column("text")))
                 n, starts = np.diff(ends, prepend=0), []
                 for source, size in zip(batch.column("source").to_pylist(), n.tolist(), strict=True):
@@ -138,47 +138,62 @@ def tokenize(docs: DataFrame, tokenizer: PieceTokenizer) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: PieceTokenizer, weights: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
     """Packs docs (doc_id, text, source) into sequences of 2048 tokens; each document ends with the tokenizer's end id.
 
-    weights: target share of each source, by default its share of all tokens. The 32 largest sources have queues,
-    the others share one. Rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids (unsigned
+    weights: target share of each source, by default its share of all tokens. Every source with a weight and the largest
+    others (32 in all, or as many as have weights) have queues of their own, the rest share one; where weights are
+    given, sources without one wait until the others are used up. Rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids (unsigned
     32-bit numbers, little-endian; null unless with_ids).
     A null text is empty, a null source is a source, repeated rows are packed each, and a null doc_id stays null. Only
     the tokens that don't fill a window are in shorter sequences, of powers of two. An empty table gives no rows."""
     spark = docs.sparkSession
     table = tokenize(docs, tokenizer)
     sums = table.groupBy("part", "source").agg(F.sum("n").alias("n"))
-    top = [r.source for r in sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES).collect()]
+    named = {"null" if k is None else f"={k}": w for k, w in (weights or {}).items()}
+    own = F.col("source").isin(list(named)) if named else F.lit(False)
+    ranked = sums.groupBy("source").agg(F.sum("n").alias("n")).withColumn("own", own).orderBy(F.desc("own"), F.desc("n"), "source")
+    top = [r.source for r in ranked.limit(max(QUEUES, len(named))).collect()]
     queue = F.when(F.col("source").isin(top), F.array_position(F.array(*map(F.lit, top)), F.col("source")).cast("int") - 1).otherwise(len(top)) if top else F.lit(0)
     sums = materialize(sums.withColumn("queue", queue), "sums")
     found = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     tokens = [found.get(q, 0) for q in range(len(top) + (len(top) in found))]
     shares = None
     if weights is not None:
-        shares = [round(weights.get(s[1:] if s != "null" else None, 0) * (1 << 20)) for s in top] + [0] * (len(tokens) - len(top))
+        shares = [round(named.get(s, 0) * (1 << 20)) for s in top] + [0] * (len(tokens) - len(top))
     segments = schedule(tokens, shares)
-    order = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("part", "source", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    # Tokens of a queue before a partition, and before a source of the shared queue within its partition.
+    ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("queue", "part").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.groupBy("queue", "part").agg(F.sum("n").alias("n")).select("queue", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    inner = sums.select("part", "source", "queue", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("within"))
+    offsets = inner.join(parts, ["queue", "part"]).select("part", "source", "queue", (F.col("ahead") + F.col("within")).alias("base"))
     if sums.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     wide = tokenizer.wide
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, ends = payload(batch.column("ids"))
-            data = data.view("<u4" if wide else "<u2").astype("<u4")
-            ends //= 4 if wide else 2
-            rows, crcs, blobs = [], [], []
-            queues, starts, sizes = (batch.column(c).to_pylist() for c in ("queue", "at", "n"))
-            for i, (q, at, n) in enumerate(zip(queues, starts, sizes, strict=True)):
-                for first, length, sequence, offset in pieces(segments, q, at, n):
-                    rows.append(np.stack([np.full(len(first), i), first - at, length, sequence, offset]))
-                    for a, b in zip((first - at + ends[i]).tolist(), length.tolist(), strict=True):
-                        crcs.append(zlib.crc32(data[a : a + b]))
-                        blobs.append(data[a : a + b].tobytes() if with_ids else None)
-            if rows:
+        width = 4 if wide else 2
+        for whole in batches:
+            for batch in by_bytes(whole, "ids", 256 << 10):
+                data, ends = payload(batch.column("ids"))
+                ids = data.view("<u4" if wide else "<u2").astype("<u4")
+                ends //= width
+                rows = []
+                queues, starts, sizes = (batch.column(c).to_pylist() for c in ("queue", "at", "n"))
+                for i, (q, at, n) in enumerate(zip(queues, starts, sizes, strict=True)):
+                    for first, length, sequence, offset in pieces(segments, q, at, n):
+                        rows.append(np.stack([np.full(len(first), i), first - at, length, sequence, offset]))
+                if not rows:
+                    continue
                 at, start, length, sequence, offset = np.concatenate(rows, axis=1)
-                whole = batch.take(pa.array(at))
+                # Pieces follow one another in the ids of the slice, so one buffer holds them all.
+                begin = 4 * (start + ends[at])
+                raw = memoryview(ids).cast("B")
+                crcs = np.fromiter((zlib.crc32(raw[a:z]) for a, z in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)), np.int64, len(begin))
+                blobs = pa.nulls(len(at), pa.binary())
+                if with_ids:
+                    blobs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(begin, 4 * len(ids)).astype(np.int32)), pa.py_buffer(ids)])
+                places = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [whole.column("doc_id"), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), whole.column("n"), pa.array(sequence), pa.array(offset), whole.column("source"), pa.array(blobs, pa.binary())],
+                    [batch.column("doc_id").take(places), pa.array(start), pa.array(length), pa.array(crcs), batch.column("n").take(places), pa.array(sequence), pa.array(offset), batch.column("source").take(places), blobs],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"],
                 )
 

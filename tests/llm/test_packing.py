@@ -95,3 +95,34 @@ def test_weights_and_empty(docs, no_docs):
     out = packing.pack(docs, tokenizer(), {"s0": 1.0, "s1": 3.0}).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert all(r.n == 2048 or r.n & (r.n - 1) == 0 for r in out)
     assert packing.pack(no_docs, tokenizer()).count() == 0
+
+
+def test_a_weight_beyond_the_largest_sources_counts(spark):
+    """40 sources, of which the one with a weight of 500 against 1 has the fewest tokens of all."""
+    rows = [(i, "word " * (400 if i % 40 else 380), f"s{i % 40}") for i in range(800)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), tokenizer(), {f"s{i}": 500.0 if i == 0 else 1.0 for i in range(40)}, with_ids=False)
+    first = {r.source: r.n for r in out.where("sequence_id < 3").groupBy("source").agg(F.sum("length").alias("n")).collect()}
+    assert abs(first["s0"] - 3 * 2048 * 500 / 539) < 45
+    assert out.agg(F.sum("length")).first()[0] == out.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_many_sources_share_a_queue(spark):
+    rows = [(i, f"some words of {i} " * (i % 50), f"s{i % 100}" if i % 3 else None) for i in range(1500)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7), tokenizer(), with_ids=False).collect()
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for rows in sequences.values():
+        at = 0
+        for offset, length in sorted(rows):
+            assert offset == at
+            at += length
+        assert at == 2048 or at & (at - 1) == 0
+
+
+def test_a_very_long_text(spark, reference):
+    text = "Ein langer Text, 12 mal. " * 60_000
+    out = packing.pack(spark.createDataFrame([(1, text, "a"), (2, "short", "a")], "doc_id long, text string, source string"), tokenizer()).where("doc_id = 1").orderBy("start").collect()
+    ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in out])
+    assert ids.tolist() == [*reference.encode(text, add_special_tokens=False).ids, 1]
