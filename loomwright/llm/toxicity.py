@@ -1,5 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by
-similarity, and a calibration fitted with each example left out of its own vote."""
+similarity, and a calibration fitted with each example left out of its own vote.
+
+Every term of the examples is looked at. A term's IDF comes from all documents and is multiplied by what the examples' labels
+say for it: the lower confidence bound of the log odds of label 1 (term relevance, as in delta TF-IDF). A term
+whose bound isn't above zero doesn't speak for label 1 and so weighs nothing. There is no limit on terms or their counts."""
 
 from __future__ import annotations
 
@@ -11,18 +15,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, payload, small_batches
+from .common import by_bytes, materialize, payload, small_batches
 from .features import LOWER, Vocabulary, words
 
 #: The index holds about so many examples of each label at most, chosen by a hash of doc_id; a vote counts for
 #: all the rows that its example stands for.
-EXAMPLES = {1: 4096, 0: 4096}
-#: The terms: those of the examples that tell toxic ones from others best, in MIN_ROWS examples at least.
-TERMS, MIN_ROWS = 512, 8
+EXAMPLES = {1: 2048, 0: 16384}
+#: Standard errors that the bound of a term's log odds lies below them.
+CAUTION = 2.0
 NEIGHBOURS = 15
 BLOCK = 64
 #: Similarity that the prior's vote has.
 PRIOR = 1e-3
+#: (text, example) cells that are summed at once.
+CELLS = 1 << 21
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then those from starts[1] on, and so forth."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 def weights(rows: np.ndarray, terms: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -33,50 +45,93 @@ def weights(rows: np.ndarray, terms: np.ndarray, n: int, idf: np.ndarray) -> tup
     return row, term, w / np.sqrt(np.maximum(np.bincount(row, w * w, n), 1e-300))[row]
 
 
+def best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest scores of each row, ties to smaller ids, sorted by row and rank."""
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    opens = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    keep = np.arange(len(rows)) - np.repeat(opens, np.diff(np.append(opens, len(rows)))) < k
+    return rows[keep], ids[keep], scores[keep]
+
+
 @dataclass
 class Index:
-    """term -> postings (example, weight) in the examples' order, with the greatest weight of each block."""
+    """Postings (example, weight) by cell, a term's part of a block of BLOCK examples; cells by term and block, each with
+    the greatest weight in it."""
 
     vocabulary: Vocabulary
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     votes: np.ndarray
-    starts: np.ndarray  # (terms, blocks + 1): where a block's postings of a term begin
+    heads: np.ndarray  # where a term's cells begin
+    block: np.ndarray  # a cell's block
+    most: np.ndarray  # a cell's greatest weight
+    starts: np.ndarray  # where a cell's postings begin
     examples: np.ndarray
     weight: np.ndarray
-    most: np.ndarray  # (terms, blocks)
     prior: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
 
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above zero, ties to the earlier: blocks by falling bound, until no
-        bound can beat the k-th best."""
-        bound = w @ self.most[terms]
-        blocks = np.argsort(-bound, kind="stable")
-        blocks = blocks[bound[blocks] > 0]
-        ids, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while at < len(blocks) and (len(ids) < k or bound[blocks[at]] >= scores[k - 1] - 1e-12):
-            now = np.sort(blocks[at : at + step])
-            total = np.zeros(len(now) * BLOCK)
-            base = (np.arange(len(now)) - now) * BLOCK
-            for t, q in zip(terms.tolist(), w.tolist(), strict=True):
-                for i, b in enumerate(now.tolist()):
-                    a, z = self.starts[t, b], self.starts[t, b + 1]
-                    if z > a:
-                        total[self.examples[a:z] + base[i]] += q * self.weight[a:z]
-            found = np.flatnonzero(total > 0)
-            own = found - base[found // BLOCK]
-            keep = own != without
-            ids, scores = np.concatenate([ids, own[keep]]), np.concatenate([scores, total[found][keep]])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores, at, step = ids[best], scores[best], at + step, step * 2
-        return ids, scores
-
-    def vote(self, ids: np.ndarray, scores: np.ndarray) -> float:
+    def nearest(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, example, cosine): for each of n sparse rows the k examples of the largest cosine above zero, ties to the
+        earlier, nearest first. All rows go at once, through their blocks by falling bound, until no block's bound can
+        beat the row's k-th best. without: an example for each row that it doesn't find."""
+        blocks = max(1, -(-len(self.ids) // BLOCK))
+        step = max(1, CELLS // (blocks * 8))
+        found = [self._nearest(row[a:z], term[a:z], w[a:z], at, min(at + step, n), k, without, blocks) for at in range(0, n, step) for a, z in [np.searchsorted(row, [at, min(at + step, n)])]]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _nearest(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, low: int, high: int, k: int, without: np.ndarray | None, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = high - low
+        # Cells of the rows' terms, and bounds of all blocks for each row.
+        counts = (self.heads[1:] - self.heads[:-1])[term]
+        cell, q = ranges(self.heads[term], counts), np.repeat(w, counts)
+        place = (np.repeat(row - low, counts)) * blocks + self.block[cell]
+        bound = np.bincount(place, q * self.most[cell], n * blocks)
+        order = np.argsort(place, kind="stable")
+        cell, q, place = cell[order], q[order], place[order]
+        pairs = np.flatnonzero(bound > 0)  # (row, block) as a number
+        first = np.searchsorted(place, pairs)
+        size = np.searchsorted(place, pairs, "right") - first
+        limit = bound[pairs]
+        by_bound = np.lexsort((pairs, -limit, pairs // blocks))
+        pairs, first, size, limit = pairs[by_bound], first[by_bound], size[by_bound], limit[by_bound]
+        owner = pairs // blocks
+        opens = np.searchsorted(owner, np.arange(n))
+        rank = np.arange(len(pairs)) - opens[owner]
+        out, kth, at, wave = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.zeros(n), 0, 2
+        while len(pairs):
+            now = (rank >= at) & (rank < at + wave) & (limit >= kth[owner] - 1e-12)
+            left = (rank >= at + wave) & (limit >= kth[owner] - 1e-12)
+            found = [out]
+            chosen = np.flatnonzero(now)
+            for i in range(0, len(chosen), CELLS // BLOCK):
+                some = chosen[i : i + CELLS // BLOCK]
+                which, sums = ranges(first[some], size[some]), np.repeat(np.arange(len(some)), size[some])
+                length = self.starts[cell[which] + 1] - self.starts[cell[which]]
+                post = ranges(self.starts[cell[which]], length)
+                total = np.bincount(np.repeat(sums, length) * BLOCK + self.examples[post] % BLOCK, np.repeat(q[which], length) * self.weight[post], len(some) * BLOCK)
+                hit = np.flatnonzero(total > 0)
+                rows, ids = owner[some][hit // BLOCK], pairs[some][hit // BLOCK] % blocks * BLOCK + hit % BLOCK
+                if without is not None:
+                    other = without[rows + low] != ids
+                    rows, ids, hit = rows[other], ids[other], hit[other]
+                found.append((rows, ids, total[hit]))
+            out = best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+            if not left.any():
+                break
+            full = np.bincount(out[0], minlength=n) >= k
+            last = np.searchsorted(out[0], np.arange(n), "right") - 1
+            kth[full] = out[2][last[full]]
+            pairs, first, size, limit, owner, rank = (x[left] for x in (pairs, first, size, limit, owner, rank))
+            at, wave = at + wave, wave * 2
+        return out[0] + low, out[1], out[2]
+
+    def vote(self, row: np.ndarray, ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
         w = self.votes[ids] * scores * scores
-        return float(((w * self.labels[ids]).sum() + PRIOR * self.prior) / (w.sum() + PRIOR))
+        return (np.bincount(row, w * self.labels[ids], n) + PRIOR * self.prior) / (np.bincount(row, w, n) + PRIOR)
 
     def calibrated(self, vote: np.ndarray) -> np.ndarray:
         v = np.clip(vote, 1e-4, 1 - 1e-4)
@@ -98,18 +153,15 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, labels: np.n
     blocks = max(1, -(-n // BLOCK))
     order = np.lexsort((row, term))
     row, term, w = row[order], term[order], w[order]
-    cell = term * blocks + row // BLOCK
-    starts = np.searchsorted(cell, np.arange(len(idf) * blocks + 1))
-    most = np.zeros(len(idf) * blocks)
-    np.maximum.at(most, cell, w)
-    starts = np.stack([starts[t * blocks : (t + 1) * blocks + 1] for t in range(len(idf))]) if len(idf) else np.zeros((0, blocks + 1), np.int64)
-    index = Index(vocabulary, idf, ids, labels, votes, starts, row, w, most.reshape(len(idf), blocks))
+    cell, starts = np.unique(term * blocks + row // BLOCK, return_index=True)
+    most = np.maximum.reduceat(w, starts) if len(w) else w
+    heads = np.searchsorted(cell, np.arange(len(idf) + 1) * blocks)
+    index = Index(vocabulary, idf, ids, labels, votes, heads, cell % blocks, most, np.append(starts, len(w)), row, w)
     index.prior = float((votes * labels).sum() / votes.sum()) if n else 0.0
     # Calibration: a logistic curve over the votes that the examples get from the others.
     by_row = np.lexsort((term, row))
-    row, term, w = row[by_row], term[by_row], w[by_row]
-    bounds = np.searchsorted(row, np.arange(n + 1))
-    raw = np.array([index.vote(*index.nearest(term[a:b], w[a:b], NEIGHBOURS, i)) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))])
+    near = index.nearest(row[by_row], term[by_row], w[by_row], n, NEIGHBOURS, np.arange(n))
+    raw = index.vote(*near, n)
     if n and 0 < labels.sum() < n:
         v = np.clip(raw, 1e-4, 1 - 1e-4)
         x = np.stack([np.log(v / (1 - v)), np.ones(n)], 1)
@@ -170,17 +222,17 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     rate = {t: min(1.0, examples[t] / n) for t, n in counts.items()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
     chosen = known.where(F.when(F.col("toxic") == 1, draw < rate.get(1, 1.0)).otherwise(draw < rate.get(0, 1.0)))
-    # About 8192 rows of two numbers each, whatever the input.
+    # EXAMPLES bounds these rows of two numbers each, whatever the input; of several texts of a doc_id one is an example.
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    vote = F.when(F.col("toxic") == 1, 1 / rate.get(1, 1.0)).otherwise(1 / rate.get(0, 1.0))
-    base = sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()
-    n = {r.toxic: r.n / rate[r.toxic] for r in base}
-    n1, total = n.get(1, 0), sum(n.values())
-    told = _found_words(sample).groupBy("term").agg(F.count("*").alias("rows"), F.sum(vote).alias("df"), F.sum(F.when(F.col("toxic") == 1, vote).otherwise(0)).alias("seen"))
-    told = told.where(F.col("rows") >= MIN_ROWS).withColumn("expected", F.col("df") * n1 / max(total, 1))
-    spread = F.sqrt(F.col("expected") * (1 - F.col("df") / max(total, 1) + 1e-9) * (1 - n1 / max(total, 1) + 1e-9) + 1e-9)
-    told = told.withColumn("z", (F.col("seen") - F.col("expected")) / spread)
-    terms = [r.term for r in told.orderBy(F.desc("z"), "term").limit(TERMS).collect()]
+    sample = materialize(sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "examples")
+    base = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    seen = lambda t: F.sum((F.col("toxic") == t).cast("int"))
+    told = _found_words(sample).groupBy("term").agg(seen(1).alias("bad"), seen(0).alias("good"))
+    odds = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5) * ((base.get(0, 0) + 1) / (base.get(1, 0) + 1)))
+    relevance = odds - CAUTION * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    # As many rows as the sample has words at most, whatever the input.
+    found = told.select("term", relevance.alias("relevance")).where("relevance > 0").orderBy("term").toArrow()
+    terms, relevant = found.column("term").to_pylist(), found.column("relevance").to_numpy()
     vocabulary = Vocabulary(terms)
     everywhere = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
@@ -194,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(terms)), pa.int32()), pa.array([rows, *df.tolist()], pa.int64())], ["term", "n"])
 
     df = {r.term: r.n for r in everywhere.mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], np.float64))) + 1e-6
+    idf = (np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], np.float64))) + 1e-6) * relevant
     rows = _occurrences(sample.select("doc_id", "toxic", "text"), vocabulary).toArrow()
     sizes = rows.column("terms").combine_chunks().value_lengths().to_numpy()
     label = rows.column("toxic").to_numpy()
@@ -207,21 +259,19 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted, evidence, similarity) per row of docs (doc_id, text): the chance of label 1, whether
     it reaches the threshold, and the ids and cosines of the nearest examples, nearest first.
 
-    A text without any of the terms, an empty or a null one gets the prior and no evidence. Only the text is read."""
+    A text without any of the terms, an empty or a null one gets the prior's score and no evidence. Repeated rows are scored
+    each, a null doc_id is kept, an empty table gives no rows, and columns other than doc_id and text are left out."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "text", 4 << 20):
                 owner, terms = index.vocabulary.find(*payload(batch.column("text")))
-                row, term, w = weights(owner, terms, len(batch), index.idf)
-                bounds = np.searchsorted(row, np.arange(len(batch) + 1))
-                raw, near, cosine = np.full(len(batch), index.prior), [[]] * len(batch), [[]] * len(batch)
-                for i in np.flatnonzero(np.diff(bounds)).tolist():
-                    ids, s = index.nearest(term[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]], NEIGHBOURS)
-                    raw[i], near[i], cosine[i] = index.vote(ids, s), index.ids[ids].tolist(), s.tolist()
-                p = index.calibrated(raw)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(cosine, pa.list_(pa.float64()))], ["doc_id", "score", "predicted", "evidence", "similarity"])
+                row, ids, cosine = index.nearest(*weights(owner, terms, len(batch), index.idf), len(batch), NEIGHBOURS)
+                p = index.calibrated(index.vote(row, ids, cosine, len(batch)))
+                edges = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32))
+                evidence, similarity = (pa.ListArray.from_arrays(edges, pa.array(x)) for x in (index.ids[ids].astype(np.int64), cosine))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), evidence, similarity], ["doc_id", "score", "predicted", "evidence", "similarity"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, similarity array<double>")

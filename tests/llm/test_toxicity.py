@@ -42,21 +42,61 @@ def test_held_out_rows(spark, rows, index):
 def test_nearest_is_exact(index, rows):
     n = len(index.ids)
     dense = np.zeros((n, len(index.idf)))
-    term = np.repeat(np.arange(len(index.idf)), index.starts[:, -1] - index.starts[:, 0])
+    cells = index.heads[1:] - index.heads[:-1]
+    term = np.repeat(np.repeat(np.arange(len(index.idf)), cells), np.diff(index.starts))
     dense[index.examples, term] = index.weight
-    for _, text, _ in rows[:40]:
+    asked = np.zeros((40, len(index.idf)))
+    for i, (_, text, _) in enumerate(rows[:40]):
         counts = Counter(w for w in text.lower().replace("!", " ").split() if w in index.vocabulary.terms)
-        q = np.zeros(len(index.idf))
         for w, c in counts.items():
             t = index.vocabulary.terms.index(w)
-            q[t] = (1 + np.log(c)) * index.idf[t]
-        q /= np.linalg.norm(q) or 1
-        scores = dense @ q
-        want = sorted((i for i in range(n) if scores[i] > 0), key=lambda i: (-round(scores[i], 9), i))[: toxicity.NEIGHBOURS]
-        at = np.flatnonzero(q)
-        ids, s = index.nearest(at, q[at], toxicity.NEIGHBOURS)
-        assert np.allclose(np.sort(scores[want]), np.sort(s), atol=1e-9)
-        assert np.allclose(scores[ids], s, atol=1e-9)
+            asked[i, t] = (1 + np.log(c)) * index.idf[t]
+        asked[i] /= np.linalg.norm(asked[i]) or 1
+    at, term = np.nonzero(asked)
+    row, ids, s = index.nearest(at, term, asked[at, term], 40, toxicity.NEIGHBOURS)
+    scores = asked @ dense.T
+    for i in range(40):
+        want = sorted((j for j in range(n) if scores[i, j] > 0), key=lambda j: (-scores[i, j], j))[: toxicity.NEIGHBOURS]
+        assert np.allclose(scores[i, want], s[row == i], atol=1e-9) and np.allclose(scores[i, ids[row == i]], s[row == i], atol=1e-9)
+        assert (row == i).sum() == min(toxicity.NEIGHBOURS, (scores[i] > 0).sum())
+
+
+def test_blocks_are_skipped_without_a_loss():
+    """Sparse random rows over many blocks, small slices, and an example for each row that isn't to be found."""
+    rng = np.random.default_rng(5)
+    n, terms = 1000, 200
+    cells = np.unique(rng.integers(0, n, 8000) * terms + np.minimum(rng.geometric(0.03, 8000), terms) - 1)
+    index = toxicity.build(None, rng.random(terms) + 0.1, np.arange(n), (np.arange(n) % 7 == 0).astype(float), np.ones(n), cells // terms, cells % terms)
+    dense = np.zeros((n, terms))
+    term = np.repeat(np.repeat(np.arange(terms), index.heads[1:] - index.heads[:-1]), np.diff(index.starts))
+    dense[index.examples, term] = index.weight
+    at, term = np.nonzero(dense)
+    before, toxicity.CELLS = toxicity.CELLS, 1 << 12
+    try:
+        row, ids, s = index.nearest(at, term, dense[at, term], n, 7, np.arange(n))
+    finally:
+        toxicity.CELLS = before
+    scores = dense @ dense.T
+    np.fill_diagonal(scores, -1)
+    for i in range(n):
+        want = np.sort(scores[i][scores[i] > 1e-12])[::-1][:7]
+        assert np.allclose(s[row == i], want, atol=1e-9) and i not in ids[row == i]
+
+
+def test_a_toxic_word_of_two_examples(spark, rows):
+    more = [(1000 + i, f"plain text with a rareslur number {i}", 1) for i in range(2)] + [(2000 + i, f"plain text of number {i}", 0) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows + more], "doc_id long, text string")
+    found = toxicity.train(docs, spark.createDataFrame([(i, t) for i, _, t in rows + more], "doc_id long, toxic int"))
+    assert "rareslur" in found.vocabulary.terms
+    out = toxicity.score(spark.createDataFrame([(1, "another rareslur here"), (2, "another text here")], "doc_id long, text string"), found).orderBy("doc_id").collect()
+    assert set(out[0].evidence) == {1000, 1001} and out[0].predicted == 1 and out[1].predicted == 0
+
+
+def test_examples_stay_bounded_by_id(spark):
+    """A third of the rows has one id: it is one example."""
+    docs = spark.range(600).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"))
+    found = toxicity.train(docs, docs.select("doc_id", F.lit(1).alias("toxic")).union(docs.select("doc_id", F.lit(0).alias("toxic")).where("doc_id % 2 = 0")))
+    assert len(found.ids) == len(set(found.ids.tolist())) == 401
 
 
 def test_odd_texts_and_empty_tables(spark, index):
