@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, connected_components, materialize, payload, small_batches
 from .features import LOWER, words
-from .shingling import shingles, similar_members
+from .shingling import SHINGLE, shingles, similar_members
 from .tokens import SliceHasher, mixed
 
 SIMILARITY = 0.8
-#: Shorter paragraphs are headings, greetings and the like; they are left as they are.
-MIN_WORDS = 30
+#: A paragraph of fewer words has no five-word shingle, so none that could repeat; it is left as it is.
+MIN_WORDS = 5
 #: A pair at the least similarity must meet in some band with this chance; of the shapes that do, tune() takes the strictest.
 RECALL, MOST_HASHES = 0.998, 60
 #: Paragraphs of a bucket are dealt to chunks of about so many, and each pair of chunks is compared in a group of its own.
@@ -92,6 +92,7 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: flo
     paragraphs found similar, whose components are the clusters."""
     small_batches(docs.sparkSession)
     bands, rows = tune(least)
+    min_words = max(min_words, SHINGLE)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -111,7 +112,7 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: flo
     classes = materialize(found.groupBy("x", "y").agg(F.min(place).alias("first"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("x", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(keyed.join(shared, "band").select("x", "band", "n"), "members")
+    members = materialize(keyed.join(materialize(shared.select("band"), "shared"), "band").select("x", "band"), "members")
     # The shingles of the paragraphs that met others, from their first places.
     asked = members.select("x").distinct().join(classes, "x").select("x", "first.*")
     asked = asked.groupBy("id", "hash").agg(F.collect_list(F.struct("at", "x")).alias("asked"))
@@ -143,7 +144,7 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: flo
 
 
 def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: float = SIMILARITY) -> DataFrame:
-    """docs without repeated paragraphs: text loses them, and n_paragraphs, n_removed and removed (their numbers) are added.
+    """docs without repeated paragraphs: text loses them, and n_removed, removed (their numbers) and n_paragraphs are added.
 
     A paragraph is a line. Two are similar if the Jaccard similarity of their sets of five-word shingles is `least` or
     more; of each component of similar paragraphs of min_words words or more, the occurrence with the smallest (doc_id,
@@ -152,13 +153,14 @@ def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: float =
     are (clashing names are replaced). An empty table gives no rows."""
     removed, _ = duplicate_paragraphs(docs, min_words, least)
     by_doc = removed.groupBy("id", "hash").agg(F.sort_array(F.collect_set("at")).alias("gone"))
-    rest = docs.drop("n_paragraphs", "n_removed", "removed").withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    added = ("n_removed", "removed", "n_paragraphs")
+    rest = docs.drop(*added).withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     out = rest.join(by_doc, rest["__id"].eqNullSafe(by_doc["id"]) & (rest["__hash"] == by_doc["hash"]), "left").drop("__id", "__hash", "id", "hash")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("gone", i)), "\n")
     return out.select(
-        *(F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_paragraphs", "n_removed", "removed")),
-        F.size(lines).alias("n_paragraphs"),
+        *(F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in added),
         F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
         F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("removed"),
+        F.size(lines).alias("n_paragraphs"),
     )

@@ -42,7 +42,7 @@ _LINE_WORDS = _WORDS.replace("coalesce(text, '')", "line")
 OP3 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, text FROM documents),
 p AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS seq FROM d),
-q AS (SELECT doc_id, seq, w FROM (SELECT doc_id, seq, {_LINE_WORDS} AS w FROM p) WHERE len(w) >= 30),
+q AS (SELECT doc_id, seq, w FROM (SELECT doc_id, seq, {_LINE_WORDS} AS w FROM p) WHERE len(w) >= 5),
 c AS (SELECT w, row_number() OVER () AS id FROM (SELECT DISTINCT w FROM q)),
 s AS (SELECT DISTINCT id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT id, w, unnest(range(len(w) - 4)) AS i FROM c)),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),

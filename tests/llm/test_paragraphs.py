@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomwright.llm import paragraphs
@@ -39,10 +40,11 @@ def brute(rows, min_words, least):
     return gone
 
 
-def test_against_brute_force(docs, corpus):
-    out = paragraphs.dedup_paragraphs(docs.withColumn("removed", F.lit("clash")), min_words=8).withColumn("t", F.col("text")).collect()
+@pytest.mark.parametrize("least_words", [paragraphs.MIN_WORDS, 8])
+def test_against_brute_force(docs, corpus, least_words):
+    out = paragraphs.dedup_paragraphs(docs.withColumn("removed", F.lit("clash")), min_words=least_words).withColumn("t", F.col("text")).collect()
     assert len(out) == len(corpus)
-    gone = brute(corpus, 8, 0.8)
+    gone = brute(corpus, least_words, 0.8)
     texts = {(r[0], r[1]) for r in corpus}
     seen = 0
     for r in out:
@@ -78,7 +80,7 @@ def test_chunks_of_a_large_group_lose_no_link(spark):
         own[i % 10] = 10**12 + i
         rows.append((i, bytearray(np.sort(own).tobytes())))
     sets = spark.createDataFrame(rows, "x long, set binary")
-    members = spark.createDataFrame([(i, 1, 50) for i in range(50)], "x long, band long, n long")
+    members = spark.createDataFrame([(i, 1) for i in range(50)], "x long, band long")
     found = similar_members(members, sets, 0.8, 7).collect()
     parent = {i: i for i in range(50)}
 
@@ -90,3 +92,26 @@ def test_chunks_of_a_large_group_lose_no_link(spark):
     for r in found:
         parent[find(r.a)] = find(r.b)
     assert len({find(i) for i in range(50)}) == 1
+
+
+def test_members_that_only_others_connect(spark):
+    """A chain in one group: each set is near the next alone, so the least member connects few of them."""
+    import numpy as np
+
+    rows = [(i, bytearray(np.arange(5 * i, 5 * i + 100, dtype=np.uint64).tobytes())) for i in range(40)]
+    sets = spark.createDataFrame(rows, "x long, set binary")
+    members = spark.createDataFrame([(i, b) for i in range(40) for b in (1, 2)] + [(99, 3)], "x long, band long")
+    found = {(r.a, r.b) for r in similar_members(members, sets, 0.8, 16).collect()}
+    assert all(abs(a - b) <= 2 for a, b in found)
+    reached, more = {0}, True
+    while more:
+        more = {x for p in found for x in p if set(p) & reached} - reached
+        reached |= more
+    assert reached == set(range(40))
+
+
+def test_a_very_long_text(spark):
+    line = "Ein Satz mit mehr als fünf Wörtern, Nummer {}."
+    rows = [(1, "\n".join(line.format(i) for i in range(30_000))), (2, line.format(17) + "\nshort line\n" + line.format("x"))]
+    out = {r.doc_id: r for r in paragraphs.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed", "removed").collect()}
+    assert out[2].removed == [0] and out[1].n_removed == 0
