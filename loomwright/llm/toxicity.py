@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by
-similarity, and a calibration fitted with each example left out of its own vote.
+similarity, and a calibration (of the vote, and of how much a text says at all) fitted with each example left out of its own vote.
 
 Every term of the examples is looked at. A term's IDF comes from all documents and is multiplied by what the examples' labels
-say for it: the lower confidence bound of the log odds of label 1 (term relevance, as in delta TF-IDF). A term
-whose bound isn't above zero doesn't speak for label 1 and so weighs nothing. There is no limit on terms or their counts."""
+say for it: the lower confidence bound of the log odds of label 1, less a margin (term relevance, as in delta TF-IDF). A term
+whose bound isn't above the margin doesn't speak for label 1 and so weighs nothing. There is no limit on terms or their counts."""
 
 from __future__ import annotations
 
@@ -21,14 +21,15 @@ from .features import LOWER, Vocabulary, words
 #: The index holds about so many examples of each label at most, chosen by a hash of doc_id; a vote counts for
 #: all the rows that its example stands for.
 EXAMPLES = {1: 2048, 0: 16384}
-#: Standard errors that the bound of a term's log odds lies below them.
-CAUTION = 2.0
+#: Standard errors that the bound of a term's log odds lies below them, and how many times as common in toxic examples a term
+#: must be by that bound to speak for them: documents of one label can be longer, which makes every word a little more common.
+CAUTION, TIMES = 2.33, 1.35
 NEIGHBOURS = 15
 BLOCK = 64
 #: Similarity that the prior's vote has.
 PRIOR = 1e-3
 #: (text, example) cells that are summed at once.
-CELLS = 1 << 21
+CELLS = 1 << 19
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -37,12 +38,13 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
-def weights(rows: np.ndarray, terms: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse TF-IDF rows of length 1, as (row, term, weight) sorted by row."""
+def weights(rows: np.ndarray, terms: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse TF-IDF rows of length 1, as (row, term, weight) sorted by row, and each row's length before."""
     cells, counts = np.unique(rows.astype(np.int64) * len(idf) + terms, return_counts=True)
     row, term = cells // max(len(idf), 1), cells % max(len(idf), 1)
     w = (1 + np.log(counts)) * idf[term]
-    return row, term, w / np.sqrt(np.maximum(np.bincount(row, w * w, n), 1e-300))[row]
+    length = np.sqrt(np.bincount(row, w * w, n))
+    return row, term, w / np.maximum(length, 1e-150)[row], length
 
 
 def best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,8 +73,7 @@ class Index:
     examples: np.ndarray
     weight: np.ndarray
     prior: float = 0.0
-    slope: float = 1.0
-    shift: float = 0.0
+    curve: tuple[float, float, float] = (1.0, 0.0, 0.0)  # factors of the vote's log odds and of the length's logarithm, and a constant
 
     def nearest(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, example, cosine): for each of n sparse rows the k examples of the largest cosine above zero, ties to the
@@ -133,15 +134,19 @@ class Index:
         w = self.votes[ids] * scores * scores
         return (np.bincount(row, w * self.labels[ids], n) + PRIOR * self.prior) / (np.bincount(row, w, n) + PRIOR)
 
-    def calibrated(self, vote: np.ndarray) -> np.ndarray:
-        v = np.clip(vote, 1e-4, 1 - 1e-4)
-        return 1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift)))
+    def calibrated(self, vote: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features(vote, length) @ np.array(self.curve), -30, 30)))
+
+
+def features(vote: np.ndarray, length: np.ndarray) -> np.ndarray:
+    v = np.clip(vote, 1e-4, 1 - 1e-4)
+    return np.stack([np.log(v / (1 - v)), np.log1p(length), np.ones(len(v))], 1)
 
 
 def build(vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, votes: np.ndarray, rows: np.ndarray, terms: np.ndarray) -> Index:
     """Orders the examples by their heaviest term, so that blocks are alike, and fits the calibration."""
     n = len(ids)
-    row, term, w = weights(rows, terms, n, idf)
+    row, term, w, length = weights(rows, terms, n, idf)
     lead = np.full(n, len(idf))
     order = np.lexsort((-w, row))
     opening = np.concatenate([[True], row[order][1:] != row[order][:-1]]) if len(row) else np.zeros(0, bool)
@@ -149,7 +154,7 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, labels: np.n
     place = np.empty(n, np.int64)
     arrangement = np.lexsort((ids, labels, lead))
     place[arrangement] = np.arange(n)
-    ids, labels, votes, row = ids[arrangement], labels[arrangement], votes[arrangement], place[row]
+    ids, labels, votes, length, row = ids[arrangement], labels[arrangement], votes[arrangement], length[arrangement], place[row]
     blocks = max(1, -(-n // BLOCK))
     order = np.lexsort((row, term))
     row, term, w = row[order], term[order], w[order]
@@ -163,15 +168,14 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, labels: np.n
     near = index.nearest(row[by_row], term[by_row], w[by_row], n, NEIGHBOURS, np.arange(n))
     raw = index.vote(*near, n)
     if n and 0 < labels.sum() < n:
-        v = np.clip(raw, 1e-4, 1 - 1e-4)
-        x = np.stack([np.log(v / (1 - v)), np.ones(n)], 1)
-        theta = np.array([1.0, 0.0])
+        x, start = features(raw, length), np.array(index.curve)
+        theta = start
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-            h = (x * (votes * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-            theta -= np.linalg.solve(h, x.T @ (votes * (p - labels)) + 1e-3 * (theta - [1.0, 0.0]))
-        if theta[0] > 0:
-            index.slope, index.shift = float(theta[0]), float(theta[1])
+            h = (x * (votes * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+            theta = theta - np.linalg.solve(h, x.T @ (votes * (p - labels)) + 1e-2 * (theta - start))
+        if theta[0] > 0 and np.isfinite(theta).all():
+            index.curve = tuple(theta.tolist())
     return index
 
 
@@ -229,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     seen = lambda t: F.sum((F.col("toxic") == t).cast("int"))
     told = _found_words(sample).groupBy("term").agg(seen(1).alias("bad"), seen(0).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5) * ((base.get(0, 0) + 1) / (base.get(1, 0) + 1)))
-    relevance = odds - CAUTION * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    relevance = odds - CAUTION * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)) - float(np.log(TIMES))
     # As many rows as the sample has words at most, whatever the input.
     found = told.select("term", relevance.alias("relevance")).where("relevance > 0").orderBy("term").toArrow()
     terms, relevant = found.column("term").to_pylist(), found.column("relevance").to_numpy()
@@ -267,8 +271,9 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
         for whole in batches:
             for batch in by_bytes(whole, "text", 4 << 20):
                 owner, terms = index.vocabulary.find(*payload(batch.column("text")))
-                row, ids, cosine = index.nearest(*weights(owner, terms, len(batch), index.idf), len(batch), NEIGHBOURS)
-                p = index.calibrated(index.vote(row, ids, cosine, len(batch)))
+                *rows, length = weights(owner, terms, len(batch), index.idf)
+                row, ids, cosine = index.nearest(*rows, len(batch), NEIGHBOURS)
+                p = index.calibrated(index.vote(row, ids, cosine, len(batch)), length)
                 edges = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32))
                 evidence, similarity = (pa.ListArray.from_arrays(edges, pa.array(x)) for x in (index.ids[ids].astype(np.int64), cosine))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), evidence, similarity], ["doc_id", "score", "predicted", "evidence", "similarity"])

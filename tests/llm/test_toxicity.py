@@ -83,13 +83,13 @@ def test_blocks_are_skipped_without_a_loss():
         assert np.allclose(s[row == i], want, atol=1e-9) and i not in ids[row == i]
 
 
-def test_a_toxic_word_of_two_examples(spark, rows):
-    more = [(1000 + i, f"plain text with a rareslur number {i}", 1) for i in range(2)] + [(2000 + i, f"plain text of number {i}", 0) for i in range(300)]
+def test_a_toxic_word_of_four_examples(spark, rows):
+    more = [(1000 + i, f"plain text with a rareslur number {i}", 1) for i in range(4)] + [(2000 + i, f"plain text of number {i}", 0) for i in range(300)]
     docs = spark.createDataFrame([r[:2] for r in rows + more], "doc_id long, text string")
     found = toxicity.train(docs, spark.createDataFrame([(i, t) for i, _, t in rows + more], "doc_id long, toxic int"))
     assert "rareslur" in found.vocabulary.terms
     out = toxicity.score(spark.createDataFrame([(1, "another rareslur here"), (2, "another text here")], "doc_id long, text string"), found).orderBy("doc_id").collect()
-    assert set(out[0].evidence) == {1000, 1001} and out[0].predicted == 1 and out[1].predicted == 0
+    assert set(out[0].evidence) == {1000, 1001, 1002, 1003} and out[0].predicted == 1 and out[1].predicted == 0
 
 
 def test_examples_stay_bounded_by_id(spark):
