@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-Each tree gives a vector a string of 64 bits, the sides of random hyperplanes it lies on. Vectors with a common prefix
-of x bits form a bucket, a run of the tree's sorted strings. A query starts from its longest prefixes and ascends in
-all trees at once, x bits at a time, until the buckets of that length hold each vector as near as its k-th neighbour
-with the recall asked for: at cosine s a bit agrees with chance p = 1 - acos(s)/pi, so some tree agrees on x bits with
-chance 1 - (1 - p**x)**trees. How near the k-th neighbour is at least, a bounded sample tells."""
+Each tree gives a vector a string of 64 bits, the sides of random hyperplanes it lies on, and keeps the strings of a block of
+vectors as a sorted array with the vectors' places. A query descends each tree by binary search to the strings that share
+the longest prefix with its own, and then ascends in all trees at once, a bit at a time: the strings that share x bits are
+a run of the array, and what a run adds to the one before is compared exactly. A query stops ascending where the
+strings seen so far hold a vector as near as its k-th best with the recall asked for: at cosine s a bit agrees with chance
+p = 1 - acos(s)/pi, so some tree agrees on x bits with chance 1 - (1 - p**x)**trees. The k-th best found is no nearer
+than the true one, so the recall is at least that. Vectors are dealt to blocks once; queries go to every block."""
 
 from __future__ import annotations
 
@@ -19,10 +21,12 @@ from .common import materialize
 
 TREES, BITS = 24, 64
 RECALL = 0.97
-#: So many distinct vectors at about tell each query how near its k-th neighbour is at least.
-SAMPLE = 2048
-#: Vectors and queries of a bucket are dealt to groups of about so many.
-CHUNK, QUERY_CHUNK = 8192, 2048
+#: About so many vectors are in a block, whose forest a task holds in memory.
+BLOCK = 8192
+#: So many queries of a block are answered at once.
+QUERIES = 256
+#: Pairs that are compared at once.
+PAIRS = 1 << 16
 #: Equal vectors are dealt so many ways before their ids are cut to the smallest.
 SALTS = 64
 
@@ -55,15 +59,87 @@ def distinct_vectors(vectors: DataFrame, size: int, keep: int) -> DataFrame:
     return ids.select(F.element_at("ids", 1).alias("rep"), "v", "ids")
 
 
-def depth_for(similarity: np.ndarray, trees: int, recall: float) -> np.ndarray:
-    """The longest prefix whose buckets hold a vector of that cosine with the recall asked for."""
-    p = np.clip(1 - np.arccos(np.clip(similarity, -1, 1)) / np.pi, 1e-9, 1 - 1e-9)
-    x = np.floor(np.log(1 - (1 - recall) ** (1 / trees)) / np.log(p))
-    x = np.where(np.isfinite(similarity), np.clip(x, 0, BITS), 0).astype(np.int64)
-    return np.where(x > 16, x - x % 4, np.where(x > 8, x - x % 2, x))  # few lengths, so that few copies of the index are dealt
+class Forest:
+    """Sorted arrays of hash strings over the rows of x, one for each tree."""
 
+    def __init__(self, x: np.ndarray, trees: int, recall: float):
+        self.x, self.norm, self.trees, self.recall = x, np.linalg.norm(x, axis=1), trees, recall
+        self.planes = np.random.default_rng(17).standard_normal((x.shape[1], trees * BITS)).astype(np.float32)
+        bits = self.strings(x)
+        self.places = np.argsort(bits, axis=0, kind="stable")
+        self.sorted = [bits[self.places[:, t], t] for t in range(trees)]
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    def strings(self, v: np.ndarray) -> np.ndarray:
+        """(rows, trees): the bit strings as numbers."""
+        out, weight = np.empty((len(v), self.trees), np.uint64), np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
+        for at in range(0, len(v), 512):
+            sides = (v[at : at + 512].astype(np.float32) @ self.planes > 0).reshape(-1, self.trees, BITS)
+            out[at : at + 512] = (sides * weight).sum(2, dtype=np.uint64)
+        return out
+
+    def longest(self, bits: np.ndarray) -> np.ndarray:
+        """The bits that each query has in common with its nearest string of any tree."""
+        out = np.zeros(len(bits), np.int64)
+        for t, strings in enumerate(self.sorted):
+            at = np.searchsorted(strings, bits[:, t])
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(strings) - 1)):
+                # The highest differing bit, found by halves.
+                differs, common = strings[near] ^ bits[:, t], np.zeros(len(bits), np.int64)
+                none = differs == 0
+                for width in (32, 16, 8, 4, 2, 1):
+                    clear = differs >> np.uint64(BITS - width) == 0
+                    common += np.where(clear, width, 0)
+                    differs = np.where(clear, differs << np.uint64(width), differs)
+                out = np.maximum(out, np.where(none, BITS, common))
+        return out
+
+    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, cosine): the candidates met that may be among a query's k + 1 nearest, ties included."""
+        bits, n = self.strings(q), len(self.x)
+        norm, level = np.linalg.norm(q, axis=1), self.longest(bits)
+        low, high = (np.zeros((self.trees, len(q)), np.int64) for _ in range(2))
+        seen, compared, kth = np.zeros((len(q), n), bool), np.zeros((len(q), n), bool), np.full(len(q), -np.inf)
+        found, live, fresh = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.arange(len(q)), True
+        while len(live):
+            # The runs of the strings that share `level` bits, and what they add to the runs of one bit more.
+            keep = np.where(level[live] > 0, ~np.uint64(0) << (np.uint64(BITS) - np.maximum(level[live], 1).astype(np.uint64)), np.uint64(0))
+            for t, strings in enumerate(self.sorted):
+                prefix = bits[live, t] & keep
+                a, z = np.searchsorted(strings, prefix), np.searchsorted(strings, prefix | ~keep, "right")
+                b, y = (low[t, live], high[t, live]) if not fresh else (a, a)
+                for start, end in ((a, b), (y, z)):
+                    size = np.maximum(end - start, 0)
+                    ends = np.cumsum(size)
+                    where = self.places[np.arange(int(ends[-1])) + np.repeat(start - (ends - size), size), t]
+                    seen[np.repeat(live, size), where] = True
+                low[t, live], high[t, live] = a, z
+            fresh = False
+            asks, place = np.nonzero(seen[live] & ~compared[live])
+            asks = live[asks]
+            compared[asks, place] = True
+            score = np.empty(len(asks))
+            for at in range(0, len(asks), PAIRS):
+                some = slice(at, at + PAIRS)
+                score[some] = np.einsum("ij,ij->i", q[asks[some]], self.x[place[some]]) / (norm[asks[some]] * self.norm[place[some]])
+            near = score >= kth[asks]
+            found = tuple(np.concatenate(x) for x in zip(found, (asks[near], place[near], score[near]), strict=True))
+            order = np.lexsort((-found[2], found[0]))
+            found = tuple(x[order] for x in found)
+            first = np.searchsorted(found[0], np.arange(len(q)))
+            count = np.diff(np.append(first, len(found[0])))
+            enough = count > k
+            kth[enough] = found[2][first[enough] + k]
+            stays = found[2] >= kth[found[0]]
+            found = tuple(x[stays] for x in found)
+            p = np.clip(1 - np.arccos(np.clip(kth[live], -1, 1)) / np.pi, 0, 1)
+            hold = np.where(np.isfinite(kth[live]), 1 - (1 - p ** level[live]) ** self.trees, 0.0)
+            on = (hold < self.recall) & (level[live] > 0)
+            live = live[on]
+            level[live] -= 1
+        return found
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id of queries the k vectors of `vectors` (vec_id, embedding) with
     the largest cosine found, in double precision, nearest first, ties to smaller ids; a vector never finds its own row.
 
@@ -88,77 +164,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
 
     asked = good.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").mapInArrow(identify, "query_id long, v binary").distinct()
     asked = materialize(asked.join(table.select("v", "rep"), "v").select("query_id", "rep"), "queries")
-    classes = asked.select("rep").distinct()
-    total = table.count()
-    sample = table.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(SAMPLE / max(total, 1) * (1 << 20))).select("rep", "v").toArrow()
-    sample_ids = sample.column("rep").to_numpy()
-    sample_x = _matrix(sample.column("v"), size)
-    sample_x = sample_x / np.linalg.norm(sample_x, axis=1, keepdims=True)
-    planes = np.random.default_rng(17).standard_normal((size, trees * BITS)).astype(np.float32)
-    weight = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
-
-    def strings(v: np.ndarray) -> np.ndarray:
-        """(rows, trees): the bit strings as numbers."""
-        out = np.empty((len(v), trees), np.uint64)
-        for at in range(0, len(v), 1024):
-            sides = (v[at : at + 1024].astype(np.float32) @ planes > 0).reshape(-1, trees, BITS)
-            out[at : at + 1024] = (sides * weight).sum(2, dtype=np.uint64)
-        return out
+    blocks = max(1, round(table.count() / block))
+    held = table.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "rep", "v")
+    asking = table.join(asked.select("rep").distinct(), "rep").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "rep", "v")
 
-    def prefix(bits: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
-        """The first `depth` bits, as a signed number."""
-        depth = np.broadcast_to(np.asarray(depth, np.uint64), bits.shape)
-        return np.where(depth == 0, np.uint64(0), bits >> (np.uint64(BITS) - np.maximum(depth, np.uint64(1)))).view(np.int64)
-
-    def deal(depths: list[int] | None):
-        """Rows (tree, depth, prefix, rep, v) at each of depths, or, for queries, at the depth each needs."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                v, reps = _matrix(batch.column("v"), size), batch.column("rep").to_numpy()
-                bits = strings(v)
-                if depths is None:
-                    cosine = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ sample_x.T
-                    cosine[reps[:, None] == sample_ids[None, :]] = -np.inf
-                    kth = np.sort(cosine, axis=1)[:, -k] if cosine.shape[1] >= k else np.full(len(v), -np.inf)
-                    todo = [(None, depth_for(kth, trees, recall))]
-                else:
-                    todo = [(d, np.full(len(v), d)) for d in depths]
-                for _, depth in todo:
-                    for t in range(trees):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(depth.astype(np.int32)), pa.array(prefix(bits[:, t], depth)), batch.column("rep"), batch.column("v")], ["tree", "depth", "prefix", "rep", "v"])
-
-        return run
-
-    schema = "tree int, depth int, prefix long, rep long, v binary"
-    bucket = ["tree", "depth", "prefix"]
-    wanted = materialize(table.join(classes, "rep").select("rep", "v").mapInArrow(deal(None), schema), "wanted")
-    sizes = wanted.groupBy(*bucket).agg(F.count("*").alias("asking"))
-    depths = [r.depth for r in wanted.select("depth").distinct().orderBy("depth").collect()]  # at most 65
-    index = table.select("rep", "v").mapInArrow(deal(depths), schema)
-    counts = materialize(index.select(*bucket).groupBy(*bucket).agg(F.count("*").alias("n")).join(sizes, bucket), "buckets")
-    counts = counts.select(*bucket, F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"), F.ceil(F.col("asking") / QUERY_CHUNK).cast("int").alias("query_parts"))
-    group = [*bucket, "part", "query_part"]
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    asking = wanted.join(counts, bucket).withColumn("query_part", own("query_parts")).select(*bucket, every("parts").alias("part"), "query_part", "rep", "v", F.lit(True).alias("asks"))
-    held = index.join(counts, bucket).withColumn("part", own("parts")).select(*bucket, "part", every("query_parts").alias("query_part"), "rep", "v", F.lit(False).alias("asks"))
-
-    def compare(rows: pa.Table) -> pa.Table:
-        asks = rows.column("asks").to_numpy()
-        q, c = rows.filter(pa.array(asks)), rows.filter(pa.array(~asks))
-        qx, cx = _matrix(q.column("v"), size), _matrix(c.column("v"), size)
-        qn, cn, q_ids, c_ids = np.linalg.norm(qx, axis=1), np.linalg.norm(cx, axis=1), q.column("rep").to_numpy(), c.column("rep").to_numpy()
-        found: list[tuple[np.ndarray, ...]] = []
-        for at in range(0, len(qx) if len(cx) else 0, 256):
-            s = (qx[at : at + 256] @ cx.T) / (qn[at : at + 256, None] * cn[None, :])
-            best = np.argpartition(-s, min(k, len(cx) - 1), axis=1)[:, : k + 1]
-            found.append((np.repeat(q_ids[at : at + 256], best.shape[1]), c_ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-        a, b, s = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"a": a, "b": b, "score": s})
-
-    pairs = asking.unionByName(held).groupBy(*group).applyInArrow(compare, "a long, b long, score double")
-    pairs = pairs.groupBy("a", "b").agg(F.max("score").alias("score"))
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, parts, forest, reps = None, [], None, None
+        for batch in batches:
+            numbers, asks = batch.column("block").to_numpy(), batch.column("asks").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (numbers[1:] != numbers[:-1]) | (asks[1:] != asks[:-1]), [True]]))
+            for a, z in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+                some, ids = _matrix(batch.column("v").slice(a, z - a), size), batch.column("rep").slice(a, z - a).to_numpy()
+                if numbers[a] != name:
+                    name, parts, forest = numbers[a], [], None
+                if not asks[a]:
+                    parts.append((ids, some))
+                    continue
+                if not parts:  # no vector of its own
+                    continue
+                if forest is None:
+                    reps, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    order = np.argsort(reps)
+                    reps, forest, parts = reps[order], Forest(own[order], trees, recall), parts[:1]
+                for at in range(0, len(ids), QUERIES):
+                    q, place, score = forest.search(some[at : at + QUERIES], k)
+                    order = np.lexsort((reps[place], -score, q))
+                    q, place, score = q[order], place[order], score[order]
+                    keep = np.arange(len(q)) - np.searchsorted(q, q) <= k
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + QUERIES][q[keep]]), pa.array(reps[place[keep]]), pa.array(score[keep])], ["a", "b", "score"])
+
+    rows = held.union(asking).repartition(blocks, "block").sortWithinPartitions("block", "asks", "rep")
+    pairs = rows.mapInArrow(answer, "a long, b long, score double")
     ahead = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     # A class can hold the query itself, so one class more than k is kept, and k + 1 ids of each.
     pairs = pairs.withColumn("place", F.row_number().over(ahead)).where(F.col("place") <= k + 1)

@@ -49,9 +49,47 @@ def test_empty(spark):
     assert ann.nearest(one, one).count() == 0
 
 
-def test_depth_keeps_the_recall():
-    for s in (0.2, 0.5, 0.9, 0.99):
-        x = int(ann.depth_for(np.array([s]), ann.TREES, 0.97)[0])
-        p = 1 - np.arccos(s) / np.pi
-        assert 1 - (1 - p**x) ** ann.TREES >= 0.97
-    assert ann.depth_for(np.array([-np.inf]), ann.TREES, 0.97)[0] == 0
+def test_recall_on_the_table(spark):
+    """All queries of the embeddings table against all rows, in several blocks."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.collect() if r.embedding is not None}
+    ids = sorted(rows)
+    x = np.stack([rows[i] for i in ids])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in ann.nearest(table, table.where("vec_id % 50 = 0"), 5, block=500).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in (i for i in ids if i % 50 == 0):
+        s = x @ x[ids.index(q)]
+        s[ids.index(q)] = -2
+        hits += len({ids[j] for j in np.argsort(-s)[:5]} & found[q])
+        total += 5
+    assert hits / total >= 0.9, hits / total
+
+
+def test_ties_go_to_smaller_ids(spark):
+    df = spark.createDataFrame([(i, [float(2**i), float(2**i)]) for i in range(30)], "vec_id long, embedding array<double>")
+    for block in (4, 1000):
+        out = ann.nearest(df, df.where("vec_id in (0, 7)"), 5, block=block).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id) for r in out) == [(0, r, r) for r in range(1, 6)] + [(7, r, r - 1) for r in range(1, 6)]
+
+
+def test_descent_finds_the_longest_prefix():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((200, 6))
+    forest = ann.Forest(x, 5, 0.97)
+    bits, asked = forest.strings(x), forest.strings(rng.standard_normal((40, 6)))
+    want = [max(64 - int(a ^ b).bit_length() for row in bits for a, b in zip(row, q, strict=True)) for q in asked]
+    assert forest.longest(asked).tolist() == want
+
+
+def test_ascent_visits_what_shares_the_prefix():
+    """With a recall that nothing reaches, the ascent ends at the root and so is exact."""
+    rng = np.random.default_rng(9)
+    x, q = rng.standard_normal((300, 8)), rng.standard_normal((50, 8))
+    asks, place, score = ann.Forest(x, 3, 2.0).search(q, 5)
+    s = q @ x.T / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
+    for i in range(50):
+        assert set(place[asks == i]) == set(np.argsort(-s[i])[:6])
+        assert np.allclose(np.sort(score[asks == i]), np.sort(s[i])[-6:])
