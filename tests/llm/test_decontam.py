@@ -60,9 +60,10 @@ def test_lower_casing_touches_ascii_only(spark):
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha one two beta"), (2, "beta x x x x x x x x x x alpha"), (3, "Alpha, beta. alpha")], "doc_id long, text string")
-    index = decontam.postings(docs, spark.createDataFrame([("alpha",)], "term string"))
+    index = decontam.postings(docs, spark.createDataFrame([("alpha",), ("beta",)], "term string"))
     pairs = spark.createDataFrame([("alpha", "beta")], "first string, second string")
-    got = sorted((r.id, r.at, r.other_at) for r in decontam.proximity_matches(index, pairs).collect())
+    found = decontam.proximity_matches(index, pairs).join(decontam.keyed(docs).drop("words"), decontam.KEY)
+    got = sorted((r.doc_id, r.at, r.other_at) for r in found.collect())
     assert got == [(1, 0, 3), (3, 0, 1), (3, 2, 1)]
 
 
@@ -71,3 +72,12 @@ def test_empty_tables(spark, docs, no_docs):
     assert decontam.contamination(no_docs, none).count() == 0
     assert decontam.contamination(docs, none).where("contaminated or n_hit > 0").count() == 0
     assert decontam.uncontaminated(docs, none).count() == docs.count()
+
+
+def test_very_long_texts_and_copies(spark):
+    """A text of a million words with a window at its end, which many rows copy."""
+    end = "the very last ten words of this text are these"
+    docs = spark.createDataFrame([(1, "some words and " * 300_000 + end)], "doc_id long, text string")
+    docs = docs.union(docs.withColumn("doc_id", F.lit(2).cast("long"))).union(spark.createDataFrame([(3, end), (4, end[:-6])], "doc_id long, text string"))
+    out = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(docs, spark.createDataFrame([(7, end)], "item_id long, text string")).collect()}
+    assert out == {1: (900_010, 10, ["7"]), 2: (900_010, 10, ["7"]), 3: (10, 10, ["7"]), 4: (9, 0, [])}
