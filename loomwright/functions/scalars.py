@@ -98,8 +98,9 @@ def unescape_dump_string(col: Column | str) -> Column:
     return F.when(c.startswith("'"), inner)
 
 
-def migration_literal(col: Column | str, dtype: str, kind: str, precision: int = 0, scale: int = 0, as_bool: bool = False) -> Column:
-    """A value as text of a migration dump, by its source type."""
+def migration_literal(col: Column | str, dtype: str, kind: str, precision: int = 0, scale: int = 0, as_bool: bool = False, most_text: int | None = None, most_bytes: int | None = None) -> Column:
+    """A value as text of a migration dump, by its source type. Where limits are given, a CLOB is cut to most_text characters
+    and a BLOB of more than most_bytes is NULL; by default both are whole."""
     c = _c(col)
     if kind in ("VARCHAR2", "NVARCHAR2", "CHAR", "NCHAR"):
         return escape_dump_string(c.cast("string"))
@@ -110,11 +111,12 @@ def migration_literal(col: Column | str, dtype: str, kind: str, precision: int =
     elif kind in ("DATE", "TIMESTAMP", "TIMESTAMP WITH TIME ZONE"):
         text = F.concat(F.lit("'"), F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("'"))
     elif kind in ("CLOB", "NCLOB"):
-        return escape_dump_string(F.left(c.cast("string"), F.lit(50000)))
+        return escape_dump_string(F.left(c.cast("string"), F.lit(most_text)) if most_text is not None else c.cast("string"))
     elif kind in ("BLOB", "RAW"):
         if dtype != "binary":
             return F.lit("NULL")
-        text = F.when(F.octet_length(c) <= 10000, F.concat(F.lit("'\\x"), F.lower(F.hex(c)), F.lit("'::bytea")))
+        text = F.concat(F.lit("'\\x"), F.lower(F.hex(c)), F.lit("'::bytea"))
+        text = text if most_bytes is None else F.when(F.octet_length(c) <= most_bytes, text)
     else:
         return escape_dump_string(c.cast("string"))
     return F.coalesce(text, F.lit("NULL"))

@@ -68,12 +68,22 @@ def apply_inserts(df: DataFrame, edits: DataFrame, defaults: dict[str, Column] |
     return df.unionByName(rows)
 
 
+#: The keys of so many edits are broadcast.
+BROADCAST_EDITS = 200_000
+
+
 def _matched(df: DataFrame, edits: DataFrame, key: list[str]) -> DataFrame:
-    """edits with matched, the number of rows that have the key's old values (null like null). Rows are counted by key first,
-    so that an edit meets one row, however many match."""
-    rows = df.groupBy(*(F.col(c).alias(f"__{c}") for c in key)).agg(F.count("*").alias("matched"))
-    on = reduce(lambda a, b: a & b, (_typed(F.col(f"key.{c}"), df.schema[c].dataType).eqNullSafe(F.col(f"__{c}")) for c in key))
-    return edits.join(rows, on, "left").drop(*(f"__{c}" for c in key)).withColumn("matched", F.coalesce("matched", F.lit(0)))
+    """edits with matched, the number of rows that have the key's old values (null like null). Of the table only the rows
+    that some edit names are counted, by key, so that an edit meets one row, however many match."""
+    names = [f"__{c}" for c in key]
+    asked = edits.select(*(_typed(F.col(f"key.{c}"), df.schema[c].dataType).alias(n) for c, n in zip(key, names, strict=True))).distinct()
+    if edits.count() <= BROADCAST_EDITS:
+        asked = F.broadcast(asked)
+    rows = df.select(*(F.col(c).alias(f"__row_{c}") for c in key))
+    rows = rows.join(asked, reduce(lambda a, b: a & b, (F.col(f"__row_{c}").eqNullSafe(F.col(n)) for c, n in zip(key, names, strict=True))))
+    counts = rows.groupBy(*names).agg(F.count("*").alias("matched"))
+    on = reduce(lambda a, b: a & b, (_typed(F.col(f"key.{c}"), df.schema[c].dataType).eqNullSafe(F.col(n)) for c, n in zip(key, names, strict=True)))
+    return edits.join(counts, on, "left").drop(*names).withColumn("matched", F.coalesce("matched", F.lit(0)))
 
 
 def _status() -> Column:

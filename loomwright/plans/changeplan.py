@@ -89,6 +89,20 @@ def reachable(edges: DataFrame) -> DataFrame:
     raise RuntimeError("paths did not settle")
 
 
+def needing(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(comparison_id, id) of the changes that need one of roots (comparison_id, id), at any distance: a walk from the roots, in
+    as many rounds as the longest path has edges."""
+    edges = _kept(edges.select(*_ID, "needs").distinct())
+    front = _kept(roots.select(*_ID).distinct())
+    seen = front.limit(0)
+    while True:
+        nexts = edges.join(front.select("comparison_id", F.col("id").alias("needs")), ["comparison_id", "needs"], "left_semi").select(*_ID).distinct()
+        front = _kept(nexts.join(seen, _ID, "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = _kept(seen.union(front))
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
     """(comparison_id, id) of the changes that need themselves. Changes that need nothing, or that nothing needs, are peeled off
     first, so that paths are only followed where a cycle can be."""
@@ -163,6 +177,8 @@ def select_changes(changes: DataFrame, edges: DataFrame, wanted: DataFrame) -> D
         if now == n:
             break
         n = now
+    else:
+        raise RuntimeError(f"the selection did not settle in {ROUNDS * ROUNDS} rounds")
     return ok.join(selected.withColumn("s", F.lit(True)), _ID, "left").select(*_ID, F.when(F.col("s"), "SELECTED").otherwise("BLOCKED").alias("state"))
 
 
@@ -204,8 +220,7 @@ def label_outcomes(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """steps (comparison_id, id, position, state) with state told for those behind the first that failed: SKIPPED_DEPENDENCY for those
     that need it, at any distance, unless it was cancelled, else SKIPPED_FAIL_FAST."""
     first = steps.where("state <> 'SUCCEEDED'").groupBy("comparison_id").agg(F.min_by(F.struct("position", "id", "state"), "position").alias("f"))
-    far = reachable(edges.select(*_ID, "needs"))
-    hit = far.join(first.select("comparison_id", F.col("f.id").alias("needs")), ["comparison_id", "needs"]).select(*_ID, F.lit(True).alias("hit")).distinct()
+    hit = needing(edges, first.select("comparison_id", F.col("f.id").alias("id"))).withColumn("hit", F.lit(True))
     out = steps.join(first, "comparison_id", "left").join(hit, _ID, "left")
     behind = F.col("position") > F.col("f.position")
     cancelled = F.col("f.state").isin("CANCELLED", "UNKNOWN_AFTER_CANCEL")

@@ -154,10 +154,10 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
     return catalog.snapshot_types(table(spark, d, "customer").select(F.col("c_nationkey").alias("snapshot_id"), F.col("c_mktsegment").alias("type_name"), F.lit("enum").alias("kind"), F.col("c_name").alias("label"), F.lit("").alias("type"), F.col("c_custkey").alias("position")))
 
 
-@query("a16_routine_signatures", "SELECT l_suppkey AS snapshot_id, l_orderkey AS routine_name, '(' || coalesce(string_agg(CASE WHEN l_linestatus = 'O' THEN 'INOUT ' ELSE '' END || l_returnflag, ',' ORDER BY l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'INOUT ' ELSE '' END || l_returnflag) FILTER (l_linenumber > 1 AND l_partkey % 5 <> 0), '') || ')' AS signature FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY ALL")
+@query("a16_routine_signatures", "SELECT l_suppkey AS snapshot_id, l_orderkey AS routine_name, '(' || coalesce(string_agg(CASE WHEN l_linestatus = 'O' THEN 'INOUT ' ELSE '' END || l_returnflag, ',' ORDER BY l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'INOUT ' ELSE '' END || l_returnflag) FILTER (l_linenumber > 1 AND l_partkey % 5 <> 0), '') || ')' AS signature FROM lineitem GROUP BY ALL")
 def a16(spark: SparkSession, d: str) -> DataFrame:
     mode = F.when(F.col("l_partkey") % 5 == 0, "OUT").when(F.col("l_linestatus") == "O", "INOUT").otherwise("IN")
-    rows = table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_suppkey").alias("snapshot_id"), F.col("l_orderkey").alias("routine_name"), (F.col("l_linenumber") - 1).alias("position"), mode.alias("mode"), F.col("l_returnflag").alias("type"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("snapshot_id"), F.col("l_orderkey").alias("routine_name"), (F.col("l_linenumber") - 1).alias("position"), mode.alias("mode"), F.col("l_returnflag").alias("type"))
     return catalog.routine_signatures(rows)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.scalars import escape_dump_string
-from .operators import migration, sqllog
+from .operators import exports, migration, sqllog
 from .registry import query, table
+from .shared import kept
 from .sources import readers
 
 # ---------- sources ----------
@@ -76,19 +79,19 @@ def m2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_columns(spark: SparkSession, d: str, group: str, kind: str, yes: str, no: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_custkey % 5 = 0")
+    o = table(spark, d, "orders")
     return o.select(F.lit("S").alias("owner"), F.concat(F.lit("N"), F.col("o_custkey").cast("string")).alias(group), F.concat(F.lit("T"), (F.col("o_custkey") % 7).cast("string")).alias("table_name"), F.when(F.col("o_custkey") % 2 == 0, yes).otherwise(no).alias(kind), F.col("o_orderkey").alias("position"), F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("column_name"))
 
 
 _LIST = "string_agg('c' || o_orderkey, ', ' ORDER BY o_orderkey)"
 
 
-@query("m3_indexes", f"SELECT 'S' AS owner, 'N' || o_custkey AS index_name, CASE WHEN o_custkey % 2 = 0 THEN 'CREATE UNIQUE INDEX IF NOT EXISTS ' ELSE 'CREATE INDEX IF NOT EXISTS ' END || 'n' || o_custkey || ' ON t' || o_custkey % 7 || ' (' || {_LIST} || ');' AS script FROM orders WHERE o_custkey % 5 = 0 GROUP BY o_custkey")
+@query("m3_indexes", f"SELECT 'S' AS owner, 'N' || o_custkey AS index_name, CASE WHEN o_custkey % 2 = 0 THEN 'CREATE UNIQUE INDEX IF NOT EXISTS ' ELSE 'CREATE INDEX IF NOT EXISTS ' END || 'n' || o_custkey || ' ON t' || o_custkey % 7 || ' (' || {_LIST} || ');' AS script FROM orders GROUP BY o_custkey")
 def m3(spark: SparkSession, d: str) -> DataFrame:
     return migration.index_script(order_columns(spark, d, "index_name", "uniqueness", "UNIQUE", "NONUNIQUE"))
 
 
-@query("m3_constraints", f"SELECT 'S' AS owner, 'N' || o_custkey AS constraint_name, 'ALTER TABLE t' || o_custkey % 7 || chr(10) || '    ADD CONSTRAINT n' || o_custkey || ' PRIMARY KEY (' || {_LIST} || ');' AS script FROM orders WHERE o_custkey % 10 = 0 GROUP BY o_custkey")
+@query("m3_constraints", f"SELECT 'S' AS owner, 'N' || o_custkey AS constraint_name, 'ALTER TABLE t' || o_custkey % 7 || chr(10) || '    ADD CONSTRAINT n' || o_custkey || ' PRIMARY KEY (' || {_LIST} || ');' AS script FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey")
 def m3c(spark: SparkSession, d: str) -> DataFrame:
     return migration.constraint_script(order_columns(spark, d, "constraint_name", "constraint_type", "P", "C"))
 
@@ -221,3 +224,39 @@ def l6(spark: SparkSession, d: str) -> DataFrame:
     shapes = F.array(*map(F.lit, ('get "a b"', " flushall ", "CONFIG set x 1", "xread block 0", "get 'a", "set k it\\'s")))
     out = sqllog.audit_commands(table(spark, d, "events").select("event_id", F.get(shapes, (F.col("event_id") % 6).cast("int")).alias("line")))
     return out.select("event_id", F.array_join("tokens", "|").alias("tokens"), "policy", "error")
+
+
+def _derby(d: str, name: str) -> str:
+    """An embedded database in memory: one for each run, seen by the tasks of a local session alone."""
+    return f"jdbc:derby:memory:{name}{uuid.uuid4().hex};create=true"
+
+
+_DRIVER = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
+def _local(spark: SparkSession) -> None:
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("this query's database is in the memory of one machine")
+
+
+@query("e8_write_jdbc", "SELECT c_custkey, c_name FROM customer")
+def e8(spark: SparkSession, d: str) -> DataFrame:
+    _local(spark)
+    url = _derby(d, "e8")
+    exports.write_jdbc(table(spark, d, "customer").selectExpr("c_custkey as C_CUSTKEY", "c_name as C_NAME"), url, "APP.CUSTOMERS", partitions=4, properties=_DRIVER)
+    return spark.read.format("jdbc").options(url=url, dbtable="APP.CUSTOMERS", **_DRIVER).load().select(F.col("C_CUSTKEY").alias("c_custkey"), F.col("C_NAME").alias("c_name"))
+
+
+@query("s1_scan_table", "SELECT c_custkey, CAST(c_nationkey AS INTEGER) AS c_nationkey FROM customer")
+def s1(spark: SparkSession, d: str) -> DataFrame:
+    _local(spark)
+    url, rows = _derby(d, "s1"), table(spark, d, "customer").selectExpr("c_custkey as C_CUSTKEY", "cast(c_nationkey as int) as C_NATIONKEY")
+    exports.write_jdbc(rows, url, "APP.CUSTOMERS", partitions=4, properties=_DRIVER)
+    bounds = rows.agg(F.min("C_CUSTKEY"), F.max("C_CUSTKEY")).first()
+    return readers.scan_table(spark, url, "APP.CUSTOMERS", "C_CUSTKEY", tuple(bounds), 4, properties=_DRIVER).select(F.col("C_CUSTKEY").alias("c_custkey"), F.col("C_NATIONKEY").alias("c_nationkey"))
+
+
+@query("s5_scan_keyspace", "SELECT 'orders:' || o_orderpriority || ':' || o_orderkey AS key FROM orders WHERE o_orderpriority LIKE '1%'")
+def s5(spark: SparkSession, d: str) -> DataFrame:
+    keys = kept(table(spark, d, "orders").select(F.concat_ws(":", F.lit("orders"), "o_orderpriority", F.col("o_orderkey").cast("string")).alias("key")), "keys")
+    return readers.scan_keyspace(spark, keys.inputFiles()[0].rsplit("/", 1)[0], "orders:1*").select("key")

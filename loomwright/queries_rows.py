@@ -30,10 +30,10 @@ def b3(spark: SparkSession, d: str) -> DataFrame:
     return browse.count_rows(table(spark, d, "orders"), "o_orderstatus = 'F'")
 
 
-@query("b4_sort_nulls", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders ORDER BY status DESC NULLS FIRST, o_orderkey NULLS LAST LIMIT 500")
+@query("b4_sort_nulls", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders ORDER BY status DESC NULLS FIRST, o_orderkey NULLS LAST")
 def b4(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("status"))
-    return browse.sort_by(df, [("status", False), ("o_orderkey", True)]).limit(500)
+    return browse.sort_by(df, [("status", False), ("o_orderkey", True)])
 
 
 @query("b5_number_rows", "SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey NULLS LAST) + 10 AS row_no FROM orders")
@@ -133,7 +133,7 @@ _ESC = "'''' || replace(replace(replace(replace(replace(text, '\\', '\\\\'), '''
 @query("f7_migration_literal", f"SELECT c.conv_id, c.turn, {_ESC} AS clob, CASE WHEN turn % 2 = 0 THEN 'FALSE' ELSE 'TRUE' END AS flag, CAST(turn AS VARCHAR) AS num, CASE WHEN octet_length(encode(text)) > 10000 THEN 'NULL' ELSE '''\\x' || lower(hex(encode(text))) || '''::bytea' END AS blob FROM conversations c")
 def f7(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "conversations")
-    return df.select("conv_id", "turn", S.migration_literal("text", "string", "CLOB").alias("clob"), S.migration_literal(F.col("turn") % 2, "bigint", "NUMBER", 1, 0, True).alias("flag"), S.migration_literal("turn", "bigint", "NUMBER", 10, 0).alias("num"), S.migration_literal(F.col("text").cast("binary"), "binary", "BLOB").alias("blob"))
+    return df.select("conv_id", "turn", S.migration_literal("text", "string", "CLOB", most_text=50_000).alias("clob"), S.migration_literal(F.col("turn") % 2, "bigint", "NUMBER", 1, 0, True).alias("flag"), S.migration_literal("turn", "bigint", "NUMBER", 10, 0).alias("num"), S.migration_literal(F.col("text").cast("binary"), "binary", "BLOB", most_bytes=10_000).alias("blob"))
 
 
 @query("f8_dump_string", f"SELECT conv_id, turn, {_ESC} AS escaped, text AS back FROM conversations")
