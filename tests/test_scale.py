@@ -44,3 +44,43 @@ def test_csv_files_have_one_header_each(spark, tmp_path):
         assert lines[0] == "﻿id,t" and lines[-1] == "" and not any("id" in x for x in lines[1:])
         seen += [int(x.split(",")[0]) for x in lines[1:-1]]
     assert sorted(seen) == list(range(4000)) and not os.path.exists(f"{path}/part")
+
+
+def test_order_of_changes_is_the_plain_one(spark):
+    """Of the changes whose needs are placed, the least by (drop, rank, key, id) comes next; what is in a cycle comes last."""
+    import random
+
+    from loomwright.plans import changeplan
+
+    rng, rows, edges = random.Random(4), [], []
+    kinds, types = ["CREATE", "ALTER", "DROP"], ["TABLE", "INDEX", "VIEW", "SEQUENCE", "TRIGGER"]
+    for c in range(3):
+        ids = [f"c{c}-{i:02d}" for i in range(40)]
+        rows += [(c, i, rng.choice(kinds), rng.choice(types), f"k{rng.randrange(12)}") for i in ids]
+        edges += [(c, ids[b], ids[a]) for a, b in (sorted(rng.sample(range(40), 2)) for _ in range(50))] + [(c, ids[3], ids[5]), (c, ids[5], ids[3])]
+    want = set()
+    for c in range(3):
+        def key(r):
+            rank = changeplan.RANKS[r[3]]
+            return (r[2] == "DROP", -rank if r[2] == "DROP" else rank, r[4], r[1])
+
+        left, placed = {r[1]: r for r in rows if r[0] == c}, []
+        while left:
+            ready = [r for i, r in left.items() if not any(e[0] == c and e[1] == i and e[2] in left and e[2] != i for e in edges)]
+            for r in [min(ready, key=key)] if ready else sorted(left.values(), key=key):
+                placed.append(left.pop(r[1])[1])
+        want |= {(c, i, n + 1) for n, i in enumerate(placed)}
+    changes = spark.createDataFrame(rows, "comparison_id int, id string, kind string, object_type string, object_key string")
+    out = changeplan.order_changes(changes, spark.createDataFrame(edges, "comparison_id int, id string, needs string"))
+    assert {(r.comparison_id, r.id, r.position) for r in out.collect()} == want
+
+
+def test_a_selection_that_does_not_settle_is_an_error(spark, monkeypatch):
+    from loomwright.plans import changeplan
+
+    monkeypatch.setattr(changeplan, "ROUNDS", 1)
+    ids = [f"x{i}" for i in range(5)]
+    changes = spark.createDataFrame([(1, i, "ALTER", "SAFE_AUTOMATIC") for i in ids], "comparison_id int, id string, kind string, automation string")
+    edges = spark.createDataFrame([(1, a, b) for a, b in zip(ids, [*ids[1:], "gone"], strict=True)], "comparison_id int, id string, needs string")
+    with pytest.raises(RuntimeError):
+        changeplan.select_changes(changes, edges, changes.select("comparison_id", "id"))
