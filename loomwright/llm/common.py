@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,23 +12,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+
 #: Rows in an Arrow batch of texts; a batch is cut further by bytes inside the tasks.
 TEXT_ROWS = 1000
 
 
-_own: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, one of our own (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not folder:
-        folder = _own[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return re.sub("^file:/+", "file:///", folder).rstrip("/")
+    """The folder that driver and executors share, as a URL with a scheme that pyarrow and Hadoop both read."""
+    return re.sub("^file:/+", "file:///", shared_folder(spark))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -7,7 +7,8 @@ character, are a priority queue of (character, time of entry); beyond a byte bud
 of the task. Every entry carries its common-prefix length with its queue's previous entry: one more than the least
 value scanned since that entry. The stars' substrings,
 from each to the next, are ranked by direct comparison, their ranks make a shorter text, and the procedure recurs on
-that; a text of too many characters to scan is ranked by doubling instead."""
+that; a text of too many characters to scan is ranked by doubling instead. The text and the orders are in memory; only
+the queues spill."""
 
 from __future__ import annotations
 
