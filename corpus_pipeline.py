@@ -18,27 +18,37 @@ def _edited(found: DataFrame, docs: DataFrame, changed: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the weak-label scorer rejects."""
+    """Drops the documents that the weak-label scorer rejects.
+
+    Null and empty texts are judged like any other and stay; repeated rows are judged alike; an empty table gives none."""
     return quality.classify(docs, quality.train(docs)).where("accepted").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near duplicates: that of the smallest doc_id, a null as the smallest."""
+    """Keeps one row of each group of near duplicates: that of the smallest doc_id, a null as the smallest.
+
+    Rows are told apart by doc_id and text; null, empty and blank texts are one group; an empty table gives no rows."""
     return simhash.without_near_duplicates(docs)
 
 
 def paragraph_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts paragraphs that repeat an earlier one out of the texts."""
+    """Cuts paragraphs that repeat an earlier one out of the texts.
+
+    Null texts stay null, repeated rows lose the same paragraphs, emptied documents stay; an empty table gives no rows."""
     return _edited(paragraphs.dedup_paragraphs(docs), docs, "n_removed > 0")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
+    """Drops the documents that hold a window of a benchmark item.
+
+    Null and empty texts hold none; repeated rows go or stay together; empty tables give no rows, or drop none."""
     return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left, each source in proportion to its tokens."""
+    """Packs what is left, each source in proportion to its tokens.
+
+    A null text is an end id alone, a null source is a source, repeated rows are packed each; an empty table gives no rows."""
     return packing.pack(docs, tokenizer())
 
 
