@@ -2,68 +2,226 @@
 
 A suffix is of type S if it is smaller than the next suffix, else L; a star is an S after an L. Sorted stars induce
 the order of all L suffixes in one ascending scan, and these that of all S suffixes in one descending scan: the
-suffix before the one scanned joins the queue of its first character. The queues, taken in the order of their
-character, are a priority queue of (character, time of entry); beyond a byte budget their parts go to a scratch file
-of the task. Every entry carries its common-prefix length with its queue's previous entry: one more than the least
-value scanned since that entry. The stars' substrings,
-from each to the next, are ranked by direct comparison, their ranks make a shorter text, and the procedure recurs on
-that; a text of too many characters to scan is ranked by doubling instead. The text and the orders are in memory; only
-the queues spill."""
+suffix before the one scanned joins the queue of its first character. Every entry carries its common-prefix length with
+its queue's previous entry: one more than the least value scanned since that entry.
+
+The queues make a priority queue of (character, time of entry). Characters share a page while they are rare, and pages
+a group; a page that is reached is put in order, and scanned as far as nothing that it induces into itself must come first. So
+a text may have any number of characters. The stars' substrings, from each to the next, are ranked, their ranks make a
+shorter text, and the procedure recurs on that; the prefixes found there, in ranks, tell where the comparison of two stars starts.
+
+Tuples (position, prefix) of queues, of the L suffixes and of the stars are streams: beyond a byte budget they go to
+files in a folder that a task is given. In memory are the text, the types and runs of its suffixes (two bytes each), and the
+stars' positions and ranks."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
-
+from pyarrow import fs
 
 #: Common prefixes are told up to this length.
 MOST = 255
 CHUNK = 1 << 16
-#: A reduced text of more characters than this is ranked by doubling.
-ALPHABET = 1024
+#: Pages of more than one character hold about so many suffixes, or the root of the text's length.
+LEAST_PAGE = 256
+#: A group holds the entries of about so many pages.
+GROUP = 64
+
+Tuples = tuple[np.ndarray, np.ndarray]
 
 
-class BucketQueue:
-    """FIFO queues of (position, prefix) by character. What exceeds the budget is written to an anonymous file that
-    ends with the task and is never read by another."""
+class Disk:
+    """Keeps the tuples of a sort in memory up to a budget of bytes, beyond it in files of a folder of its own (a URL)."""
 
-    def __init__(self, characters: int, budget: int):
-        self.parts: list[list] = [[] for _ in range(characters)]
-        self.held, self.budget, self.file = 0, budget, None
+    def __init__(self, folder: str, budget: int):
+        self.folder, self.budget, self.held, self.written = f"{folder}/{uuid.uuid4().hex}", budget, 0, 0
+        self.spools: set[Spool] = set()
+        self.store, self.files = None, {}
 
-    def push(self, c: int, position: np.ndarray, prefix: np.ndarray) -> None:
-        self.parts[c].append((position, prefix))
-        self.held += position.nbytes + prefix.nbytes
+    def grown(self, n: int) -> None:
+        self.held += n
         if self.held > self.budget:
             self._spill()
 
     def _spill(self) -> None:
-        self.file = self.file or tempfile.TemporaryFile()
-        for parts in self.parts:
-            for i, part in enumerate(parts):
-                if isinstance(part[0], np.ndarray):
-                    self.file.seek(0, 2)
-                    at = self.file.tell()
-                    self.file.write(part[0].tobytes())
-                    self.file.write(part[1].tobytes())
-                    parts[i] = (at, len(part[0]))
+        if self.store is None:
+            self.store, self.folder = fs.FileSystem.from_uri(self.folder)
+            self.store.create_dir(self.folder)
+        path, at = f"{self.folder}/{len(self.files)}", 0
+        with self.store.open_output_stream(path) as out:
+            for spool in self.spools:
+                if spool.fresh:
+                    position, prefix = _joined(spool.fresh)
+                    out.write(position.tobytes())
+                    out.write(prefix.tobytes())
+                    spool.old.append((path, at, len(position)))
+                    spool.fresh.clear()
+                    at += 9 * len(position)
+        self.files[path] = self.store.open_input_file(path)
+        self.written += at
         self.held = 0
 
-    def pop(self, c: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """The oldest part of a character's queue."""
-        if not self.parts[c]:
-            return None
-        first, second = self.parts[c].pop(0)
-        if isinstance(first, np.ndarray):
-            self.held -= first.nbytes + second.nbytes
-            return first, second
-        self.file.seek(first)
-        return np.frombuffer(self.file.read(8 * second), np.int64), np.frombuffer(self.file.read(second), np.uint8)
+    def read(self, path: str, at: int, n: int, some: slice) -> Tuples:
+        file, (a, z, _) = self.files[path], some.indices(n)
+        file.seek(at + 8 * a)
+        position = np.frombuffer(file.read(8 * (z - a)), np.int64)
+        file.seek(at + 8 * n + a)
+        return position, np.frombuffer(file.read(z - a), np.uint8)
+
+    def __enter__(self) -> Disk:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for file in self.files.values():
+            file.close()
+        if self.store is not None:
+            self.store.delete_dir(self.folder)
+
+
+def _joined(parts: list[Tuples] | deque) -> Tuples:
+    if len(parts) == 1:
+        return parts[0]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
+
+
+class Spool:
+    """Tuples in the order of their entry: written parts, then those in memory."""
+
+    def __init__(self, disk: Disk):
+        self.disk, self.old, self.fresh = disk, deque(), deque()
+        disk.spools.add(self)
+
+    def add(self, position: np.ndarray, prefix: np.ndarray) -> None:
+        if len(position):
+            self.fresh.append((position, prefix))
+            self.disk.grown(9 * len(position))
+
+    def some(self) -> Tuples | None:
+        """The oldest tuples, about CHUNK of them."""
+        if self.old:
+            path, at, n = self.old.popleft()
+            if n <= 2 * CHUNK:
+                return self.disk.read(path, at, n, slice(None))
+            self.old.appendleft((path, at, n))
+            return self._slice()
+        parts, n = [], 0
+        while self.fresh and n < CHUNK:
+            parts.append(self.fresh.popleft())
+            n += len(parts[-1][0])
+        self.disk.held -= 9 * n
+        return _joined(parts) if parts else None
+
+    _begun = 0
+
+    def _slice(self) -> Tuples:
+        path, at, n = self.old[0]
+        a, z = self._begun, min(self._begun + CHUNK, n)
+        self._begun = z
+        if z == n:
+            self.old.popleft()
+            self._begun = 0
+        return self.disk.read(path, at, n, slice(a, z))
+
+    def backwards(self) -> Iterator[Tuples]:
+        """All tuples, the latest first; a prefix is told with the one that comes before it in this direction."""
+        carried = np.zeros(1, np.uint8)
+        for position, prefix in self._from_the_end():
+            yield position[::-1], np.concatenate([carried, prefix[:0:-1]])
+            carried = prefix[:1]
+        self.close()
+
+    def _from_the_end(self) -> Iterator[Tuples]:
+        while self.fresh or self.old:
+            parts, n = [], 0
+            while self.fresh and n < CHUNK:
+                parts.append(self.fresh.pop())
+                n += len(parts[-1][0])
+            if parts:
+                self.disk.held -= 9 * n
+                yield _joined(parts[::-1])
+                continue
+            path, at, n = self.old.pop()
+            for z in range(n, 0, -CHUNK):
+                yield self.disk.read(path, at, n, slice(max(z - CHUNK, 0), z))
+
+    def close(self) -> None:
+        self.disk.spools.discard(self)
+
+
+class PageQueue:
+    """FIFO queues of pages, which are reached in order. Entries of pages not reached wait with their group."""
+
+    def __init__(self, weight: np.ndarray, heavy: np.ndarray, least: int, disk: Disk):
+        self.disk = disk
+        self.group = _numbered(weight, heavy, least * GROUP)
+        self.alone = np.bincount(self.group) == 1
+        self.groups = [Spool(disk) for _ in self.alone]
+        self.reached, self.pages = -1, {}
+
+    def push(self, page: np.ndarray, position: np.ndarray, prefix: np.ndarray) -> None:
+        """page: in order, none before the one reached."""
+        group = self.group[page]
+        own = int(np.searchsorted(group, self.reached, "right"))
+        if own and not self.alone[self.reached]:
+            for a, z in _edges(page[:own]):
+                p = int(page[a])
+                if p not in self.pages:
+                    self.pages[p] = Spool(self.disk)
+                self.pages[p].add(position[a:z], prefix[a:z])
+        else:
+            own = 0
+        for a, z in _edges(group[own:]):
+            self.groups[group[own + a]].add(position[own + a : own + z], prefix[own + a : own + z])
+
+    def reach(self, page: int, page_of) -> None:
+        g = int(self.group[page])
+        if g == self.reached:
+            return
+        self.reached = g
+        for spool in self.pages.values():
+            spool.close()
+        self.pages = {}
+        if not self.alone[g]:
+            parts = []
+            while (part := self.groups[g].some()) is not None:
+                parts.append(part)
+            if parts:
+                position, prefix = _joined(parts)
+                page = page_of(position)
+                order = np.argsort(page, kind="stable")
+                self.push(page[order], position[order], prefix[order])
+
+    def some(self, page: int) -> Tuples | None:
+        g = self.group[page]
+        spool = self.groups[g] if self.alone[g] else self.pages.get(page)
+        return spool.some() if spool else None
+
+    def empty(self, page: int) -> bool:
+        g = self.group[page]
+        spool = self.groups[g] if self.alone[g] else self.pages.get(page)
+        return not spool or not (spool.old or spool.fresh)
 
     def close(self) -> None:
-        if self.file:
-            self.file.close()
+        for spool in [*self.groups, *self.pages.values()]:
+            spool.close()
+
+
+def _edges(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal numbers."""
+    if not len(x):
+        return iter(())
+    cuts = (np.flatnonzero(x[1:] != x[:-1]) + 1).tolist()
+    return zip([0, *cuts], [*cuts, len(x)], strict=True)
+
+
+def _numbered(weight: np.ndarray, heavy: np.ndarray, most: int) -> np.ndarray:
+    """Neighbours share a number while they weigh about `most`; heavy ones are alone."""
+    at = (np.cumsum(weight) - weight) // most
+    return np.cumsum(np.concatenate([[False], (at[1:] != at[:-1]) | heavy[1:] | heavy[:-1]]))
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -81,128 +239,166 @@ def _runs(text: np.ndarray) -> np.ndarray:
     """How long each suffix's run of its first character is, up to MOST."""
     n = len(text)
     ends = np.flatnonzero(np.concatenate([text[:-1] != text[1:], [True]]))
-    return np.minimum(ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1, MOST).astype(np.uint8)
+    return np.minimum(np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n) + 1, MOST).astype(np.uint8)
 
 
 class _Scan:
-    """One induction. ascending: L suffixes from stars; descending: S suffixes from L suffixes."""
-
-    def __init__(self, text: np.ndarray, kind: np.ndarray, characters: int, ascending: bool, budget: int):
-        self.text, self.kind, self.up = text, kind, ascending
-        self.queue = BucketQueue(characters, budget)
-        self.since = np.zeros(characters, np.uint8)  # least value scanned since a queue's last entry; 0 before the first
-
-    def feed(self, position: np.ndarray, prefix: np.ndarray) -> None:
-        """Scans suffixes in order and queues those before them. prefix: with the suffix scanned before."""
-        before = position - 1
-        chars = self.text[before]
-        own = self.kind[before] != self.up  # L when ascending, S when descending
-        own &= position > 0
-        picked = np.flatnonzero(own)
-        least = prefix.min(initial=MOST)
-        order = picked[np.argsort(chars[picked], kind="stable")]
-        groups = np.flatnonzero(np.concatenate([[True], np.diff(chars[order]) != 0])) if len(order) else np.zeros(0, np.int64)
-        met = []
-        for a, z in zip(groups.tolist(), [*groups[1:].tolist(), len(order)], strict=True) if len(order) else ():
-            at = order[a:z]
-            c = int(chars[at[0]])
-            # Least values of the stretches between picked entries: before the first, and after the last.
-            stretches = np.concatenate([[0], at[:-1] + 1])
-            values = np.minimum.reduceat(prefix[: at[-1] + 1], stretches)
-            values[0] = min(values[0], self.since[c])
-            prefixes = np.minimum(values.astype(np.int16) + 1, MOST).astype(np.uint8)
-            if not self.seen[c]:
-                prefixes[0] = 0
-            self.queue.push(c, before[at], prefixes)
-            self.seen[c] = True
-            met.append((c, int(prefix[at[-1] + 1 :].min(initial=MOST))))
-        np.minimum(self.since, least, out=self.since)
-        for c, value in met:
-            self.since[c] = value
-
-
-def _induce(text: np.ndarray, kind: np.ndarray, runs: np.ndarray, characters: int, stars: list[tuple[np.ndarray, np.ndarray]], budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in order, and their prefixes with the one before. stars: by character, in order, with prefixes."""
-    up = _Scan(text, kind, characters, True, budget)
-    up.seen = np.zeros(characters, bool)
-    large: list[tuple[np.ndarray, np.ndarray]] = []
-    last_of = -1
-    empty = np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    for c in range(characters):
-        parts, last_of = [], -1
-        while (part := up.queue.pop(c)) is not None:
-            for at in range(0, len(part[0]), CHUNK):
-                some = part[0][at : at + CHUNK], part[1][at : at + CHUNK]
-                up.feed(*some)
-                parts.append(some)
-                last_of = int(some[0][-1])
-        large.append(tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty)
-        position, prefix = stars[c]
-        if len(position):
-            prefix = prefix.copy()
-            prefix[0] = min(runs[last_of], runs[position[0]]) if last_of >= 0 else 0
-            for at in range(0, len(position), CHUNK):
-                up.feed(position[at : at + CHUNK], prefix[at : at + CHUNK])
-    up.queue.close()
-    down = _Scan(text, kind, characters, False, budget)
-    down.seen = np.zeros(characters, bool)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for c in range(characters - 1, -1, -1):
+    """One induction over a stream of given tuples in order (stars ascending, L suffixes descending): an iterator of (position,
+    prefix, queued) of all that is scanned, in order, a prefix told with the suffix before. Characters count from the
+    scan's start: in a descending scan the largest is 0."""
+
+    def __init__(self, text: np.ndarray, kind: np.ndarray, runs: np.ndarray, characters: int, given: Iterator[Tuples], up: bool, disk: Disk):
+        self.text, self.kind, self.runs, self.top, self.up = text, kind, runs, characters - 1, up
+        self.given, self.ahead = given, None
+        weight = np.bincount(text, minlength=characters)
+        weight = weight if up else weight[::-1]
+        least = max(LEAST_PAGE, int(len(text) ** 0.5))
+        heavy = weight > least
+        self.page = _numbered(weight, heavy, least)
+        self.starts = np.append(np.flatnonzero(np.diff(self.page, prepend=-1)), characters)
+        self.queue = PageQueue(np.add.reduceat(weight, self.starts[:-1]), heavy[self.starts[:-1]], least, disk)
+        self.since = np.zeros(characters, np.uint8)  # least value scanned since a queue's last entry
+        self.seen = np.zeros(characters, bool)
+        self.key, self.last = np.array([-2]), -1  # character (twice, one more if given) and position of what was scanned last
+
+    def code(self, position: np.ndarray) -> np.ndarray:
+        return self.text[position].astype(np.int64) if self.up else self.top - self.text[position].astype(np.int64)
+
+    def _given_below(self, character: int) -> Iterator[Tuples]:
+        while True:
+            if self.ahead is None:
+                position, prefix = next(self.given, (None, None))
+                if position is None:
+                    return
+                self.ahead = position, prefix, self.code(position)
+            position, prefix, codes = self.ahead
+            k = int(np.searchsorted(codes, character))
+            self.ahead = (position[k:], prefix[k:], codes[k:]) if k < len(position) else None
+            if k:
+                yield position[:k], prefix[:k]
+            if self.ahead is not None:
+                return
+
+    def _run(self, position: int, prefix: int) -> Tuples:
+        """The one suffix in a character's queue and those that it induces there: the run of the character before it."""
+        c, start = self.text[position], position
+        while start and self.text[start - 1] == c:
+            before = self.text[max(start - CHUNK, 0) : start][::-1] != c
+            start -= int(np.argmax(before)) if before.any() else len(before)
+        first = min(prefix, int(self.since[self.code(np.array([position]))[0]]))
+        steps = np.minimum(first + np.arange(1, position - start + 1), MOST).astype(np.uint8)
+        return np.arange(position, start - 1, -1), np.append(np.uint8(prefix), steps)
+
+    def _feed(self, position: np.ndarray, prefix: np.ndarray, key: np.ndarray, run: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scans suffixes and queues those before them; of a run, that before its start. key: twice the character, one more where
+        given; a single key is that of all."""
+        prefix = prefix.copy()
+        # A character's first has nothing in common with the one before; where queued ones meet given ones, runs decide.
+        before = np.concatenate([self.key, key[:-1]])
+        changed = np.flatnonzero(before != key)
+        prefix[changed] = 0
+        meets = changed[before[changed] >> 1 == key[changed] >> 1]
+        prefix[meets] = np.minimum(self.runs[position[meets]], self.runs[np.where(meets > 0, position[meets - 1], self.last)])
+        self.key, self.last = key[-1:], int(position[-1])
+        queued = np.broadcast_to(key & 1 == 0, position.shape)
+        if run:
+            picked = np.flatnonzero(position[-1:] > 0) + len(position) - 1
+            picked = picked[self.kind[position[picked] - 1] != self.up]
+        else:
+            picked = np.flatnonzero((position > 0) & (self.kind[position - 1] != self.up))
+        target = self.code(position[picked] - 1)
+        order = np.argsort(target, kind="stable")
+        at, target = picked[order], target[order]
+        low, high = int(key[0]) >> 1, None
+        if len(at):
+            first = np.append(True, target[1:] != target[:-1])
+            least = _least(prefix, np.append(0, at[:-1] + 1), at, first)
+            least[first] = np.minimum(np.minimum.accumulate(prefix)[at[first]], self.since[target[first]])
+            least = np.minimum(least, MOST - 1) + np.uint8(1)
+            least[first & ~self.seen[target]] = 0
+            self.queue.push(self.page[target], position[at] - 1, least)
+            closes = np.append(first[1:], True)
+            high = np.append(np.minimum.accumulate(prefix[::-1])[::-1], np.uint8(MOST))[at[closes] + 1]
+        np.minimum(self.since[low:], prefix.min(), out=self.since[low:])
+        if run:
+            self.since[low] = prefix[-1]
+        if len(at):
+            self.since[target[closes]] = high
+            self.seen[target[closes]] = True
+        return position, prefix, queued
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for page, (start, end) in enumerate(zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True)):
+            self.queue.reach(page, lambda position: self.page[self.code(position)])
+            if end - start > 1:
+                yield from self._mixed(page, end)
+                continue
+            while (part := self.queue.some(page)) is not None:
+                run = len(part[0]) == 1 and self.queue.empty(page)
+                yield self._feed(*(self._run(int(part[0][0]), int(part[1][0])) if run else part), np.array([2 * start]), run)
+            for part in self._given_below(end):
+                yield self._feed(*part, np.array([2 * start + 1]))
+        self.queue.close()
+
+    def _entered(self, page: int) -> Tuples:
         parts = []
-        while (part := down.queue.pop(c)) is not None:
-            for at in range(0, len(part[0]), CHUNK):
-                some = part[0][at : at + CHUNK], part[1][at : at + CHUNK]
-                down.feed(*some)
-                parts.append(some)
-        small = tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
-        position, prefix = large[c]
-        # Descending: a prefix is shared with the suffix scanned before, which is the next larger one.
-        if len(position):
-            turned = np.concatenate([[0], prefix[:0:-1]]).astype(np.uint8)
-            if len(small[0]):
-                turned[0] = min(runs[small[0][-1]], runs[position[-1]])
-            order = position[::-1]
-            for at in range(0, len(order), CHUNK):
-                down.feed(order[at : at + CHUNK], turned[at : at + CHUNK])
-        if c == 0:  # the last suffix has no successor: it is the smallest, and enters last of all
-            small = np.append(small[0], len(text) - 1), np.append(small[1], np.uint8(0))
-        # Ascending again: the L suffixes, then the S suffixes.
-        s_position, s_prefix = small[0][::-1], np.concatenate([[0], small[1][:0:-1]]).astype(np.uint8) if len(small[0]) else small[1]
-        if len(s_position) and len(position):
-            s_prefix = s_prefix.copy()
-            s_prefix[0] = min(runs[position[-1]], runs[s_position[0]])
-        out.append((np.concatenate([position, s_position]), np.concatenate([prefix, s_prefix])))
-    down.queue.close()
-    return tuple(np.concatenate(x) for x in zip(*out[::-1], strict=True))
-
-
-def _doubling(text: np.ndarray) -> np.ndarray:
-    """Suffix array by ranks of prefixes of doubled length."""
-    n, width = len(text), 1
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[:-width or None] = rank[width:]
-        key = rank * (n + 1) + after + 1
+        while (part := self.queue.some(page)) is not None:
+            parts.append(part)
+        return _joined(parts)
+
+    def _mixed(self, page: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """A page of several characters: of each, queued suffixes come before given ones."""
+        position, prefix = self._entered(page)
+        told = _joined(list(self._given_below(end)))
+        key = np.concatenate([2 * self.code(position), 2 * self.code(told[0]) + 1])
+        position, prefix = np.concatenate([position, told[0]]), np.concatenate([prefix, told[1]])
         order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        if fresh[-1] == n - 1 or width >= n:
-            return order
-        rank[order] = fresh
-        width *= 2
+        key, position, prefix = key[order], position[order], prefix[order]
+        none = 2 * end
+        while len(key):
+            # What is induced into this page comes behind the queued ones of its character: up to there the order is final.
+            target = np.where((position > 0) & (self.kind[position - 1] != self.up), 2 * self.code(position - 1), none)
+            late = key[1:] > np.minimum.accumulate(target)[:-1]
+            n = int(np.argmax(late)) + 1 if late.any() else len(key)
+            if n == 1 and target[0] == key[0]:
+                yield self._feed(*self._run(int(position[0]), int(prefix[0])), key[:1], True)
+            else:
+                yield self._feed(position[:n], prefix[:n], key[:n])
+            key, position, prefix = key[n:], position[n:], prefix[n:]
+            more = self._entered(page)
+            if len(more[0]):
+                key = np.concatenate([key, 2 * self.code(more[0])])
+                order = np.argsort(key, kind="stable")
+                key, position, prefix = key[order], np.concatenate([position, more[0]])[order], np.concatenate([prefix, more[1]])[order]
+
+
+def _least(values: np.ndarray, a: np.ndarray, z: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """The least of values[a] to values[z], both included, by spans whose lengths are powers of two; anything where skip is set."""
+    out = values[z]
+    size = np.where(skip, 1, z - a + 1)
+    level = np.frexp(size)[1] - 1
+    table, span = values, 1
+    for k in range(1, int(level.max(initial=0)) + 1):
+        table = np.minimum(table[:-span], table[span:])
+        span *= 2
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[a[at]], table[z[at] - span + 1])
+    return out
 
 
 def _star_names(text: np.ndarray, kind: np.ndarray, star: np.ndarray) -> np.ndarray:
     """Ranks of the stars' substrings by (character, type), equal ones alike. None is a proper beginning of another: an S
-    after an L ends each. Blocks of five characters are compared at a time, and only those still equal go on."""
-    n, wide = len(text), 5
+    after an L ends each. Some characters, as many as 64 bits hold, are compared at a time, and only those still equal go on."""
+    n = len(text)
+    bits = int(text.max()).bit_length() + 2
+    wide = 64 // bits
     coded = np.concatenate([text.astype(np.uint64) * np.uint64(2) + kind + np.uint64(1), np.zeros(wide, np.uint64)])
-    size = np.concatenate([star[1:] - star[:-1] + 1, [n - star[-1]]]) if len(star) else star
+    size = np.append(np.diff(star) + 1, n - star[-1])
     names, live, at = np.zeros(len(star), np.int64), np.arange(len(star)), 0
     while len(live):
         key = np.zeros(len(live), np.uint64)
         for k in range(at, at + wide):
-            key = (key << np.uint64(12)) | np.where(k < size[live], coded[np.minimum(star[live] + k, n)], np.uint64(0))
+            key = (key << np.uint64(bits)) | np.where(k < size[live], coded[np.minimum(star[live] + k, n)], np.uint64(0))
         order = np.lexsort((key, names[live])) if at else np.argsort(key, kind="stable")
         place, group, key = live[order], names[live[order]], key[order]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
@@ -214,44 +410,65 @@ def _star_names(text: np.ndarray, kind: np.ndarray, star: np.ndarray) -> np.ndar
         at += wide
         alone = fresh & np.append(fresh[1:], True)
         live = place[~alone & (size[place] > at)]
-    return np.unique(names, return_inverse=True)[1].astype(np.int64)
-
-
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths, up to MOST, of the common prefixes of suffixes a and b."""
-    out, live = np.zeros(len(a), np.uint8), np.arange(len(a))
-    for k in range(MOST):
-        x, y = a[live] + k, b[live] + k
-        ok = (x < len(text)) & (y < len(text))
-        live, x, y = live[ok], x[ok], y[ok]
-        live = live[text[x] == text[y]]
-        if not len(live):
-            break
-        out[live] = k + 1
-    return out
+    used = np.zeros(len(star), bool)
+    used[names] = True
+    return (np.cumsum(used) - 1)[names]
 
 
-def sort_suffixes(text: np.ndarray, characters: int, budget: int = 256 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(order, prefix): the suffixes of text in order, and the length, up to MOST, of the prefix that each has in common
-    with the one before. text: numbers under `characters`, the last of which is 0 and occurs nowhere else."""
-    n = len(text)
-    if n <= 2:
-        return np.arange(n)[::-1].astype(np.int64), np.zeros(n, np.uint8)
-    kind, runs = _types(text), _runs(text)
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Lengths, up to MOST, of the common prefixes of suffixes a and b, of which `known` characters agree."""
+    out = np.minimum(known, MOST)
+    live = np.flatnonzero(out < MOST)
+    while len(live):
+        x, y = a[live] + out[live], b[live] + out[live]
+        live = live[text[np.minimum(x, len(text) - 1)] == text[np.minimum(y, len(text) - 1)]]
+        out[live] += 1
+        live = live[out[live] < MOST]
+    return out.astype(np.uint8)
+
+
+def _sorted_stars(text: np.ndarray, kind: np.ndarray, disk: Disk) -> Iterator[Tuples]:
+    """The stars in order, with the prefix that each has in common with the one before."""
     star = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
     names = _star_names(text, kind, star)
-    distinct = int(names.max(initial=-1)) + 1
+    distinct = int(names.max()) + 1
+    ranked = Spool(disk)
     if distinct == len(star):
-        ranked = np.argsort(names)
-    elif distinct < ALPHABET:
-        ranked = sort_suffixes(np.append(names + 1, 0), distinct + 1, budget)[0][1:]
+        ranked.add(np.argsort(names)[::-1], np.zeros(len(star), np.uint8))
     else:
-        ranked = _doubling(names)
-
-    def by_character(position: np.ndarray, prefix: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        edges = np.searchsorted(text[position], np.arange(characters + 1))
-        return [(position[a:z], prefix[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
-
-    ordered = star[ranked]
-    prefix = np.concatenate([[0], common_prefix(text, ordered[:-1], ordered[1:])]).astype(np.uint8)
-    return _induce(text, kind, runs, characters, by_character(ordered, prefix), budget)
+        for part in suffixes_descending(names, distinct, disk):  # the last star is the end itself: the least name, alone
+            ranked.add(*part)
+    del names
+    before = 0
+    for place, shared in ranked.backwards():
+        a, b = star[np.append(before, place[:-1])], star[place]
+        # Names that agree: all characters up to the first star that differs.
+        known = star[np.minimum(place + shared, len(star) - 1)] - b
+        known[shared == MOST] = MOST
+        prefix = common_prefix(text, a, b, known)
+        before = int(place[-1])
+        yield b, prefix
+
+
+def suffixes_descending(text: np.ndarray, characters: int, disk: Disk) -> Iterator[Tuples]:
+    """(position, prefix), in parts: the suffixes of text from the largest on, and the length, up to MOST, of the prefix that
+    each has in common with the one before in this order. text: numbers under `characters`, the last of which is 0 and occurs
+    nowhere else."""
+    if len(text) > 1:
+        kind, runs = _types(text), _runs(text)
+        large = Spool(disk)
+        for position, prefix, queued in _Scan(text, kind, runs, characters, _sorted_stars(text, kind, disk), True, disk):
+            if queued.all():
+                large.add(position, prefix)
+            elif queued.any():
+                large.add(position[queued], prefix[queued])
+        for position, prefix, _ in _Scan(text, kind, runs, characters, large.backwards(), False, disk):
+            yield position, prefix
+    yield np.array([len(text) - 1]), np.zeros(1, np.uint8)
+
+
+def sort_suffixes(text: np.ndarray, characters: int, folder: str, budget: int) -> Tuples:
+    """All suffixes of a small text in ascending order at once, with the prefixes in common with the one before."""
+    with Disk(folder, budget) as disk:
+        position, prefix = _joined(list(suffixes_descending(text, characters, disk)))
+    return position[::-1], np.append(np.zeros(1, np.uint8), prefix[:0:-1])

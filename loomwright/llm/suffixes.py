@@ -3,8 +3,8 @@
 Every window of `length` bytes is assigned to the least hash of its 24-byte strings, so that equal windows have equal
 ones wherever they stand; stretches of windows with one least hash are the unit that is dealt out. Equal stretches are
 settled by their hashes alone. Of the rest, stretches that share a least hash with other documents, the bytes are
-gathered in shards, and each shard's suffixes are sorted by external induction: windows are equal where the common
-prefix reaches `length`."""
+gathered in shards, and each shard's suffixes are sorted by external induction, whose tuples go to the shared folder: windows are equal where
+the common prefix reaches `length`."""
 
 from __future__ import annotations
 
@@ -17,8 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize, payload, small_batches
-from .induced import sort_suffixes
+from .common import by_bytes, fresh_path, materialize, payload, small_batches
+from .induced import Disk, suffixes_descending
 from .tokens import SliceHasher
 
 LENGTH, GRAM = 50, 24
@@ -27,6 +27,8 @@ SHARD_BYTES = 12 << 20
 LEAST_SHARDS = 32
 #: Stretches of a least hash that so many others share are dealt window by window, by the windows' own hashes.
 HOT = 4096
+#: Bytes of suffix tuples that the task of a shard keeps in memory; the others go to files in the shared folder.
+TUPLE_BYTES = 32 << 20
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -125,12 +127,29 @@ def _from_six(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _groups(found: Iterator[tuple[np.ndarray, np.ndarray]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, which of them open a group): suffixes in parts that hold groups whole, those that share `length` bytes."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for position, prefix in found:
+        opens = prefix < length
+        last = int(np.flatnonzero(opens)[-1]) if opens.any() else 0
+        if last:
+            held.append((position[:last], opens[:last]))
+        if opens[last] and held:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+        held.append((position[last:], opens[last:]))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, hash, spans): for documents (id, hash, body), ids not null, told apart by id and hash, the bytes that windows of an earlier document cover, as pairs of
     32-bit numbers (start, end), unmerged, in several rows."""
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(LEAST_SHARDS, size // SHARD_BYTES)
+    most, budget, folder = HOT, TUPLE_BYTES, fresh_path(docs.sparkSession, "suffixes")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -187,7 +206,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             low, high = np.minimum.reduceat(ids, np.flatnonzero(opens)), np.full(int(group[-1]) + 1, np.iinfo(np.int64).min)
             np.maximum.at(high, group[~gone], ids[~gone])
             open_ = ((contents > 1) & (high > low))[group] & ~gone
-            hot = np.bincount(group, ~gone)[group] > HOT
+            hot = np.bincount(group, ~gone)[group] > most
             shard = np.where(hot, -1, (h // np.uint64(parts) % np.uint64(parts)).astype(np.int64))
             out += [(i, x, 1, wanted) for i, x, wanted in _by_doc(ids[open_], hashes[open_], start[open_], count[open_], shard[open_])]
         # A document has rows from many shards; they meet in its bucket.
@@ -242,18 +261,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         text = np.ones(int(ends[-1]) + 1, np.int16)
         text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data.astype(np.int16) + 2
         text[-1] = 0
-        order, prefix = sort_suffixes(text, 258)
-        piece = np.searchsorted(ends, order, "right")
-        inside = piece < len(sizes)
-        inside[inside] = (order + length <= ends[np.minimum(piece, len(sizes) - 1)] - 1)[inside]
-        group = np.cumsum(prefix < length)[inside]
-        order, piece = order[inside], piece[inside]
-        fresh = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-        least = np.repeat(np.minimum.reduceat(ids[piece], fresh), np.diff(np.append(fresh, len(group)))) if len(group) else ids[:0]
-        gone = ids[piece] > least
-        begin = starts[piece[gone]] + order[gone] - (ends - sizes - 1)[piece[gone]]
+        gone = np.zeros(len(text), bool)
+        with Disk(folder, budget) as disk:
+            for order, opens in _groups(suffixes_descending(text, 258, disk), length):
+                piece = np.searchsorted(ends, order, "right")
+                inside = piece < len(sizes)
+                inside[inside] = (order + length <= ends[np.minimum(piece, len(sizes) - 1)] - 1)[inside]
+                group, order, piece = np.cumsum(opens)[inside], order[inside], piece[inside]
+                if len(group):
+                    fresh = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                    least = np.repeat(np.minimum.reduceat(ids[piece], fresh), np.diff(np.append(fresh, len(group))))
+                    gone[order[ids[piece] > least]] = True
+        at = np.flatnonzero(gone)
+        piece = np.searchsorted(ends, at, "right")
+        begin = starts[piece] + at - (ends - sizes - 1)[piece]
         runs = []
-        for i, x, spans in _by_doc(ids[piece[gone]], hashes[piece[gone]], begin, begin + length):
+        for i, x, spans in _by_doc(ids[piece], hashes[piece], begin, begin + length):
             a, z = merged(*np.frombuffer(spans, "<i4").reshape(-1, 2).T)
             runs.append((i, x, np.stack([a, z], 1).astype("<i4").tobytes()))
         columns = list(zip(*runs, strict=True)) or [[]] * 3

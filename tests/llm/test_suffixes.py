@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomwright.llm import induced, suffixes
@@ -17,23 +18,51 @@ def slow(t):
     return order, prefix
 
 
-def test_suffix_order_and_prefixes():
-    rng = random.Random(1)
-    for trial in range(200):
-        t = [rng.randint(1, 1 + trial % 4) for _ in range(rng.randint(1, 50))]
+@pytest.mark.parametrize(("page", "group", "chunk"), [(1, 1, 3), (1, 2, 1 << 16), (2, 64, 3), (5, 2, 7), (256, 64, 1 << 16)])
+def test_suffix_order_and_prefixes(monkeypatch, tmp_path, page, group, chunk):
+    for name, value in (("LEAST_PAGE", page), ("GROUP", group), ("CHUNK", chunk)):
+        monkeypatch.setattr(induced, name, value)
+    rng = random.Random(page + chunk)
+    for trial in range(150):
+        most = rng.choice([1, 2, 3, 8, 60])
+        t = [rng.randint(1, most) for _ in range(rng.randint(0, 60))]
         t = (t * 3 if trial % 3 == 0 else t) + [0]
-        order, prefix = induced.sort_suffixes(np.array(t), max(t) + 1, 64 if trial % 2 else 1 << 20)  # a small budget uses the disk
+        order, prefix = induced.sort_suffixes(np.array(t), max(t) + 1, f"file://{tmp_path}", 64 if trial % 2 else 1 << 20)  # a small budget uses the disk
         want = slow(t)
         assert order.tolist() == want[0] and prefix.tolist() == want[1], t
+    assert not list(tmp_path.iterdir())
 
 
-def test_long_runs():
+def test_long_runs(tmp_path):
     t = np.array([1] * 700 + [2] * 300 + [1] * 400 + [0])
-    order, prefix = induced.sort_suffixes(t, 3)
+    order, prefix = induced.sort_suffixes(t, 3, f"file://{tmp_path}", 1 << 20)
     want = slow(t.tolist())
     assert order.tolist() == want[0] and prefix.tolist() == want[1]
 
 
+def test_tuples_of_many_times_the_budget(tmp_path):
+    """Repeated prose of 150 KB, whose tuples are over ten times what may stay in memory."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(40))
+    lines = [line() for _ in range(60)]
+    body = "\n".join(rng.choice(lines) if rng.random() < 0.4 else line() for _ in range(900)).encode() + b"ab" * 2000
+    body = body[:150_000]
+    t = np.append(np.frombuffer(body, np.uint8).astype(np.int16) + 1, 0).astype(np.int16)
+    budget = 9 * len(t) // 12
+    with induced.Disk(f"file://{tmp_path}", budget) as disk:
+        parts = list(induced.suffixes_descending(t, 258, disk))
+        assert disk.written > 10 * budget
+        assert disk.held < budget
+    got = np.concatenate([p for p, _ in parts])[::-1]
+    want = sorted(range(len(body) + 1), key=lambda i: body[i : i + 5000])
+    assert got.tolist() == want
+    shared = np.concatenate([p for _, p in parts])[:0:-1].tolist()
+    for k in range(1, len(want), 37):
+        a, b = body[want[k - 1] :][:255], body[want[k] :][:255]
+        assert shared[k - 1] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
 def brute(rows, length):
     """text by (doc_id, text) without the bytes that an earlier document's strings cover."""
     first = {}
@@ -69,6 +98,7 @@ def test_against_brute_force(docs, corpus):
 def test_many_shards_and_hot_stretches(spark, docs, corpus, monkeypatch):
     monkeypatch.setattr(suffixes, "SHARD_BYTES", 2000)
     monkeypatch.setattr(suffixes, "HOT", 1)
+    monkeypatch.setattr(suffixes, "TUPLE_BYTES", 4000)
     compare(docs, corpus)
     line = "The same opening line of every text in this place. "
     rows = [(i, line + "".join(random.Random(i).choice("abcd ") for _ in range(90))) for i in range(40)]
