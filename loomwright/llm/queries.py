@@ -33,7 +33,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paragraphs.dedup_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_removed", "n_paragraphs", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_removed", "n_sentences", "n_paragraphs", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

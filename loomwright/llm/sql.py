@@ -52,11 +52,20 @@ u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r(id, z) AS (SELECT id, id FROM c UNION SELECT r.id, u.y FROM r JOIN u ON u.x = r.z),
 k AS (SELECT id, min(z) AS cluster FROM r GROUP BY id),
 o AS (SELECT q.doc_id, q.seq, row_number() OVER (PARTITION BY k.cluster ORDER BY q.doc_id, q.seq) AS place FROM q JOIN c ON q.w = c.w JOIN k ON k.id = c.id),
-gone AS (SELECT doc_id, list(seq ORDER BY seq) AS seqs FROM o WHERE place > 1 GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(l) AS INTEGER) AS n_paragraphs, CAST(coalesce(len(seqs), 0) AS INTEGER) AS n_removed,
-       coalesce(array_to_string(seqs, ','), '') AS removed,
-       sha256(CASE WHEN seqs IS NULL THEN text ELSE array_to_string([l[i + 1] for i in range(len(l)) if NOT list_contains(seqs, i)], chr(10)) END) AS kept_sha256
-FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+away AS (SELECT doc_id, seq FROM o WHERE place > 1),
+gone AS (SELECT doc_id, list(seq ORDER BY seq) AS seqs FROM away GROUP BY doc_id),
+stay AS (SELECT p.doc_id, p.seq, line FROM p ANTI JOIN away ON away.doc_id = p.doc_id AND away.seq = p.seq),
+long AS (SELECT doc_id, seq, string_split(regexp_replace(line, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM stay WHERE len({_LINE_WORDS}) > 50),
+v AS (SELECT doc_id, seq, part, {_WORDS.replace("coalesce(text, '')", "sentence")} AS w FROM (SELECT doc_id, seq, unnest(ss) AS sentence, unnest(range(len(ss))) AS part FROM long)),
+t AS (SELECT doc_id, seq, part, row_number() OVER (PARTITION BY w ORDER BY doc_id, seq, part) AS place FROM v WHERE len(w) >= 8),
+cut AS (SELECT doc_id, seq, list(part) AS parts FROM t WHERE place > 1 GROUP BY doc_id, seq),
+cuts AS (SELECT doc_id, sum(len(parts)) AS n FROM cut GROUP BY doc_id),
+short AS (SELECT doc_id, seq, array_to_string([ss[i + 1] for i in range(len(ss)) if NOT list_contains(parts, i)], ' ') AS line FROM long JOIN cut USING (doc_id, seq)),
+kept AS (SELECT stay.doc_id, string_agg(coalesce(short.line, stay.line), chr(10) ORDER BY stay.seq) AS body FROM stay LEFT JOIN short USING (doc_id, seq) GROUP BY stay.doc_id)
+SELECT d.doc_id, CAST(len(l) AS INTEGER) AS n_paragraphs, CAST(coalesce(len(seqs), 0) + coalesce(cuts.n, 0) AS INTEGER) AS n_removed,
+       CAST(coalesce(cuts.n, 0) AS INTEGER) AS n_sentences, coalesce(array_to_string(seqs, ','), '') AS removed,
+       sha256(CASE WHEN text IS NOT NULL THEN coalesce(body, '') END) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN cuts ON cuts.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
 OP6 = """

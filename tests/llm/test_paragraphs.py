@@ -115,3 +115,58 @@ def test_a_very_long_text(spark):
     rows = [(1, "\n".join(line.format(i) for i in range(30_000))), (2, line.format(17) + "\nshort line\n" + line.format("x"))]
     out = {r.doc_id: r for r in paragraphs.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed", "removed").collect()}
     assert out[2].removed == [0] and out[1].n_removed == 0
+
+
+def brute_sentences(rows, gone):
+    """(doc_id, text) -> (paragraph, sentence) that go from the paragraphs outside gone."""
+    places = defaultdict(set)
+    for i, text in {(r[0], r[1]) for r in rows}:
+        for k, line in enumerate((text or "").split("\n")):
+            if k in gone[text or ""] or len(WORD.findall(line.encode().lower())) <= paragraphs.LONG:
+                continue
+            for j, sentence in enumerate(re.split("(?<=[.!?]) ", line)):
+                w = WORD.findall(sentence.encode().lower())
+                if len(w) >= paragraphs.SENTENCE_WORDS:
+                    places[tuple(w)].add(((i is not None, i or 0), k, j, text or ""))
+    cut = defaultdict(set)
+    for found in places.values():
+        for _, k, j, text in sorted(found, key=lambda x: x[:3])[1:]:
+            cut[text].add((k, j))
+    return cut
+
+
+def test_passages_inside_different_paragraphs(spark):
+    import random
+
+    rng = random.Random(5)
+
+    def sentence(n, end="."):
+        return " ".join("".join(rng.choices("aeioßknrst", k=rng.randint(3, 8))) for _ in range(n)) + end
+
+    passage = [sentence(20), sentence(9, "!"), sentence(4), sentence(30, "?")]
+    rows = []
+    for i in range(30):
+        front, back = [sentence(rng.randint(3, 30)) for _ in range(4)], [sentence(rng.randint(3, 30)) for _ in range(4)]
+        body = [*front, *passage, *back] if i % 3 == 0 else [*front, sentence(60), *back, back[0]] if i % 3 == 1 else [*front, *back, sentence(60)]
+        rows.append((i, "\n".join([sentence(6), " ".join(body), "  ".join(passage[:2]).upper() + " ", ""])))
+    rows += [(None, " ".join([sentence(60), *passage])), (40, None), (41, ""), (42, ". ! ? " * 60), (43, "x. y" * 60 + "\n" + " ".join(passage)), rows[6]]
+    rows += [(50, " ".join(passage)), (51, " ".join([*passage[:2], sentence(60)])), (52, sentence(60)[:-1] + "! " + passage[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_sentences", F.lit("clash"))
+    gone = brute(rows, paragraphs.MIN_WORDS, 0.8)
+    cut = brute_sentences(rows, gone)
+    out = paragraphs.dedup_paragraphs(docs).collect()
+    assert len(out) == len(rows) and sum(r.n_sentences for r in out) > 25
+    texts = defaultdict(set)
+    for i, text in rows:
+        texts[i].add(text)
+    for r in out:
+        (text,) = texts[r.doc_id]
+        if text is None:
+            assert r.text is None and r.n_removed == 0
+            continue
+        lines = []
+        for k, line in enumerate(text.split("\n")):
+            if k not in gone[text]:
+                lines.append(" ".join(s for j, s in enumerate(re.split("(?<=[.!?]) ", line)) if (k, j) not in cut[text]))
+        assert (r.text, set(r.removed), r.n_sentences) == ("\n".join(lines), gone[text], len(cut[text])), r.doc_id
+        assert r.n_removed == len(gone[text]) + len(cut[text])
