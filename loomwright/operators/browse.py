@@ -57,14 +57,16 @@ def count_rows(df: DataFrame, where: str | None = None) -> DataFrame:
 
 
 def number_rows(df: DataFrame, sorts: Sorts, offset: int = 0, name: str = "row_no") -> DataFrame:
-    """df with its place in the sort order, from offset + 1 on: unique and without gaps; rows that tie get any order.
+    """df with its place in the sort order, from offset + 1 on: unique and without gaps; rows that tie get any order. A sort value
+    that very many rows share is split by a hash of the row (of all columns but maps); only rows that are equal throughout stay together.
 
     The rows are sorted in ranges and written to the shared folder once, each with its range and its place there. The
     counts of the ranges are read from that table, so that they are those of the rows numbered: bounds of ranges are sampled,
     and a second exchange could draw others. No task sees more than a range."""
     keys = order_columns(sorts)
     spark = df.sparkSession
-    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    told = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    parts = df.withColumn("__row_hash", F.xxhash64(*told) if told else F.lit(0)).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "__row_hash").sortWithinPartitions(*keys, "__row_hash").drop("__row_hash")
     tagged = kept(parts.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
     # One row for each range: a table as small as the number of tasks.
     counts = tagged.groupBy("__part").agg((F.max("__seq") + 1).alias("n"))
