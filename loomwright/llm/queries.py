@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, paragraphs, quality, suffixes, toxicity
+from . import ann, decontam, langid, paragraphs, periods, quality, suffixes, toxicity
 from .common import table
 from .packing import pack
+from .sharding import assign_shards
 from .simhash import simhash_groups
 from .tokens import PieceTokenizer
+from .trie import conversation_trie
 from .warc import archive_pages
 
 
@@ -72,6 +74,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_trie(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periods.periodic_runs(docs)
+    longest = F.aggregate("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"), lambda a, r: F.when(a.isNull() | (r["length"] > a["length"]), r).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    out = found.withColumn("r", longest).select("doc_id", F.size("runs").cast("long").alias("n_runs"), "r.start", "r.length", "r.period", listed.alias("listed"), "collapsed")
+    exponent = F.floor(1000 * F.col("length") / F.col("period"))
+    return out.select("doc_id", "n_runs", "start", "length", "period", exponent.alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assign_shards(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
@@ -83,4 +106,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_trie": op11_trie,
+    "op12_periods": op12_periods,
+    "op13_shards": op13_shards,
 }

@@ -82,4 +82,48 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT)
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
-SQL = {"op3_paragraphs": OP3, "op5_decontamination": OP5, "op6_substrings": OP6, "op10_warc": OP10}
+_CRC32 = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], [CAST(ord(substr({0}, CAST(i AS BIGINT), 1)) AS BIGINT) for i in range(1, length({0}) + 1)]),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [CAST(0 AS BIGINT) for k in range(8)]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)))"""
+
+OP11 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, n, conv_id - conv_id % 100 AS base, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 6 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)
+), b AS (
+  SELECT c.conv_id, c.h, least(c.h, coalesce(o.n, 0)) AS m FROM c LEFT JOIN c o ON o.conv_id = c.base
+), r AS (
+  SELECT c.conv_id, t.i AS depth, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL
+  SELECT t.conv_id, t.i - b.h + b.m, t.role, t.text FROM t JOIN b USING (conv_id) WHERE t.i > b.h
+), p AS (
+  SELECT conv_id, depth, length(text) AS points,
+         string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS k
+  FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), e AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p
+), n AS (
+  SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(points) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM e GROUP BY depth, k
+), q AS (
+  SELECT p.conv_id AS member, p.depth, n.conv_id FROM p JOIN n USING (depth, k)
+), f AS (
+  SELECT n.*, q.conv_id AS parent_conv_id FROM n LEFT JOIN q ON q.member = n.conv_id AND q.depth = n.depth - 1
+), kids AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM f WHERE depth > 0 GROUP BY ALL
+), g AS (
+  SELECT f.*, coalesce(n_children, 0) AS n_children FROM f LEFT JOIN kids USING (conv_id, depth)
+), s AS (
+  SELECT q.conv_id, q.depth, count(*) FILTER (g.n_children = 0) AS n_leaves, sum(g.saved) AS saved_tokens
+  FROM g JOIN q ON q.member = g.conv_id AND q.depth <= g.depth GROUP BY ALL
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM g JOIN s USING (conv_id, depth)
+"""
+
+SQL = {"op11_trie": OP11, "op3_paragraphs": OP3, "op5_decontamination": OP5, "op6_substrings": OP6, "op10_warc": OP10}
