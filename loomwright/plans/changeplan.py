@@ -5,11 +5,16 @@ executors cost one round."""
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import graphs
 from ..functions.scalars import canonical_hash, qualify, quote_ident
+from ..operators.browse import number_rows
 from ..shared import kept
 
 # Ranks of object types in a plan.
@@ -75,23 +80,14 @@ def unreleasable_drops(changes: DataFrame, target_deps: DataFrame, source_deps:
     return told.where(bad).select(*_ID).distinct(), told.where(~bad).select(*_ID, "needs").distinct()
 
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """(comparison_id, id, needs): all edges and what follows from them, by joining paths of doubled length."""
-    paths = _kept(edges.select(*_ID, "needs").distinct())
-    n = paths.count()
-    for _ in range(ROUNDS):
-        longer = paths.join(paths.select("comparison_id", F.col("id").alias("needs"), F.col("needs").alias("far")), ["comparison_id", "needs"]).select("comparison_id", "id", F.col("far").alias("needs"))
-        paths = _kept(paths.union(longer).distinct())
-        now = paths.count()
-        if now == n:
-            return paths
-        n = now
-    raise RuntimeError("paths did not settle")
+def _node(column: str) -> Column:
+    """One name for a change of a comparison."""
+    return F.concat_ws("\0", F.col("comparison_id").cast("string"), F.col(column).cast("string"))
 
 
 def needing(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(comparison_id, id) of the changes that need one of roots (comparison_id, id), at any distance: a walk from the roots, in
-    as many rounds as the longest path has edges."""
+    as many rounds as the longest path has edges. Each round writes its front alone."""
     edges = _kept(edges.select(*_ID, "needs").distinct())
     front = _kept(roots.select(*_ID).distinct())
     seen = front.limit(0)
@@ -100,21 +96,21 @@ def needing(edges: DataFrame, roots: DataFrame) -> DataFrame:
         front = _kept(nexts.join(seen, _ID, "left_anti"))
         if front.isEmpty():
             return seen
-        seen = _kept(seen.union(front))
+        seen = seen.union(front)
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
-    """(comparison_id, id) of the changes that need themselves. Changes that need nothing, or that nothing needs, are peeled off
-    first, so that paths are only followed where a cycle can be."""
-    left = _kept(edges.select(*_ID, "needs").distinct())
-    n = left.count()
-    while n:
-        left = _kept(left.join(left.select("comparison_id", F.col("id").alias("needs")).distinct(), ["comparison_id", "needs"], "left_semi").join(left.select("comparison_id", F.col("needs").alias("id")).distinct(), _ID, "left_semi").select(*_ID, "needs"))
-        now = left.count()
-        if now == n:
-            break
-        n = now
-    return reachable(left).where("id = needs").select(*_ID) if n else left.select(*_ID)
+    """(comparison_id, id) of the changes that need themselves, at any distance; see graphs.cycle_nodes."""
+    named = _kept(edges.select(*_ID, _node("id").alias("a"), _node("needs").alias("b")).distinct())
+    nodes = graphs.cycle_nodes(named.select("a", "b"))
+    return named.select(*_ID, F.col("a").alias("node")).distinct().join(nodes, "node", "left_semi").select(*_ID)
+
+
+def ordering_edges(edges: DataFrame) -> DataFrame:
+    """edges without those between two changes that are in cycles: what comes after a cycle is ordered behind all of its members."""
+    hit = _kept(cyclic(edges).withColumn("__a", F.lit(True)))
+    told = edges.join(hit, _ID, "left").join(hit.select("comparison_id", F.col("id").alias("needs"), F.col("__a").alias("__b")), ["comparison_id", "needs"], "left")
+    return told.where("__a is null or __b is null").select(*_ID, "needs")
 
 
 def to_manual(changes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -132,36 +128,53 @@ def cycles_to_manual(changes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def order_changes(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """changes with position from 1 on: what a change needs comes first; of the ready ones non-drops, then by rank (reversed for
-    drops), key and id. The order among ready changes hangs on all before, so each comparison is ordered in one task."""
-    rank = F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))[F.col("object_type")]
+    drops; unknown types last), key and id. What is in a cycle of edges, or needs one, comes last, by the same key. Needs that aren't
+    among the changes are ignored.
+
+    A heap orders each connected component of the edges in a task of its own; changes without edges need none. The order of one heap over a
+    whole comparison merges the components' orders: it is the order by the greatest key so far in the component (keys are unique),
+    then by place there. So positions come from a range sort, and no task holds a comparison."""
+    rank = F.coalesce(F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))[F.col("object_type")], F.lit(len(RANKS)))
     drop = F.col("kind") == "DROP"
-    keyed = changes.select("comparison_id", "id", drop.cast("int").alias("grp"), F.when(drop, -rank).otherwise(rank).alias("rank"), "object_key")
-    needs = edges.groupBy(*_ID).agg(F.collect_list("needs").alias("needs"))
-    rows = keyed.join(needs, _ID, "left")
+    key = ["grp", "rank", "object_key", "id"]
+    keyed = _kept(changes.select("comparison_id", drop.cast("int").alias("grp"), F.when(drop, -rank).otherwise(rank).alias("rank"), "object_key", "id", _node("id").alias("node")))
+    own = edges.select(_node("id").alias("a"), _node("needs").alias("b")).where("a <> b").distinct()
+    own = own.join(keyed.select(F.col("node").alias("a")), "a", "left_semi").join(keyed.select(F.col("node").alias("b")), "b", "left_semi")
+    own = _kept(own.select("a", "b"))
+    parts = _kept(graphs.components(own))
+    needs = own.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("needs"))
+    linked = keyed.join(parts, "node").join(_kept(needs), "node", "left")
+    fields = {f.name: f.dataType for f in keyed.schema.fields}
+    schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("stuck", T.IntegerType()), T.StructField("place", T.LongType()), *(T.StructField(f"top_{c}", fields[c]) for c in key)])
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        key = {r.id: (r.grp, r.rank, r.object_key, r.id) for r in pdf.itertuples()}
-        waits = {r.id: {n for n in (r.needs if r.needs is not None else []) if n in key and n != r.id} for r in pdf.itertuples()}
+        known = {r.node: (r.grp, r.rank, r.object_key, r.id) for r in pdf.itertuples()}
+        waits = {r.node: len(r.needs) if r.needs is not None else 0 for r in pdf.itertuples()}
         after: dict[str, list[str]] = {}
-        for i, ns in waits.items():
-            for n in ns:
-                after.setdefault(n, []).append(i)
-        ready, out, left = [key[i] for i, ns in waits.items() if not ns], [], {i: len(ns) for i, ns in waits.items()}
+        for r in pdf.itertuples():
+            for n in r.needs if r.needs is not None else ():
+                after.setdefault(n, []).append(r.node)
+        ready, out, top = [(known[n], n) for n, w in waits.items() if not w], [], None
         heapq.heapify(ready)
         while ready:
-            out.append(heapq.heappop(ready)[3])
-            for i in after.get(out[-1], ()):
-                left[i] -= 1
-                if not left[i]:
-                    heapq.heappush(ready, key[i])
-        done = set(out)
-        out += [k[3] for k in sorted(k for i, k in key.items() if i not in done)]
-        return pd.DataFrame({"comparison_id": pdf["comparison_id"].iloc[0], "id": out, "position": range(1, len(out) + 1)})
-
-    placed = rows.groupBy("comparison_id").applyInPandas(order, changes.select("comparison_id", "id").schema.add("position", "integer"))
-    return changes.join(placed, _ID)
+            k, node = heapq.heappop(ready)
+            top = k if top is None else max(top, k)
+            out.append((node, 0, len(out), *top))
+            for n in after.get(node, ()):
+                waits[n] -= 1
+                if not waits[n]:
+                    heapq.heappush(ready, (known[n], n))
+        out += [(n, 1, 0, *known[n]) for n, w in waits.items() if w]
+        return pd.DataFrame(out, columns=schema.fieldNames())
+
+    placed = linked.groupBy("component").applyInPandas(order, schema)
+    alone = keyed.join(parts, "node", "left_anti").select("node", F.lit(0).alias("stuck"), F.lit(0).cast("long").alias("place"), *(F.col(c).alias(f"top_{c}") for c in key))
+    rows = keyed.select("comparison_id", "id", "node").join(placed.union(alone), "node")
+    sorts = [(c, True) for c in ("comparison_id", "stuck", *(f"top_{c}" for c in key), "place")]
+    numbered = _kept(number_rows(rows, sorts).select(*_ID, "row_no"))
+    first = _kept(numbered.groupBy("comparison_id").agg(F.min("row_no").alias("first")))
+    numbered = numbered.join(first, "comparison_id").select(*_ID, (F.col("row_no") - F.col("first") + 1).cast("int").alias("position"))
+    return changes.join(numbered, _ID)
 
 
 def select_changes(changes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -314,17 +314,17 @@ def d12(spark: SparkSession, d: str) -> DataFrame:
     return changeplan.change_ids(planned(spark, d)).select("comparison_id", "object_key", "path", "id")
 
 
-def simple_changes(spark: SparkSession, d: str) -> DataFrame:
-    """A change for each part, all in one of eight comparisons; every third part is dropped."""
+def simple_changes(spark: SparkSession, d: str, comparison: str = "p_partkey div 64 % 8") -> DataFrame:
+    """A change for each part, by default all in one of eight comparisons; every third part is dropped."""
     p = table(spark, d, "part")
     n = F.col("p_partkey")
     kind = F.when(n % 3 == 0, "DROP").when(n % 17 == 0, "MANUAL").otherwise("ALTER")
-    return p.select((F.expr("p_partkey div 64") % 8).alias("comparison_id"), F.get(F.array(*map(F.lit, ("TABLE", "INDEX", "VIEW"))), (n % 3).cast("int")).alias("object_type"), n.alias("object_key"), F.lit("dependencies").alias("path"), kind.alias("kind"), F.lit("LOW").alias("risk"), F.when(n % 17 == 0, "MANUAL_ONLY").otherwise("SAFE_AUTOMATIC").alias("automation"), F.concat(F.lit("i"), n.cast("string")).alias("id"))
+    return p.select(F.expr(comparison).alias("comparison_id"), F.get(F.array(*map(F.lit, ("TABLE", "INDEX", "VIEW"))), (n % 3).cast("int")).alias("object_type"), n.alias("object_key"), F.lit("dependencies").alias("path"), kind.alias("kind"), F.lit("LOW").alias("risk"), F.when(n % 17 == 0, "MANUAL_ONLY").otherwise("SAFE_AUTOMATIC").alias("automation"), F.concat(F.lit("i"), n.cast("string")).alias("id"))
 
 
-def simple_deps(spark: SparkSession, d: str) -> DataFrame:
+def simple_deps(spark: SparkSession, d: str, comparison: str = "p_partkey div 64 % 8") -> DataFrame:
     """Part n depends on n - 3 (of the same kind) and n - 1, within a run of 64; every 64th also on the one 6 ahead, a cycle."""
-    p = table(spark, d, "part").select("p_partkey", (F.expr("p_partkey div 64") % 8).alias("comparison_id"))
+    p = table(spark, d, "part").select("p_partkey", F.expr(comparison).alias("comparison_id"))
     steps = F.array(F.lit(3), F.lit(1))
     down = p.select("comparison_id", "p_partkey", F.explode(steps).alias("s")).where("p_partkey % 64 >= s")
     up = p.where("p_partkey % 64 = 1").select("comparison_id", "p_partkey", F.lit(-6).alias("s"))
@@ -353,10 +353,27 @@ def d15(spark: SparkSession, d: str) -> DataFrame:
     return changeplan.cycles_to_manual(changes, changeplan.wire_dependencies(changes, simple_deps(spark, d))).select("comparison_id", "old_id", "kind", "risk")
 
 
-@query("d16_order_changes")
+_SC64 = _SC.replace("p_partkey // 64 % 8", "p_partkey // 64")
+_SE64 = _SE.replace(_SC, _SC64)
+#: One heap a comparison: in each step the least of the changes whose needs are all placed.
+_D16 = f"""WITH RECURSIVE e AS MATERIALIZED {_SE64},
+r(comparison_id, id, needs) AS (SELECT * FROM e UNION SELECT r.comparison_id, r.id, e.needs FROM r JOIN e ON e.comparison_id = r.comparison_id AND e.id = r.needs),
+y AS MATERIALIZED (SELECT DISTINCT comparison_id, id FROM r WHERE id = needs),
+k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY comparison_id ORDER BY dr, CASE WHEN dr THEN -2 ELSE 2 + n % 3 * 2 END, n) AS key FROM {_SC64}),
+w AS (SELECT e.comparison_id, e.id, list(b.key) AS needs FROM e JOIN k b ON b.comparison_id = e.comparison_id AND b.id = e.needs
+  WHERE NOT (EXISTS (SELECT 1 FROM y WHERE y.comparison_id = e.comparison_id AND y.id = e.id) AND EXISTS (SELECT 1 FROM y WHERE y.comparison_id = e.comparison_id AND y.id = e.needs)) GROUP BY ALL),
+f AS MATERIALIZED (SELECT k.comparison_id, k.id, k.key, coalesce(w.needs, []) AS needs FROM k LEFT JOIN w ON w.comparison_id = k.comparison_id AND w.id = k.id),
+s(comparison_id, placed, position, key) AS (SELECT DISTINCT comparison_id, CAST([] AS BIGINT[]), 0, CAST(0 AS BIGINT) FROM f
+  UNION ALL SELECT s.comparison_id, list_append(any_value(s.placed), min(f.key)), any_value(s.position) + 1, min(f.key) FROM s JOIN f ON f.comparison_id = s.comparison_id
+  WHERE NOT list_contains(s.placed, f.key) AND list_has_all(s.placed, f.needs) GROUP BY s.comparison_id)
+SELECT f.comparison_id, f.id, s.position FROM s JOIN f ON f.comparison_id = s.comparison_id AND f.key = s.key"""
+
+
+@query("d16_order_changes", _D16)
 def d16(spark: SparkSession, d: str) -> DataFrame:
-    changes = simple_changes(spark, d)
-    return changeplan.order_changes(changes, changeplan.wire_dependencies(changes, simple_deps(spark, d)))
+    changes = simple_changes(spark, d, "p_partkey div 64")
+    edges = changeplan.ordering_edges(changeplan.wire_dependencies(changes, simple_deps(spark, d, "p_partkey div 64")))
+    return changeplan.order_changes(changes, edges).select("comparison_id", "id", "position")
 
 
 @query("d17_select_changes", f"WITH RECURSIVE e AS {_SE}, w AS (SELECT comparison_id, id FROM {_SC} WHERE NOT manual AND n % 29 <> 0 AND n % 17 <> 0), b(comparison_id, id) AS (SELECT w.comparison_id, w.id FROM w JOIN e ON e.comparison_id = w.comparison_id AND e.id = w.id WHERE NOT EXISTS (SELECT 1 FROM w w2 WHERE w2.comparison_id = e.comparison_id AND w2.id = e.needs) UNION SELECT w.comparison_id, w.id FROM b JOIN e ON e.comparison_id = b.comparison_id AND e.needs = b.id JOIN w ON w.comparison_id = e.comparison_id AND w.id = e.id) SELECT w.comparison_id, w.id, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.comparison_id = w.comparison_id AND b.id = w.id) THEN 'BLOCKED' ELSE 'SELECTED' END AS state FROM w")
