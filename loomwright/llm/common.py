@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graphs import components
 from ..shared import shared_folder
 
 #: Rows in an Arrow batch of texts; a batch is cut further by bytes inside the tasks.
@@ -76,30 +77,9 @@ def payload(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) for every node of links (a, b): component is the smallest node that can be reached.
-
-    Alternating large-star and small-star steps: each replaces the links of a node by links to its least
-    neighbour, so that long chains shorten fast and no task gathers a node's neighbours. Self-links and
-    repeated links are fine; null ends are ignored. Each round is written to the shared folder."""
-    links = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, before = materialize(links, "links"), None
-    for _ in range(rounds):
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        links = materialize(small.where("a <> b").distinct(), "links")
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = links.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+def connected_components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of links (a, b): component is the smallest node that can be reached. See graphs.components."""
+    return components(links, materialize)
 
 
 def drawn(rows: DataFrame, rate: Column) -> DataFrame:
