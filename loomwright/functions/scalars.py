@@ -1,10 +1,12 @@
-"""Column functions. All are built-in expressions, so they run inside generated code."""
+"""Column functions. All are built-in expressions, so they run inside generated code; only normalize_definition scans texts in Arrow batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexing import ends_open_column
+
 NUMERIC = ("tinyint", "smallint", "integer", "bigint", "decimal", "numeric", "real", "float", "double")
 TEXT = ("char", "varchar", "longvarchar", "nchar", "nvarchar", "clob", "nclob")
 #: Spark types of coerced values by type name; a name that is missing here passes its text through.
@@ -208,12 +210,10 @@ def format_pg_type(base: Column | str, length: Column | str, precision: Column |
 
 
 def normalize_definition(col: Column | str) -> Column:
-    """Line breaks as LF, outer white space and one closing semicolon gone. A semicolon that ends the text is top-level
-    unless a quote, comment or dollar block is open there: those are blanked first, and what is left is searched."""
+    """Line breaks as LF, outer white space and one closing semicolon gone. A semicolon that ends the text stays where a quote,
+    comment or dollar block is open there."""
     text = F.regexp_replace(F.regexp_replace(_c(col), "\r\n?", "\n"), r"^\s+|\s+$", "")
-    # A closed quote, block comment or dollar block in front of the end; a line comment or an open one reaches it.
-    bare = F.regexp_replace(text, r"(?s)'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|/\*.*?\*/|\$(\w*)\$.*?\$\1\$|--[^\n]*(?=\n)", "")
-    closing = text.endswith(";") & bare.endswith(";") & ~bare.rlike(r"(?s)['\"]|/\*|\$\w*\$|--[^\n]*$")
+    closing = text.endswith(";") & ends_open_column(text)
     return F.when(closing, F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - 1), r"\s+$", "")).otherwise(text)
 
 

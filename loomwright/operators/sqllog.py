@@ -1,35 +1,21 @@
-"""Statement logs: history, statements of scripts, their kinds and risks, and command lines. Regular expressions cut the
-texts into quotes, comments and the rest; no statement is parsed."""
+"""Statement logs: history, statements of scripts, their kinds and risks, and command lines. Statements are cut into tokens and
+scopes; none is parsed."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# First words by kind of statement.
-READ = "SELECT SHOW DESCRIBE DESC VALUES TABLE EXPLAIN".split()
-WRITE = "INSERT UPDATE DELETE MERGE UPSERT REPLACE CALL DO EXEC EXECUTE DECLARE".split()
-DDL = "CREATE ALTER DROP TRUNCATE COMMENT GRANT REVOKE RENAME".split()
-TRANSACTION = "BEGIN START COMMIT ROLLBACK SET SAVEPOINT RELEASE".split()
+from ..functions import lexing
+from . import safety
+
 # Commands that need a confirmation, and those that a console can't run.
 CONFIRM = "FLUSHALL FLUSHDB SHUTDOWN DEBUG".split()
 BLOCKED = "SUBSCRIBE PSUBSCRIBE MONITOR BLPOP BRPOP BRPOPLPUSH BLMOVE BZPOPMIN BZPOPMAX WAIT".split()
 
-#: A quoted text, name, dollar block or comment (nested once at most), or one that is never closed.
-_QUOTE = {
-    "postgres": r"[eE]'(?:\\.|''|[^'\\])*(?:'|$)|'(?:''|[^'])*(?:'|$)|\"(?:\"\"|[^\"])*(?:\"|$)|\$(\w*)\$.*?(?:\$\1\$|$)|--[^\n\r]*|/\*(?:/\*.*?\*/|.)*?(?:\*/|$)",
-    "oracle": r"[nN]?[qQ]'(?:\[.*?(?:\]'|$)|\{.*?(?:\}'|$)|\(.*?(?:\)'|$)|<.*?(?:>'|$)|([^\s\[{(<]).*?(?:\1'|$))|'(?:''|[^'])*(?:'|$)|\"(?:\"\"|[^\"])*(?:\"|$)|--[^\n\r]*|/\*.*?(?:\*/|$)",
-}
-_BLOCK = r"(?is)^\s*(?:(?:--[^\n\r]*[\n\r]|/\*.*?\*/)\s*)*(?:DECLARE|BEGIN|CREATE\s+(?:OR\s+REPLACE\s+)?(?:EDITIONABLE\s+|NONEDITIONABLE\s+)?(?:PROCEDURE|FUNCTION|PACKAGE|TRIGGER|TYPE))\b"
-
-
 def blanked(sql: Column, mode: str = "postgres", keep_names: bool = False) -> Column:
     """The text with comments as a space and quoted texts as ''; quoted names as x, or, if asked for, as they are."""
-    tokens = F.regexp_extract_all(sql, F.lit(f"(?s){_QUOTE[mode]}|[^'\"$/eEqQnN-]+|."), F.lit(0))
-    comment = lambda t: t.startswith("--") | t.startswith("/*")
-    quoted = lambda t: (t.contains("'") | (t.startswith("$") & (F.length(t) > 1)))
-    named = lambda t: t.startswith('"')
-    return F.array_join(F.transform(tokens, lambda t: F.when(comment(t), " ").when(named(t), t if keep_names else F.lit("x")).when(quoted(t), "''").otherwise(t)), "")
+    return lexing.blank_column(sql, mode, keep_names)
 
 
 def dedupe_history(history: DataFrame, keep: int = 200, per: list[str] | None = None) -> DataFrame:
@@ -44,50 +30,23 @@ def dedupe_history(history: DataFrame, keep: int = 200, per: list[str] | None =
 
 
 def split_statements(scripts: DataFrame, mode: str = "postgres") -> DataFrame:
-    """(columns of scripts but script, idx, sql): the statements of each script, from 1 on. Semicolons in quotes, comments and
-    dollar blocks don't end one; pieces of comments alone are left out. In oracle mode a line with a slash alone ends
-    one, too, and inside a block only that does."""
+    """(columns of scripts but script, idx, sql): the statements of each script, from 1 on. Semicolons in quotes, comments (which nest to
+    any depth) and dollar blocks don't end one; pieces of comments alone are left out, what is broken stays. In oracle mode a line
+    with a slash alone ends one, too, and inside a block only that does. A null script has none."""
     rest = [c for c in scripts.columns if c != "script"]
-    if mode == "oracle":
-        units = scripts.select(*rest, F.posexplode(F.split("script", r"(?m)^[ \t]*/[ \t]*(?:\r?\n|\r|\z)")).alias("unit", "text"))
-    else:
-        units = scripts.select(*rest, F.lit(0).alias("unit"), F.col("script").alias("text"))
-    tokens = F.regexp_extract_all("text", F.lit(f"(?s){_QUOTE[mode]}|;|[^;'\"$/eEqQnN-]+|."), F.lit(0))
-    whole = F.col("text").rlike(_BLOCK) if mode == "oracle" else F.lit(False)
-    # A separator that no text holds marks the ends.
-    marked = F.array_join(F.transform(tokens, lambda t: F.when((t == ";") & ~whole, "\0").otherwise(t)), "")
-    pieces = units.select(*rest, "unit", F.posexplode(F.split(marked, "\0", -1)).alias("piece", "sql"))
-    pieces = pieces.withColumn("sql", F.regexp_replace("sql", r"^\s+|\s+$", ""))
-    pieces = pieces.where(F.regexp_replace(blanked(F.col("sql"), mode), r"\s+", "") != "")
-    place = F.row_number().over(Window.partitionBy(*rest).orderBy("unit", "piece"))
-    return pieces.select(*rest, place.alias("idx"), "sql")
+    pieces = scripts.select(*rest, F.posexplode(lexing.split_column(F.col("script"), mode)).alias("idx", "sql"))
+    return pieces.select(*rest, (F.col("idx") + 1).alias("idx"), "sql")
 
 
 def classify_statements(statements: DataFrame, mode: str = "postgres", script: str = "script_id") -> DataFrame:
-    """statements with first_word, kind and risks, from the words outside quotes and comments. A WITH or EXPLAIN counts as
-    the strongest command it holds; UPDATE and DELETE without WHERE, DROP and TRUNCATE, unknown words, and transaction
-    commands among other statements are risks."""
-    bare = F.upper(blanked(F.col("sql"), mode))
-    first = F.regexp_extract(bare, r"^[\s(]*([A-Z_]+)", 1)
-    holds = lambda words: bare.rlike(r"\b(?:" + "|".join(words) + r")\b(?!\s*\()")
-    compound = first.isin("WITH", "EXPLAIN")
-    runs = (first == "WITH") | bare.rlike(r"^\s*EXPLAIN\b.*\bANALYZE\b")
-    dml = holds(["INSERT INTO", "UPDATE", "DELETE FROM", "MERGE INTO"])
-    kind = F.when(compound & runs & dml, "WRITE").when(compound, "READ").when(first.isin(*READ), "READ").when(first.isin(*WRITE), "WRITE").when(first.isin(*DDL), "DDL")
-    if mode == "oracle":
-        kind = kind.when((first == "BEGIN") & bare.rlike(r"\bEND\b"), "WRITE")
-    kind = kind.when(first.isin(*TRANSACTION), "TRANSACTION_CONTROL").otherwise("UNKNOWN")
+    """statements with first_word, kind and risks. Each command of a WITH or EXPLAIN is judged in its own scope, and the statement counts as
+    the strongest of them; UPDATE and DELETE without a WHERE of their own, DROP and TRUNCATE, unknown commands, and transaction
+    commands among other statements or with more than their one word are risks."""
+    out = statements.withColumn("__told", safety.judged(F.col("sql"), mode))
+    out = out.withColumns({"first_word": F.col("__told.first_word"), "kind": F.col("__told.kind"), "risks": F.col("__told.risks")}).drop("__told")
     several = F.count("*").over(Window.partitionBy(script)) > 1
-    alone = bare.rlike(r"^\s*(?:COMMIT|ROLLBACK)\s*$")
-    touches = first.isin("UPDATE", "DELETE") | (compound & bare.rlike(r"\b(?:UPDATE|DELETE FROM)\b"))
-    out = statements.withColumns({"first_word": first, "kind": kind})
-    risks = F.array(
-        F.when(touches & ~bare.rlike(r"\bWHERE\b"), "MISSING_WHERE"),
-        F.when(first.isin("DROP", "TRUNCATE"), "DESTRUCTIVE_DDL"),
-        F.when(F.col("kind") == "UNKNOWN", "UNKNOWN_STATEMENT"),
-        F.when((F.col("kind") == "TRANSACTION_CONTROL") & (several | ~alone), "SESSION_STATE_CONFLICT"),
-    )
-    return out.withColumn("risks", F.filter(risks, lambda r: r.isNotNull()))
+    conflict = F.array("risks", F.when((F.col("kind") == "TRANSACTION_CONTROL") & several, F.array(F.lit("SESSION_STATE_CONFLICT"))).otherwise(F.expr("cast(array() as array<string>)")))
+    return out.withColumn("risks", F.array_sort(F.array_distinct(F.flatten(conflict))))
 
 
 def policy_decision(classified: DataFrame, script: str = "script_id") -> DataFrame:
