@@ -1,16 +1,21 @@
 """Guarded row edits: each edit names its row by old key values and counts only if exactly one row has them.
 
-An edit is (edit_id, edit_seq, key struct of text values, values map of column to new text)."""
+An edit is (edit_id, edit_seq, key struct of text values, values map of column to new text). Edits of a batch follow one another: each
+sees the table as those before it left it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import graphs
 from ..functions.scalars import coerce_error, coerce_text
+from ..shared import kept
 
 #: Spark types and the names that the coercion rules have for them.
 KINDS = {"tinyint": "tinyint", "smallint": "smallint", "int": "integer", "bigint": "bigint", "float": "float", "double": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamptz", "timestamp_ntz": "timestamp", "string": "varchar"}
@@ -73,17 +78,19 @@ BROADCAST_EDITS = 200_000
 
 
 def _matched(df: DataFrame, edits: DataFrame, key: list[str]) -> DataFrame:
-    """edits with matched, the number of rows that have the key's old values (null like null). Of the table only the rows
-    that some edit names are counted, by key, so that an edit meets one row, however many match."""
+    """edits with matched, the number of rows that have the key's old values (null like null). The table is counted by key before it
+    meets the edits, so that a key of very many rows is a few rows by then; where the edits are few, rows that none names are left out first."""
     names = [f"__{c}" for c in key]
-    asked = edits.select(*(_typed(F.col(f"key.{c}"), df.schema[c].dataType).alias(n) for c, n in zip(key, names, strict=True))).distinct()
-    if edits.count() <= BROADCAST_EDITS:
-        asked = F.broadcast(asked)
+    typed = [_typed(F.col(f"key.{c}"), df.schema[c].dataType) for c in key]
+    asked = kept(edits.select(*(t.alias(n) for t, n in zip(typed, names, strict=True))).distinct(), "asked")
     rows = df.select(*(F.col(c).alias(f"__row_{c}") for c in key))
-    rows = rows.join(asked, reduce(lambda a, b: a & b, (F.col(f"__row_{c}").eqNullSafe(F.col(n)) for c, n in zip(key, names, strict=True))))
-    counts = rows.groupBy(*names).agg(F.count("*").alias("matched"))
-    on = reduce(lambda a, b: a & b, (_typed(F.col(f"key.{c}"), df.schema[c].dataType).eqNullSafe(F.col(n)) for c, n in zip(key, names, strict=True)))
-    return edits.join(counts, on, "left").drop(*names).withColumn("matched", F.coalesce("matched", F.lit(0)))
+    on = reduce(lambda a, b: a & b, (F.col(f"__row_{c}").eqNullSafe(F.col(f"__{c}")) for c in key))
+    if asked.count() <= BROADCAST_EDITS:
+        rows = rows.join(F.broadcast(asked), on, "left_semi")
+    counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("matched")).withColumnsRenamed({f"__row_{c}": f"__count_{c}" for c in key})
+    counts = kept(counts.join(asked, reduce(lambda a, b: a & b, (F.col(f"__count_{c}").eqNullSafe(F.col(f"__{c}")) for c in key)), "left_semi"), "counts")
+    on = reduce(lambda a, b: a & b, (t.eqNullSafe(F.col(f"__count_{c}")) for t, c in zip(typed, key, strict=True)))
+    return edits.join(counts, on, "left").drop(*counts.columns[:-1]).withColumn("matched", F.coalesce("matched", F.lit(0)))
 
 
 def _status() -> Column:
@@ -96,34 +103,173 @@ def outcomes(df: DataFrame, edits: DataFrame, key: list[str], op: str) -> DataFr
 
 
 def apply_updates(df: DataFrame, edits: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(df with the applied edits, outcomes). Of several edits of a row, edit_seq orders the values of each column. Edits of
-    key columns hold for rows as they were before the batch; values that don't parse become null (see validate_edits)."""
-    good = _matched(df, edits, key)
-    told = good.select("edit_id", F.lit("UPDATE").alias("op"), "matched", _status().alias("status"))
+    """(df with the applied edits, outcomes), as replay() has them for updates alone. Where no edit sets a key column, rows keep their
+    keys, and of several edits of a row edit_seq orders the values of each column."""
+    edits = edits.withColumn("op", F.lit("UPDATE"))
+    if not changes_key(edits, key).where("touches_key").isEmpty():
+        return replay(df, edits, key)
+    told = _checked(df, edits, key)
+    good = _matched(df, told.where("error is null"), key)
     each = good.where(F.col("matched") == 1).select(*(_typed(F.col(f"key.{c}"), df.schema[c].dataType).alias(f"__{c}") for c in key), "edit_seq", F.explode("values").alias("name", "value"))
     last = each.groupBy(*(f"__{c}" for c in key), "name").agg(F.max_by(F.struct("value"), "edit_seq").alias("v"))
-    sets = last.groupBy(*(f"__{c}" for c in key)).agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("__set"))
-    on = reduce(lambda a, b: a & b, (df[c].eqNullSafe(sets[f"__{c}"]) for c in key))
-    out = df.join(sets, on, "left")
-    named = [F.when(F.map_contains_key("__set", F.lit(f.name)), _typed(F.col("__set")[f.name]["value"], f.dataType)).otherwise(df[f.name]).alias(f.name) for f in df.schema.fields]
-    return out.select(*named), told
+    sets = last.groupBy(*(f"__{c}" for c in key)).agg(F.map_from_entries(F.collect_list(F.struct("name", "v.value"))).alias("__set"))
+    out = df.join(sets, reduce(lambda a, b: a & b, (df[c].eqNullSafe(sets[f"__{c}"]) for c in key)), "left")
+    known = good.select("edit_id", "op", "matched", _status().alias("status"))
+    return out.select(*_overlaid(df)), _with_messages(known.unionByName(_invalid(told)), told)
+
+
+def _overlaid(df: DataFrame) -> list[Column]:
+    """The columns of df, with what the map __set has for them."""
+    return [F.when(F.map_contains_key("__set", F.lit(f.name)), _typed(F.col("__set")[f.name], f.dataType)).otherwise(df[f.name]).alias(f.name) for f in df.schema.fields]
+
+
+def _checked(df: DataFrame, edits: DataFrame, key: list[str]) -> DataFrame:
+    """edits with error: what validate_edits says of their values, and BAD_KEY for a key text that its column can't take."""
+    wrong = validate_edits(edits.where("op <> 'DELETE'"), df.schema)
+    said = F.concat_ws(": ", "column_name", "error")
+    wrong = kept(wrong.groupBy("edit_id").agg(F.array_join(F.array_sort(F.collect_set(said)), ", ").alias("__wrong")), "wrong")
+    bad = reduce(lambda a, b: a | b, (F.col(f"key.{c}").isNotNull() & _typed(F.col(f"key.{c}"), df.schema[c].dataType).isNull() for c in key))
+    told = edits.join(wrong, "edit_id", "left")
+    return told.withColumn("error", F.coalesce("__wrong", F.when((F.col("op") != "INSERT") & bad, "BAD_KEY"))).drop("__wrong")
+
+
+def _invalid(told: DataFrame) -> DataFrame:
+    return told.where("error is not null").select("edit_id", "op", F.lit(0).cast("long").alias("matched"), F.lit("INVALID").alias("status"))
+
+
+def _with_messages(known: DataFrame, told: DataFrame) -> DataFrame:
+    """Outcomes with message: null for an applied edit, else why it wasn't."""
+    errors = told.where("error is not null").select("edit_id", "error")
+    message = F.coalesce("error", F.when(F.col("status") == "STALE", "no row has the old key values").when(F.col("status") == "AMBIGUOUS", F.format_string("%d rows have the old key values", "matched")))
+    return known.join(errors, "edit_id", "left").select("edit_id", "op", "matched", "status", message.alias("message"))
+
+
+def _name(values: list[Column]) -> Column:
+    """One text for a row's key values: nulls are like one another and like no text."""
+    return F.concat(*(F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("~")) for v in values))
+
+
+def replay(df: DataFrame, edits: DataFrame, key: list[str], defaults: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(df after a batch, outcomes) for edits (edit_id unique, edit_seq, op: INSERT, UPDATE or DELETE, key, values), one after another by edit_seq,
+    then edit_id. Outcomes: (edit_id, op, matched, status, message): APPLIED for exactly one row (or an insert), STALE for none, AMBIGUOUS for more, INVALID for values
+    or keys that don't parse.
+
+    Edits meet only where one renames a key to another's. So keys that renames link are a group, and the edits of a group are
+    replayed in order as they stream by; what is held are its keys' counts and the rows it changes, not the table's rows."""
+    told = kept(_checked(df, edits, key), "edits")
+    types = [df.schema[c].dataType for c in key]
+    old = [_typed(F.col(f"key.{c}"), t).cast("string") for c, t in zip(key, types, strict=True)]
+    given = [(defaults or {}).get(c, F.lit(None)).cast(t).cast("string") for c, t in zip(key, types, strict=True)]
+    insert = F.col("op") == "INSERT"
+    new = [F.when(F.map_contains_key("values", F.lit(c)), _typed(F.col("values")[c], t).cast("string")).otherwise(F.when(insert, g).otherwise(o)) for c, t, o, g in zip(key, types, old, given, strict=True)]
+    named = told.where("error is null").withColumns({"k": F.when(~insert, _name(old)), "to": F.when(F.col("op") != "DELETE", _name(new))})
+    named = kept(named.select("edit_id", "edit_seq", "op", "k", F.coalesce("to", "k").alias("to"), "values"), "named")
+    asked = kept(named.select(F.explode(F.array("k", "to")).alias("name")).where("name is not null").distinct(), "asked")
+    rows = df.select(_name([df[c].cast("string") for c in key]).alias("name"))
+    if asked.count() <= BROADCAST_EDITS:
+        rows = rows.join(F.broadcast(asked), "name", "left_semi")
+    counts = kept(rows.groupBy("name").agg(F.count("*").alias("n")).join(asked, "name", "left_semi"), "counts")
+    links = named.where("k <> to").select(F.col("k").alias("a"), F.col("to").alias("b"))
+    groups = asked.select("name", F.col("name").alias("team"))
+    if not links.isEmpty():
+        found = kept(graphs.components(links), "groups")
+        groups = asked.join(found, asked["name"] == found["node"], "left").select("name", F.coalesce("component", "name").alias("team"))
+    groups = kept(groups.join(counts, "name", "left").select("name", "team", F.coalesce("n", F.lit(0).cast("long")).alias("n")), "groups")
+    to = groups.select(F.col("name").alias("to"), "team", F.col("n").alias("n_to"))
+    have = groups.select(F.col("name").alias("k"), F.col("n").alias("n_k"))
+    queue = named.join(to, "to").join(have, "k", "left").select("team", "edit_seq", "edit_id", "op", "k", "to", "values", "n_k", "n_to")
+    schema = T.StructType([*(T.StructField(c, f) for c, f in (("edit_id", edits.schema["edit_id"].dataType), ("op", T.StringType()), ("matched", T.LongType()), ("status", T.StringType()), ("origin", T.StringType()), ("gone", T.BooleanType()))), T.StructField("values", T.MapType(T.StringType(), T.StringType()))])
+    queue = queue.repartition("team").sortWithinPartitions("team", "edit_seq", "edit_id")
+    done = kept(queue.mapInArrow(_replayed(schema), schema), "replayed")
+    known = done.where("status is not null").select("edit_id", "op", "matched", "status")
+    changed = kept(done.where("origin is not null").select("origin", "gone", F.col("values").alias("__set")), "changed")
+    out = df.withColumn("__name", _name([df[c].cast("string") for c in key])).join(changed, F.col("__name") == F.col("origin"), "left")
+    out = out.where(~F.coalesce("gone", F.lit(False))).select(*_overlaid(df))
+    out = apply_inserts(out, done.where("status is null and origin is null").select("values"), defaults)
+    return out, _with_messages(known.unionByName(_invalid(told)), told)
+
+
+def _replayed(schema: T.StructType):
+    """Streams edits, sorted by team, to their outcomes, and the changed rows of each team after its last edit: those with origin, the name
+    of a row of the table, and inserted ones."""
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        team, keys, touched, out, types = None, {}, [], [], None
+
+        def flush() -> pa.RecordBatch:
+            nonlocal out
+            cells, out = out, []
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in cells], t) for i, t in enumerate(types)], names)
+
+        def end() -> None:
+            for row in touched:
+                if row["origin"] is not None or not row["gone"]:
+                    out.append((None, None, None, None, row["origin"], row["gone"], list(row["values"].items())))
+
+        for batch in batches:
+            types = types or [batch.schema.field("edit_id").type, pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string())]
+            for edit in batch.to_pylist():
+                if edit["team"] != team:
+                    end()
+                    team, keys, touched = edit["team"], {}, []
+                for name, n in ((edit["k"], edit["n_k"]), (edit["to"], edit["n_to"])):
+                    # Rows that share a name can't be told apart, and none of them is ever changed.
+                    if name is not None and name not in keys:
+                        keys[name] = [n if n > 1 else 0, [{"origin": name, "gone": False, "values": {}, "touched": False}] if n == 1 else []]
+                matched, status = 1, "APPLIED"
+                if edit["op"] == "INSERT":
+                    row = {"origin": None, "gone": False, "values": dict(edit["values"]), "touched": True}
+                    touched.append(row)
+                    keys[edit["to"]][1].append(row)
+                else:
+                    crowd, rows = keys[edit["k"]]
+                    matched = crowd + len(rows)
+                    status = "APPLIED" if matched == 1 else "AMBIGUOUS" if matched else "STALE"
+                    if matched == 1:
+                        (row,) = rows
+                        if not row["touched"]:
+                            row["touched"] = True
+                            touched.append(row)
+                        if edit["op"] == "DELETE":
+                            row["gone"] = True
+                            rows.clear()
+                        else:
+                            row["values"].update(edit["values"])
+                            if edit["to"] != edit["k"]:
+                                rows.clear()
+                                keys[edit["to"]][1].append(row)
+                out.append((edit["edit_id"], edit["op"], matched, status, None, None, None))
+                if len(out) >= 4096:
+                    yield flush()
+        end()
+        if out:
+            yield flush()
+
+    return run
 
 
 def apply_deletes(df: DataFrame, edits: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(df without the rows of the applied edits, outcomes)."""
-    good = _matched(df, edits, key)
-    gone = good.where(F.col("matched") == 1).select(*(_typed(F.col(f"key.{c}"), df.schema[c].dataType).alias(f"__{c}") for c in key))
-    on = reduce(lambda a, b: a & b, (df[c].eqNullSafe(gone[f"__{c}"]) for c in key))
-    return df.join(gone, on, "left_anti"), good.select("edit_id", F.lit("DELETE").alias("op"), "matched", _status().alias("status"))
+    """(df without the rows of the applied edits, outcomes), as replay() has them."""
+    return replay(df, _deletes(edits), key)
+
+
+def _deletes(edits: DataFrame) -> DataFrame:
+    return edits.drop("values").withColumns({"op": F.lit("DELETE"), "values": F.lit(None).cast("map<string,string>")})
 
 
 def apply_ordered_deletes(df: DataFrame, edits: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Deletes in the order of edit_seq up to the first that fails: those before it are applied, those behind it SKIPPED."""
-    good = _matched(df, edits, key)
-    first = good.where(F.col("matched") != 1).agg(F.min("edit_seq").alias("first_bad"))
-    good = good.crossJoin(F.broadcast(first))  # one row
-    status = F.when(F.col("edit_seq") > F.col("first_bad"), "SKIPPED").otherwise(_status())
-    done = good.where(F.col("first_bad").isNull() | (F.col("edit_seq") < F.col("first_bad")))
-    gone = done.select(*(_typed(F.col(f"key.{c}"), df.schema[c].dataType).alias(f"__{c}") for c in key))
+    """Deletes in the order of edit_seq up to the first that fails: those before it are applied, those behind it SKIPPED. Edits that a
+    boolean column is_new marks are of rows that were never stored: they delete nothing, stop nothing, and are NEW."""
+    new = F.coalesce("is_new", F.lit(False)) if "is_new" in edits.columns else F.lit(False)
+    own = _deletes(edits.where(~new))
+    _, told = replay(df, own, key)
+    good = own.join(told.drop("op"), "edit_id")
+    first = good.where("status <> 'APPLIED'").agg(F.min("edit_seq").alias("first_bad"))
+    good = kept(good.crossJoin(F.broadcast(first)), "deletes")  # one row
+    behind = F.coalesce(F.col("edit_seq") > F.col("first_bad"), F.lit(False))
+    gone = good.where((F.col("status") == "APPLIED") & ~behind).select(*(_typed(F.col(f"key.{c}"), df.schema[c].dataType).alias(f"__{c}") for c in key))
     on = reduce(lambda a, b: a & b, (df[c].eqNullSafe(gone[f"__{c}"]) for c in key))
-    return df.join(gone, on, "left_anti"), good.select("edit_id", F.lit("DELETE").alias("op"), "matched", status.alias("status"))
+    told = good.select("edit_id", F.lit("DELETE").alias("op"), "matched", F.when(behind, "SKIPPED").otherwise(F.col("status")).alias("status"), F.when(~behind, F.col("message")).alias("message"))
+    never = edits.where(new).select("edit_id", F.lit("DELETE").alias("op"), F.lit(0).cast("long").alias("matched"), F.lit("NEW").alias("status"), F.lit(None).cast("string").alias("message"))
+    return df.join(gone, on, "left_anti"), told.unionByName(never)

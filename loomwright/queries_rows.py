@@ -345,7 +345,7 @@ _STATUS = "CASE WHEN matched = 1 THEN 'APPLIED' WHEN matched = 0 THEN 'STALE' EL
 
 @query("c8_ordered_deletes", f"SELECT edit_id, 'DELETE' AS op, matched, CASE WHEN edit_id > (SELECT min(edit_id) FROM {_FAIL} WHERE matched <> 1) THEN 'SKIPPED' ELSE {_STATUS} END AS status FROM {_FAIL}")
 def c8(spark: SparkSession, d: str) -> DataFrame:
-    return edits.apply_ordered_deletes(*line_edits(spark, d), ["l_orderkey", "l_linenumber"])[1]
+    return edits.apply_ordered_deletes(*line_edits(spark, d), ["l_orderkey", "l_linenumber"])[1].drop("message")
 
 
 @query("c9_edit_outcomes", f"SELECT edit_id, 'DELETE' AS op, matched, {_STATUS} AS status FROM {_FAIL}")
@@ -354,6 +354,42 @@ def c9(spark: SparkSession, d: str) -> DataFrame:
     return edits.outcomes(lines, told, ["l_orderkey", "l_linenumber"], "DELETE")
 
 
+def batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Several edits an order, each on what the one before left: renamed keys, inserts that are deleted again, keys that are taken, gone or bad."""
+    o = base_orders(spark, d)
+    k, m = F.col("o_orderkey"), F.col("o_orderkey") % 10
+    one = lambda when, seq, op, key, values: F.when(when, F.struct(F.lit(seq).alias("edit_seq"), F.lit(op).alias("op"), F.struct(key.cast("string").alias("o_orderkey")).alias("key"), values.alias("values")))
+    sets = lambda *kv: F.create_map(*(x if i % 2 else F.lit(x) for i, x in enumerate(kv)))
+    none, text = F.lit(None).cast("map<string,string>"), lambda c: c.cast("string")
+    far = k + 1_000_000_000
+    steps = F.array(
+        one(m == 1, 1, "UPDATE", k, sets("o_orderkey", text(far))), one(m == 1, 2, "UPDATE", far, sets("o_orderstatus", F.lit("Z"))),
+        one(m == 2, 1, "INSERT", F.lit(None), sets("o_orderkey", text(far), "o_custkey", F.lit("7"))), one(m == 2, 3, "DELETE", far, none), one(m == 2, 4, "DELETE", far, none),
+        one(m == 3, 1, "INSERT", F.lit(None), sets("o_orderkey", text(k))), one(m == 3, 2, "UPDATE", k, sets("o_orderstatus", F.lit("N"))),
+        one(m == 4, 1, "DELETE", k, none), one(m == 4, 2, "UPDATE", k, sets("o_orderstatus", F.lit("N"))),
+        one(m == 5, 1, "UPDATE", k, sets("o_custkey", F.lit("x"))), one(m == 5, 2, "DELETE", F.lit("x"), none),
+        one(m == 6, 1, "UPDATE", k, sets("o_orderkey", text(far))), one(m == 6, 2, "UPDATE", far, sets("o_orderkey", text(k), "o_custkey", F.lit("8"))),
+    )
+    each = o.select("o_orderkey", F.posexplode(steps).alias("i", "e")).where("e is not null")
+    return o, each.select((F.col("o_orderkey") * 100 + F.col("i")).alias("edit_id"), "e.*")
+
+
+@query("c9_replay_outcomes", """SELECT o_orderkey * 100 + e.i AS edit_id, e.op AS op, CAST(e.n AS BIGINT) AS matched, e.s AS status, e.m AS message FROM (SELECT o_orderkey, unnest(CASE o_orderkey % 10
+ WHEN 1 THEN [{i: 0, op: 'UPDATE', n: 1, s: 'APPLIED', m: NULL}, {i: 1, op: 'UPDATE', n: 1, s: 'APPLIED', m: NULL}]
+ WHEN 2 THEN [{i: 2, op: 'INSERT', n: 1, s: 'APPLIED', m: NULL}, {i: 3, op: 'DELETE', n: 1, s: 'APPLIED', m: NULL}, {i: 4, op: 'DELETE', n: 0, s: 'STALE', m: 'no row has the old key values'}]
+ WHEN 3 THEN [{i: 5, op: 'INSERT', n: 1, s: 'APPLIED', m: NULL}, {i: 6, op: 'UPDATE', n: 2, s: 'AMBIGUOUS', m: '2 rows have the old key values'}]
+ WHEN 4 THEN [{i: 7, op: 'DELETE', n: 1, s: 'APPLIED', m: NULL}, {i: 8, op: 'UPDATE', n: 0, s: 'STALE', m: 'no row has the old key values'}]
+ WHEN 5 THEN [{i: 9, op: 'UPDATE', n: 0, s: 'INVALID', m: 'o_custkey: BAD_VALUE'}, {i: 10, op: 'DELETE', n: 0, s: 'INVALID', m: 'BAD_KEY'}]
+ WHEN 6 THEN [{i: 11, op: 'UPDATE', n: 1, s: 'APPLIED', m: NULL}, {i: 12, op: 'UPDATE', n: 1, s: 'APPLIED', m: NULL}] END) AS e FROM orders WHERE o_orderkey % 10 BETWEEN 1 AND 6)""")
+def c9_replay(spark: SparkSession, d: str) -> DataFrame:
+    return edits.replay(*batch(spark, d), ["o_orderkey"])[1]
+
+
+@query("c6_replay_batch", "SELECT CASE WHEN o_orderkey % 10 = 1 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 10 = 6 THEN 8 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 10 = 1 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 4 UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 10 = 3")
+def c6_replay(spark: SparkSession, d: str) -> DataFrame:
+    return edits.replay(*batch(spark, d), ["o_orderkey"])[0]
+
+
 # ---------- keyspaces ----------
 
 _KEYS = "(SELECT event_type || ':' || user_id || ':' || event_id AS key FROM events)"
