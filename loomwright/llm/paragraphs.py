@@ -175,7 +175,7 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: flo
     links = similar_members(members, sets, least, CHUNK)
     nodes = connected_components(links)
     clusters = classes.join(nodes, classes["x"] == nodes["node"], "left").select("x", "y", "first", F.coalesce("component", "x").alias("cluster"))
-    keepers = clusters.groupBy("cluster").agg(F.min("first").alias("keeper"))
+    keepers = materialize(clusters.groupBy("cluster").agg(F.min("first").alias("keeper")), "leaders")
     keepers = materialize(clusters.join(keepers, "cluster").select("x", "y", "keeper"), "keepers")
     removed = found.drop("bands").join(keepers, ["x", "y"]).where(~place.eqNullSafe(F.col("keeper")))
     removed = materialize(removed.select("id", "hash", "at"), "removed")
@@ -185,12 +185,13 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: flo
 def _repeated_sentences(sentences: DataFrame, removed: DataFrame) -> DataFrame:
     """(id, hash, at, part) of the sentences (and x, y) outside the removed paragraphs that repeat an earlier one there."""
     place = F.struct("id", "hash", "at", "part")
-    repeated = sentences.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
+    # Written before they are joined on their own keys: a sentence that every document has can be split then.
+    repeated = materialize(sentences.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), "repeated")
     repeated = sentences.join(repeated, ["x", "y"])
     gone = removed.select(F.col("id").alias("i"), F.col("hash").alias("h"), F.col("at").alias("a")).distinct()
     left = repeated.join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")) & (F.col("at") == F.col("a")), "left_anti")
     left = materialize(left, "sentences")
-    keepers = left.groupBy("x", "y").agg(F.min(place).alias("keeper"))
+    keepers = materialize(left.groupBy("x", "y").agg(F.min(place).alias("keeper")), "first")
     return left.join(keepers, ["x", "y"]).where(~place.eqNullSafe(F.col("keeper"))).select("id", "hash", "at", "part")
 
 

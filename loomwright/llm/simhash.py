@@ -95,7 +95,7 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     distinct = distinct.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("k")) for i, m in enumerate(masks(radius))))
     keyed = distinct.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.k")
-    large = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    large = materialize(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "large")
     keyed = keyed.join(large, ["t", "k"], "left").withColumn("chunks", F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int"))
     keyed = keyed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     keyed = keyed.select("fp", "t", "k", "own", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
@@ -138,7 +138,8 @@ def simhash_groups(docs: DataFrame, shingle: int | None = 3, radius: int = 3) ->
     classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     nodes = connected_components(links(classes.select("fp"), radius))
     whole = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
+    whole = materialize(whole, "found")
+    least = materialize(whole.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     whole = materialize(whole.join(least, "component").select("fp", "component_id"), "components")
     return found.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

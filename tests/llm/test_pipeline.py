@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from loomwright.llm.common import connected_components, materialize
 
@@ -16,6 +19,21 @@ def test_stages_on_odd_documents(spark, docs, no_docs, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "paragraphs", "decontamination", "packing"]
 
 
+ADDED = ["weak_good", "quality_score", "accepted", "n_removed", "removed", "n_sentences", "n_paragraphs", "items", "n_hit", "n_items", "n_words", "contaminated", "keeper", "component", "x", "fp", "first", "__id", "__text"]
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "paragraphs", "decontamination"])
+def test_columns_of_clashing_names_pass(spark, docs, tmp_path, name):
+    spark.createDataFrame([(1, "no such phrase in any document of this table at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = spark.createDataFrame([(7000, " ".join(f"w{i * i % 9973}" for i in range(700_000)), "en", "s1", 5)], docs.schema)
+    frame = docs.union(long).withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in ADDED})
+    out = dict(corpus_pipeline.STAGES)[name](spark, frame, str(tmp_path))
+    assert out.schema.simpleString() == frame.schema.simpleString()
+    rows = out.collect()
+    assert len(rows) > 30 and (name == "quality" or 7000 in {r.doc_id for r in rows})
+    assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in ADDED)
+
+
 def test_near_copies_go(spark, docs, tmp_path):
     left = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
     copies = docs.where("text is not null and doc_id is not null").groupBy("text").agg({"doc_id": "min"}).collect()
