@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import decontam, packing, paragraphs, quality, simhash
@@ -12,43 +12,60 @@ from loomwright.llm.common import materialize, table
 from loomwright.llm.queries import tokenizer
 
 
-def _edited(found: DataFrame, docs: DataFrame, changed: str) -> DataFrame:
-    """docs' columns, with n_chars counted anew for the texts that were changed."""
-    return found.select(*(F.when(F.expr(changed), F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+def _hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but doc_id and text under names that no operator adds, and those names."""
+    names = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(names), names
+
+
+def _shown(found: DataFrame, docs: DataFrame, names: dict[str, str], **changed: Column) -> DataFrame:
+    """The columns of docs, from a result over _hidden(docs); changed has those that are computed anew."""
+    return found.select(*(changed.get(c, F.col(names.get(c, c))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the weak-label scorer rejects.
 
-    Null and empty texts are judged like any other and stay; repeated rows are judged alike; an empty table gives none."""
-    return quality.classify(docs, quality.train(docs)).where("accepted").select(*docs.columns)
+    Null and empty texts stay: no labeller objects to them, and later stages count them. Texts of any length are judged whole; repeated rows are
+    judged alike, and a score of exactly the threshold is accepted; an empty table gives none. Columns of any name pass unchanged."""
+    hidden, names = _hidden(docs)
+    return _shown(quality.classify(hidden, quality.train(docs.select("doc_id", "text"))).where("accepted"), docs, names)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates: that of the smallest doc_id, a null as the smallest.
 
-    Rows are told apart by doc_id and text; null, empty and blank texts are one group; an empty table gives no rows."""
-    return simhash.without_near_duplicates(docs)
+    Rows are told apart by doc_id and text, of rows that tie in both any one stays; null, empty and blank texts are one group; texts of any length
+    are compared whole; an empty table gives no rows. Columns of any name pass unchanged."""
+    hidden, names = _hidden(docs)
+    return _shown(simhash.without_near_duplicates(hidden), docs, names)
 
 
 def paragraph_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts paragraphs that repeat an earlier one out of the texts.
+    """Cuts paragraphs that repeat an earlier one out of the texts, and counts n_chars anew where it did.
 
-    Null texts stay null, repeated rows lose the same paragraphs, emptied documents stay; an empty table gives no rows."""
-    return _edited(paragraphs.dedup_paragraphs(docs), docs, "n_removed > 0")
+    Null texts stay null, repeated rows lose the same paragraphs, emptied documents stay; earlier is by doc_id, then place, ties by the text's hash; texts
+    of any length are cut whole; an empty table gives no rows. Other columns of any name pass unchanged."""
+    hidden, names = _hidden(docs)
+    found = paragraphs.dedup_paragraphs(hidden)
+    changed = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(names["n_chars"]))} if "n_chars" in names else {}
+    return _shown(found, docs, names, **changed)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item.
 
-    Null and empty texts hold none; repeated rows go or stay together; empty tables give no rows, or drop none."""
-    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    Null and empty texts hold none; repeated rows go or stay together; texts of any length are searched whole; empty tables give no rows, or drop
+    none. Columns of any name pass unchanged."""
+    hidden, names = _hidden(docs)
+    return _shown(decontam.uncontaminated(hidden, table(spark, sf_dir, "benchmark")), docs, names)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left, each source in proportion to its tokens.
 
-    A null text is an end id alone, a null source is a source, repeated rows are packed each; an empty table gives no rows."""
+    A null text is an end id alone, a null source is a source, repeated rows are packed each; a text of any length is cut freely, ties follow
+    doc_id; an empty table gives no rows. The result has the pieces' columns alone, whatever docs' others are called."""
     return packing.pack(docs, tokenizer())
 
 
