@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.owners import without_owner_column
 from .catalog import canonical
 
 OBJECT = ["comparison_id", "object_type", "object_key"]
@@ -18,13 +19,17 @@ def validate_snapshots(objects: DataFrame) -> DataFrame:
     return kinds.union(nulls).union(twice).distinct()
 
 
-def project_owner(objects: DataFrame) -> DataFrame:
-    """objects with keys and definitions that leave the own schema out, so that a.t and b.t compare equal; a definition of low
-    confidence becomes a digest with its owner, which equals no other. error tells foreign owners and colliding keys."""
+def project_owner(objects: DataFrame, mode: str = "postgres") -> DataFrame:
+    """objects with keys and definitions that leave the own schema out, so that a.t and b.t compare equal; see owners.without_owner. A
+    definition of low confidence, or one that can't be told apart from its owner, becomes a digest with its owner, which equals no
+    other. error tells foreign owners and colliding keys."""
     own = F.col("owner") == F.col("schema_name")
-    quoted = F.concat(F.lit('"'), "schema_name", F.lit('".'))
-    text = F.when(F.col("confidence") == "LOW", F.concat(F.lit("sha256:"), F.sha2(canonical("owner", "definition"), 256))).otherwise(F.replace("definition", quoted, F.lit("")))
-    out = objects.withColumn("object_key", F.when(own, F.col("object_name")).otherwise(F.concat("owner", F.lit("."), "object_name"))).withColumn("definition", text)
+    bare = without_owner_column(F.col("definition"), F.col("schema_name"), mode)
+    digest = F.concat(F.lit("sha256:"), F.sha2(canonical("owner", "definition"), 256))
+    told = objects.withColumn("__bare", bare)
+    unsure = (F.col("confidence") == "LOW") | (F.col("definition").isNotNull() & F.col("__bare").isNull())
+    text = F.when(unsure, digest).otherwise(F.col("__bare"))
+    out = told.withColumn("object_key", F.when(own, F.col("object_name")).otherwise(F.concat("owner", F.lit("."), "object_name"))).withColumn("definition", text).drop("__bare")
     same = out.groupBy("comparison_id", "side", "object_type", "object_key").agg(F.count("*").alias("__n"))
     out = out.join(same, ["comparison_id", "side", "object_type", "object_key"])
     return out.withColumn("error", F.when(~own, "FOREIGN_OWNER").when(F.col("__n") > 1, "COLLISION")).drop("__n")
