@@ -15,6 +15,10 @@ from ..shared import kept
 Sorts = list[tuple[str, bool]]
 
 
+#: Offsets from which a page isn't taken from the top rows of each task any more.
+DEEP = 1_000_000
+
+
 def order_columns(sorts: Sorts) -> list[Column]:
     """Nulls come last in ascending and first in descending order, as in the databases served."""
     return [F.asc_nulls_last(c) if up else F.desc_nulls_first(c) for c, up in sorts]
@@ -25,8 +29,12 @@ def sort_by(df: DataFrame, sorts: Sorts) -> DataFrame:
 
 
 def page(df: DataFrame, offset: int, limit: int, sorts: Sorts | None = None, where: str | None = None) -> DataFrame:
-    """Rows offset .. offset + limit - 1 of the filtered and sorted table; the plan keeps only the top rows of each task."""
+    """Rows offset .. offset + limit - 1 of the filtered and sorted table; the plan keeps only the top rows of each task. Those are
+    offset + limit rows; from DEEP on the table is sorted in ranges instead. For many pages of a table see Pages."""
     df = df.where(where) if where else df
+    if sorts and offset >= DEEP:
+        rows = number_rows(df, sorts, -1, "__row")
+        return rows.where((F.col("__row") >= offset) & (F.col("__row") < offset + limit)).orderBy("__row").drop("__row")
     return sort_by(df, sorts or []).offset(offset).limit(limit)
 
 
@@ -75,24 +83,66 @@ def number_rows(df: DataFrame, sorts: Sorts, offset: int = 0, name: str = "row_n
     return tagged.join(F.broadcast(starts), "__part").select(*df.columns, (F.col("__start") + F.col("__seq") + 1 + offset).alias(name))
 
 
-def iterate_pages(df: DataFrame, size: int, key: str) -> Iterator[DataFrame]:
-    """Pages of a table by a unique key: each starts behind the last key of the page before, and reads no earlier rows."""
-    last = None
-    while True:
-        rows = df if last is None else df.where(F.col(key) > F.lit(last))
-        out = rows.orderBy(key).limit(size)
-        bounds = out.agg(F.max(key).alias("last"), F.count("*").alias("n")).first()
-        if not bounds.n:
-            return
-        yield out
-        if bounds.n < size:
-            return
-        last = bounds.last
-
-
-def page_number(df: DataFrame, size: int, key: str) -> DataFrame:
+class Pages:
+    """The pages of a table in a sort order over any number of columns. The rows are sorted and written once, in files of whole stretches of
+    pages; which file has which pages is known from then on, so that a page reads one or two files, however far behind it is."""
+
+    def __init__(self, df: DataFrame, size: int, sorts: Sorts):
+        spark = df.sparkSession
+        self.spark, self.size, self.sorts, self.columns = spark, size, sorts, df.columns
+        numbered = number_rows(df, sorts, -1, "__row").withColumn("__page", F.floor(F.col("__row") / size))
+        numbered = numbered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "__page").sortWithinPartitions("__row")
+        self.table = kept(numbered, "pages")
+        # One row for each file, as many as ranges.
+        files = self.table.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("__page").alias("low"), F.max("__page").alias("high"), F.count("*").alias("n"))
+        self.files = files.collect()
+        self.rows = sum(f.n for f in self.files)
+        self.count = -(-self.rows // size)
+
+    def page(self, number: int) -> DataFrame:
+        """The rows of a page, from 0 on, in order; none beyond the last."""
+        return self.slice(number * self.size, self.size)
+
+    def slice(self, offset: int, limit: int) -> DataFrame:
+        low, high = offset // self.size, (offset + max(limit, 1) - 1) // self.size
+        paths = [f.file for f in self.files if f.low <= high and f.high >= low]
+        rows = self.spark.read.schema(self.table.schema).parquet(*paths) if paths else self.table.limit(0)
+        return rows.where(F.col("__page").between(low, high) & (F.col("__row") >= offset) & (F.col("__row") < offset + limit)).orderBy("__row").select(*self.columns)
+
+    def numbered(self) -> DataFrame:
+        """All rows with page_no, from 1 on."""
+        return self.table.select(*self.columns, (F.col("__page") + 1).alias("page_no"))
+
+    def starts(self) -> DataFrame:
+        """(page_no, sort columns): the first row of each page."""
+        return self.table.where(F.col("__row") % self.size == 0).select((F.col("__page") + 1).alias("page_no"), *(c for c, _ in self.sorts))
+
+
+def after(sorts: Sorts, row: dict) -> Column:
+    """Whether a row comes behind the given values of the sort columns, nulls placed as order_columns places them."""
+    out = F.lit(False)
+    for name, up in reversed(sorts):
+        c, value = F.col(name), row[name]
+        same = c.isNull() if value is None else c.eqNullSafe(F.lit(value))
+        if up:
+            behind = F.lit(False) if value is None else c.isNull() | (c > F.lit(value))
+        else:
+            behind = c.isNotNull() if value is None else c < F.lit(value)
+        out = F.coalesce(behind, F.lit(False)) | (same & out)
+    return out
+
+
+def iterate_pages(df: DataFrame, size: int, key: str | Sorts) -> Iterator[DataFrame]:
+    """The pages of a table by a column or by sorts: it is sorted once, and each page reads its own file."""
+    pages = Pages(df, size, [(key, True)] if isinstance(key, str) else key)
+    for i in range(pages.count):
+        yield pages.page(i)
+
+
+def page_number(df: DataFrame, size: int, key: str | Sorts) -> DataFrame:
     """Every row with the page that iterate_pages would yield it on, from 1 on."""
-    return number_rows(df, [(key, True)]).withColumn("page_no", F.ceil(F.col("row_no") / size)).drop("row_no")
+    sorts = [(key, True)] if isinstance(key, str) else key
+    return number_rows(df, sorts).withColumn("page_no", F.ceil(F.col("row_no") / size)).drop("row_no")
 
 
 def preview(df: DataFrame) -> DataFrame:

@@ -46,6 +46,23 @@ def b6(spark: SparkSession, d: str) -> DataFrame:
     return browse.page_number(table(spark, d, "customer").select("c_custkey"), 200, "c_custkey")
 
 
+_PARTLY = "CASE WHEN o_custkey % 3 <> 0 THEN o_orderpriority END"
+
+
+def partly(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority")).alias("priority"))
+
+
+@query("b6_pages_by_keys", f"SELECT o_orderkey, o_orderstatus, priority, (row_number() OVER (ORDER BY priority DESC NULLS FIRST, o_orderstatus NULLS LAST, o_orderkey) - 1) // 70 + 1 AS page_no FROM (SELECT o_orderkey, o_orderstatus, {_PARTLY} AS priority FROM orders)")
+def b6_keys(spark: SparkSession, d: str) -> DataFrame:
+    return browse.Pages(partly(spark, d), 70, [("priority", False), ("o_orderstatus", True), ("o_orderkey", True)]).numbered()
+
+
+@query("b6_page_starts", f"SELECT priority, o_orderstatus, o_orderkey, n // 70 + 1 AS page_no FROM (SELECT o_orderkey, o_orderstatus, {_PARTLY} AS priority, row_number() OVER (ORDER BY {_PARTLY} DESC NULLS FIRST, o_orderstatus NULLS LAST, o_orderkey) - 1 AS n FROM orders) WHERE n % 70 = 0")
+def b6_starts(spark: SparkSession, d: str) -> DataFrame:
+    return browse.Pages(partly(spark, d), 70, [("priority", False), ("o_orderstatus", True), ("o_orderkey", True)]).starts()
+
+
 @query("b7_preview", "SELECT conv_id, turn, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS text, CASE WHEN octet_length(encode(text)) > 64 THEN left(lower(hex(encode(text))), 128) || '...(' || octet_length(encode(text)) || ' bytes)' ELSE lower(hex(encode(text))) END AS raw FROM conversations")
 def b7(spark: SparkSession, d: str) -> DataFrame:
     return browse.preview(table(spark, d, "conversations").select("conv_id", "turn", "text", F.col("text").cast("binary").alias("raw")))
