@@ -3,7 +3,8 @@ similarity, and a calibration (of the vote, and of how much a text says at all)
 
 Every term of the examples is looked at. A term's IDF comes from all documents and is multiplied by what the examples' labels
 say for it: the lower confidence bound of the log odds of label 1, less a margin (term relevance, as in delta TF-IDF). A term
-whose bound isn't above the margin doesn't speak for label 1 and so weighs nothing. There is no limit on terms or their counts."""
+whose bound isn't above the margin doesn't speak for label 1: it weighs nothing and has no postings. No number of terms is
+fixed, but the margin leaves most of them out."""
 
 from __future__ import annotations
 
