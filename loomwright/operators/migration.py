@@ -132,6 +132,17 @@ def load_stats(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(n("LOADED").alias("n_loaded"), n("FAILED").alias("n_failed"), n("SKIPPED").alias("n_skipped"), F.coalesce(F.sum(F.when(F.col("status") == "LOADED", F.col("n_rows"))), F.lit(0)).alias("n_rows"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == "FAILED", F.col("table_name")))), ", ").alias("failed"))
 
 
+def table_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: n_before and n_after tables of the target (table_name) around a load, n_new, how many more there are, and new, the
+    names that came, in order. Names match in any case of letters."""
+    named = lambda df, side: df.where("table_name is not null").select(F.lower("table_name").alias("name"), F.lit(side).alias("side"))
+    each = named(before, 0).union(named(after, 1)).groupBy("name").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    n = lambda c: F.count(F.when(c, 1))
+    came = F.array_join(F.array_sort(F.collect_list(F.when(F.col("low") == 1, F.col("name")))), ", ")
+    held = (n(F.col("low") == 0).alias("n_before"), n(F.col("high") == 1).alias("n_after"))
+    return each.agg(*held, (n(F.col("high") == 1) - n(F.col("low") == 0)).alias("n_new"), came.alias("new"))
+
+
 def verify_totals(counts: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row: tables and rows from counts (table_name, n_rows), sequences and routines from catalog (object_type)."""
     kinds = catalog.agg(F.count(F.when(F.col("object_type") == "SEQUENCE", 1)).alias("n_sequences"), F.count(F.when(F.col("object_type").isin("FUNCTION", "PROCEDURE"), 1)).alias("n_routines"))

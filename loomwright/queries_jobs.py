@@ -146,6 +146,11 @@ def m10(spark: SparkSession, d: str) -> DataFrame:
     return migration.load_stats(counts(spark, d).withColumn("status", F.when(n == 6, "LOADED").when(n == 8, "FAILED").otherwise("SKIPPED")))
 
 
+@query("m10_table_counts", f"SELECT count(*) FILTER (length(table_name) <> 6) AS n_before, count(*) AS n_after, count(*) FILTER (length(table_name) = 6) AS n_new, string_agg(table_name, ', ' ORDER BY table_name) FILTER (length(table_name) = 6) AS new FROM {_COUNTS}")
+def m10_tables(spark: SparkSession, d: str) -> DataFrame:
+    return migration.table_counts(held(spark, d), counts(spark, d))
+
+
 @query("m11_verify_totals", f"SELECT (SELECT count(*) FROM {_COUNTS}) AS n_tables, (SELECT sum(n_rows) FROM {_COUNTS}) AS n_rows, (SELECT count(*) FROM events WHERE event_type = 'view') AS n_sequences, (SELECT count(*) FROM events WHERE event_type IN ('click', 'error')) AS n_routines")
 def m11(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "SEQUENCE").when(F.col("event_type") == "click", "FUNCTION").when(F.col("event_type") == "error", "PROCEDURE").otherwise("TABLE")

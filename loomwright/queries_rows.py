@@ -291,6 +291,14 @@ def e10(spark: SparkSession, d: str) -> DataFrame:
     return exports.dump_stats(dumps.union(table(spark, d, "region").where("r_regionkey = 0").select(F.lit("none"), F.lit("COMMIT;"))))
 
 
+@query("e10_dump_totals", "SELECT count(*) FILTER (s = 'ok') AS n_ok, count(*) FILTER (s = 'empty') AS n_empty, count(*) FILTER (s = 'failed') AS n_failed, coalesce(sum(n) FILTER (s = 'ok'), 0) AS n_rows, coalesce(sum(c) FILTER (s = 'ok'), 0) AS n_chars, string_agg(t, ', ' ORDER BY t) FILTER (s = 'failed') AS failed FROM (SELECT n_name AS t, count(c_custkey) AS n, coalesce(sum(length(c_name) + 13), 0) + 8 AS c, CASE WHEN n_nationkey % 5 = 0 THEN 'failed' WHEN count(c_custkey) = 0 THEN 'empty' ELSE 'ok' END AS s FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_nationkey % 7 <> 0 GROUP BY n_name, n_nationkey)")
+def e10_totals(spark: SparkSession, d: str) -> DataFrame:
+    nations = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("table_name"))
+    rows = table(spark, d, "customer").where("c_nationkey % 7 <> 0").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("table_name", F.concat(F.lit("INSERT INTO "), "c_name").alias("line"))
+    ends = nations.select("table_name", F.lit("COMMIT;").alias("line"))
+    return exports.dump_totals(exports.dump_stats(rows.union(ends), nations.where("n_nationkey % 5 = 0")))
+
+
 # ---------- edits ----------
 
 def order_edits(spark: SparkSession, d: str) -> DataFrame:
