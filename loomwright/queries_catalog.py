@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import catalog, changeplan, schemadiff
+from .plans import catalog, changeplan, dependencies, schemadiff
 from .registry import query, table
 
 # A nation is a schema, a customer's segment a table, a customer a column.
@@ -174,6 +174,64 @@ def a17(spark: SparkSession, d: str) -> DataFrame:
     return catalog.snapshot_dependencies(part_edges(spark, d), objects)[0].select("object_key", "depends_on")
 
 
+# Raw catalog rows: five databases, where nations are schemas, customers tables and views, suppliers functions, parts types, and orders triggers,
+# defaults and constraints; line items say what needs what. SQL of the same, with k for the kind of a line.
+_RAW = """ns AS (SELECT n_nationkey % 5 AS s, n_nationkey AS oid, 'n' || n_nationkey AS schema_name FROM nation),
+ cls AS (SELECT c_nationkey % 5 AS s, c_custkey AS oid, c_nationkey AS ns FROM customer),
+ ents AS (SELECT cls.s, 'pg_class' AS c, cls.oid, schema_name FROM cls JOIN ns ON cls.s = ns.s AND cls.ns = ns.oid
+  UNION ALL SELECT s_nationkey % 5, 'pg_proc', s_suppkey, schema_name FROM supplier JOIN ns ON s_nationkey = ns.oid
+  UNION ALL SELECT p_partkey % 25 % 5, 'pg_type', p_partkey, schema_name FROM part JOIN ns ON p_partkey % 25 = ns.oid
+  UNION ALL SELECT cls.s, k, o_orderkey, schema_name FROM orders JOIN cls ON o_custkey = cls.oid JOIN ns ON cls.ns = ns.oid CROSS JOIN (VALUES ('pg_trigger'), ('pg_attrdef'), ('pg_constraint')) v(k) WHERE k <> 'pg_attrdef' OR o_orderkey % 2 = 0),
+ dep AS (SELECT c_nationkey % 5 AS s, (['pg_trigger', 'pg_class', 'pg_class', 'pg_attrdef', 'pg_constraint', 'pg_proc'])[l_linenumber] AS c, CASE WHEN l_linenumber IN (2, 3) THEN o_custkey WHEN l_linenumber = 6 THEN l_suppkey ELSE l_orderkey END AS oid,
+   (['pg_proc', 'pg_type', 'pg_class', 'pg_proc', 'pg_class', 'pg_type'])[l_linenumber] AS rc, CASE WHEN l_linenumber IN (2, 6) THEN l_partkey ELSE l_suppkey END AS roid
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_linenumber < 7 AND (l_linenumber <> 3 OR o_custkey % 6 = 0)),
+ objs AS (SELECT c_nationkey % 5 AS s, 'pg_class' AS c, c_custkey AS oid, CASE WHEN c_custkey % 6 = 0 THEN 'VIEW' ELSE 'TABLE' END AS t, 't' || c_custkey AS key, NULL AS parent FROM customer WHERE c_custkey % 10 <> 0
+  UNION ALL SELECT s_nationkey % 5, 'pg_proc', s_suppkey, 'FUNCTION', 'f' || s_suppkey, NULL FROM supplier
+  UNION ALL SELECT p_partkey % 25 % 5, 'pg_type', p_partkey, 'TYPE', 'y' || p_partkey, NULL FROM part WHERE p_partkey % 3 <> 0
+  UNION ALL SELECT c_nationkey % 5, k, o_orderkey, CASE k WHEN 'pg_trigger' THEN 'TRIGGER' WHEN 'pg_attrdef' THEN 'TABLE' ELSE 'CHECK_CONSTRAINT' END, CASE k WHEN 'pg_trigger' THEN 'g' || o_orderkey WHEN 'pg_attrdef' THEN 't' || o_custkey ELSE 'k' || o_orderkey END, CASE k WHEN 'pg_constraint' THEN 't' || o_custkey END FROM orders JOIN customer ON o_custkey = c_custkey CROSS JOIN (VALUES ('pg_trigger'), ('pg_attrdef'), ('pg_constraint')) v(k)),
+ found AS (SELECT dep.s, se.schema_name, so.t, so.key, so.parent, tob.key AS needs FROM dep JOIN ents se ON se.s = dep.s AND se.c = dep.c AND se.oid = dep.oid JOIN ents te ON te.s = dep.s AND te.c = dep.rc AND te.oid = dep.roid AND te.schema_name = se.schema_name
+  JOIN objs so ON so.s = dep.s AND so.c = dep.c AND so.oid = dep.oid LEFT JOIN objs tob ON tob.s = dep.s AND tob.c = dep.rc AND tob.oid = dep.roid WHERE NOT (dep.c = dep.rc AND dep.oid = dep.roid))"""
+
+
+def raw_dependencies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    snap = lambda c: (F.col(c) % 5).cast("int").alias("snapshot_id")
+    customer, supplier, part = table(spark, d, "customer"), table(spark, d, "supplier"), table(spark, d, "part").withColumn("p_nationkey", F.col("p_partkey") % 25)
+    orders = table(spark, d, "orders").join(customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").select(snap("c_nationkey"), F.col("o_orderkey").alias("oid"), F.col("o_custkey").alias("relation"), F.lit(None).cast("long").alias("type"))
+    raw = {
+        "namespaces": table(spark, d, "nation").select(snap("n_nationkey"), F.col("n_nationkey").alias("oid"), text("n", "n_nationkey").alias("schema_name")),
+        "pg_class": customer.select(snap("c_nationkey"), F.col("c_custkey").alias("oid"), F.col("c_nationkey").alias("namespace")),
+        "pg_proc": supplier.select(snap("s_nationkey"), F.col("s_suppkey").alias("oid"), F.col("s_nationkey").alias("namespace")),
+        "pg_type": part.select(snap("p_nationkey"), F.col("p_partkey").alias("oid"), F.col("p_nationkey").alias("namespace")),
+        "pg_trigger": orders,
+        "pg_attrdef": orders.where("oid % 2 = 0"),
+        "pg_constraint": orders,
+    }
+    views = customer.where("c_custkey % 6 = 0").select(snap("c_nationkey"), (-F.col("c_custkey")).alias("oid"), F.col("c_custkey").alias("view"))
+    line = F.col("l_linenumber")
+    kinds = lambda *names: F.get(F.array(*map(F.lit, names)), line - 1)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("oid"), "l_linenumber", "l_suppkey", "l_partkey").join(orders.select("snapshot_id", "oid", "relation"), "oid")
+    source = F.when(line == 2, F.col("relation")).when(line == 3, -F.col("relation")).when(line == 6, F.col("l_suppkey")).otherwise(F.col("oid"))
+    depends = lines.select("snapshot_id", kinds("pg_trigger", "pg_class", "pg_rewrite", "pg_attrdef", "pg_constraint", "pg_proc", "pg_cast").alias("catalog"), source.alias("oid"), kinds("pg_proc", "pg_type", "pg_class", "pg_proc", "pg_class", "pg_type", "pg_type").alias("ref_catalog"), F.when(line.isin(2, 6), F.col("l_partkey")).otherwise(F.col("l_suppkey")).alias("ref_oid"))
+    none = F.lit(None).cast("string")
+    named = lambda df, catalog, kind, key, parent=none: df.select("snapshot_id", F.lit(catalog).alias("catalog"), "oid", kind.alias("object_type"), key.alias("object_key"), parent.alias("parent_key"))
+    objects = named(raw["pg_class"].where("oid % 10 <> 0"), "pg_class", F.when(F.col("oid") % 6 == 0, "VIEW").otherwise("TABLE"), text("t", "oid"))
+    objects = objects.unionByName(named(raw["pg_proc"], "pg_proc", F.lit("FUNCTION"), text("f", "oid"))).unionByName(named(raw["pg_type"].where("oid % 3 <> 0"), "pg_type", F.lit("TYPE"), text("y", "oid")))
+    for catalog_name, kind, key, parent in (("pg_trigger", "TRIGGER", text("g", "oid"), none), ("pg_attrdef", "TABLE", text("t", "relation"), none), ("pg_constraint", "CHECK_CONSTRAINT", text("k", "oid"), text("t", "relation"))):
+        objects = objects.unionByName(named(orders, catalog_name, F.lit(kind), key, parent))
+    return dependencies.numbered_dependencies(dependencies.numbered_edges(depends, views), dependencies.numbered_entities(raw), objects, raw["namespaces"].select("snapshot_id", "schema_name"))
+
+
+@query("a17_raw_dependencies", f"WITH {_RAW} SELECT DISTINCT CAST(s AS INTEGER) AS snapshot_id, schema_name, h AS object_key, needs AS depends_on FROM (SELECT s, schema_name, key AS h, key, needs FROM found UNION ALL SELECT s, schema_name, parent, key, needs FROM found WHERE parent IS NOT NULL) WHERE needs IS NOT NULL AND key <> needs AND h <> needs")
+def a17_raw(spark: SparkSession, d: str) -> DataFrame:
+    return raw_dependencies(spark, d)[0]
+
+
+@query("a17_unresolved", f"WITH {_RAW} SELECT DISTINCT CAST(s AS INTEGER) AS snapshot_id, schema_name, t AS object_type FROM found WHERE needs IS NULL")
+def a17_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    return raw_dependencies(spark, d)[1]
+
+
 @query("a18_snapshot_completeness", "SELECT user_id AS snapshot_id, event_type AS object_type, (['PERMISSION_DENIED','METADATA_UNAVAILABLE','DEFINITION_UNAVAILABLE','DEPENDENCY_UNRESOLVED','NOT_SUPPORTED'])[1 + min(event_id % 5)] AS code FROM events WHERE event_id % 6 <> 5 GROUP BY ALL")
 def a18(spark: SparkSession, d: str) -> DataFrame:
     code = F.when(F.col("event_id") % 6 != 5, F.get(F.array(*map(F.lit, catalog.CODES)), (F.col("event_id") % 5).cast("int")))
