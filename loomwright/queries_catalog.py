@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import catalog, changeplan, dependencies, schemadiff
+from .plans import catalog, changeplan, dependencies, rendering, schemadiff
 from .registry import query, table
 
 # A nation is a schema, a customer's segment a table, a customer a column.
@@ -477,3 +477,45 @@ def d23(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda *v: F.get(F.array(*(x if not isinstance(x, str) and x is not None else F.lit(x) for x in v)), k)
     rows = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("comparison_id"), F.col("p_partkey").cast("string").alias("id"), pick("DROP", "ALTER", "ALTER", "ALTER", "ALTER", "MANUAL").alias("kind"), pick("FOREIGN_KEY", "TABLE", "TABLE", "TABLE", "TABLE", "TABLE").alias("object_type"), F.lit("s").alias("schema_name"), F.lit("t").alias("object_key"), pick("$object", "columns[x]", "columns[x].dataType", "columns[x].nullable", "columns[x].comment", "$object").alias("path"), pick(None, None, F.col("p_type"), "false", "it's", None).alias("new_value"), F.when(k == 1, "integer NOT NULL").alias("text"), F.when(k == 5, "MANUAL_ONLY").otherwise("SAFE_AUTOMATIC").alias("automation"))
     return changeplan.render_changes(rows).select(F.col("id").cast("long").alias("p_partkey"), "sql", "destructive", "error")
+
+
+# Parts are tables (or sequences), the line numbers that occur with a part its columns.
+_LC = "(SELECT DISTINCT l_partkey AS k, l_linenumber AS o FROM lineitem)"
+_CLAUSE = "'\"c' || o || '\" ' || CASE o % 2 WHEN 0 THEN 'text' ELSE 'integer' END || CASE o % 3 WHEN 0 THEN ' DEFAULT 0' ELSE '' END || CASE o % 2 WHEN 0 THEN ' NULL' ELSE ' NOT NULL' END"
+_COLS_OF = "string_agg('\"c' || o || '\"', ', ' ORDER BY o)"
+_T = "'\"s\".\"t' || k || '\"'"
+_FK = "' ADD CONSTRAINT \"fk\" FOREIGN KEY (' || cols || ') REFERENCES \"s\".\"t1\" (' || cols || ') ON DELETE CASCADE;'"
+
+
+@query("d23_render_statements", f"""WITH p AS (SELECT p_partkey AS k, p_size AS c FROM part), l AS (SELECT k, {_COLS_OF} AS cols, string_agg({_CLAUSE}, ',' || chr(10) || '    ' ORDER BY o) AS body FROM {_LC} GROUP BY k),
+ st AS (SELECT k, 0 AS ph, '' AS r, 'CREATE TABLE ' || {_T} || ' (' || chr(10) || '    ' || body || ',' || chr(10) || '    CONSTRAINT "pk" PRIMARY KEY (' || cols || ')' || chr(10) || ');' AS sql FROM l WHERE k % 8 = 0
+  UNION ALL SELECT k, 1, CAST(o AS VARCHAR), 'COMMENT ON COLUMN ' || {_T} || '."c' || o || '" IS ''it''''s'';' FROM {_LC} WHERE o % 3 = 1 AND k % 8 = 0
+  UNION ALL SELECT k, 2, 'fk', 'ALTER TABLE ' || {_T} || {_FK} FROM l WHERE k % 8 = 0 AND k % 3 = 0
+  UNION ALL SELECT k, 3, 'ix', 'CREATE UNIQUE INDEX "s"."ix" ON ' || {_T} || ' (' || replace(cols, '"', '') || ') WHERE c1 > 0;' FROM l WHERE k % 8 = 0
+  UNION ALL SELECT k, 0, '', 'ALTER TABLE ' || {_T} || ' ADD COLUMN ' || {_CLAUSE} || ';' FROM {_LC} WHERE k % 8 = 1 AND o = 1
+  UNION ALL SELECT k, 1, '', 'COMMENT ON COLUMN ' || {_T} || '."c1" IS ''it''''s'';' FROM {_LC} WHERE k % 8 = 1 AND o = 1
+  UNION ALL SELECT k, 0, 'old', 'ALTER TABLE ' || {_T} || ' DROP CONSTRAINT "old";' FROM p WHERE k % 8 = 2
+  UNION ALL SELECT k, 1, 'pk', 'ALTER TABLE ' || {_T} || ' ADD CONSTRAINT "pk" PRIMARY KEY (' || cols || ');' FROM l WHERE k % 8 = 2
+  UNION ALL SELECT k, 2, 'fk', 'ALTER TABLE ' || {_T} || {_FK} FROM l WHERE k % 8 = 2 AND k % 3 = 0
+  UNION ALL SELECT k, 1, 'ix', 'CREATE UNIQUE INDEX "s"."ix" ON ' || {_T} || ' (' || replace(cols, '"', '') || ') WHERE c1 > 0;' FROM l WHERE k % 8 = 3
+  UNION ALL SELECT k, 0, '', CASE k % 8 WHEN 4 THEN 'CREATE SEQUENCE ' || {_T} || ' START WITH 1 INCREMENT BY 2 MAXVALUE 99 NO CYCLE CACHE 20;' WHEN 5 THEN 'ALTER SEQUENCE ' || {_T} || ' INCREMENT BY 2;' ELSE 'DROP FUNCTION ' || {_T} || '(integer);' END FROM p WHERE k % 8 IN (4, 5, 6))
+ SELECT c AS comparison_id, 'i' || p.k AS id, CAST(CASE WHEN sql IS NOT NULL THEN row_number() OVER (PARTITION BY p.k ORDER BY ph, r) END AS INTEGER) AS step, sql, p.k % 8 IN (2, 5, 6) AS destructive, CASE WHEN p.k % 8 = 7 THEN 'MANUAL' WHEN sql IS NULL THEN 'UNSUPPORTED_SHAPE' END AS error FROM p LEFT JOIN st USING (k)""")
+def d23_statements(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select(F.col("p_size").alias("comparison_id"), F.col("p_partkey").alias("k"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("object_key"), F.lit("source").alias("side"))
+    kind = (F.col("k") % 8).cast("int")
+    pick = lambda *v: F.get(F.array(*map(F.lit, v)), kind)
+    none = F.lit(None).cast("string")
+    changes = part.select("comparison_id", F.concat(F.lit("i"), F.col("k").cast("string")).alias("id"), pick("CREATE", "ALTER", "ALTER", "ALTER", "CREATE", "ALTER", "DROP", "MANUAL").alias("kind"), pick("TABLE", "TABLE", "TABLE", "TABLE", "SEQUENCE", "SEQUENCE", "FUNCTION", "VIEW").alias("object_type"), F.lit("s").alias("schema_name"), "object_key", pick("$object", "columns[c1]", "constraints", "indexes", "$object", "incrementBy", "$object", "$object").alias("path"), F.lit("SAFE_AUTOMATIC").alias("automation"), none.alias("text"), F.lit("integer").alias("signature"), none.alias("parent"))
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("ordinal")).distinct().join(part, "k")
+    o = F.col("ordinal")
+    name = F.concat(F.lit("c"), o.cast("string"))
+    columns = lines.select("comparison_id", "side", "object_key", name.alias("column_name"), o, F.when(o % 2 == 0, "text").otherwise("integer").alias("type"), (o % 2 == 0).alias("nullable"), F.when(o % 3 == 0, "0").alias("default_value"), F.when(o % 3 == 1, "it's").alias("comment"))
+    lists = lines.groupBy("comparison_id", "side", "object_key", "k").agg(F.array_sort(F.collect_list(name)).alias("columns"))
+    empty = F.expr("cast(array() as array<string>)")
+    fields = lambda df, name, kind, cols, ref, action: df.select("comparison_id", "side", "object_key", F.lit(name).alias("constraint_name"), F.lit(kind).alias("kind"), cols.alias("columns"), none.alias("expression"), ref.alias("ref_table"), (cols if action else empty).alias("ref_columns"), none.alias("on_update"), F.lit(action).cast("string").alias("on_delete"), F.lit(False).alias("generated"))
+    constraints = fields(lists, "pk", "PRIMARY_KEY", F.col("columns"), none, None).unionByName(fields(lists.where("k % 3 = 0"), "fk", "FOREIGN_KEY", F.col("columns"), F.lit("t1"), "CASCADE"))
+    constraints = constraints.unionByName(fields(part.where("k % 8 = 2").withColumn("side", F.lit("target")), "old", "UNIQUE", F.array(F.lit("x")), none, None))
+    indexes = lists.select("comparison_id", "side", "object_key", F.lit("ix").alias("index_name"), F.lit(True).alias("is_unique"), F.col("columns").alias("expressions"), F.lit("c1 > 0").alias("predicate"), F.lit(False).alias("generated"))
+    both = part.where("k % 8 in (4, 5)").withColumn("side", F.explode(F.array(F.lit("source"), F.lit("target"))))
+    sequences = both.select("comparison_id", "side", "object_key", F.lit("1").alias("start_value"), F.when(F.col("side") == "source", "2").otherwise("1").alias("increment_by"), none.alias("min_value"), F.lit("99").alias("max_value"), F.lit(False).alias("cycle"), F.lit(20).alias("cache_size"))
+    return rendering.render_statements(changes, columns, constraints, indexes, sequences)
