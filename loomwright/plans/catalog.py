@@ -85,19 +85,22 @@ def table_ddl(columns: DataFrame, keys: DataFrame) -> DataFrame:
     return body.select(*TABLE, F.concat(F.lit("CREATE TABLE "), qualify("schema_name", "table_name"), F.lit(" (\n"), F.array_join(F.concat("c", key), ",\n"), F.lit("\n);")).alias("ddl"))
 
 
-def _create_index(table: Column, name: Column, unique: Column, columns: Column) -> Column:
-    return F.concat(F.lit("CREATE "), F.when(unique, "UNIQUE ").otherwise(""), F.lit("INDEX "), quote_ident(name), F.lit(" ON "), table, F.lit(" ("), _names(columns), F.lit(");"))
+def _create_index(table: Column, name: Column, unique: Column, columns: Column, schema: Column | None = None) -> Column:
+    return F.concat(F.lit("CREATE "), F.when(unique, "UNIQUE ").otherwise(""), F.lit("INDEX "), quote_ident(name) if schema is None else qualify(schema, name), F.lit(" ON "), table, F.lit(" ("), _names(columns), F.lit(");"))
 
 
-def create_script(drafts: DataFrame) -> DataFrame:
-    """(schema_name, table_name, script) of drafts: CREATE TABLE with its key, comments and indexes."""
+def create_script(drafts: DataFrame, dialect: str = "postgres") -> DataFrame:
+    """(schema_name, table_name, script) of drafts: CREATE TABLE with its key (named by pk_name, where that is filled), the comments of the
+    table (column comment, where drafts have it) and its columns, and its indexes; Oracle's are named with their schema."""
     t = qualify("schema_name", "table_name")
-    key = F.when(F.size("pk") > 0, F.array(F.concat(F.lit("PRIMARY KEY ("), _names("pk"), F.lit(")")))).otherwise(F.expr("cast(array() as array<string>)"))
+    named = F.when(_filled(F.col("pk_name")), F.concat(F.lit("CONSTRAINT "), quote_ident("pk_name"), F.lit(" "))).otherwise("")
+    key = F.when(F.size("pk") > 0, F.array(F.concat(named, F.lit("PRIMARY KEY ("), _names("pk"), F.lit(")")))).otherwise(F.expr("cast(array() as array<string>)"))
     lines = F.transform(F.concat(F.transform("columns", _clause), key), lambda c: F.concat(F.lit("    "), c))
     head = F.concat(F.lit("CREATE TABLE "), t, F.lit(" (\n"), F.array_join(lines, ",\n"), F.lit("\n);"))
+    about = F.when(_filled(F.col("comment")), F.concat(F.lit("COMMENT ON TABLE "), t, F.lit(" IS "), _literal(F.col("comment")), F.lit(";"))) if "comment" in drafts.columns else F.lit(None).cast("string")
     notes = F.transform(F.filter("columns", lambda c: _filled(c["comment"])), lambda c: F.concat(F.lit("COMMENT ON COLUMN "), t, F.lit("."), quote_ident(c["column_name"]), F.lit(" IS "), _literal(c["comment"]), F.lit(";")))
-    idx = F.transform("indexes", lambda i: _create_index(t, i["index_name"], i["is_unique"], i["columns"]))
-    return drafts.select(*TABLE, F.array_join(F.concat(F.array(head), notes, idx), "\n").alias("script"))
+    idx = F.transform("indexes", lambda i: _create_index(t, i["index_name"], i["is_unique"], i["columns"], F.col("schema_name") if dialect == "oracle" else None))
+    return drafts.select(*TABLE, F.array_join(F.concat(F.array(head, about), notes, idx), "\n").alias("script"))
 
 
 def alter_script(before: DataFrame, after: DataFrame, dialect: str = "postgres") -> DataFrame:
@@ -207,6 +210,74 @@ def snapshot_indexes(raw: DataFrame, constraints: DataFrame) -> DataFrame:
     text = F.concat("expression", F.when(F.col("descending"), " DESC").otherwise(""))
     return own.groupBy("snapshot_id", "object_key", "index_name", "is_unique", "predicate").agg(_list("position", text).alias("expressions"))
 
+# ---------- Oracle's catalog ----------
+
+def oracle_columns(raw: DataFrame, comments: DataFrame, identities: DataFrame) -> DataFrame:
+    """Snapshot columns, as snapshot_columns gives them, with extensions (a map of what only Oracle has), of all_tab_cols rows, comments
+    (comments) and identity columns (generation_type, identity_options), joined by snapshot_id, owner, table and column.
+
+    Hidden columns count only if a user made them; they are invisible then. Types of an owner have its name before theirs."""
+    at = ["snapshot_id", "owner", "table_name", "column_name"]
+    seen = raw.where("hidden_column = 'NO' or user_generated = 'YES'")
+    rows = seen.join(comments.select(*at, "comments"), at, "left").join(identities.select(*at, "generation_type", "identity_options"), at, "left")
+    yes = lambda c: F.coalesce(F.col(c) == "YES", F.lit(False))
+    kind, owned = F.upper("data_type"), F.col("data_type_owner").isNotNull()
+    base = F.when(owned, F.concat_ws(".", "data_type_owner", "data_type")).when(kind.startswith("TIMESTAMP"), "TIMESTAMP").when(kind.startswith("INTERVAL DAY"), "INTERVAL DAY TO SECOND").when(kind.startswith("INTERVAL YEAR"), "INTERVAL YEAR TO MONTH").otherwise(F.col("data_type"))
+    length = F.when(owned | kind.startswith("TIMESTAMP") | kind.startswith("INTERVAL DAY") | kind.startswith("INTERVAL YEAR"), None).when(kind.contains("CHAR"), F.col("char_length")).when(kind.isin("RAW", "UROWID"), F.col("data_length"))
+    zone = F.when(~owned & kind.startswith("TIMESTAMP"), F.when(kind.contains("LOCAL TIME ZONE"), "WITH LOCAL TIME ZONE").when(kind.contains("WITH TIME ZONE"), "WITH TIME ZONE"))
+    given = F.nullif(F.trim("data_default"), F.lit(""))
+    how = F.coalesce(F.trim("generation_type"), F.lit("UNKNOWN"))
+    default = F.when(yes("identity_column"), F.concat(F.lit("GENERATED "), how, F.lit(" AS IDENTITY"))).when(yes("virtual_column"), F.concat(F.lit("GENERATED ALWAYS AS ("), F.coalesce(given, F.lit("")), F.lit(") VIRTUAL"))).when(yes("default_on_null"), F.concat(F.lit("DEFAULT ON NULL "), given)).otherwise(given)
+    flag = lambda c: F.when(c, "true")
+    options = F.nullif(F.regexp_replace(F.trim("identity_options"), r"\s+", " "), F.lit(""))
+    more = {"timeZone": zone, "typeOwner": F.col("data_type_owner"), "lengthSemantics": F.when(F.col("char_used").isNotNull(), F.when(F.col("char_used") == "C", "CHAR").otherwise("BYTE")), "typeModifier": F.col("data_type_mod"), "identity": F.when(yes("identity_column"), F.coalesce("generation_type", F.lit("UNKNOWN"))), "identityOptions": F.when(yes("identity_column"), options), "defaultOnNull": flag(yes("default_on_null")), "virtual": flag(yes("virtual_column")), "invisible": flag(yes("hidden_column"))}
+    extensions = F.map_filter(F.create_map(*(x for n, v in more.items() for x in (F.lit(f"oracle.{n}"), v.cast("string")))), lambda _, v: v.isNotNull())
+    with_tz = ~owned & kind.startswith("TIMESTAMP") & kind.contains("TIME ZONE")
+    return rows.select("snapshot_id", F.col("table_name").alias("object_key"), "column_name", F.col("column_id").alias("ordinal"), (F.col("nullable") == "Y").alias("nullable"), base.alias("base_type"), length.alias("length"), F.col("data_precision").alias("precision"), F.col("data_scale").alias("scale"), with_tz.alias("with_tz"), F.lit(0).alias("dims"), default.alias("default_value"), F.col("comments").alias("comment"), extensions.alias("extensions"))
+
+
+# Oracle's letters of constraints.
+ORACLE_KINDS = {"P": "PRIMARY_KEY", "U": "UNIQUE", "R": "FOREIGN_KEY", "C": "CHECK"}
+
+
+def oracle_constraints(rows: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(constraints, dependencies), as snapshot_constraints gives them, of all_constraints and all_cons_columns rows, with ref_owner, expression
+    and generated. Letters other than P, U, R and C are left out; there is no action on update. A foreign key names the constraint it
+    points to: its columns are matched by position. A referenced table of another owner is no dependency, nor is the own one."""
+    name = ["snapshot_id", "owner", "constraint_name"]
+    letter = F.col("constraint_type")
+    kind = F.coalesce(*(F.when(letter == k, v) for k, v in ORACLE_KINDS.items()))
+    known = rows.where(letter.isin(*ORACLE_KINDS)).withColumn("kind", kind)
+    to = rows.select("snapshot_id", F.col("owner").alias("r_owner"), F.col("constraint_name").alias("r_constraint_name"), F.col("owner").alias("ref_owner"), F.col("table_name").alias("ref_table"))
+    found = known.join(to, ["snapshot_id", "r_owner", "r_constraint_name"], "left")
+    cells = columns.select(*name, "table_name", "position", "column_name").where("position is not null")
+    at = [*name, "table_name"]
+    other = cells.select("snapshot_id", F.col("owner").alias("ref_owner"), F.col("constraint_name").alias("r_constraint_name"), F.col("table_name").alias("ref_table"), "position", F.col("column_name").alias("ref_column"))
+    pairs = found.select(*at, "ref_owner", "r_constraint_name", "ref_table").join(cells, at).join(other, ["snapshot_id", "ref_owner", "r_constraint_name", "ref_table", "position"], "left")
+    lists = pairs.groupBy(*at).agg(_list("position", F.struct(F.col("column_name").alias("c"), F.col("ref_column").alias("r"))).alias("l"))
+    none = F.expr("cast(array() as array<string>)")
+    names = lambda side: F.coalesce(F.filter(F.transform("l", lambda p: p[side]), lambda c: c.isNotNull()), none)
+    out = found.join(lists, at, "left").select("snapshot_id", F.col("table_name").alias("object_key"), "constraint_name", "kind", names("c").alias("columns"), "ref_owner", "ref_table", names("r").alias("ref_columns"), F.lit(None).cast("string").alias("on_update"), F.col("delete_rule").alias("on_delete"), F.nullif(F.trim("search_condition"), F.lit("")).alias("expression"), F.coalesce(F.col("generated") == "GENERATED NAME", F.lit(False)).alias("generated"))
+    deps = found.where("ref_owner = owner and ref_table <> table_name").select("snapshot_id", F.col("table_name").alias("object_key"), F.col("ref_table").alias("depends_on")).distinct()
+    return out, deps
+
+
+def oracle_indexes(rows: DataFrame, columns: DataFrame, expressions: DataFrame, backing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(indexes, rejects) of all_indexes, all_ind_columns and all_ind_expressions rows: an expression stands for its column, DESC behind what
+    descends. Indexes that back a constraint (snapshot_id, owner, index_name, table_owner, table_name) are kept and flagged as generated.
+    rejects are those that no snapshot holds: of another type than normal ones, or with a column that has no name, place or direction."""
+    key = ["snapshot_id", "owner", "index_name"]
+    text = F.coalesce(F.nullif(F.trim("expression"), F.lit("")), F.col("column_name"))
+    cells = columns.select(*key, "position", "column_name", "descend").join(expressions.select(*key, "position", "expression"), [*key, "position"], "left")
+    broken = text.isNull() | F.col("position").isNull() | ~F.coalesce(F.col("descend").isin("ASC", "DESC"), F.lit(False))
+    lists = cells.groupBy(*key).agg(_list("position", F.concat(text, F.when(F.col("descend") == "DESC", " DESC").otherwise(""))).alias("expressions"), F.max(broken).alias("broken"))
+    made = backing.select(*key, "table_owner", "table_name", F.lit(True).alias("generated")).distinct()
+    told = rows.join(lists, key).join(made, [*key, "table_owner", "table_name"], "left")
+    fit = F.col("index_type").isin("NORMAL", "FUNCTION-BASED NORMAL") & ~F.col("broken")
+    head = ["snapshot_id", F.col("table_name").alias("object_key"), "index_name"]
+    good = told.where(fit).select(*head, (F.col("uniqueness") == "UNIQUE").alias("is_unique"), "expressions", F.lit(None).cast("string").alias("predicate"), F.coalesce("generated", F.lit(False)).alias("generated"))
+    return good, told.where(~F.coalesce(fit, F.lit(False))).select(*head, "index_type")
+
 
 def snapshot_types(labels: DataFrame) -> DataFrame:
     """(snapshot_id, type_name, definition): labels or attributes in order."""

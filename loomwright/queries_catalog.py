@@ -91,7 +91,13 @@ _IX = f"coalesce(chr(10) || 'CREATE INDEX \"ix_' || table_name || '\" ON ' || {_
 
 @query("a8_create_script", f"SELECT schema_name, table_name, 'CREATE TABLE ' || {_NAME} || ' (' || chr(10) || string_agg('    \"' || column_name || '\" integer' || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END, ',' || chr(10) ORDER BY ordinal) || coalesce(',' || chr(10) || '    PRIMARY KEY (' || {_PK} || ')', '') || chr(10) || ');' || {_NOTES} || {_IX} AS script FROM {_D} GROUP BY schema_name, table_name")
 def a8(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.create_script(drafts(spark, d))
+    # The keys of these scripts have no names; those of a8_create_named have.
+    return catalog.create_script(drafts(spark, d).withColumn("pk_name", F.lit(None).cast("string")))
+
+
+@query("a8_create_named", f"SELECT schema_name, table_name, 'CREATE TABLE ' || {_NAME} || ' (' || chr(10) || string_agg('    \"' || column_name || '\" integer' || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END, ',' || chr(10) ORDER BY ordinal) || coalesce(',' || chr(10) || '    ' || CASE WHEN table_name = 'building' THEN 'CONSTRAINT \"pk_b\" ' ELSE '' END || 'PRIMARY KEY (' || {_PK} || ')', '') || chr(10) || ');' || chr(10) || 'COMMENT ON TABLE ' || {_NAME} || ' IS ' || chr(39) || table_name || chr(39) || ';' || {_NOTES} || replace({_IX}, '\"ix_', '\"' || schema_name || '\".\"ix_') AS script FROM {_D} GROUP BY schema_name, table_name")
+def a8_named(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.create_script(drafts(spark, d).withColumn("comment", F.col("table_name")), "oracle")
 
 
 @query("a9_alter_script", f"""WITH s AS (
@@ -149,6 +155,71 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
     return out.select("snapshot_id", "index_name", F.array_join("expressions", ",").alias("expressions"), "is_unique")
 
 
+# Fixed values of Oracle's catalog: types of columns by key of a part.
+_ORA = ("VARCHAR2", "NUMBER", "TIMESTAMP(6) WITH LOCAL TIME ZONE", "RAW", "POINT", "INTERVAL DAY(2) TO SECOND(6)")
+
+
+@query("a12_oracle_columns", """SELECT p_size AS snapshot_id, 't' || p_partkey AS object_key, (['VARCHAR2', 'NUMBER', 'TIMESTAMP', 'RAW', 'GEO.POINT', 'INTERVAL DAY TO SECOND'])[1 + p_partkey % 6] AS base_type, CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 3 THEN 2 * p_size END AS length, CASE WHEN p_partkey % 6 = 1 THEN 9 END AS precision, p_partkey % 6 = 2 AS with_tz,
+ CASE p_partkey % 5 WHEN 0 THEN 'GENERATED ALWAYS AS IDENTITY' WHEN 1 THEN 'GENERATED ALWAYS AS (a + 1) VIRTUAL' WHEN 2 THEN 'DEFAULT ON NULL a + 1' ELSE 'a + 1' END AS default_value, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS comment,
+ CASE WHEN p_partkey % 5 = 2 THEN 'oracle.defaultOnNull=true;' ELSE '' END || CASE p_partkey % 5 WHEN 0 THEN 'oracle.identity=ALWAYS;oracle.identityOptions=START WITH: 1, CYCLE;' ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN 'oracle.invisible=true;' ELSE '' END || CASE WHEN p_partkey % 6 = 0 THEN 'oracle.lengthSemantics=CHAR;' ELSE '' END || CASE WHEN p_partkey % 6 = 2 THEN 'oracle.timeZone=WITH LOCAL TIME ZONE;' ELSE '' END || CASE WHEN p_partkey % 6 = 4 THEN 'oracle.typeOwner=GEO;' ELSE '' END || CASE WHEN p_partkey % 5 = 1 THEN 'oracle.virtual=true;' ELSE '' END AS extensions
+ FROM part WHERE p_partkey % 21 <> 8""")
+def a12_oracle(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    yes = lambda c: F.when(c, "YES").otherwise("NO")
+    p = table(spark, d, "part").select(F.col("p_size").alias("snapshot_id"), F.lit("OWN").alias("owner"), F.concat(F.lit("t"), k.cast("string")).alias("table_name"), F.lit("C").alias("column_name"), F.lit(1).alias("column_id"), F.get(F.array(*map(F.lit, _ORA)), (k % 6).cast("int")).alias("data_type"), (F.col("p_size") * 2).alias("data_length"), F.col("p_size").alias("char_length"), F.when(k % 6 == 0, "C").alias("char_used"), F.when(k % 6 == 1, 9).alias("data_precision"), F.lit(None).cast("int").alias("data_scale"), F.when(k % 6 == 4, "GEO").alias("data_type_owner"), F.lit(None).cast("string").alias("data_type_mod"), F.lit("Y").alias("nullable"), yes(k % 5 == 0).alias("identity_column"), yes(k % 5 == 2).alias("default_on_null"), yes(k % 5 == 1).alias("virtual_column"), yes((k % 7 == 0) | (k % 21 == 8)).alias("hidden_column"), yes(k % 7 == 0).alias("user_generated"), F.lit(" a + 1 ").alias("data_default"), "p_name", "p_partkey")
+    at = ["snapshot_id", "owner", "table_name", "column_name"]
+    out = catalog.oracle_columns(p.drop("p_name", "p_partkey"), p.where("p_partkey % 2 = 0").select(*at, F.col("p_name").alias("comments")), p.where("p_partkey % 5 = 0").select(*at, F.lit("ALWAYS").alias("generation_type"), F.lit(" START WITH: 1,  CYCLE ").alias("identity_options")))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("extensions")), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit(";"))), "")
+    return out.select("snapshot_id", "object_key", "base_type", "length", "precision", "with_tz", "default_value", "comment", text.alias("extensions"))
+
+
+# Orders are constraints of their customer's table, line items the columns; foreign keys point to the constraint of the order before.
+_OC = "(SELECT o_custkey % 50 AS snapshot_id, o_orderkey AS k, 't' || o_custkey AS object_key, 'c' || o_orderkey AS constraint_name, (['P', 'U', 'R', 'C', 'V'])[1 + o_orderkey % 5] AS t, CASE WHEN o_orderkey % 5 = 2 THEN o_orderkey - 1 END AS r FROM orders)"
+
+
+@query("a13_oracle_constraints", f"""WITH u AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), l AS (SELECT l_orderkey AS k, string_agg('C' || l_linenumber, ',' ORDER BY l_linenumber) AS cols FROM u GROUP BY l_orderkey)
+ SELECT c.snapshot_id, c.object_key, c.constraint_name, (['PRIMARY_KEY', 'UNIQUE', 'FOREIGN_KEY', 'CHECK'])[1 + c.k % 5] AS kind, coalesce(l.cols, '') AS columns, r.object_key AS ref_table, coalesce((SELECT string_agg('C' || b.l_linenumber, ',' ORDER BY b.l_linenumber) FROM u a JOIN u b USING (l_linenumber) WHERE a.l_orderkey = c.k AND b.l_orderkey = r.k), '') AS ref_columns, CASE WHEN c.k % 5 = 3 THEN 'x > 1' END AS expression, c.k % 2 = 0 AS generated
+ FROM {_OC} c LEFT JOIN l ON l.k = c.k LEFT JOIN {_OC} r ON r.snapshot_id = c.snapshot_id AND r.k = c.r WHERE c.t <> 'V'""")
+def a13_oracle(spark: SparkSession, d: str) -> DataFrame:
+    out = catalog.oracle_constraints(*oracle_rows(spark, d))[0]
+    return out.select("snapshot_id", "object_key", "constraint_name", "kind", F.array_join("columns", ",").alias("columns"), "ref_table", F.array_join("ref_columns", ",").alias("ref_columns"), "expression", "generated")
+
+
+@query("a13_oracle_dependencies", f"SELECT DISTINCT c.snapshot_id, c.object_key, r.object_key AS depends_on FROM {_OC} c JOIN {_OC} r ON r.snapshot_id = c.snapshot_id AND r.k = c.r WHERE c.object_key <> r.object_key")
+def a13_oracle_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.oracle_constraints(*oracle_rows(spark, d))[1]
+
+
+def oracle_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("o_orderkey")
+    base = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("snapshot_id"), F.lit("OWN").alias("owner"), F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("table_name"), F.concat(F.lit("c"), k.cast("string")).alias("constraint_name"), "o_orderkey")
+    rows = base.select("snapshot_id", "owner", "table_name", "constraint_name", F.get(F.array(*map(F.lit, "PURCV")), (k % 5).cast("int")).alias("constraint_type"), F.when(k % 5 == 2, "OWN").alias("r_owner"), F.when(k % 5 == 2, F.concat(F.lit("c"), (k - 1).cast("string"))).alias("r_constraint_name"), F.lit("CASCADE").alias("delete_rule"), F.when(k % 2 == 0, "GENERATED NAME").otherwise("USER NAME").alias("generated"), F.when(k % 5 == 3, " x > 1 ").alias("search_condition"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("position"), F.concat(F.lit("C"), F.col("l_linenumber").cast("string")).alias("column_name")).distinct()
+    return rows, base.join(lines, "o_orderkey").drop("o_orderkey")
+
+
+_OI = "(SELECT DISTINCT l_orderkey AS k, l_linenumber AS o, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query("a14_oracle_indexes", f"SELECT o_custkey % 50 AS snapshot_id, 't' || o_custkey AS object_key, 'i' || k AS index_name, k % 2 = 0 AS is_unique, string_agg(CASE WHEN o = 2 THEN 'lower(x)' ELSE 'C' || o END || CASE WHEN o = 3 THEN ' DESC' ELSE '' END, ',' ORDER BY o) AS expressions, k % 3 = 0 AS generated FROM {_OI} WHERE k % 7 <> 0 GROUP BY ALL")
+def a14_oracle(spark: SparkSession, d: str) -> DataFrame:
+    return oracle_index_rows(spark, d)[0].select("snapshot_id", "object_key", "index_name", "is_unique", F.array_join("expressions", ",").alias("expressions"), "generated")
+
+
+@query("a14_oracle_rejects", f"SELECT DISTINCT o_custkey % 50 AS snapshot_id, 't' || o_custkey AS object_key, 'i' || k AS index_name, 'BITMAP' AS index_type FROM {_OI} WHERE k % 7 = 0")
+def a14_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return oracle_index_rows(spark, d)[1].select("snapshot_id", "object_key", "index_name", "index_type")
+
+
+def oracle_index_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("o_orderkey")
+    base = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("snapshot_id"), F.lit("OWN").alias("owner"), F.lit("OWN").alias("table_owner"), F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("table_name"), F.concat(F.lit("i"), k.cast("string")).alias("index_name"), F.when(k % 7 == 0, "BITMAP").when(k % 2 == 0, "NORMAL").otherwise("FUNCTION-BASED NORMAL").alias("index_type"), F.when(k % 2 == 0, "UNIQUE").otherwise("NONUNIQUE").alias("uniqueness"), "o_orderkey")
+    line = F.col("l_linenumber")
+    lines = base.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").distinct(), "o_orderkey").select("snapshot_id", "owner", "index_name", line.alias("position"), F.concat(F.lit("C"), line.cast("string")).alias("column_name"), F.when(line == 3, "DESC").otherwise("ASC").alias("descend"))
+    backing = base.where("o_orderkey % 3 = 0").select("snapshot_id", "owner", "index_name", F.col("table_owner"), "table_name")
+    return catalog.oracle_indexes(base.drop("o_orderkey"), lines, lines.where("position = 2").select("snapshot_id", "owner", "index_name", "position", F.lit("lower(x)").alias("expression")), backing)
+
+
 @query("a15_snapshot_types", "SELECT c_nationkey AS snapshot_id, c_mktsegment AS type_name, 'ENUM (' || string_agg('''' || c_name || '''', ', ' ORDER BY c_custkey) || ')' AS definition FROM customer GROUP BY ALL")
 def a15(spark: SparkSession, d: str) -> DataFrame:
     return catalog.snapshot_types(table(spark, d, "customer").select(F.col("c_nationkey").alias("snapshot_id"), F.col("c_mktsegment").alias("type_name"), F.lit("enum").alias("kind"), F.col("c_name").alias("label"), F.lit("").alias("type"), F.col("c_custkey").alias("position")))
