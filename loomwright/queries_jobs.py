@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.scalars import escape_dump_string
-from .operators import exports, migration, sqllog
+from .operators import exports, loads, migration, sqllog
 from .registry import query, table
 from .shared import kept
-from .sources import readers
+from .sources import catalogs, readers
 
 # ---------- sources ----------
 
@@ -261,6 +261,19 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     return readers.scan_table(spark, url, "APP.CUSTOMERS", "C_CUSTKEY", tuple(bounds), 4, properties=_DRIVER).select(F.col("C_CUSTKEY").alias("c_custkey"), F.col("C_NATIONKEY").alias("c_nationkey"))
 
 
+@query("s4_scan_catalog", "SELECT 'n' || c_nationkey AS schema_name, lower(c_mktsegment) AS table_name, 'c' || c_custkey AS column_name, CASE WHEN c_custkey % 2 = 0 THEN 'INTEGER' ELSE 'VARCHAR(9)' END AS data_type, c_custkey % 2 = 1 AS nullable, CAST(row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS INTEGER) AS ordinal FROM customer")
+def s4(spark: SparkSession, d: str) -> DataFrame:
+    """A database whose schemas are nations, tables segments and columns customers, read back from its catalog."""
+    _local(spark)
+    url, k = _derby(d, "s4"), F.col("c_custkey")
+    clause = F.concat(F.lit('"c'), k.cast("string"), F.when(k % 2 == 0, '" INTEGER NOT NULL').otherwise('" VARCHAR(9)'))
+    schema = F.concat(F.lit('"n'), F.col("c_nationkey").cast("string"), F.lit('"'))
+    rows = table(spark, d, "customer").groupBy(schema.alias("s"), F.lower("c_mktsegment").alias("t")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k, clause.alias("c")))), lambda x: x["c"]).alias("cs"))
+    scripts = rows.select("s", F.concat(F.lit("CREATE TABLE "), "s", F.lit('."'), "t", F.lit('" ('), F.array_join("cs", ", "), F.lit(")")).alias("ddl")).collect()  # a script a table
+    loads.run_statements(spark, url, [*(f"CREATE SCHEMA {s}" for s in sorted({r.s for r in scripts})), *(r.ddl for r in scripts)], _DRIVER)
+    return catalogs.scan_remote_catalog(spark, url, "columns", "derby", partitions=6, properties=_DRIVER)
+
+
 @query("s5_scan_keyspace", "SELECT 'orders:' || o_orderpriority || ':' || o_orderkey AS key FROM orders WHERE o_orderpriority LIKE '1%'")
 def s5(spark: SparkSession, d: str) -> DataFrame:
     keys = kept(table(spark, d, "orders").select(F.concat_ws(":", F.lit("orders"), "o_orderpriority", F.col("o_orderkey").cast("string")).alias("key")), "keys")
