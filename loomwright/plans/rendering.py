@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import qualify, quote_ident
+from ..shared import kept
 
 # What a foreign key may do, kinds whose objects can be dropped, and those whose text can be replaced in place.
 ACTIONS = ["NO ACTION", "RESTRICT", "CASCADE", "SET NULL", "SET DEFAULT"]
@@ -204,6 +205,8 @@ def render_statements(changes: DataFrame, columns: DataFrame, constraints: DataF
     they add. If one statement of a change can't be written, none is. Ties of ids and repeated changes give repeated rows' statements once."""
     oracle = dialect == "oracle"
     plan = changes.select("comparison_id", "id", "kind", "object_type", "schema_name", "object_key", "path", "automation", "text", "signature", "parent").dropDuplicates(["comparison_id", "id"])
+    # Each kind of statement reads the plan, so it is written once.
+    plan = kept(plan, "plan")
     manual = (F.col("kind") == "MANUAL") | F.coalesce(F.col("automation") == "MANUAL_ONLY", F.lit(False))
     open_ = plan.where(~manual)
     lists = _lists(open_, constraints, indexes, oracle)
