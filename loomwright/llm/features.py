@@ -46,29 +46,11 @@ def normalized(counts: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-class Vocabulary:
-    """Finds the words of a fixed, small list in texts."""
-
-    def __init__(self, terms: list[str]):
-        self.terms = terms
-        data = np.frombuffer("".join(terms).encode(), np.uint8)
-        ends = np.cumsum([len(t.encode()) for t in terms]).astype(np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        hashes = SliceHasher(data)(starts, ends) if terms else np.zeros(0, np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-
-    def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Text index and term index of every occurrence."""
-        lowered = LOWER[data]
-        starts, ends, owner = words(lowered, offsets)
-        h = SliceHasher(lowered)(starts, ends)
-        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
-        hit = np.flatnonzero(self.hashes[at] == h) if len(self.hashes) else np.zeros(0, np.int64)
-        terms = self.order[at[hit]] if len(hit) else hit
-        raw = lowered.tobytes()
-        same = np.array([raw[a:b].decode(errors="replace") == self.terms[t] for a, b, t in zip(starts[hit].tolist(), ends[hit].tolist(), terms.tolist(), strict=True)], bool)
-        return owner[hit][same], terms[same]
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text index and 64-bit hash (as signed) of every word, in texts that are lower-cased (A-Z) first."""
+    lowered = LOWER[data]
+    starts, ends, owner = words(lowered, offsets)
+    return owner, SliceHasher(lowered)(starts, ends).view(np.int64)
 
 
 def linear_fit(x: np.ndarray, target: np.ndarray, weight: np.ndarray, loss: str, l2: float, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
