@@ -3,8 +3,8 @@ similarity, and a calibration fitted with each example left out of its own vote.
 
 Vectors are plain TF-IDF over every word of the examples (1 + log of the count, times the logarithm of all documents over those
 that hold the word, length 1): no word is left out of vectors, bounds or postings. What the labels say of a word enters the vote
-alone: beside the similarity-weighted share of toxic neighbours there is a second vote, how much of their cosines comes from words that
-are relevant to label 1 (lower confidence bound of the log odds among the examples, less a margin). Words are known by 64 bits of hash."""
+alone: beside the share of toxic neighbours by similarity there is a second one, by the part of each cosine that comes from words
+relevant to label 1 (lower confidence bound of the log odds among the examples, less a margin). Words are known by 64 bits of hash."""
 
 from __future__ import annotations
 
@@ -83,7 +83,7 @@ class Index:
     examples: np.ndarray
     weight: np.ndarray
     prior: float = 0.0
-    curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)  # factors of features(), the last one a constant
+    curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 0.0)  # factors of features(), the last one a constant
 
     def vectors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """TF-IDF rows of a batch of texts, as (row, term, weight) sorted by row, and each row's length before."""
@@ -170,13 +170,18 @@ class Index:
         return back
 
     def features(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, length: np.ndarray, near: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """Log odds of the vote (similarity squared), logarithms of the toxic neighbours' relevant part and of the length, and 1."""
+        """Log odds of the neighbours' votes weighted by similarity squared, and of those weighted by the relevant part of it; the logarithms
+        of the greatest relevant part that a toxic neighbour has and of the length; and 1."""
         of, ids, scores = near
-        n, v = len(length), self.votes[ids] * scores * scores
-        share = (np.bincount(of, v * self.labels[ids], n) + PRIOR * self.prior) / (np.bincount(of, v, n) + PRIOR)
-        share = np.clip(share, 1e-4, 1 - 1e-4)
-        said = np.bincount(of, self.labels[ids] * self.relevant(row, term, w, near), n) * length
-        return np.stack([np.log(share / (1 - share)), np.log(said + FLOOR), np.log1p(length), np.ones(n)], 1)
+        n, part = len(length), self.relevant(row, term, w, near)
+        shares = []
+        for v in (self.votes[ids] * scores * scores, self.votes[ids] * part):
+            share = (np.bincount(of, v * self.labels[ids], n) + PRIOR * self.prior) / (np.bincount(of, v, n) + PRIOR)
+            share = np.clip(share, 1e-4, 1 - 1e-4)
+            shares.append(np.log(share / (1 - share)))
+        most = np.zeros(n)
+        np.maximum.at(most, of, self.labels[ids] * part)
+        return np.stack([*shares, np.log(most * length + FLOOR), np.log1p(length), np.ones(n)], 1)
 
     def calibrated(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.curve), -30, 30)))
@@ -234,7 +239,7 @@ def build(terms: np.ndarray, idf: np.ndarray, relevance: np.ndarray, ids: np.nda
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
             h = (x * (votes * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(theta))
             theta = theta - np.linalg.solve(h, x.T @ (votes * (p - labels)) + 1e-2 * (theta - start))
-        if np.isfinite(theta).all() and theta[:2].max() > 0:
+        if np.isfinite(theta).all() and theta[:3].max() > 0:
             index.curve = tuple(theta.tolist())
     return index
 
