@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import format_pg_type, qualify, quote_ident
+from ..shared import kept
 
 TABLE = ["schema_name", "table_name"]
 
@@ -105,17 +108,18 @@ def create_script(drafts: DataFrame, dialect: str = "postgres") -> DataFrame:
 
 def alter_script(before: DataFrame, after: DataFrame, dialect: str = "postgres") -> DataFrame:
     """(schema_name, table_name, script): what turns the drafts `before` into `after`, '' for no difference. Added and changed
-    columns come first, then dropped ones, the key, indexes and comments; types and defaults compare trimmed and in any case."""
+    columns come first, then dropped ones, the key, indexes and comments; types and defaults compare trimmed and in any case.
+
+    Columns and indexes of both sides meet by name in joins, so the work grows with their number, however many a table has; of
+    several with one name the first is the old one. A table's statements are put together at the end."""
     ora = dialect == "oracle"
-    old = before.select(*TABLE, F.col("columns").alias("oc"), F.col("indexes").alias("oi"), F.col("pk").alias("opk"), F.col("pk_name").alias("opk_name"))
-    both = after.join(old, TABLE)
+    before, after = kept(before, "before"), kept(after, "after")
+    both = kept(after.select(*TABLE, "pk").join(before.select(*TABLE, F.col("pk").alias("opk"), F.col("pk_name").alias("opk_name")).hint("merge"), TABLE), "both")
     t = qualify("schema_name", "table_name")
     alter = F.concat(F.lit("ALTER TABLE "), t, F.lit(" "))
-    named = lambda rows, field, name: F.get(F.filter(rows, lambda r: r[field] == name), F.lit(0))
     norm = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
 
-    def changed(c: Column) -> Column:
-        o = named(F.col("oc"), "column_name", c["column_name"])
+    def changed(c: Column, o: Column) -> Column:
         name = quote_ident(c["column_name"])
         if ora:
             diff = (norm(o["type"]) != norm(c["type"])) | (norm(o["default_value"]) != norm(c["default_value"])) | (o["nullable"] != c["nullable"])
@@ -133,7 +137,6 @@ def alter_script(before: DataFrame, after: DataFrame, dialect: str = "postgres")
             F.when(norm(o["default_value"]) != norm(c["default_value"]), F.concat(column, F.when(_filled(c["default_value"]), F.concat(F.lit(" SET DEFAULT "), F.trim(c["default_value"]), F.lit(";"))).otherwise(" DROP DEFAULT;"))),
         ))
 
-    dropped = F.transform(F.filter("oc", lambda o: named(F.col("columns"), "column_name", o["column_name"]).isNull()), lambda o: F.concat(alter, F.lit("DROP COLUMN "), quote_ident(o["column_name"]), F.lit(";")))
     drop_key = F.lit("DROP PRIMARY KEY;") if ora else F.concat(F.lit("DROP CONSTRAINT "), quote_ident("opk_name"), F.lit(";"))
     key = F.when(F.col("opk") != F.col("pk"), F.array(
         F.when(F.size("opk") > 0, F.concat(alter, drop_key) if ora else F.when(_filled(F.col("opk_name")), F.concat(alter, drop_key)).otherwise("-- drop the old primary key by hand: its name is unknown")),
@@ -141,21 +144,38 @@ def alter_script(before: DataFrame, after: DataFrame, dialect: str = "postgres")
     )).otherwise(F.expr("cast(array() as array<string>)"))
     gone = lambda i: F.concat(F.lit("DROP INDEX "), qualify(F.col("schema_name"), i["index_name"]), F.lit(";"))
 
-    def index(i: Column) -> Column:
-        o = named(F.col("oi"), "index_name", i["index_name"])
+    def index(i: Column, o: Column) -> Column:
         new = _create_index(t, i["index_name"], i["is_unique"], i["columns"])
         return F.when(o.isNull(), F.array(new)).when((o["is_unique"] != i["is_unique"]) | (o["columns"] != i["columns"]), F.array(gone(i), new)).otherwise(F.array(F.lit(None).cast("string")))
 
-    lost = F.transform(F.filter("oi", lambda o: named(F.col("indexes"), "index_name", o["index_name"]).isNull()), gone)
-
-    def note(c: Column) -> Column:
-        o = named(F.col("oc"), "column_name", c["column_name"])
+    def note(c: Column, o: Column) -> Column:
         cleared = "''" if ora else "NULL"
         text = F.concat(F.lit("COMMENT ON COLUMN "), t, F.lit("."), quote_ident(c["column_name"]), F.lit(" IS "), F.when(_filled(c["comment"]), _literal(c["comment"])).otherwise(cleared), F.lit(";"))
         return F.when(F.trim(F.coalesce(o["comment"], F.lit(""))) != F.trim(F.coalesce(c["comment"], F.lit(""))), text)
 
-    steps = F.concat(F.flatten(F.transform("columns", changed)), dropped, key, F.flatten(F.transform("indexes", index)), lost, F.transform("columns", note))
-    return both.select(*TABLE, F.array_join(F.filter(steps, lambda s: s.isNotNull()), "\n").alias("script"))
+    def steps(phase: int, lines: Column, df: DataFrame) -> DataFrame:
+        """The lines of a phase with their places: that of the item they are of, then their own."""
+        rows = df.select(*TABLE, "at", F.posexplode(lines).alias("nth", "line")).where("line is not null")
+        return rows.select(*TABLE, F.struct(F.lit(phase).alias("phase"), "at", "nth", "line").alias("step"))
+
+    def matched(field: str, name: str) -> tuple[DataFrame, DataFrame]:
+        """(items of after, each with the first of before that has its name, old items whose name after lacks)."""
+        items = lambda df: df.join(both.select(*TABLE), TABLE, "left_semi").select(*TABLE, F.posexplode(field).alias("at", "item")).withColumn("name", F.col("item")[name])
+        on = [*TABLE, "name"]
+        new, old = items(after), items(before)
+        first = old.where("name is not null").groupBy(*on).agg(F.min_by("item", "at").alias("old"))
+        return new.join(first.hint("merge"), on, "left"), old.join(new.select(*on).hint("merge"), on, "left_anti")
+
+    columns, dropped = matched("columns", "column_name")
+    indexes, lost = matched("indexes", "index_name")
+    item, old = F.col("item"), F.col("old")
+    drop = F.concat(alter, F.lit("DROP COLUMN "), quote_ident(item["column_name"]), F.lit(";"))
+    parts = [
+        steps(1, changed(item, old), columns), steps(2, F.array(drop), dropped), steps(3, key, both.withColumn("at", F.lit(0))),
+        steps(4, index(item, old), indexes), steps(5, F.array(gone(item)), lost), steps(6, F.array(note(item, old)), columns),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, both.select(*TABLE)])  # a row without a step for each table
+    return rows.groupBy(*TABLE).agg(F.array_join(F.transform(F.array_sort(F.collect_list("step")), lambda s: s["line"]), "\n").alias("script"))
 
 
 def alter_sequence_script(before: DataFrame, after: DataFrame, dialect: str = "postgres") -> DataFrame:
