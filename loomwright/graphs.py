@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import kept, merged
 
 ROUNDS = 64
 
@@ -24,10 +24,10 @@ def components(links: DataFrame, keep=kept) -> DataFrame:
     for _ in range(ROUNDS):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(merged(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = keep(large.where("a <> b").distinct(), "large")
         least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+        small = large.join(merged(least), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         links = keep(small.where("a <> b").distinct(), "links")
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
@@ -45,28 +45,29 @@ def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     the longest chain."""
     out = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.max("b").alias("end"))
     into = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("m"), F.max("a").alias("start"))
-    inner = kept(out.join(into, "node").where("n = 1 and m = 1").select("node", "start", "end"), "inner")
+    inner = kept(out.join(merged(into), "node").where("n = 1 and m = 1").select("node", "start", "end"), "inner")
     n = inner.count()
     pointers = kept(inner.select("node", F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("start").alias("to")), F.struct(F.lit(1).alias("way"), F.col("end").alias("to")))).alias("p")).select("node", "p.way", "p.to"), "pointers")
     open_, rounds = bool(n), max(1, n).bit_length() + 1
     for _ in range(rounds if open_ else 0):
         ahead = pointers.select("way", F.col("node").alias("to"), F.col("to").alias("far"))
-        pointers = kept(pointers.join(ahead, ["way", "to"], "left").select("node", "way", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "pointers")
+        pointers = kept(pointers.join(merged(ahead), ["way", "to"], "left").select("node", "way", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "pointers")
         open_ = not pointers.where("moved").isEmpty()
         pointers = pointers.drop("moved")
         if not open_:
             break
-    ends = pointers.groupBy("node").agg(F.max(F.when(F.col("way") == 0, F.col("to"))).alias("start"), F.max(F.when(F.col("way") == 1, F.col("to"))).alias("end"))
+    ends = kept(pointers.groupBy("node").agg(F.max(F.when(F.col("way") == 0, F.col("to"))).alias("start"), F.max(F.when(F.col("way") == 1, F.col("to"))).alias("end")), "ends")
     # After so many doublings a pointer that still moves is on a ring.
-    rings = ends.join(inner.select(F.col("node").alias("end")), "end", "left_semi").select("node")
-    return kept(ends.join(rings, "node", "left_anti"), "chains"), kept(rings, "rings")
+    rings = ends.join(merged(inner.select(F.col("node").alias("end"))), "end", "left_semi").select("node")
+    rings = kept(rings, "rings")
+    return kept(ends.join(merged(rings), "node", "left_anti"), "chains"), rings
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """edges without those of nodes that nothing leads to or that lead nowhere, over and over."""
     n = edges.count()
     while n:
-        edges = kept(edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b"), "trimmed")
+        edges = kept(edges.join(merged(edges.select(F.col("a").alias("b")).distinct()), "b", "left_semi").join(merged(edges.select(F.col("b").alias("a")).distinct()), "a", "left_semi").select("a", "b"), "trimmed")
         now = edges.count()
         if now == n:
             break
@@ -79,11 +80,11 @@ def _coloured(edges: DataFrame) -> DataFrame:
     colours = kept(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("colour")), "colours")
     front = colours
     while True:
-        told = edges.join(front.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("more"))
-        front = kept(colours.join(kept(told, "told"), "node").where("more > colour").select("node", F.col("more").alias("colour")), "front")
+        told = edges.join(merged(front.select(F.col("node").alias("a"), "colour")), "a").groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("more"))
+        front = kept(colours.join(merged(kept(told, "told")), "node").where("more > colour").select("node", F.col("more").alias("colour")), "front")
         if front.isEmpty():
             return colours
-        colours = kept(colours.join(front.withColumnRenamed("colour", "__new"), "node", "left").select("node", F.coalesce("__new", "colour").alias("colour")), "colours")
+        colours = kept(colours.join(merged(front.withColumnRenamed("colour", "__new")), "node", "left").select("node", F.coalesce("__new", "colour").alias("colour")), "colours")
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     chains, rings = _chains(edges)
     found.append(rings)
     gone = kept(chains.select("node").union(rings), "gone")
-    off = lambda df, c: df.join(gone.withColumnRenamed("node", c), c, "left_anti")
+    off = lambda df, c: df.join(merged(gone.withColumnRenamed("node", c)), c, "left_anti")
     whole = kept(off(off(edges, "a"), "b").select("a", "b").union(chains.select(F.col("start").alias("a"), F.col("end").alias("b"))).distinct(), "kernel")
     found.append(whole.where("a = b").select(F.col("a").alias("node")))
     found.append(chains.where("start = end").select("node"))
@@ -107,14 +108,14 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         colours = _coloured(left)
         tones = colours.withColumnRenamed("colour", "tone")
-        inside = left.join(tones.withColumnRenamed("node", "a"), "a").join(tones.select(F.col("node").alias("b"), F.col("tone").alias("other")), "b").where("tone = other")
+        inside = left.join(merged(tones.withColumnRenamed("node", "a")), "a").join(merged(tones.select(F.col("node").alias("b"), F.col("tone").alias("other"))), "b").where("tone = other")
         inside = kept(inside.select("a", "b", "tone"), "inside")
         front = kept(colours.where("node = colour").select("node", F.col("colour").alias("tone")), "front")
         seen = [front]
         reached = front
         while True:
-            nexts = inside.join(front.withColumnRenamed("node", "b"), ["b", "tone"], "left_semi").select(F.col("a").alias("node"), "tone").distinct()
-            front = kept(nexts.join(reached, ["node", "tone"], "left_anti"), "front")
+            nexts = inside.join(merged(front.withColumnRenamed("node", "b")), ["b", "tone"], "left_semi").select(F.col("a").alias("node"), "tone").distinct()
+            front = kept(nexts.join(merged(reached), ["node", "tone"], "left_anti"), "front")
             if front.isEmpty():
                 break
             seen.append(front)
@@ -122,17 +123,17 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
         reached = kept(reached, "reached")
         classes.append(reached)
         done = reached.select("node")
-        inside = inside.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti")
+        inside = inside.join(merged(done.withColumnRenamed("node", "a")), "a", "left_anti").join(merged(done.withColumnRenamed("node", "b")), "b", "left_anti")
         left = _trimmed(kept(inside.select("a", "b"), "left"))
     if classes:
         scc = classes[0]
         for more in classes[1:]:
             scc = scc.union(more)
         sizes = kept(scc.groupBy("tone").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-        scc = kept(scc.join(sizes, "tone", "left_semi"), "scc")
+        scc = kept(scc.join(merged(sizes), "tone", "left_semi"), "scc")
         found.append(scc.select("node"))
         a, b = (scc.select(F.col("node").alias(c), F.col("tone").alias(f"{c}_tone")) for c in ("start", "end"))
-        found.append(chains.join(a, "start").join(b, "end").where("start_tone = end_tone").select("node"))
+        found.append(chains.join(merged(a), "start").join(merged(b), "end").where("start_tone = end_tone").select("node"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
