@@ -6,6 +6,7 @@ executors cost one round."""
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from .. import graphs
 from ..functions.scalars import canonical_hash, qualify, quote_ident
 from ..operators.browse import number_rows
-from ..shared import kept
+from ..shared import kept, merged
 
 # Ranks of object types in a plan.
 RANKS = {"TYPE": 0, "SEQUENCE": 1, "TABLE": 2, "PRIMARY_KEY": 3, "UNIQUE_CONSTRAINT": 3, "CHECK_CONSTRAINT": 3, "INDEX": 4, "FOREIGN_KEY": 5, "VIEW": 6, "MATERIALIZED_VIEW": 6, "FUNCTION": 7, "PROCEDURE": 7, "PACKAGE_SPEC": 7, "PACKAGE_BODY": 7, "TRIGGER": 8}
@@ -54,7 +55,7 @@ def change_ids(changes: DataFrame) -> DataFrame:
     signature = F.col("signature") if "signature" in changes.columns else F.lit("")
     out = changes.withColumn("id", F.concat(F.lit("chg:"), canonical_hash("change-v1", "kind", "object_type", name, F.col("object_key"), quoted, signature, F.col("path"))))
     twice = out.groupBy(*_ID).agg(F.count("*").alias("__n"))
-    out = out.join(twice, _ID)
+    out = out.join(merged(twice), _ID)
     return out.withColumn("id", F.when(F.col("__n") == 1, F.col("id")).otherwise(F.raise_error(F.lit("duplicate change id")))).drop("__n")
 
 
@@ -63,7 +64,7 @@ def wire_dependencies(changes: DataFrame, deps: DataFrame) -> DataFrame:
     change needs those of the objects it depends on; of two drops, the object depended on goes last."""
     a = changes.select("comparison_id", "object_key", F.col("id").alias("a"), (F.col("kind") == "DROP").alias("ad"))
     b = changes.select("comparison_id", F.col("object_key").alias("depends_on"), F.col("id").alias("b"), (F.col("kind") == "DROP").alias("bd"))
-    pairs = deps.distinct().join(a, ["comparison_id", "object_key"]).join(b, ["comparison_id", "depends_on"]).where("ad = bd")
+    pairs = deps.distinct().join(merged(a), ["comparison_id", "object_key"]).join(merged(b), ["comparison_id", "depends_on"]).where("ad = bd")
     return pairs.select("comparison_id", F.when(F.col("ad"), F.col("b")).otherwise(F.col("a")).alias("id"), F.when(F.col("ad"), F.col("a")).otherwise(F.col("b")).alias("needs")).distinct()
 
 
@@ -85,38 +86,40 @@ def _node(column: str) -> Column:
     return F.concat_ws("\0", F.col("comparison_id").cast("string"), F.col(column).cast("string"))
 
 
-def needing(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def needing(edges: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
     """(comparison_id, id) of the changes that need one of roots (comparison_id, id), at any distance: a walk from the roots, in
-    as many rounds as the longest path has edges. Each round writes its front alone."""
+    as many rounds as the longest path has edges; more than `rounds`, if given, are an error. Each round writes its front alone."""
     edges = _kept(edges.select(*_ID, "needs").distinct())
     front = _kept(roots.select(*_ID).distinct())
     seen = front.limit(0)
-    while True:
-        nexts = edges.join(front.select("comparison_id", F.col("id").alias("needs")), ["comparison_id", "needs"], "left_semi").select(*_ID).distinct()
-        front = _kept(nexts.join(seen, _ID, "left_anti"))
+    for n in itertools.count(1):
+        nexts = edges.join(merged(front.select("comparison_id", F.col("id").alias("needs"))), ["comparison_id", "needs"], "left_semi").select(*_ID).distinct()
+        front = _kept(nexts.join(merged(seen), _ID, "left_anti"))
         if front.isEmpty():
             return seen
-        seen = seen.union(front)
+        if n == rounds:
+            raise RuntimeError(f"the walk did not settle in {rounds} rounds")
+        seen = seen.union(front) if n % 16 else _kept(seen.union(front))  # keeps the plan short
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
     """(comparison_id, id) of the changes that need themselves, at any distance; see graphs.cycle_nodes."""
     named = _kept(edges.select(*_ID, _node("id").alias("a"), _node("needs").alias("b")).distinct())
     nodes = graphs.cycle_nodes(named.select("a", "b"))
-    return named.select(*_ID, F.col("a").alias("node")).distinct().join(nodes, "node", "left_semi").select(*_ID)
+    return named.select(*_ID, F.col("a").alias("node")).distinct().join(merged(nodes), "node", "left_semi").select(*_ID)
 
 
 def ordering_edges(edges: DataFrame) -> DataFrame:
     """edges without those between two changes that are in cycles: what comes after a cycle is ordered behind all of its members."""
     hit = _kept(cyclic(edges).withColumn("__a", F.lit(True)))
-    told = edges.join(hit, _ID, "left").join(hit.select("comparison_id", F.col("id").alias("needs"), F.col("__a").alias("__b")), ["comparison_id", "needs"], "left")
+    told = edges.join(merged(hit), _ID, "left").join(merged(hit.select("comparison_id", F.col("id").alias("needs"), F.col("__a").alias("__b"))), ["comparison_id", "needs"], "left")
     return told.where("__a is null or __b is null").select(*_ID, "needs")
 
 
 def to_manual(changes: DataFrame, ids: DataFrame) -> DataFrame:
     """changes with those of ids as MANUAL, of risk HIGH at least, under a new id; old_id keeps the old one."""
     hit = ids.select(*_ID, F.lit(True).alias("__hit")).distinct()
-    out = changes.join(hit, _ID, "left").withColumn("old_id", F.col("id"))
+    out = changes.join(merged(hit), _ID, "left").withColumn("old_id", F.col("id"))
     h = F.col("__hit")
     out = out.withColumns({"kind": F.when(h, "MANUAL").otherwise(F.col("kind")), "risk": F.when(h & (F.col("risk") != "CRITICAL"), "HIGH").otherwise(F.col("risk")), "automation": F.when(h, "MANUAL_ONLY").otherwise(F.col("automation"))})
     return change_ids(out.drop("__hit", "id"))
@@ -179,20 +182,13 @@ def order_changes(changes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def select_changes(changes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """(comparison_id, id, state): SELECTED or BLOCKED for each wanted change; a manual one is left out, and one whose needs aren't
-    all selected is blocked, over and over."""
-    ok = wanted.select(*_ID).distinct().join(changes.where("kind <> 'MANUAL' and automation <> 'MANUAL_ONLY'").select(*_ID), _ID, "left_semi")
-    selected = _kept(ok)
-    n = selected.count()
-    for _ in range(ROUNDS * ROUNDS):
-        open_ = edges.join(selected.select("comparison_id", F.col("id").alias("needs")), ["comparison_id", "needs"], "left_anti").select(*_ID).distinct()
-        selected = _kept(selected.join(open_, _ID, "left_anti"))
-        now = selected.count()
-        if now == n:
-            break
-        n = now
-    else:
-        raise RuntimeError(f"the selection did not settle in {ROUNDS * ROUNDS} rounds")
-    return ok.join(selected.withColumn("s", F.lit(True)), _ID, "left").select(*_ID, F.when(F.col("s"), "SELECTED").otherwise("BLOCKED").alias("state"))
+    all selected is blocked, over and over: a walk from those that need what isn't wanted."""
+    able = changes.where("kind <> 'MANUAL' and automation <> 'MANUAL_ONLY'").select(*_ID)
+    ok = _kept(wanted.select(*_ID).distinct().join(merged(able), _ID, "left_semi"))
+    own = _kept(edges.select(*_ID, "needs").join(merged(ok), _ID, "left_semi"))
+    roots = _kept(own.join(merged(ok.select("comparison_id", F.col("id").alias("needs"))), ["comparison_id", "needs"], "left_anti").select(*_ID).distinct())
+    blocked = roots.union(needing(own, roots, ROUNDS * ROUNDS)).distinct().withColumn("s", F.lit(True))
+    return ok.join(merged(blocked), _ID, "left").select(*_ID, F.when(F.col("s"), "BLOCKED").otherwise("SELECTED").alias("state"))
 
 
 def selection_digest(selected: DataFrame, fingerprints: DataFrame) -> DataFrame:
@@ -234,7 +230,7 @@ def label_outcomes(steps: DataFrame, edges: DataFrame) -> DataFrame:
     that need it, at any distance, unless it was cancelled, else SKIPPED_FAIL_FAST."""
     first = steps.where("state <> 'SUCCEEDED'").groupBy("comparison_id").agg(F.min_by(F.struct("position", "id", "state"), "position").alias("f"))
     hit = needing(edges, first.select("comparison_id", F.col("f.id").alias("id"))).withColumn("hit", F.lit(True))
-    out = steps.join(first, "comparison_id", "left").join(hit, _ID, "left")
+    out = steps.join(first, "comparison_id", "left").join(merged(hit), _ID, "left")
     behind = F.col("position") > F.col("f.position")
     cancelled = F.col("f.state").isin("CANCELLED", "UNKNOWN_AFTER_CANCEL")
     return out.select(*_ID, "position", F.when(behind & F.col("hit") & ~cancelled, "SKIPPED_DEPENDENCY").when(behind, "SKIPPED_FAIL_FAST").otherwise(F.col("state")).alias("state"))
