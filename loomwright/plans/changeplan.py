@@ -142,11 +142,11 @@ def order_changes(changes: DataFrame, edges: DataFrame) -> DataFrame:
     key = ["grp", "rank", "object_key", "id"]
     keyed = _kept(changes.select("comparison_id", drop.cast("int").alias("grp"), F.when(drop, -rank).otherwise(rank).alias("rank"), "object_key", "id", _node("id").alias("node")))
     own = edges.select(_node("id").alias("a"), _node("needs").alias("b")).where("a <> b").distinct()
-    own = own.join(keyed.select(F.col("node").alias("a")), "a", "left_semi").join(keyed.select(F.col("node").alias("b")), "b", "left_semi")
+    own = own.join(merged(keyed.select(F.col("node").alias("a"))), "a", "left_semi").join(merged(keyed.select(F.col("node").alias("b"))), "b", "left_semi")
     own = _kept(own.select("a", "b"))
     parts = _kept(graphs.components(own))
     needs = own.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("needs"))
-    linked = keyed.join(parts, "node").join(_kept(needs), "node", "left")
+    linked = keyed.join(merged(parts), "node").join(merged(_kept(needs)), "node", "left")
     fields = {f.name: f.dataType for f in keyed.schema.fields}
     schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("stuck", T.IntegerType()), T.StructField("place", T.LongType()), *(T.StructField(f"top_{c}", fields[c]) for c in key)])
 
@@ -171,13 +171,13 @@ def order_changes(changes: DataFrame, edges: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=schema.fieldNames())
 
     placed = linked.groupBy("component").applyInPandas(order, schema)
-    alone = keyed.join(parts, "node", "left_anti").select("node", F.lit(0).alias("stuck"), F.lit(0).cast("long").alias("place"), *(F.col(c).alias(f"top_{c}") for c in key))
-    rows = keyed.select("comparison_id", "id", "node").join(placed.union(alone), "node")
+    alone = keyed.join(merged(parts), "node", "left_anti").select("node", F.lit(0).alias("stuck"), F.lit(0).cast("long").alias("place"), *(F.col(c).alias(f"top_{c}") for c in key))
+    rows = keyed.select("comparison_id", "id", "node").join(merged(placed.union(alone)), "node")
     sorts = [(c, True) for c in ("comparison_id", "stuck", *(f"top_{c}" for c in key), "place")]
     numbered = _kept(number_rows(rows, sorts).select(*_ID, "row_no"))
     first = _kept(numbered.groupBy("comparison_id").agg(F.min("row_no").alias("first")))
-    numbered = numbered.join(first, "comparison_id").select(*_ID, (F.col("row_no") - F.col("first") + 1).cast("int").alias("position"))
-    return changes.join(numbered, _ID)
+    numbered = numbered.join(merged(first), "comparison_id").select(*_ID, (F.col("row_no") - F.col("first") + 1).cast("int").alias("position"))
+    return changes.join(merged(numbered), _ID)
 
 
 def select_changes(changes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
