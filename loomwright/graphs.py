@@ -8,28 +8,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, merged
+from .shared import condensed, freed, kept, merged
 
 ROUNDS = 64
 
 
-def components(links: DataFrame, keep=kept) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): component is the smallest node that can be reached.
 
     Alternating large-star and small-star steps: each replaces the links of a node by links to its least
     neighbour, so that long chains shorten fast and no task gathers a node's neighbours. Self-links and
-    repeated links are fine; null ends are ignored. keep(df, name) writes a table and reads it back."""
+    repeated links are fine; null ends are ignored. Of the rounds' tables only the result is left."""
+    return condensed(links.sparkSession, lambda: _components(links), "components")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    spark = links.sparkSession
     links = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, before = keep(links, "links"), None
+    links, before = kept(links, "links"), None
     for _ in range(ROUNDS):
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.join(merged(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = keep(large.where("a <> b").distinct(), "large")
-        least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(merged(least), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        links = keep(small.where("a <> b").distinct(), "links")
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        links = condensed(spark, lambda whole=links: _shortened(whole), "links")
+        with freed(spark):
+            now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break
         before = now
@@ -39,6 +39,17 @@ def components(links: DataFrame, keep=kept) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
+def _shortened(links: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over links (a, b), a > b."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    large = both.join(merged(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = kept(large.where("a <> b").distinct(), "large")
+    least = kept(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+    small = large.join(merged(least), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+    return small.where("a <> b").distinct()
+
+
 def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chains, rings) of edges (a, b) without self-loops: each node with one edge in and one out, with start and end, the nearest
     others before and after it; and the nodes of rings of such nodes alone. Pointers are doubled, so rounds grow with the logarithm of

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graphs import components
-from ..shared import shared_folder
+from ..shared import condensed, discard, fresh_path, freed, kept, shared_dir  # noqa: F401  the operators have them from here
 
 #: Rows in an Arrow batch of texts; a batch is cut further by bytes inside the tasks.
 TEXT_ROWS = 1000
@@ -23,32 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URL with a scheme that pyarrow and Hadoop both read."""
-    return re.sub("^file:/+", "file:///", shared_folder(spark))
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(discard, spark, path)
-    return path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a table or folder that a query left in the shared folder."""
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session has ended
-        return
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, which outlives any executor."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df, name)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -79,7 +53,7 @@ def payload(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): component is the smallest node that can be reached. See graphs.components."""
-    return components(links, materialize)
+    return components(links)
 
 
 def drawn(rows: DataFrame, rate: Column) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, connected_components, materialize, payload, small_batches
+from .common import by_bytes, condensed, connected_components, materialize, payload, small_batches
 from .features import LOWER, words
 from .shingling import SHINGLE, shingles, similar_members
 from .tokens import SliceHasher, mixed
@@ -143,19 +143,17 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: flo
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("hash").take(at), pa.array(number, pa.int32()), pa.nulls(len(owner), pa.int32()), pa.array(x), pa.array(y), lists], names)
 
+    spark = docs.sparkSession
     units = materialize(_texts(docs).mapInArrow(sign, "id long, hash long, at int, part int, x long, y long, bands array<long>"), "paragraphs")
     found = units.where("part is null").drop("part")
     # Equal paragraphs are one class from here on, named by x.
     place = F.struct("id", "hash", "at")
     classes = materialize(found.groupBy("x", "y").agg(F.min(place).alias("first"), F.first("bands").alias("bands")), "classes")
-    keyed = classes.select("x", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(keyed.join(materialize(shared.select("band"), "shared"), "band").select("x", "band"), "members")
-    # The shingles of the paragraphs that met others, from their first places.
-    asked = members.select("x").distinct().join(classes, "x").select("x", "first.*")
-    asked = asked.groupBy("id", "hash").agg(F.collect_list(F.struct("at", "x")).alias("asked"))
-    texts = _texts(docs)
-    sources = texts.join(asked, texts["id"].eqNullSafe(asked["id"]) & (texts["hash"] == asked["hash"])).select("text", "asked")
+
+    def met() -> DataFrame:
+        keyed = classes.select("x", F.explode("bands").alias("band"))
+        shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        return keyed.join(materialize(shared.select("band"), "shared"), "band").select("x", "band")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -171,15 +169,28 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: flo
                         sets.append(np.unique(h[ends[i] : ends[i + 1]]).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["x", "set"])
 
-    sets = materialize(sources.mapInArrow(expand, "x long, set binary").dropDuplicates(["x"]), "shingles")
-    links = similar_members(members, sets, least, CHUNK)
-    nodes = connected_components(links)
-    clusters = classes.join(nodes, classes["x"] == nodes["node"], "left").select("x", "y", "first", F.coalesce("component", "x").alias("cluster"))
-    keepers = materialize(clusters.groupBy("cluster").agg(F.min("first").alias("keeper")), "leaders")
-    keepers = materialize(clusters.join(keepers, "cluster").select("x", "y", "keeper"), "keepers")
-    removed = found.drop("bands").join(keepers, ["x", "y"]).where(~place.eqNullSafe(F.col("keeper")))
-    removed = materialize(removed.select("id", "hash", "at"), "removed")
-    return removed, _repeated_sentences(units.where("part is not null").drop("bands"), removed), links
+    def similar() -> DataFrame:
+        members = condensed(spark, met, "members")
+        # The shingles of the paragraphs that met others, from their first places.
+        asked = members.select("x").distinct().join(classes, "x").select("x", "first.*")
+        asked = asked.groupBy("id", "hash").agg(F.collect_list(F.struct("at", "x")).alias("asked"))
+        texts = _texts(docs)
+        sources = texts.join(asked, texts["id"].eqNullSafe(asked["id"]) & (texts["hash"] == asked["hash"])).select("text", "asked")
+        sets = materialize(sources.mapInArrow(expand, "x long, set binary").dropDuplicates(["x"]), "shingles")
+        return similar_members(members, sets, least, CHUNK)
+
+    links = condensed(spark, similar, "similar")
+
+    def gone() -> DataFrame:
+        nodes = connected_components(links)
+        clusters = classes.join(nodes, classes["x"] == nodes["node"], "left").select("x", "y", "first", F.coalesce("component", "x").alias("cluster"))
+        keepers = materialize(clusters.groupBy("cluster").agg(F.min("first").alias("keeper")), "leaders")
+        keepers = materialize(clusters.join(keepers, "cluster").select("x", "y", "keeper"), "keepers")
+        return found.drop("bands").join(keepers, ["x", "y"]).where(~place.eqNullSafe(F.col("keeper"))).select("id", "hash", "at")
+
+    removed = condensed(spark, gone, "removed")
+    cut = condensed(spark, lambda: _repeated_sentences(units.where("part is not null").drop("bands"), removed), "cut")
+    return removed, cut, links
 
 
 def _repeated_sentences(sentences: DataFrame, removed: DataFrame) -> DataFrame:
@@ -209,11 +220,15 @@ def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, least: float =
 
     Null texts stay null; rows that repeat a doc_id and its text lose the same paragraphs; a null doc_id counts as the smallest;
     other columns stay as they are (clashing names are replaced). An empty table gives no rows."""
-    removed, cut, _ = duplicate_paragraphs(docs, min_words, least)
-    lost = cut.groupBy("id", "hash", "at").agg(F.sort_array(F.collect_set("part")).alias("parts"))
-    each = removed.withColumn("parts", F.lit(None).cast("array<int>")).unionByName(lost)
-    whole = F.when(F.col("parts").isNull(), F.col("at"))
-    by_doc = each.groupBy("id", "hash").agg(F.sort_array(F.collect_set(whole)).alias("gone"), F.collect_list(F.when(F.col("parts").isNotNull(), F.struct("at", "parts"))).alias("cut"))
+
+    def losses() -> DataFrame:
+        removed, cut, _ = duplicate_paragraphs(docs, min_words, least)
+        lost = cut.groupBy("id", "hash", "at").agg(F.sort_array(F.collect_set("part")).alias("parts"))
+        each = removed.withColumn("parts", F.lit(None).cast("array<int>")).unionByName(lost)
+        whole = F.when(F.col("parts").isNull(), F.col("at"))
+        return each.groupBy("id", "hash").agg(F.sort_array(F.collect_set(whole)).alias("gone"), F.collect_list(F.when(F.col("parts").isNotNull(), F.struct("at", "parts"))).alias("cut"))
+
+    by_doc = condensed(docs.sparkSession, losses, "losses")
     added = ("n_removed", "removed", "n_sentences", "n_paragraphs")
     rest = docs.drop(*added).withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     told = by_doc.select(F.col("id").alias("__i"), F.col("hash").alias("__h"), F.col("gone").alias("__gone"), F.col("cut").alias("__cut"))

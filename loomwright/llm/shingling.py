@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, payload
+from .common import condensed, connected_components, materialize, payload
 from .features import LOWER, words
 from .tokens import SliceHasher, mixed
 
@@ -160,6 +160,10 @@ def similar_members(members: DataFrame, sets: DataFrame, least: float, chunk: in
     Each member is compared with the least of its groups first, once for however many groups have that one. That connects
     most groups; only those with members that are still apart are compared in full. So the work on a group of n near copies
     grows with n."""
+    return condensed(members.sparkSession, lambda: _similar_links(members, sets, least, chunk), "similar")
+
+
+def _similar_links(members: DataFrame, sets: DataFrame, least: float, chunk: int) -> DataFrame:
     members = materialize(members.select("x", "band").distinct(), "members")
     least_of = materialize(members.groupBy("band").agg(F.min("x").alias("rep"), F.count("*").alias("n")).where("n > 1"), "least")
     pairs = materialize(members.join(least_of, "band").where("x <> rep").select("x", "rep").distinct(), "pairs")
@@ -168,7 +172,7 @@ def similar_members(members: DataFrame, sets: DataFrame, least: float, chunk: in
     placed = members.join(nodes, members["x"] == nodes["node"], "left").select("x", "band", F.coalesce("component", "x").alias("c"))
     apart = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
     rest = materialize(members.join(materialize(apart, "apart"), "band"), "rest")
-    return materialize(close.union(_in_full(rest, sets, least, chunk)).distinct(), "similar")
+    return close.union(_in_full(rest, sets, least, chunk)).distinct()
 
 
 def _near_one(pairs: DataFrame, sets: DataFrame, least: float, chunk: int) -> DataFrame:
