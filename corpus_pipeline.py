@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import decontam, packing, paragraphs, quality, simhash
-from loomwright.llm.common import materialize, table
+from loomwright.llm.common import condensed, table
 from loomwright.llm.queries import tokenizer
 
 
@@ -82,8 +82,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """Applies the stages to documents; each result but the last is written to the shared folder and read again, and goes when the next is written."""
+
+    def after(k: int) -> DataFrame:
+        if not k:
+            return table(spark, sf_dir, "documents")
+        name, stage = STAGES[k - 1]
+        return condensed(spark, lambda: stage(spark, after(k - 1), sf_dir), name)
+
+    return STAGES[-1][1](spark, after(len(STAGES) - 1), sf_dir)

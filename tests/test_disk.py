@@ -5,6 +5,7 @@ import time
 
 import pytest
 
+import corpus_pipeline
 from loomwright import graphs
 from loomwright.llm import paragraphs, simhash
 from loomwright.shared import FREED, condensed, kept, shared_folder
@@ -75,3 +76,11 @@ def test_condensed_keeps_outer_tables(spark):
     with pytest.raises(ZeroDivisionError):
         condensed(spark, lambda: [kept(outer, "fifth"), 1 / 0], "sixth")
     assert _left(spark, before) == ["fourth"]
+
+
+def test_a_stage_s_table_goes_when_the_next_is_written(spark, tmp_path, monkeypatch):
+    spark.range(9).selectExpr("id as doc_id", "'a' as text").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"stage{i}", lambda s, docs, d, i=i: docs.where(f"doc_id <> {i}")) for i in range(4)])
+    before = _tables(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert _left(spark, before) == ["stage2"] and sorted(r.doc_id for r in out.collect()) == [4, 5, 6, 7, 8]
