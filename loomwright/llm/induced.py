@@ -165,7 +165,7 @@ class PageQueue:
     def push(self, page: np.ndarray, position: np.ndarray, prefix: np.ndarray) -> None:
         """page: in order, none before the one reached."""
         group = self.group[page]
-        own = int(np.searchsorted(group, self.reached, "right"))
+        own = int(group.searchsorted(self.reached, "right"))
         if own and not self.alone[self.reached]:
             for a, z in _edges(page[:own]):
                 p = int(page[a])
@@ -214,7 +214,7 @@ def _edges(x: np.ndarray) -> Iterator[tuple[int, int]]:
     """Bounds of the runs of equal numbers."""
     if not len(x):
         return iter(())
-    cuts = (np.flatnonzero(x[1:] != x[:-1]) + 1).tolist()
+    cuts = ((x[1:] != x[:-1]).nonzero()[0] + 1).tolist()
     return zip([0, *cuts], [*cuts, len(x)], strict=True)
 
 
@@ -257,8 +257,11 @@ class _Scan:
         self.page = _numbered(weight, heavy, least)
         self.starts = np.append(np.flatnonzero(np.diff(self.page, prepend=-1)), characters)
         self.queue = PageQueue(np.add.reduceat(weight, self.starts[:-1]), heavy[self.starts[:-1]], least, disk)
-        self.since = np.zeros(characters, np.uint8)  # least value scanned since a queue's last entry
+        # Of a queue's last entry: the part that it came in, and the least value scanned behind it there; latest: the last part with so small a value.
+        self.high, self.when = np.zeros(characters, np.uint8), np.zeros(characters, np.int32)
+        self.latest, self.part = np.zeros(MOST + 1, np.int32), 0
         self.seen = np.zeros(characters, bool)
+        self.none = 2 * characters
         self.key, self.last = np.array([-2]), -1  # character (twice, one more if given) and position of what was scanned last
 
     def code(self, position: np.ndarray) -> np.ndarray:
@@ -285,46 +288,64 @@ class _Scan:
         while start and self.text[start - 1] == c:
             before = self.text[max(start - CHUNK, 0) : start][::-1] != c
             start -= int(np.argmax(before)) if before.any() else len(before)
-        first = min(prefix, int(self.since[self.code(np.array([position]))[0]]))
+        first = min(prefix, int(self.since(self.code(np.array([position])))[0]))
         steps = np.minimum(first + np.arange(1, position - start + 1), MOST).astype(np.uint8)
         return np.arange(position, start - 1, -1), np.append(np.uint8(prefix), steps)
 
-    def _feed(self, position: np.ndarray, prefix: np.ndarray, key: np.ndarray, run: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def since(self, queue: np.ndarray) -> np.ndarray:
+        """The least value scanned since each queue's last entry."""
+        return np.minimum(self.high[queue], self.latest.searchsorted(self.when[queue], "right")).astype(np.uint8)
+
+    def _targets(self, position: np.ndarray) -> np.ndarray:
+        """Twice the character whose queue the suffix before each is induced into, or self.none."""
+        ahead = position - 1
+        return np.where((self.kind[ahead] != self.up) & (position > 0), 2 * self.code(ahead), self.none)
+
+    def _feed(self, position: np.ndarray, prefix: np.ndarray, key: np.ndarray, run: bool = False, targets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scans suffixes and queues those before them; of a run, that before its start. key: twice the character, one more where
-        given; a single key is that of all."""
-        prefix = prefix.copy()
+        given; a single key is that of all. targets: _targets(position), if known."""
+        prefix, n = prefix.copy(), len(position)
         # A character's first has nothing in common with the one before; where queued ones meet given ones, runs decide.
         before = np.concatenate([self.key, key[:-1]])
-        changed = np.flatnonzero(before != key)
-        prefix[changed] = 0
-        meets = changed[before[changed] >> 1 == key[changed] >> 1]
-        prefix[meets] = np.minimum(self.runs[position[meets]], self.runs[np.where(meets > 0, position[meets - 1], self.last)])
+        changed = (before != key).nonzero()[0]
+        if len(changed):
+            prefix[changed] = 0
+            meets = changed[before[changed] >> 1 == key[changed] >> 1]
+            prefix[meets] = np.minimum(self.runs[position[meets]], self.runs[np.where(meets > 0, position[meets - 1], self.last)])
         self.key, self.last = key[-1:], int(position[-1])
-        queued = np.broadcast_to(key & 1 == 0, position.shape)
+        queued = key & 1 == 0 if len(key) == n else np.full(n, key[0] & 1 == 0)
         if run:
-            picked = np.flatnonzero(position[-1:] > 0) + len(position) - 1
-            picked = picked[self.kind[position[picked] - 1] != self.up]
-        else:
-            picked = np.flatnonzero((position > 0) & (self.kind[position - 1] != self.up))
-        target = self.code(position[picked] - 1)
-        order = np.argsort(target, kind="stable")
-        at, target = picked[order], target[order]
-        low, high = int(key[0]) >> 1, None
-        if len(at):
-            first = np.append(True, target[1:] != target[:-1])
-            least = _least(prefix, np.append(0, at[:-1] + 1), at, first)
-            least[first] = np.minimum(np.minimum.accumulate(prefix)[at[first]], self.since[target[first]])
+            targets = np.full(n, self.none)
+            targets[-1:] = self._targets(position[-1:])
+        elif targets is None:
+            targets = self._targets(position)
+        picked = (targets != self.none).nonzero()[0]
+        low, m = int(key[0]) >> 1, len(picked)
+        if m:
+            target = targets[picked] >> 1
+            order = target.argsort(kind="stable")
+            at, target = picked[order], target[order]
+            first = np.ones(m, bool)
+            np.not_equal(target[1:], target[:-1], out=first[1:])
+            opens = first.nonzero()[0]
+            entered, begin = target[opens], np.zeros(m, np.int64)
+            begin[1:] = at[:-1] + 1
+            least = _least(prefix, begin, at, first)
+            least[opens] = np.minimum(np.minimum.accumulate(prefix)[at[opens]], self.since(entered))
             least = np.minimum(least, MOST - 1) + np.uint8(1)
-            least[first & ~self.seen[target]] = 0
+            least[opens[~self.seen[entered]]] = 0
             self.queue.push(self.page[target], position[at] - 1, least)
-            closes = np.append(first[1:], True)
-            high = np.append(np.minimum.accumulate(prefix[::-1])[::-1], np.uint8(MOST))[at[closes] + 1]
-        np.minimum(self.since[low:], prefix.min(), out=self.since[low:])
+            # The least value behind a queue's last entry here.
+            behind = np.full(n + 1, MOST, np.uint8)
+            np.minimum.accumulate(prefix[::-1], out=behind[n - 1 :: -1])
+            high = behind[at[np.concatenate([opens[1:] - 1, [m - 1]])] + 1]
+        self.part += 1
+        self.latest[prefix.min() :] = self.part
         if run:
-            self.since[low] = prefix[-1]
-        if len(at):
-            self.since[target[closes]] = high
-            self.seen[target[closes]] = True
+            self.high[low], self.when[low] = prefix[-1], self.part
+        if m:
+            self.high[entered], self.when[entered] = high, self.part
+            self.seen[entered] = True
         return position, prefix, queued
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -352,24 +373,23 @@ class _Scan:
         told = _joined(list(self._given_below(end)))
         key = np.concatenate([2 * self.code(position), 2 * self.code(told[0]) + 1])
         position, prefix = np.concatenate([position, told[0]]), np.concatenate([prefix, told[1]])
-        order = np.argsort(key, kind="stable")
+        order = key.argsort(kind="stable")
         key, position, prefix = key[order], position[order], prefix[order]
-        none = 2 * end
+        targets = self._targets(position)
         while len(key):
             # What is induced into this page comes behind the queued ones of its character: up to there the order is final.
-            target = np.where((position > 0) & (self.kind[position - 1] != self.up), 2 * self.code(position - 1), none)
-            late = key[1:] > np.minimum.accumulate(target)[:-1]
-            n = int(np.argmax(late)) + 1 if late.any() else len(key)
-            if n == 1 and target[0] == key[0]:
+            late = key[1:] > np.minimum.accumulate(targets)[:-1]
+            n = int(late.argmax()) + 1 if late.any() else len(key)
+            if n == 1 and targets[0] == key[0]:
                 yield self._feed(*self._run(int(position[0]), int(prefix[0])), key[:1], True)
             else:
-                yield self._feed(position[:n], prefix[:n], key[:n])
-            key, position, prefix = key[n:], position[n:], prefix[n:]
+                yield self._feed(position[:n], prefix[:n], key[:n], targets=targets[:n])
+            key, position, prefix, targets = key[n:], position[n:], prefix[n:], targets[n:]
             more = self._entered(page)
             if len(more[0]):
                 key = np.concatenate([key, 2 * self.code(more[0])])
-                order = np.argsort(key, kind="stable")
-                key, position, prefix = key[order], np.concatenate([position, more[0]])[order], np.concatenate([prefix, more[1]])[order]
+                order = key.argsort(kind="stable")
+                key, position, prefix, targets = key[order], np.concatenate([position, more[0]])[order], np.concatenate([prefix, more[1]])[order], np.concatenate([targets, self._targets(more[0])])[order]
 
 
 def _least(values: np.ndarray, a: np.ndarray, z: np.ndarray, skip: np.ndarray) -> np.ndarray:
@@ -381,8 +401,9 @@ def _least(values: np.ndarray, a: np.ndarray, z: np.ndarray, skip: np.ndarray) -
     for k in range(1, int(level.max(initial=0)) + 1):
         table = np.minimum(table[:-span], table[span:])
         span *= 2
-        at = np.flatnonzero(level == k)
-        out[at] = np.minimum(table[a[at]], table[z[at] - span + 1])
+        at = (level == k).nonzero()[0]
+        if len(at):
+            out[at] = np.minimum(table[a[at]], table[z[at] - span + 1])
     return out
 
 

@@ -62,7 +62,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     starts = np.flatnonzero(inside & (change | opening[: len(least)]))
     stops = np.zeros(len(least) + 1, bool)
     stops[starts] = True
-    stops[np.flatnonzero(inside) + 1] |= ~np.append(inside, False)[np.flatnonzero(inside) + 1]
+    stops[1:-1] |= inside[:-1] & ~inside[1:]
+    stops[-1] |= inside[-1]
     ends = np.flatnonzero(stops)
     count = ends[np.searchsorted(ends, starts, "right")] - starts
     parts = -(-count // 255)

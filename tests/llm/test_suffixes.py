@@ -63,6 +63,33 @@ def test_tuples_of_many_times_the_budget(tmp_path):
         assert shared[k - 1] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+class Counted:
+    """numpy, with a count of the elements that minimum() makes."""
+
+    def __init__(self):
+        self.made, self.minimum = 0, self
+        self.accumulate, self.reduceat = np.minimum.accumulate, np.minimum.reduceat
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def __call__(self, *a, **b):
+        out = np.minimum(*a, **b)
+        self.made += np.size(out)
+        return out
+
+
+def test_a_part_costs_what_it_holds(monkeypatch, tmp_path):
+    """Each part of a scan keeps the queues' least values without going over all characters."""
+    counted = Counted()
+    monkeypatch.setattr(induced, "np", counted)
+    rng = random.Random(2)
+    t = np.append(np.array([rng.randint(1, 40_000) for _ in range(40_000)]), 0)
+    order, _ = induced.sort_suffixes(t, 40_001, f"file://{tmp_path}", 1 << 20)
+    assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i : i + 8].tolist())
+    assert counted.made < 20 * len(t)
+
+
 def brute(rows, length):
     """text by (doc_id, text) without the bytes that an earlier document's strings cover."""
     first = {}
