@@ -3,8 +3,8 @@
 Every window of `length` bytes is assigned to the least hash of its 24-byte strings, so that equal windows have equal
 ones wherever they stand; stretches of windows with one least hash are the unit that is dealt out. Equal stretches are
 settled by their hashes alone. Of the rest, stretches that share a least hash with other documents, the bytes are
-gathered in shards, and each shard's suffixes are sorted by external induction, whose tuples go to the shared folder: windows are equal where
-the common prefix reaches `length`."""
+gathered in shards, where windows that no other document has are left out and equal runs of the others are settled, byte for byte. The suffixes of
+what differs are sorted by external induction, whose tuples go to the shared folder: windows are equal where the common prefix reaches `length`."""
 
 from __future__ import annotations
 
@@ -17,9 +17,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fresh_path, materialize, payload, small_batches
+from .common import by_bytes, fresh_path, materialize, payload, ranges, small_batches
 from .induced import Disk, suffixes_descending
-from .tokens import SliceHasher
+from .tokens import SliceHasher, mixed
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text for which one shard is planned.
@@ -29,6 +29,8 @@ LEAST_SHARDS = 32
 HOT = 4096
 #: Bytes of suffix tuples that the task of a shard keeps in memory; the others go to files in the shared folder.
 TUPLE_BYTES = 32 << 20
+#: Bytes of a shard that are hashed at once.
+HASHED = 1 << 19
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -94,6 +96,16 @@ def _settle(ids: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray,
     return order, fresh, ids > least
 
 
+def _repeats(ids: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which rows have the (h, c) of a row with a smaller id. Both hashes are compared; where the key they are sorted by clashes, some aren't found."""
+    order = np.argsort(h ^ mixed(c))
+    fresh = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (c[order[1:]] != c[order[:-1]])])
+    own = ids[order]
+    out = np.zeros(len(ids), bool)
+    out[order] = own > np.repeat(np.minimum.reduceat(own, at := np.flatnonzero(fresh)), np.diff(np.append(at, len(own))))
+    return out
+
+
 def _by_doc(ids: np.ndarray, hashes: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """(id, hash, rows of values as 32-bit numbers) of each document."""
     order = np.lexsort((hashes, ids))
@@ -103,6 +115,68 @@ def _by_doc(ids: np.ndarray, hashes: np.ndarray, *values: np.ndarray) -> Iterato
         yield int(ids[a]), int(hashes[a]), table[a:z].tobytes()
 
 
+def _merged_by_doc(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(id, hash, maximal runs as 32-bit numbers) of each document's spans."""
+    for i, x, spans in _by_doc(ids, hashes, starts, ends):
+        a, z = merged(*np.frombuffer(spans, "<i4").reshape(-1, 2).T)
+        yield i, x, np.stack([a, z], 1).astype("<i4").tobytes()
+
+
+def _slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of slices of data in the order of their starts; about HASHED bytes are in work at a time."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(starts, low + HASHED)))
+        out[at:to] = SliceHasher(data[low : int(ends[at:to].max())])(starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out
+
+
+def shared_runs(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, end) of the runs of windows in pieces of data, which follow one another, that pieces of several ids have. Windows are
+    told apart by 64 bits of hash: a run may hold others, too, but none that is shared is left out."""
+    begins = np.cumsum(sizes) - sizes
+    count = np.maximum(sizes - length + 1, 0)
+    at = ranges(begins, count)
+    h = _slice_hashes(data, at, at + length)
+    order = np.argsort(h)
+    h = h[order]
+    opens = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    own = np.repeat(ids, count)[order]
+    several = (np.maximum.reduceat(own, opens) > np.minimum.reduceat(own, opens)) if len(h) else np.zeros(0, bool)
+    kept = np.sort(order[np.repeat(several, np.diff(np.append(opens, len(h))))])
+    piece, at = np.repeat(np.arange(len(sizes)), count)[kept], at[kept]
+    fresh = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (piece[1:] != piece[:-1])]) if len(at) else np.zeros(0, bool)
+    last = np.append(np.flatnonzero(fresh)[1:] - 1, len(at) - 1) if len(at) else np.zeros(0, np.int64)
+    return piece[fresh], at[fresh], at[last] + length
+
+
+def copies(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which runs have the bytes of a run with a smaller id. They are found by hash and compared byte for byte."""
+    order = np.lexsort((ids, c := _slice_hashes(data, starts, ends)))
+    fresh = np.concatenate([[True], c[order[1:]] != c[order[:-1]]]) if len(order) else np.zeros(0, bool)
+    first = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(order) else order
+    later = ids[order] > ids[first]
+    mine, first = order[later], first[later]
+    size = ends[mine] - starts[mine]
+    mine, first, size = (x[size == ends[first] - starts[first]] for x in (mine, first, size))
+    differs = data[ranges(starts[mine], size)] != data[ranges(starts[first], size)]
+    out = np.zeros(len(ids), bool)
+    out[mine] = np.bincount(np.repeat(np.arange(len(mine)), size)[differs], minlength=len(mine)) == 0
+    return out
+
+
+def settled_windows(held: dict[bytes, list[tuple[int, int, int]]]) -> tuple[list[tuple[int, int, int, bytes]], list[tuple[int, int, int]]]:
+    """Of each window, held by (id, hash, start): those of the least id, which stand for all, with the window, and the others, which they remove."""
+    sent, gone = [], []
+    for window, at in held.items():
+        least = min(at)[0]
+        sent += [(*x, window) for x in at if x[0] == least]
+        gone += [x for x in at if x[0] > least]
+    return sent, gone
+
+
 def _packed(rows: list[tuple[int, int, int, bytes]]) -> bytes:
     """Rows (id, hash, kind, numbers) as bytes."""
     ids, hashes, kinds, data = zip(*rows, strict=True)
@@ -154,29 +228,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            found, ids, hashes = [], [], []
+            found, rows_before = [], 0
             for batch in by_bytes(whole, "body", 2 << 20):
-                found.append(stretches(*payload(batch.column("body")), length))
-                ids.append(batch.column("id").to_numpy()[found[-1][0]])
-                hashes.append(batch.column("hash").to_numpy()[found[-1][0]])
-            start, count, h, c = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3, 4))
-            ids, hashes = np.concatenate(ids), np.concatenate(hashes)
-            if not len(ids):
+                owner, *rest = stretches(*payload(batch.column("body")), length)
+                found.append((owner + rows_before, *rest))
+                rows_before += len(batch)
+            # In the order of rows and starts.
+            place, start, count, h, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
+            if not len(place):
                 continue
-            order, _, gone = _settle(ids, h, c)
-            ids, hashes, start, count, h, c = ids[order], hashes[order], start[order], count[order], h[order], c[order]
-            rows = [(i % parts, i, x, spans, None) for i, x, spans in _by_doc(ids[gone], hashes[gone], start[gone], start[gone] + count[gone] + length - 1)]
+            names = np.stack([whole.column("id").to_numpy(), whole.column("hash").to_numpy()], 1)
+            gone = _repeats(names[place, 0], h, c)
+            rows = [(i % parts, i, x, spans, None) for i, x, spans in _by_doc(*names[place[gone]].T, start[gone], start[gone] + count[gone] + length - 1)]
             # One document of the batch stands for each content; its stretches go to the shard of their least hash.
-            ids, hashes, start, count, h, c = (x[~gone] for x in (ids, hashes, start, count, h, c))
-            names, place = np.unique(np.stack([ids, hashes], 1), axis=0, return_inverse=True)
-            shard = (h % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((start, place.ravel(), shard))
+            place, start, count, h, c = (x[~gone] for x in (place, start, count, h, c))
+            shard = (h % np.uint64(parts)).astype(np.min_scalar_type(parts))
+            order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 at = order[edges[p] : edges[p + 1]]
-                own, place_in = np.unique(place.ravel()[at], return_inverse=True)
+                opens = np.diff(place[at], prepend=-1) > 0
+                own = place[at][opens]
                 # Documents and starts come in order: their differences pack well.
-                where = zstandard.compress(np.diff(place_in.ravel(), prepend=0).astype("<u2").tobytes() + np.diff(start[at], prepend=0).astype("<i4").tobytes() + count[at].astype(np.uint8).tobytes(), 1)
+                where = zstandard.compress(np.diff(np.cumsum(opens) - 1, prepend=0).astype("<u2").tobytes() + np.diff(start[at], prepend=0).astype("<i4").tobytes() + count[at].astype(np.uint8).tobytes(), 1)
                 blob = b"".join([np.array([len(own), len(at), len(where)], "<i4").tobytes(), names[own].astype("<i8").tobytes(), where, _six(h[at]), _six(c[at])])
                 rows.append((p, None, None, None, blob))
             part, ident, text, spans, blob = zip(*rows, strict=True)
@@ -238,53 +312,65 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for whole in batches:
             for batch in by_bytes(whole, "body", 4 << 20):
                 by_shard: dict[int, list] = {}
+                hot: dict[bytes, list] = {}
                 for i, x, body, wanted in zip(*(batch.column(k).to_pylist() for k in ("id", "hash", "body", "asked")), strict=True):
                     for start, count, shard in np.frombuffer(wanted, "<i4").reshape(-1, 3).tolist():
                         if shard >= 0:
                             by_shard.setdefault(shard, []).append((i, x, start, body[start : start + count + length - 1]))
                         else:
                             for s in range(start, start + count):
-                                window = body[s : s + length]
-                                by_shard.setdefault(int.from_bytes(hashlib.blake2b(window, digest_size=6).digest()) % parts, []).append((i, x, s, window))
-                if by_shard:
-                    names, columns = list(by_shard), [list(zip(*v, strict=True)) for v in by_shard.values()]
+                                hot.setdefault(body[s : s + length], []).append((i, x, s))
+                sent, gone = settled_windows(hot)
+                for i, x, s, window in sent:
+                    by_shard.setdefault(int.from_bytes(hashlib.blake2b(window, digest_size=6).digest()) % parts, []).append((i, x, s, window))
+                done = {}
+                if gone:
+                    i, x, s = np.array(gone, np.int64).T
+                    spans = [(*row[:2], 0, row[2]) for row in _merged_by_doc(i, x, s, s + length)]
+                    done = {spans[0][0] % parts: _packed(spans)}
+                if by_shard or done:
+                    names, columns = [*by_shard, *done], [list(zip(*v, strict=True)) for v in by_shard.values()]
+                    none = [None] * len(done)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names, pa.int32()), *(pa.array([np.array(c[k], kind).tobytes() for c in columns]) for k, kind in ((0, "<i8"), (1, "<i8"), (2, "<i4"))), pa.array([np.array([len(x) for x in c[3]], "<i4").tobytes() for c in columns]), pa.array([b"".join(c[3]) for c in columns])],
-                        ["shard", "ids", "hashes", "starts", "sizes", "bytes"],
+                        [pa.array(names, pa.int32()), *(pa.array([np.array(c[k], kind).tobytes() for c in columns] + none, pa.binary()) for k, kind in ((0, "<i8"), (1, "<i8"), (2, "<i4"))), pa.array([np.array([len(x) for x in c[3]], "<i4").tobytes() for c in columns] + none, pa.binary()), pa.array([b"".join(c[3]) for c in columns] + none, pa.binary()), pa.array([None] * len(columns) + list(done.values()), pa.binary())],
+                        ["shard", "ids", "hashes", "starts", "sizes", "bytes", "done"],
                     )
 
     def compare(rows: pa.Table) -> pa.Table:
-        ids, hashes, starts, sizes = (np.frombuffer(b"".join(rows.column(c).to_pylist()), k) for c, k in (("ids", "<i8"), ("hashes", "<i8"), ("starts", "<i4"), ("sizes", "<i4")))
-        data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8)
-        # Pieces follow one another, each with a separator (1) behind it; bytes are 2 to 257, the end is 0.
-        sizes = sizes.astype(np.int64)
-        ends = np.cumsum(sizes + 1)
-        text = np.ones(int(ends[-1]) + 1, np.int16)
-        text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data.astype(np.int16) + 2
-        text[-1] = 0
-        gone = np.zeros(len(text), bool)
-        with Disk(folder, budget) as disk:
-            for order, opens in _groups(suffixes_descending(text, 258, disk), length):
-                piece = np.searchsorted(ends, order, "right")
-                inside = piece < len(sizes)
-                inside[inside] = (order + length <= ends[np.minimum(piece, len(sizes) - 1)] - 1)[inside]
-                group, order, piece = np.cumsum(opens)[inside], order[inside], piece[inside]
-                if len(group):
-                    fresh = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-                    least = np.repeat(np.minimum.reduceat(ids[piece], fresh), np.diff(np.append(fresh, len(group))))
-                    gone[order[ids[piece] > least]] = True
-        at = np.flatnonzero(gone)
-        piece = np.searchsorted(ends, at, "right")
-        begin = starts[piece] + at - (ends - sizes - 1)[piece]
-        runs = []
-        for i, x, spans in _by_doc(ids[piece], hashes[piece], begin, begin + length):
-            a, z = merged(*np.frombuffer(spans, "<i4").reshape(-1, 2).T)
-            runs.append((i, x, np.stack([a, z], 1).astype("<i4").tobytes()))
+        runs = [(i, x, spans) for blob in rows.column("done").drop_null().to_pylist() for i, x, _, spans in _unpacked(blob)]
+        ids, hashes, starts, sizes, data = (np.frombuffer(b"".join(rows.column(c).drop_null().to_pylist()), k) for c, k in (("ids", "<i8"), ("hashes", "<i8"), ("starts", "<i4"), ("sizes", "<i4"), ("bytes", np.uint8)))
+        piece, begins, ends = shared_runs(data, sizes := sizes.astype(np.int64), ids, length)
+        ids, hashes, starts = ids[piece], hashes[piece], starts[piece] + begins - (np.cumsum(sizes) - sizes)[piece]
+        sizes, repeats = ends - begins, copies(data, begins, ends, ids)
+        runs += _merged_by_doc(*(x[repeats] for x in (ids, hashes, starts, starts + sizes)))
+        ids, hashes, starts, sizes, begins = (x[~repeats] for x in (ids, hashes, starts, sizes, begins))
+        if len(ids):
+            data = data[ranges(begins, sizes)]
+            # Runs follow one another, each with a separator (1) behind it; bytes are 2 to 257, the end is 0.
+            ends = np.cumsum(sizes + 1)
+            text = np.ones(int(ends[-1]) + 1, np.int16)
+            text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data.astype(np.int16) + 2
+            text[-1] = 0
+            gone = np.zeros(len(text), bool)
+            with Disk(folder, budget) as disk:
+                for order, opens in _groups(suffixes_descending(text, 258, disk), length):
+                    piece = np.searchsorted(ends, order, "right")
+                    inside = piece < len(sizes)
+                    inside[inside] = (order + length <= ends[np.minimum(piece, len(sizes) - 1)] - 1)[inside]
+                    group, order, piece = np.cumsum(opens)[inside], order[inside], piece[inside]
+                    if len(group):
+                        fresh = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                        least = np.repeat(np.minimum.reduceat(ids[piece], fresh), np.diff(np.append(fresh, len(group))))
+                        gone[order[ids[piece] > least]] = True
+            at = np.flatnonzero(gone)
+            piece = np.searchsorted(ends, at, "right")
+            begin = starts[piece] + at - (ends - sizes - 1)[piece]
+            runs += _merged_by_doc(ids[piece], hashes[piece], begin, begin + length)
         columns = list(zip(*runs, strict=True)) or [[]] * 3
         return pa.table({n: pa.array(v, k) for n, v, k in zip(("id", "hash", "data"), columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
     sources = docs.join(asked, ["id", "hash"])
-    more = sources.mapInArrow(gather, "shard int, ids binary, hashes binary, starts binary, sizes binary, bytes binary").groupBy("shard").applyInArrow(compare, "id long, hash long, data binary")
+    more = sources.mapInArrow(gather, "shard int, ids binary, hashes binary, starts binary, sizes binary, bytes binary, done binary").groupBy("shard").applyInArrow(compare, "id long, hash long, data binary")
     return settled.where("spans is not null").select("id", "hash", "spans").union(more.select("id", "hash", F.col("data").alias("spans")))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize, payload, small_batches
+from .common import by_bytes, materialize, payload, ranges, small_batches
 from .features import word_hashes
 
 #: The index holds about so many examples of each label at most, chosen by a hash of doc_id, and so many bytes of their texts; a vote
@@ -37,12 +37,6 @@ CELLS = 1 << 20
 COMMON = 256
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... counts[0] of them, then those from starts[1] on, and so forth."""
-    ends = np.cumsum(counts)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
-
-
 def cells(owner: np.ndarray, terms: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, count) of occurrences, sorted by row and term; size is the number of terms."""
     cell, counts = np.unique(owner.astype(np.int64) * size + terms, return_counts=True)

@@ -132,6 +132,53 @@ def test_many_shards_and_hot_stretches(spark, docs, corpus, monkeypatch):
     compare(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def pieces(rng, n):
+    """(ids, pieces): random bytes with common parts, some of which several ids have."""
+    common = ["".join(rng.choice("ab") for _ in range(rng.randint(8, 40))) for _ in range(5)]
+    out = [(rng.randint(1, 6), ("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) + rng.choice(common) + "".join(rng.choice("abc") for _ in range(rng.randint(0, 3)))).encode()) for _ in range(n)]
+    return np.array([i for i, _ in out]), [b for _, b in out]
+
+
+@pytest.mark.parametrize("hashed", [5, 1 << 19])
+def test_a_shard_sorts_what_several_documents_share(monkeypatch, hashed):
+    """Windows of one document alone aren't sorted, nor a run's copies; no shared window is left out."""
+    monkeypatch.setattr(suffixes, "HASHED", hashed)
+    rng = random.Random(hashed)
+    for _ in range(60):
+        ids, parts = pieces(rng, rng.randint(1, 25))
+        sizes, data = np.array([len(b) for b in parts]), np.frombuffer(b"".join(parts), np.uint8)
+        holders = {}
+        for i, b in zip(ids.tolist(), parts, strict=True):
+            for p in range(len(b) - 7):
+                holders.setdefault(b[p : p + 8], set()).add(i)
+        want = {(k, p) for k, b in enumerate(parts) for p in range(len(b) - 7) if len(holders[b[p : p + 8]]) > 1}
+        piece, start, end = suffixes.shared_runs(data, sizes, ids, 8)
+        begins = np.cumsum(sizes) - sizes
+        got = [(k, p - begins[k]) for k, a, z in zip(piece, start, end, strict=True) for p in range(a, z - 7)]
+        assert len(got) == len(want) and set(got) == want
+        bodies = [bytes(data[a:z]) for a, z in zip(start, end, strict=True)]
+        least = {}
+        for i, b in zip(ids[piece], bodies, strict=True):
+            least[b] = min(least.get(b, i), i)
+        assert suffixes.copies(data, start, end, ids[piece]).tolist() == [i > least[b] for i, b in zip(ids[piece], bodies, strict=True)]
+
+
+def test_copies_are_compared_byte_for_byte(monkeypatch):
+    monkeypatch.setattr(suffixes, "_slice_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    data, ends = np.frombuffer(b"aabbaabba", np.uint8), np.array([2, 4, 6, 9])
+    assert suffixes.copies(data, np.array([0, 2, 4, 6]), ends, np.array([1, 2, 3, 4])).tolist() == [False, False, True, False]
+
+
+def test_a_hot_window_is_sent_once_a_batch():
+    sent, gone = suffixes.settled_windows({b"x" * 50: [(i, 7, 3) for i in range(500, 0, -1)], b"y" * 50: [(9, 1, 0), (9, 2, 4)]})
+    assert sent == [(1, 7, 3, b"x" * 50), (9, 1, 0, b"y" * 50), (9, 2, 4, b"y" * 50)] and len(gone) == 499
+
+
+def test_rows_of_a_batch_repeat_by_both_hashes():
+    h, c = np.array([5, 5, 5, 6, 5], np.uint64), np.array([1, 1, 2, 1, 1], np.uint64)
+    assert suffixes._repeats(np.array([3, 2, 9, 9, 2]), h, c).tolist() == [True, False, False, False, False]
+
+
 def test_odd_tables(spark, no_docs):
     assert suffixes.dedup_substrings(no_docs).count() == 0
     short = [(1, None), (2, ""), (3, "x" * 49), (4, "x" * 49), (None, "y" * 80), (5, "y" * 80), (6, "y" * 80)]
