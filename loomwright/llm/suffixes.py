@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ LEAST_SHARDS = 32
 HOT = 4096
 #: Bytes of suffix tuples that the task of a shard keeps in memory; the others go to files in the shared folder.
 TUPLE_BYTES = 32 << 20
+#: Bytes of text whose stretches are dealt out at once: each such part sends some to every shard.
+DEALT = 8 << 20
 #: Bytes of a shard that are hashed at once.
 HASHED = 1 << 19
 _LOW = np.uint64((1 << 48) - 1)
@@ -192,6 +195,45 @@ def _unpacked(blob: bytes) -> Iterator[tuple[int, int, int, bytes]]:
         at += size
 
 
+def _in_buckets(ids: np.ndarray, hashes: np.ndarray, values: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, its documents and their rows of values as bytes): a document's rows are together, in no order."""
+    if not len(ids):
+        return
+    name = mixed(ids.astype(np.uint64) ^ mixed(hashes.astype(np.uint64)))
+    bucket = name % np.uint64(buckets)
+    order = np.argsort((bucket << np.uint64(40)) | (name >> np.uint64(24)))
+    ids, hashes, bucket, values = ids[order], hashes[order], bucket[order].astype(np.int64), values[order].astype("<i4")
+    opens = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])]))
+    ids, hashes, count = ids[opens].astype("<i8"), hashes[opens].astype("<i8"), np.diff(np.append(opens, len(values))).astype("<i4")
+    edges = np.flatnonzero(np.diff(bucket[opens], prepend=-1))
+    rows = np.append(opens, len(values))
+    for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(opens)], strict=True):
+        yield int(bucket[opens[a]]), b"".join([np.array([z - a], "<i4").tobytes(), ids[a:z].tobytes(), hashes[a:z].tobytes(), count[a:z].tobytes(), values[rows[a] : rows[z]].tobytes()])
+
+
+def _of_buckets(blobs: list[bytes], width: int, spans: bool) -> Iterator[tuple[int, int, bytes]]:
+    """(id, hash, rows of values) of each document of a bucket's blobs; spans: the rows are (start, end) and become maximal runs."""
+    ids, hashes, count, values = [], [], [], []
+    for blob in blobs:
+        n = int(np.frombuffer(blob, "<i4", 1)[0])
+        for kept, kind, at in ((ids, "<i8", 4), (hashes, "<i8", 4 + 8 * n), (count, "<i4", 4 + 16 * n)):
+            kept.append(np.frombuffer(blob, kind, n, at))
+        values.append(np.frombuffer(blob, "<i4", -1, 4 + 20 * n))
+    ids, hashes, count, values = (np.concatenate(x) for x in (ids, hashes, count, values))
+    order = np.lexsort((hashes, ids))
+    values = values.reshape(-1, width)[ranges((np.cumsum(count) - count)[order], count[order])]
+    ids, hashes, count = ids[order], hashes[order], count[order]
+    opens = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])]))
+    rows = np.append(0, np.cumsum(np.add.reduceat(count, opens, dtype=np.int64)))
+    if spans:
+        own = np.repeat(np.arange(len(opens)) << 32, np.diff(rows))  # no run goes from one document to the next
+        a, z = merged(own + values[:, 0], own + values[:, 1])
+        rows = np.searchsorted(a >> 32, np.arange(len(opens) + 1))
+        values = (np.stack([a, z], 1) & 0xFFFFFFFF).astype("<i4")
+    for i, x, a, z in zip(ids[opens].tolist(), hashes[opens].tolist(), rows.tolist(), rows[1:].tolist(), strict=False):
+        yield i, x, values[a:z].tobytes()
+
+
 def _six(x: np.ndarray) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -226,35 +268,44 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = max(LEAST_SHARDS, size // SHARD_BYTES)
     most, budget, folder = HOT, TUPLE_BYTES, fresh_path(docs.sparkSession, "suffixes")
 
+    def dealt_out(found: list[tuple[np.ndarray, ...]], names: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        # In the order of rows and starts.
+        place, start, count, h, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        names = np.concatenate(names)
+        if not len(place):
+            return
+        gone = _repeats(names[place, 0], h, c)
+        rows = [(i % parts, i, x, spans, None) for i, x, spans in _by_doc(*names[place[gone]].T, start[gone], start[gone] + count[gone] + length - 1)]
+        # One document of the part stands for each content; its stretches go to the shard of their least hash.
+        place, start, count, h, c = (x[~gone] for x in (place, start, count, h, c))
+        shard = (h % np.uint64(parts)).astype(np.min_scalar_type(parts))
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            at = order[edges[p] : edges[p + 1]]
+            opens = np.diff(place[at], prepend=-1) > 0
+            own = place[at][opens]
+            # Documents and starts come in order: their differences pack well.
+            where = zstandard.compress(np.diff(np.cumsum(opens) - 1, prepend=0).astype("<u2").tobytes() + np.diff(start[at], prepend=0).astype("<i4").tobytes() + count[at].astype(np.uint8).tobytes(), 1)
+            blob = b"".join([np.array([len(own), len(at), len(where)], "<i4").tobytes(), names[own].astype("<i8").tobytes(), where, _six(h[at]), _six(c[at])])
+            rows.append((p, None, None, None, blob))
+        part, ident, text, spans, blob = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ident, pa.int64()), pa.array(text, pa.int64()), pa.array(spans, pa.binary()), pa.array(blob, pa.binary())], ["part", "id", "hash", "spans", "blob"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, names, rows, size = [], [], 0, 0
         for whole in batches:
-            found, rows_before = [], 0
             for batch in by_bytes(whole, "body", 2 << 20):
-                owner, *rest = stretches(*payload(batch.column("body")), length)
-                found.append((owner + rows_before, *rest))
-                rows_before += len(batch)
-            # In the order of rows and starts.
-            place, start, count, h, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
-            if not len(place):
-                continue
-            names = np.stack([whole.column("id").to_numpy(), whole.column("hash").to_numpy()], 1)
-            gone = _repeats(names[place, 0], h, c)
-            rows = [(i % parts, i, x, spans, None) for i, x, spans in _by_doc(*names[place[gone]].T, start[gone], start[gone] + count[gone] + length - 1)]
-            # One document of the batch stands for each content; its stretches go to the shard of their least hash.
-            place, start, count, h, c = (x[~gone] for x in (place, start, count, h, c))
-            shard = (h % np.uint64(parts)).astype(np.min_scalar_type(parts))
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(edges)).tolist():
-                at = order[edges[p] : edges[p + 1]]
-                opens = np.diff(place[at], prepend=-1) > 0
-                own = place[at][opens]
-                # Documents and starts come in order: their differences pack well.
-                where = zstandard.compress(np.diff(np.cumsum(opens) - 1, prepend=0).astype("<u2").tobytes() + np.diff(start[at], prepend=0).astype("<i4").tobytes() + count[at].astype(np.uint8).tobytes(), 1)
-                blob = b"".join([np.array([len(own), len(at), len(where)], "<i4").tobytes(), names[own].astype("<i8").tobytes(), where, _six(h[at]), _six(c[at])])
-                rows.append((p, None, None, None, blob))
-            part, ident, text, spans, blob = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ident, pa.int64()), pa.array(text, pa.int64()), pa.array(spans, pa.binary()), pa.array(blob, pa.binary())], ["part", "id", "hash", "spans", "blob"])
+                data, offsets = payload(batch.column("body"))
+                owner, *told = stretches(data, offsets, length)
+                found.append((owner + rows, *told))
+                names.append(np.stack([batch.column("id").to_numpy(), batch.column("hash").to_numpy()], 1))
+                rows, size = rows + len(batch), size + len(data) + names[-1].nbytes
+                if size >= DEALT:
+                    yield from dealt_out(found, names)
+                    found, names, rows, size = [], [], 0, 0
+        if found:
+            yield from dealt_out(found, names)
 
     def settle(rows: pa.Table) -> pa.Table:
         """Keeps settled spans, settles equal stretches of different batches, and tells which stretches need their bytes."""
@@ -266,14 +317,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             at += packed
             names = np.frombuffer(blob, "<i8", 2 * m, 12).reshape(-1, 2)[np.cumsum(np.frombuffer(where, "<u2", n))]
             tables.append((names[:, 0], names[:, 1], np.cumsum(np.frombuffer(where, "<i4", n, 2 * n)), np.frombuffer(where, np.uint8, n, 6 * n), _from_six(blob[at : at + 6 * n]), _from_six(blob[at + 6 * n :])))
+        told, asked = [], []  # ids, hashes and numbers
         done = rows.filter(rows.column("spans").is_valid())
-        out = list(zip(done.column("id").to_pylist(), done.column("hash").to_pylist(), [0] * len(done), done.column("spans").to_pylist(), strict=True))
+        if len(done):
+            spans = done.column("spans").to_pylist()
+            count = np.array([len(x) for x in spans]) // 8
+            told.append((*(np.repeat(done.column(k).to_numpy(), count) for k in ("id", "hash")), np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2)))
         if tables:
             ids, hashes, start, count, h, c = (np.concatenate(x) for x in zip(*tables, strict=True))
             del tables
             order, fresh, gone = _settle(ids, h, c)
             ids, hashes, start, count, h = ids[order], hashes[order], start[order], count[order].astype(np.int64), h[order]
-            out += [(i, x, 0, spans) for i, x, spans in _by_doc(ids[gone], hashes[gone], start[gone], start[gone] + count[gone] + length - 1)]
+            told.append((ids[gone], hashes[gone], np.stack([start[gone], start[gone] + count[gone] + length - 1], 1)))
             # Least hashes with several contents, not all in one document.
             opens = np.concatenate([[True], h[1:] != h[:-1]])
             group = np.cumsum(opens) - 1
@@ -283,28 +338,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             open_ = ((contents > 1) & (high > low))[group] & ~gone
             hot = np.bincount(group, ~gone)[group] > most
             shard = np.where(hot, -1, (h // np.uint64(parts) % np.uint64(parts)).astype(np.int64))
-            out += [(i, x, 1, wanted) for i, x, wanted in _by_doc(ids[open_], hashes[open_], start[open_], count[open_], shard[open_])]
+            asked.append((ids[open_], hashes[open_], np.stack([start[open_], count[open_], shard[open_]], 1)))
         # A document has rows from many shards; they meet in its bucket.
-        buckets: dict[int, list] = {}
-        for row in out:
-            buckets.setdefault((row[0] * 31 + row[1]) % parts, []).append(row)
-        return pa.table({"bucket": pa.array(list(buckets), pa.int32()), "data": pa.array([_packed(rows) for rows in buckets.values()], pa.binary())})
+        out = [(kind, *x) for kind, found in enumerate((told, asked)) if found for x in _in_buckets(*(np.concatenate(x) for x in zip(*found, strict=True)), parts)]
+        kinds, buckets, blobs = zip(*out, strict=True) if out else [()] * 3
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "kind": pa.array(kinds, pa.int32()), "data": pa.array(blobs, pa.binary())})
 
     def meet(rows: pa.Table) -> pa.Table:
         """One row a document: its spans, merged, and the stretches whose bytes are asked for."""
-        found: dict[tuple[int, int], tuple[list, list]] = {}
-        for blob in rows.column("data").to_pylist():
-            for i, x, kind, data in _unpacked(blob):
-                found.setdefault((i, x), ([], []))[kind].append(data)
-        spans = []
-        for told, _ in found.values():
-            a, z = merged(*np.frombuffer(b"".join(told), "<i4").reshape(-1, 2).T)
-            spans.append(np.stack([a, z], 1).astype("<i4").tobytes() if told else None)
+        found: dict[tuple[int, int], list] = {}
+        for kind in range(2):
+            blobs = rows.filter(pc.equal(rows.column("kind"), kind)).column("data").to_pylist()
+            if blobs:
+                for i, x, told in _of_buckets(blobs, 2 + kind, kind == 0):
+                    found.setdefault((i, x), [None, None])[kind] = told
         ids, hashes = zip(*found, strict=True) if found else ([], [])
-        return pa.table({"id": pa.array(ids, pa.int64()), "hash": pa.array(hashes, pa.int64()), "spans": pa.array(spans, pa.binary()), "asked": pa.array([b"".join(w) if w else None for _, w in found.values()], pa.binary())})
+        return pa.table({"id": pa.array(ids, pa.int64()), "hash": pa.array(hashes, pa.int64()), "spans": pa.array([x[0] for x in found.values()], pa.binary()), "asked": pa.array([x[1] for x in found.values()], pa.binary())})
 
     dealt = docs.mapInArrow(deal, "part int, id long, hash long, spans binary, blob binary")
-    settled = dealt.groupBy("part").applyInArrow(settle, "bucket int, data binary").groupBy("bucket").applyInArrow(meet, "id long, hash long, spans binary, asked binary")
+    settled = dealt.groupBy("part").applyInArrow(settle, "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(meet, "id long, hash long, spans binary, asked binary")
     settled = materialize(settled, "settled")
     asked = settled.where("asked is not null").select("id", "hash", "asked")
 

@@ -179,6 +179,24 @@ def test_rows_of_a_batch_repeat_by_both_hashes():
     assert suffixes._repeats(np.array([3, 2, 9, 9, 2]), h, c).tolist() == [True, False, False, False, False]
 
 
+def test_documents_meet_in_their_buckets():
+    """Spans of a document come in several blobs; runs that end where another document's begin stay apart."""
+    rng = random.Random(4)
+    rows = [(rng.choice([-3, 2, 7]), rng.choice([-9, 5]), a := rng.randint(0, 90), a + rng.randint(1, 9)) for _ in range(60)]
+    blobs, last = {}, (1 << 31) - 1
+    for some in (rows[:20], rows[20:], [(2, 5, last - 5, last), (7, -9, 0, 1)]):
+        i, x, a, z = np.array(some).T
+        for bucket, blob in suffixes._in_buckets(i, x, np.stack([a, z], 1), 3):
+            blobs.setdefault(bucket, []).append(blob)
+    got = {(i, x): np.frombuffer(told, "<i4").reshape(-1, 2).tolist() for held in blobs.values() for i, x, told in suffixes._of_buckets(held, 2, True)}
+    assert sum(len(list(suffixes._of_buckets(held, 2, False))) for held in blobs.values()) == len(got) == 6
+    rows += [(2, 5, last - 5, last), (7, -9, 0, 1)]
+    for name, runs in got.items():
+        assert {p for a, z in runs for p in range(a, z)} == {p for i, x, a, z in rows if (i, x) == name for p in range(a, z)}
+        assert all(z < a for (_, z), (a, _) in zip(runs, runs[1:], strict=False))
+    assert list(suffixes._in_buckets(*np.zeros((2, 0), np.int64), np.zeros((0, 2)), 3)) == []
+
+
 def test_odd_tables(spark, no_docs):
     assert suffixes.dedup_substrings(no_docs).count() == 0
     short = [(1, None), (2, ""), (3, "x" * 49), (4, "x" * 49), (None, "y" * 80), (5, "y" * 80), (6, "y" * 80)]
