@@ -8,8 +8,10 @@ relevant to label 1 (lower confidence bound of the log odds among the examples,
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,10 @@ BLOCK = 64
 PRIOR = FLOOR = 1e-3
 #: Cells, or postings, that are summed at once.
 CELLS = 1 << 20
+#: Words in most examples have full lists, a weight for every example, unless that would be over so many times their postings.
+FULL, THIN = 512, 32
+#: What sums of full lists may be off by; cosines that are so near the k-th best are summed again, term by term.
+SLACK = 1e-12
 #: Words in most examples, by which blocks are made alike.
 COMMON = 256
 
@@ -50,19 +56,22 @@ def weights(row: np.ndarray, term: np.ndarray, counts: np.ndarray, n: int, idf:
     return w / np.maximum(length, 1e-150)[row], length
 
 
-def best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k largest scores of each row, ties to smaller ids, sorted by row and rank."""
+def best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest scores of each row, ties to smaller ids, sorted by row and rank; with slack, those less by it than the k-th, too."""
     order = np.lexsort((ids, -scores, rows))
     rows, ids, scores = rows[order], ids[order], scores[order]
     opens = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    keep = np.arange(len(rows)) - np.repeat(opens, np.diff(np.append(opens, len(rows)))) < k
+    sizes = np.diff(np.append(opens, len(rows)))
+    keep = np.arange(len(rows)) - np.repeat(opens, sizes) < k
+    if slack and len(rows):
+        keep |= scores >= np.repeat(scores[opens + np.minimum(sizes, k) - 1], sizes) - slack
     return rows[keep], ids[keep], scores[keep]
 
 
 @dataclass
 class Index:
     """Postings (example, weight) by cell, a term's part of a block of BLOCK examples; cells by term and block, each with
-    the greatest weight in it."""
+    the greatest weight in it. The commonest terms' postings are added up from full lists, all rows of a batch at once."""
 
     terms: np.ndarray  # hashes of the words, ascending
     idf: np.ndarray
@@ -79,6 +88,32 @@ class Index:
     prior: float = 0.0
     curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 0.0)  # factors of features(), the last one a constant
 
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in self.__dataclass_fields__}  # what can be derived isn't sent
+
+    @cached_property
+    def full(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each term's full list or -1; the lists' weights (block, list, example of the block); their greatest weights (list, block)."""
+        blocks, n = max(1, -(-len(self.ids) // BLOCK)), self.starts[self.heads[1:]] - self.starts[self.heads[:-1]]
+        some = np.argsort(-n, kind="stable")[:FULL]
+        some = some[n[some] * THIN > len(self.ids)]
+        column = np.full(len(n), -1)
+        column[some] = np.arange(len(some))
+        lists = np.zeros((blocks, len(some), BLOCK))
+        post = ranges(self.starts[self.heads[some]], n[some])
+        lists[self.examples[post] // BLOCK, np.repeat(np.arange(len(some)), n[some]), self.examples[post] % BLOCK] = self.weight[post]
+        return column, lists, lists.max(2, initial=0.0).T.copy()
+
+    @cached_property
+    def forward(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each example's terms begin, the terms in order, and their weights; and each example's first equal one."""
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.starts[self.heads[1:]] - self.starts[self.heads[:-1]])
+        order = np.argsort(self.examples, kind="stable")
+        starts, term, weight = np.searchsorted(self.examples[order], np.arange(len(self.ids) + 1)), term[order], self.weight[order]
+        first: dict[bytes, int] = {}
+        same = [first.setdefault(hashlib.blake2b(term[a:z].tobytes() + weight[a:z].tobytes(), digest_size=32).digest(), e) for e, (a, z) in enumerate(zip(starts.tolist(), starts[1:].tolist(), strict=False))]
+        return starts, term, weight, np.array(same, np.int64)
+
     def vectors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """TF-IDF rows of a batch of texts, as (row, term, weight) sorted by row, and each row's length before."""
         row, term, counts = cells(*known_words(data, offsets, self.terms), len(self.terms))
@@ -89,8 +124,9 @@ class Index:
         earlier, nearest first. Rows go through their blocks by falling bound, until no block's bound can beat the row's
         k-th best. without: an example for each row that it doesn't find."""
         blocks = max(1, -(-len(self.ids) // BLOCK))
-        counts = (self.heads[1:] - self.heads[:-1])[term]
-        load = np.concatenate([[0], np.cumsum(np.bincount(row, counts, n) + blocks)])  # cells that rows need
+        column, lists, _ = self.full
+        counts = (self.heads[1:] - self.heads[:-1])[term] * (column[term] < 0)
+        load = np.concatenate([[0], np.cumsum(np.bincount(row, counts, n) + blocks + lists.shape[1])])  # cells that rows need
         found, at = [], 0
         while at < n:
             end = max(at + 1, int(np.searchsorted(load, load[at] + CELLS, "right")) - 1)
@@ -100,20 +136,25 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     def _nearest(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, low: int, n: int, k: int, without: np.ndarray | None, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column, lists, tops = self.full
+        listed = column[term] >= 0
+        dense = np.zeros((n, lists.shape[1]))
+        dense[row[listed], column[term[listed]]] = w[listed]
+        words, (row, term, w) = (row, term, w), (x[~listed] for x in (row, term, w))
         counts = (self.heads[1:] - self.heads[:-1])[term]
         cell, q = ranges(self.heads[term], counts), np.repeat(w, counts)
         place = np.repeat(row * blocks, counts) + self.block[cell]  # (row, block) as a number
         begins = np.searchsorted(row, np.arange(n + 1))  # where a row's cells begin
         begins = np.concatenate([[0], np.cumsum(counts)])[begins]
         length = self.starts[cell + 1] - self.starts[cell]
-        bound = np.bincount(place, q * self.most[cell], n * blocks).reshape(n, blocks)
-        load = np.bincount(place, length, n * blocks)
+        bound = np.bincount(place, q * self.most[cell], n * blocks).reshape(n, blocks) + dense @ tops
+        load = np.bincount(place, length, n * blocks) + BLOCK
         rank = np.empty((n, blocks), np.int64)
         np.put_along_axis(rank, np.argsort(-bound, 1, kind="stable"), np.arange(blocks)[None, :], 1)
         out, kth, at, wave = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.zeros(n), 0, max(2, -(-2 * k // BLOCK))
         number = np.full(n * blocks, -1)
         while at < blocks:
-            chosen = np.flatnonzero(((rank >= at) & (rank < at + wave) & (bound >= kth[:, None] - 1e-12) & (bound > 0)).ravel())
+            chosen = np.flatnonzero(((rank >= at) & (rank < at + wave) & (bound >= kth[:, None] - 2 * SLACK) & (bound > 0)).ravel())
             if not len(chosen):
                 break  # bounds fall from wave to wave, and the k-th best don't
             found = [out]
@@ -126,22 +167,42 @@ class Index:
                 mine = a + np.flatnonzero(number[place[a:z]] >= 0)
                 post = ranges(self.starts[cell[mine]], length[mine])
                 slot = np.repeat(number[place[mine]] * BLOCK, length[mine]) + self.examples[post] % BLOCK
-                total = np.bincount(slot, np.repeat(q[mine], length[mine]) * self.weight[post], len(some) * BLOCK)
+                total = np.bincount(slot, np.repeat(q[mine], length[mine]) * self.weight[post], len(some) * BLOCK).astype(float, copy=False)  # of nothing it is of integers
                 number[some] = -1
-                hit = np.flatnonzero(total > np.repeat(kth[some // blocks], BLOCK) - 1e-12)
+                by_block = np.argsort(some % blocks, kind="stable")
+                for own in np.split(by_block, np.flatnonzero(np.diff(some[by_block] % blocks)) + 1):
+                    total.reshape(-1, BLOCK)[own] += dense[some[own] // blocks] @ lists[some[own[0]] % blocks]
+                hit = np.flatnonzero(total > np.repeat(kth[some // blocks], BLOCK) - 2 * SLACK)
                 hit = hit[total[hit] > 0]
                 rows, ids = some[hit // BLOCK] // blocks, some[hit // BLOCK] % blocks * BLOCK + hit % BLOCK
                 if without is not None:
                     other = without[rows + low] != ids
                     rows, ids, hit = rows[other], ids[other], hit[other]
                 found.append((rows, ids, total[hit]))
-            out = best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
-            full = np.bincount(out[0], minlength=n) >= k
-            last = np.searchsorted(out[0], np.arange(n), "right") - 1
-            kth[full] = out[2][last[full]]
+            out = best(*(np.concatenate(x) for x in zip(*found, strict=True)), k, 2 * SLACK)
+            opens = np.searchsorted(out[0], np.arange(n + 1))
+            full = np.diff(opens) >= k
+            kth[full] = out[2][opens[:-1][full] + k - 1]
             at, wave = at + wave, wave * 2
+        out = best(*out[:2], self.cosines(*words, *out[:2]), k)
         return out[0] + low, out[1], out[2]
 
+    def cosines(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, of: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The cosine of each pair (row of sparse rows, example). Products are added in the order of terms."""
+        starts, terms, weight, same = self.forward
+        asked, back = np.unique(of * len(self.ids) + same[ids], return_inverse=True)
+        of, ids = asked // max(len(self.ids), 1), asked % max(len(self.ids), 1)
+        out, own = np.zeros(len(of)), np.zeros(len(self.terms))
+        edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
+        begins, ends = np.searchsorted(row, of[edges[:-1]]), np.searchsorted(row, of[edges[:-1]], "right")
+        for x, y, a, z in zip(edges.tolist(), edges[1:].tolist(), begins.tolist(), ends.tolist(), strict=False):
+            own[term[a:z]] = w[a:z]
+            count = starts[ids[x:y] + 1] - starts[ids[x:y]]
+            post = ranges(starts[ids[x:y]], count)
+            out[x:y] = np.bincount(np.repeat(np.arange(y - x), count), own[terms[post]] * weight[post], y - x)
+            own[term[a:z]] = 0.0
+        return out[back]
+
     def relevant(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, near: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """For each neighbour (row, example, cosine): its cosine's terms, each times the relevance of its word."""
         n, out = len(self.ids), np.zeros(len(near[0]))
@@ -235,6 +296,8 @@ def build(terms: np.ndarray, idf: np.ndarray, relevance: np.ndarray, ids: np.nda
             theta = theta - np.linalg.solve(h, x.T @ (votes * (p - labels)) + 1e-2 * (theta - start))
         if np.isfinite(theta).all() and theta[:3].max() > 0:
             index.curve = tuple(theta.tolist())
+    for derived in ("full", "forward"):  # the driver has no more use for them
+        index.__dict__.pop(derived, None)
     return index
 
 

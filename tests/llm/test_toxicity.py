@@ -99,6 +99,55 @@ def test_blocks_are_skipped_without_a_loss():
         assert np.allclose(s[row == i], want, atol=1e-9) and i not in ids[row == i]
 
 
+def plain_index(rng, n, size, repeats):
+    """An index over random sparse examples, some of which are equal, and its dense rows in the index's order."""
+    dense = np.zeros((n, size))
+    for r in range(n):
+        some = np.minimum(rng.geometric(0.02, 30), size) - 1  # a few words are in most examples
+        dense[r, some] = rng.integers(1, 4, 30)
+    dense[rng.integers(0, n, repeats)] = dense[0]
+    row, term = np.nonzero(dense)
+    index = toxicity.build(np.arange(size), rng.random(size) + 0.1, np.zeros(size), np.arange(n), np.zeros(n), np.ones(n), row, term, dense[row, term])
+    known = np.zeros((n, size))
+    known[index.examples, np.repeat(np.repeat(np.arange(size), np.diff(index.heads)), np.diff(index.starts))] = index.weight
+    return index, known
+
+
+@pytest.mark.parametrize(("full", "thin"), [(0, 32), (3, 32), (40, 2), (1024, 1 << 20)])
+def test_full_lists_give_the_same_neighbours(monkeypatch, full, thin):
+    """Whichever words have full lists, neighbours and cosines are those of sums in the order of terms, to the bit, and equal examples
+    come in the order of the index."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(toxicity, "FULL", full)
+    monkeypatch.setattr(toxicity, "THIN", thin)
+    index, known = plain_index(rng, 300, 400, 60)
+    assert (index.full[0] >= 0).sum() == index.full[1].shape[1] <= full and "full" not in index.__getstate__()
+    picked = rng.integers(0, 300, 40)
+    for without in (None, picked):
+        row, term = np.nonzero(known[picked])
+        got = index.nearest(row, term, known[picked][row, term], 40, 15, without)
+        want = []
+        for r, p in enumerate(picked):
+            shared = [np.flatnonzero((known[p] > 0) & (x > 0)) for x in known]
+            cosine = [sum((known[p, t] * known[e, t] for t in some), 0.0) for e, some in enumerate(shared)]
+            ranked = sorted((-c, e) for e, c in enumerate(cosine) if c > 0 and (without is None or e != p))
+            want += [(r, e, -c) for c, e in ranked[:15]]
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
+def test_common_words_cost_no_postings(monkeypatch):
+    """Words that most examples hold are added up from full lists: their postings aren't gone through for each row."""
+    rng, gone = np.random.default_rng(3), []
+    index, known = plain_index(rng, 1000, 200, 0)
+    assert index.full[1].size and index.forward
+    real = toxicity.ranges
+    monkeypatch.setattr(toxicity, "ranges", lambda starts, counts: (gone.append(int(np.sum(counts))), real(starts, counts))[1])
+    row, term = np.nonzero(known[:50])
+    index.nearest(row, term, known[:50][row, term], 50, 15)
+    postings = int((index.starts[index.heads[1:]] - index.starts[index.heads[:-1]])[term].sum())
+    assert sum(gone) < postings / 2
+
+
 def test_a_toxic_word_of_four_examples(spark, rows):
     more = [(1000 + i, f"plain text with a rareslur number {i}", 1) for i in range(4)] + [(2000 + i, f"plain text of number {i}", 0) for i in range(300)]
     docs = spark.createDataFrame([r[:2] for r in rows + more], "doc_id long, text string")
