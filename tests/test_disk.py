@@ -84,3 +84,14 @@ def test_a_stage_s_table_goes_when_the_next_is_written(spark, tmp_path, monkeypa
     before = _tables(spark)
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert _left(spark, before) == ["stage2"] and sorted(r.doc_id for r in out.collect()) == [4, 5, 6, 7, 8]
+
+
+def test_results_alone_are_left_beside_earlier_ones(spark, docs):
+    """Every name in the folder is compared: tables of one name, left by earlier queries of the session, don't hide a new one."""
+    folder = shared_folder(spark).removeprefix("file:")
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    for find, name in ((lambda: graphs.components(links), "components"), (lambda: paragraphs.dedup_paragraphs(docs), "losses")):
+        for _ in range(2):
+            before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+            find()
+            assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == [name]
